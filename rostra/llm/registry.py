@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from rostra.llm.byte_bpe import op3_byte_bpe
+from rostra.llm.decontaminate import OP7_SQL, op7_decontamination
 from rostra.llm.token_counts import op1_token_counts
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op7_decontamination": op7_decontamination,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_decontamination": OP7_SQL}
