@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 from rostra.llm.byte_bpe import op3_byte_bpe
+from rostra.llm.chat import OP6_SQL, op6_chat_rotation
 from rostra.llm.decontaminate import OP7_SQL, op7_decontamination
+from rostra.llm.language import op4_language_id
+from rostra.llm.near_dedup import OP8_SQL, op8_near_dedup
+from rostra.llm.orc_ids import op10_orc_ids
 from rostra.llm.token_counts import op1_token_counts
+from rostra.llm.topk import OP5_SQL, op5_topk
+from rostra.llm.url_filter import op2_url_filter
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
+    "op5_topk": op5_topk,
+    "op6_chat_rotation": op6_chat_rotation,
     "op7_decontamination": op7_decontamination,
+    "op8_near_dedup": op8_near_dedup,
+    "op10_orc_ids": op10_orc_ids,
 }
 
-ORACLE_SQL = {"op7_decontamination": OP7_SQL}
+ORACLE_SQL = {
+    "op5_topk": OP5_SQL,
+    "op6_chat_rotation": OP6_SQL,
+    "op7_decontamination": OP7_SQL,
+    "op8_near_dedup": OP8_SQL,
+}
