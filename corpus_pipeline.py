@@ -1,12 +1,61 @@
-"""A corpus pipeline over ``documents``: stages that each call one training-data operator."""
+"""A corpus pipeline over ``documents``: language ID, near-duplicates, benchmark decontamination, token ids.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as
+Parquet and read again as the next one's ``docs``. All but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rostra.llm import byte_bpe, decontaminate, language, near_dedup
+from rostra.llm.common import table, written
+
+#: A document's language must be this probable; with four languages the best has 0.25 at least.
+LEAST_SCORE = 0.3
+#: Documents of whose words a larger part lies in benchmark passages go.
+MOST_COVERAGE = 0.0
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language stay; texts that are null, without letters or like no language go."""
+    found = language.identify(docs, language.train(docs))
+    good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id; of rows that repeat it, one."""
+    kept = written(near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
+    left = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return left.dropDuplicates(["doc_id"]) if kept.where("n > 1").head(1) else left
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark stay."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), max_coverage=MOST_COVERAGE)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with hashes of ids and of the decoded bytes."""
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("byte_bpe", encoding_stage),
+]
 
-STAGES: list = []
+#: The first stage is a trained network, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs

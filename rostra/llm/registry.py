@@ -8,6 +8,7 @@ from rostra.llm.decontaminate import OP7_SQL, op7_decontamination
 from rostra.llm.language import op4_language_id
 from rostra.llm.near_dedup import OP8_SQL, op8_near_dedup
 from rostra.llm.orc_ids import op10_orc_ids
+from rostra.llm.pseudo_likelihood import op9_pseudo_likelihood
 from rostra.llm.token_counts import op1_token_counts
 from rostra.llm.topk import OP5_SQL, op5_topk
 from rostra.llm.url_filter import op2_url_filter
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_chat_rotation": op6_chat_rotation,
     "op7_decontamination": op7_decontamination,
     "op8_near_dedup": op8_near_dedup,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_orc_ids": op10_orc_ids,
 }
 
