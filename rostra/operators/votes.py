@@ -95,4 +95,4 @@ def filtered_points(points: DataFrame, ballots: DataFrame, positions: DataFrame,
     if not members or votes:
         return hit
     present = points.join(fits(attendance, False).select("meeting").distinct(), "meeting", "left_semi")
-    return hit.union(present.join(hit.select("id"), "id", "left_anti"))
+    return hit.unionByName(present.join(hit.select("id"), "id", "left_anti"))
