@@ -60,6 +60,11 @@ def token_matches(q: str, t: Column) -> Column:
     return found
 
 
+def _on(f, q: str):
+    """``f`` of a query token as a function of one column."""
+    return lambda x: f(q, x)
+
+
 def text_matches(text: Column, query: str) -> Column:
     """The phrase is contained, or each of up to six query tokens of three letters matches some text token."""
     q = normalize_query(query)
@@ -72,7 +77,7 @@ def text_matches(text: Column, query: str) -> Column:
     each = tokens(t, 3)
     every = F.lit(True)
     for p in parts:
-        every = every & F.exists(each, lambda x, p=p: token_matches(p, x))
+        every = every & F.exists(each, _on(token_matches, p))
     return found | every
 
 
@@ -96,7 +101,7 @@ def field_score(text: Column, query: str) -> Column:
         return F.when(t == q, 1000).when(F.contains(t, F.lit(q)), 700).otherwise(0)
     each, at = tokens(t), F.instr(t, q) - 1
     phrase = F.when(at == 0, 900).when(at > 0, F.greatest(F.lit(620), 780 - F.least(at, F.lit(160)))).otherwise(0)
-    best = [F.coalesce(F.array_max(F.transform(each, lambda x, p=p: token_score(p, x))), F.lit(0)) for p in parts]
+    best = [F.coalesce(F.array_max(F.transform(each, _on(token_score, p))), F.lit(0)) for p in parts]
     every, total = F.lit(True), F.lit(220)
     for b in best:
         every, total = every & (b > 0), total + b

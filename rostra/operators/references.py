@@ -22,15 +22,19 @@ def extract(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return found.withColumn("kind", kind)
 
 
-def best_target(refs: DataFrame, rows: DataFrame, keys: Sequence[str], tiers: Sequence[Column], order: Sequence[Column], ref_id: Sequence[str], target: str) -> DataFrame:
+def best_target(refs: DataFrame, rows: DataFrame, keys: Sequence[str], tiers: Sequence[Column], order: Sequence[Column], ref_id: Sequence[str], target: str, distinct: bool = False) -> DataFrame:
     """Each reference with its best candidate: those that share ``keys`` are ranked by the first tier that holds, then by ``order``.
 
-    ``rows`` carries its columns prefixed ``t_`` besides the keys; tiers and order may use both sides.
+    ``rows`` carries its columns prefixed ``t_`` besides the keys; tiers and order may use both sides. With ``distinct`` a row
+    is no target of its own.
     """
     tier = F.lit(len(tiers))
     for i, t in reversed(list(enumerate(tiers))):
         tier = F.when(t, i).otherwise(tier)
-    both = refs.join(rows, list(keys)).withColumn("tier", tier.cast("int"))
+    both = refs.join(rows, list(keys))
+    if distinct:
+        both = both.where(F.col(ref_id[0]) != F.col(target))
+    both = both.withColumn("tier", tier.cast("int"))
     place = W.partitionBy(*ref_id).orderBy("tier", *order)
     return both.withColumn("_r", F.row_number().over(place)).where("_r = 1").select(*ref_id, target, "tier")
 

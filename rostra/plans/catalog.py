@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rostra.plans import core, scalars, summaries  # noqa: F401  importing a module registers its queries
+from rostra.plans import core, scalars, search, summaries  # noqa: F401  importing a module registers its queries
 from rostra.plans.civic import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
