@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rostra.plans import core, scalars, search, summaries  # noqa: F401  importing a module registers its queries
+# importing a module registers its queries
+from rostra.plans import audits, core, documents, scalars, search, seats, summaries  # noqa: F401
 from rostra.plans.civic import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
