@@ -1,0 +1,476 @@
+"""Every training-data operator against brute force, and on odd input."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from rostra.llm import byte_bpe, chat, decontaminate, language, near_dedup, orc_ids, pretokens, pseudo_likelihood, token_counts, topk, url_filter, word_bpe
+from rostra.llm.components import connected_components
+from rostra.llm.common import shared_dir, table
+from rostra.llm.merging import Cache
+
+SF = "/root/testdata/sf0.001"
+WORD, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string, component_id string, id string, c0 string, sig string"
+WORDS = "the of and to tion ing er re on an des les una los und der ein que está für".split()
+
+
+def texts(n: int, seed: int = 3) -> list[str]:
+    rnd = random.Random(seed)
+    return [" ".join(rnd.choice(WORDS) + rnd.choice(["", "", ".", ",", "'s", "!!", " 12"]) for _ in range(rnd.randrange(1, 80))) for _ in range(n)]
+
+
+ODD = [None, "", " ", "\n\n", "!!", "ok", "<|endoftext|> it's <|startoftext|>", "ΣΑΣ İ ﬁ Å e\u0301 \x1c x\x85y\u200bz", "日本語 🙂🙂 'll've", "word " * 30_000, "a" * 20_000, "same text of some words here", "same text of some words here"]
+
+
+def docs(spark, rows: list[str | None], shift: int = 0):
+    """With further columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i + shift, t, None if i % 7 == 6 else "en", "src0", None, "x", "y", "z", "w", "v") for i, t in enumerate(rows)], DOCS)
+
+
+def empty(spark):
+    return docs(spark, ["x"]).limit(0)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def library():
+    return word_bpe.load(open(WORD, "rb").read())
+
+
+@pytest.fixture(scope="module")
+def reference_bpe():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+# 1: token counts
+
+
+def test_token_counts_equal_the_library(spark, library):
+    rows = texts(60) + ODD
+    got = by_id(token_counts.count_tokens(docs(spark, rows), WORD))
+    for i, t in enumerate(rows):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048)
+    assert token_counts.count_tokens(empty(spark), WORD).count() == 0
+
+
+def test_whole_tokens_are_proven(library):
+    whole = word_bpe.whole_tokens(open(WORD, "rb").read())
+    assert len(whole) > 30_000
+    for w in random.Random(1).sample(sorted(w for w in whole if w.isalpha() and w == w.lower()), 300):
+        assert library.encode(w, add_special_tokens=False).ids == [whole[w]]
+
+
+# 3: byte-level BPE
+
+
+def test_encoding_equals_the_library_and_decodes(spark, reference_bpe):
+    rows = texts(60) + ODD
+    df = byte_bpe.encode(docs(spark, rows), RANKS)
+    got = by_id(df)
+    for i, t in enumerate(rows):
+        ids = reference_bpe.encode_ordinary(t or "")
+        assert got[i].ids == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(df, RANKS).collect()} == {i: (t or "").encode() for i, t in enumerate(rows)}
+    assert byte_bpe.encode(empty(spark), RANKS).count() == 0
+
+
+def test_boundaries_equal_the_pattern():
+    import regex
+
+    pattern, rnd = regex.compile(public_tokenizers.PATTERN), random.Random(5)
+    for _ in range(3000):
+        t = "".join(rnd.choice("aé1½ \n\t 'strevlmd!_日🙂\x85") for _ in range(rnd.randrange(40)))
+        points = np.array([*map(ord, t), pretokens.STOP], np.uint32)
+        assert pretokens.boundaries(points).tolist() == [m.start() for m in pattern.finditer(t)] + [len(t)]
+
+
+def test_scan_is_associative():
+    functions, compose, *_ = pretokens.monoid()
+    rnd = np.random.default_rng(1)
+    some = rnd.integers(0, len(compose), (500, 3))
+    for f, g, h in some:
+        assert compose[compose[f, g], h] == compose[f, compose[g, h]]
+    line = functions[rnd.integers(0, 9, 5000)]
+    f, out = 0, []
+    for x in line:
+        out.append(f)
+        f = compose[f, x]
+    assert pretokens.scan(line, compose).tolist() == out
+
+
+def test_cache_holds_what_it_must():
+    cache, made = Cache(3), Counter()
+
+    def make(keys):
+        made.update(keys)
+        return [k * 2 for k in keys]
+
+    for keys in ({1, 2}, {2, 3}, {4, 5}, {1, 2, 3, 4, 5}, {5}):
+        held = cache.holding(keys, make)
+        assert all(held[k] == 2 * k for k in keys)
+
+
+# 7: decontamination
+
+
+def naive_hits(items, doc, window):
+    pos, found = set(), set()
+    for name, w in items:
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            for j in range(len(doc) - n + 1):
+                if doc[j : j + n] == w[i : i + n]:
+                    pos |= {*range(j, j + n)}
+                    found.add(name)
+    return pos, found
+
+
+def test_automaton_equals_brute_force():
+    rnd = random.Random(2)
+    for _ in range(1500):
+        alphabet, window = [b"a", b"b", b"c"][: rnd.choice([2, 3])], rnd.choice([2, 3, 4])
+        items = [(str(i), [rnd.choice(alphabet) for _ in range(rnd.randrange(8))]) for i in range(rnd.randrange(5))]
+        doc = [rnd.choice([*alphabet, b"z"]) for _ in range(rnd.randrange(30))]
+        a = decontaminate.SuffixAutomaton(items, window)
+        spans, found = a.matches(doc)
+        assert ({x for s in spans for x in range(*s)}, {a.names[k] for k in found}) == naive_hits(items, doc, window)
+
+
+def test_contamination_and_removal(spark, monkeypatch):
+    rows = texts(30)
+    bench = [(1, " ".join(rows[3].split()[:14])), (2, "Short item"), (3, None), (4, ""), (5, rows[9]), (5, rows[9])]
+    rows += ["A SHORT... item, here and more words to keep around it all day long", *ODD]
+    items = spark.createDataFrame(bench, "item_id bigint, text string")
+    got = by_id(decontaminate.find_contamination(docs(spark, rows), items))
+    named = [(str(i), decontaminate.words(t)) for i, t in bench if t]
+    for i, t in enumerate(rows):
+        pos, found = naive_hits(named, decontaminate.words(t), 10)
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(decontaminate.words(t)), len(pos), len(found), bool(pos))
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    kept = by_id(decontaminate.decontaminate(docs(spark, rows), items))
+    assert set(kept) == {i for i, r in got.items() if not r.contaminated} and kept[32].text == rows[32]
+    cut = by_id(decontaminate.decontaminate(docs(spark, rows), items, min_span=2, max_coverage=0.5))
+    assert cut[30].text == "A , here and more words to keep around it all day long"
+    assert decontaminate.decontaminate(empty(spark), items).count() == 0
+    assert decontaminate.find_contamination(docs(spark, rows), items.limit(0)).where("contaminated").count() == 0
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 10)  # every item in an automaton of its own
+    assert {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate.find_contamination(docs(spark, rows), items).collect()} == {(i, r.n_hit, r.items_sha256) for i, r in got.items()}
+
+
+# 4: language ID
+
+
+def test_language_by_held_out_accuracy(spark):
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    from pyspark.sql import functions as F
+
+    found = language.op4_language_id(spark, "/root/testdata/sf0.01").join(df.select("doc_id", "lang"), "doc_id")
+    row = found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count("*").alias("n"), F.min("score"), F.max("score")).head()
+    assert row.a > 0.97 and row.n > 150 and 0 <= row[2] <= row[3] <= 1
+    assert {r.doc_id for r in found.where("held_out").collect()} == {i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_language_on_odd_input(spark):
+    net = language.train(docs(spark, texts(20)))
+    got = by_id(language.identify(docs(spark, ODD), net))
+    assert len(got) == len(ODD) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in range(5))
+    assert got[5].lang_pred == "en"
+    assert language.train(empty(spark)) is None
+    assert {r.lang_pred for r in language.identify(docs(spark, ["words"]), None).collect()} == {"und"}
+    assert language.identify(empty(spark), net).count() == 0
+
+
+def test_filters_by_tables_equal_convolution():
+    net = language.ByteCnn(["a", "b"])
+    x = np.random.default_rng(1).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
+    slow = np.maximum(net.pooled(x)[0], 0) @ net.out + net.out_bias
+    assert np.allclose(net.logits(x, net.tables()), slow, atol=1e-4)
+
+
+# 8: near-duplicates
+
+
+def naive_components(rows, percent=85):
+    def shingles(t):
+        fold = (t or "").translate({c: c + 32 for c in range(65, 91)})
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", fold) if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[i] & sets[j])
+        if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def near_copies(n: int, seed: int = 8) -> list[str]:
+    """Copies of one text with a growing number of edits, and copies of copies: links are sparse within the group."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10_000)}" for _ in range(120)]
+    out = [base]
+    for _ in range(n):
+        t = list(rnd.choice([base, out[-1]]))
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 5, 8])):
+            t[rnd.randrange(len(t))] = f"e{rnd.randrange(10_000)}"
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("small", [2, 16])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)  # with 2 almost all goes the way of crowded buckets
+    rows = texts(60) + near_copies(90) + ODD + ["one two", "One\ttwo", "one two three"]
+    got = by_id(near_dedup.near_duplicates(docs(spark, rows)))
+    want = naive_components(rows)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert all(r.kept == (r.component_id == i) for i, r in got.items())
+
+
+def test_near_duplicates_on_repeated_ids_and_nothing(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (4, c), (4, c), (None, c)], "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == {(1, 1): 1, (2, 1): 2, (3, 1): 1, (4, 4): 2}
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(200, 200)] + [(301, 300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}, 300: 300, 301: 300}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# 5: top-k
+
+
+def naive_top(rows, queries, k):
+    out = set()
+    ints = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in rows.items()}
+    for q in queries:
+        scored = sorted(((-sum(a * b for a, b in zip(ints[q], v, strict=False)), i) for i, v in ints.items() if i != q))[:k]
+        out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)}
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 8192])
+def test_topk_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows = {i: [float(x) for x in rng.normal(0, 0.1, 12).astype(np.float32)] for i in range(300)}
+    rows |= {300 + i: rows[5] for i in range(30)} | {400: [0.0] * 12, 401: [1.0] * 12}
+    odd = [(500, None), (501, [0.1, None] + [0.0] * 10), (502, [float("nan")] + [0.0] * 11), (503, [float("inf")] + [0.0] * 11), (5, rows[5]), (None, rows[5])]
+    df = spark.createDataFrame([*rows.items(), *odd], "vec_id bigint, embedding array<float>").selectExpr("*", "'x' as block", "1 as id")
+    got = topk.search(df, df.where("vec_id % 20 = 0 or vec_id = 5"), 10)
+    want = naive_top(rows, [i for i in rows if i % 20 == 0 or i == 5], 10)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+    assert topk.search(df.limit(0), df, 10).count() == 0 and topk.search(df, df.limit(0), 10).count() == 0
+    few = df.where("vec_id < 3")
+    assert topk.search(few, few, 10).count() == 6
+
+
+# 6: chat
+
+
+def naive_rotation(rows, part_turns):
+    out = {}
+    rows = sorted({(c, t, "unknown" if r is None else r, x or "") for c, t, r, x in rows if c is not None and t is not None})
+    for c in {r[0] for r in rows}:
+        for seat in {r[2] for r in rows if r[0] == c} - {"system"}:
+            for part, group in itertools.groupby((r for r in rows if r[0] == c), key=lambda r: r[1] // part_turns):
+                text, spans = "", []
+                for _, _, who, said in group:
+                    text += "<|im_start|>" + ("system" if who == "system" else "assistant" if who == seat else f"user name={who}") + "\n"
+                    begin = len(text)
+                    text += said + "<|im_end|>\n"
+                    if who == seat:
+                        spans.append((begin, len(text)))
+                out[c, seat, part] = (text, spans)
+    return out
+
+
+def test_rotation_equals_brute_force(spark):
+    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi é🙂"), (1, 2, "bob", ""), (1, 3, "ann", None), (1, 3, "bob", "tie"), (1, 3, "bob", "tie"), (1, 9, None, "who"), (2, 0, "system", "alone"), (None, 1, "a", "b"), (3, None, "a", "b"), (4, -1, "x", "y" * 5000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "'z' as part", "1 as conv", "2 as own")
+    for size in (4, 256):
+        got = chat.rotate(df, part_turns=size).collect()
+        assert {(r.conv_id, r.perspective, r.part): (r.rendered, [tuple(m) for m in r.masks]) for r in got} == naive_rotation(rows, size)
+        assert all(r.n_chars == len(r.rendered) and r.n_masked == sum(m.end - m.begin for m in r.masks) for r in got)
+    assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_rotation_runs_no_python(spark):
+    plan = chat.op6_chat_rotation(spark, SF)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# 2: URLs
+
+
+def naive_ranks(edges, seeds, rounds=12, damping=0.85):
+    total = sum(seeds.values())
+    start = {h: s / total for h, s in seeds.items()} if total else {}
+    out = Counter()
+    for (a, _), n in edges.items():
+        out[a] += n
+    rank = dict(start)
+    for _ in range(rounds):
+        passed = Counter()
+        for (a, b), n in edges.items():
+            passed[b] += damping * rank.get(a, 0) * n / out[a]
+        rest = 1 - sum(passed.values())
+        rank = {h: passed[h] + rest * start.get(h, 0) for h in {*passed, *start}}
+    return rank
+
+
+def test_urls_equal_brute_force(spark):
+    link = lambda *hs: "".join(f'<a class=x HREF="{h}">x</a>' for h in hs)
+    pages = [
+        (1, "http://A.example.com/en/1?x#y", link("//b.org/1", "https://C.org?q", "/local")), (2, "https://www.example.com/en/2", None), (3, "https://x.net/es/a", link("https://d.org/")), (4, "https://d.org/k", link("http://x.net/1", "http://b.org")),
+        (5, "https://b.org", link("http://d.org", "http://d.org")), (6, None, "x"), (7, "no scheme/here", link("http://b.org")), (8, "ftp://C.ORG#frag", ""), (9, "https://notexample.com/en/", ""), (10, "https://x.net/de/", ""), (10, "https://x.net/de/", ""), (11, "http://com/", ""), (12, "http://com", ""), (13, "://h.org/p?a/b://c", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'q' as host", "'r' as rule", "0 as trust")
+    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+
+    def parts(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    ruled, edges, seeds_t, seeds_d, judged = {}, Counter(), {}, {}, Counter()
+    for i, u, html in pages:
+        h, p = parts(u)
+        fit = max(((len(a + b), a + b, ok) for a, b, ok in url_filter.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)), default=None)
+        ruled[i] = (h, p, fit)
+        if fit:
+            judged[h, fit[2]] += 1
+        for m in re.findall(r'HREF="((?:[a-z]+:)?//[^"]*)"', html or ""):
+            d = re.match(r"[^/]*//([^/?#]*)", m)[1].lower()
+            if h and d and d != h:
+                edges[h, d] += 1
+    for h in {h for h, _ in judged}:
+        share = judged[h, True] / (judged[h, True] + judged[h, False])
+        if share > 0:
+            seeds_t[h] = share
+        if share < 1:
+            seeds_d[h] = 1 - share
+    trust, distrust = naive_ranks(edges, seeds_t), naive_ranks({(b, a): n for (a, b), n in edges.items()}, seeds_d)
+    for i, (h, p, fit) in ruled.items():
+        t, d = trust.get(h, 0), distrust.get(h, 0)
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (h, p, fit[1] if fit else None)
+        assert abs(r.trust - t) < 1e-9 and abs(r.distrust - d) < 1e-9
+        assert r.verdict == ("allow" if fit[2] else "block") if fit else r.verdict == ("block" if d > 0.5 * (t + d) else "allow")
+    assert got[13].host == "h.org" and got[12].rule is None and got[11].rule == "com/"
+    assert url_filter.judge(df).count() == len(pages) and url_filter.judge(df.limit(0)).count() == 0
+
+
+# 9: pseudo-likelihood
+
+
+def test_scores_equal_a_word_by_word_sum(spark):
+    rows = texts(80) + ODD
+    df = docs(spark, rows)
+    vocab = pseudo_likelihood.vocabulary(df)
+    counts = Counter(w for t in rows for w in (t or "").encode().translate(pseudo_likelihood.FOLD).split())
+    assert set(vocab.ids) == set(counts) and list(vocab.ids)[0] == counts.most_common(1)[0][0]
+    net = pseudo_likelihood.train(df, vocab)
+    got = by_id(pseudo_likelihood.score(df, net, vocab))
+    for i in [*range(10), *range(80, 91)]:
+        ids = vocab.numbers(rows[i])
+        padded = [net.pad] * 2 + ids.tolist() + [net.pad] * 2
+        total = 0.0
+        for j in range(min(len(ids), 50)):
+            x = np.concatenate([net.embed[padded[j + k]] for k in (0, 1, 3, 4)])
+            z = np.maximum(x @ net.w1 + net.b1, 0) @ net.w2 + net.b2
+            total += z[vocab.group[ids[j]]] - np.log(np.exp(z - z.max()).sum()) - z.max() + vocab.within[ids[j]]
+        assert got[i].n_tokens == len(ids)
+        if len(ids) <= 50:
+            assert got[i].pll == pytest.approx(total, abs=1e-3)
+    untrained = by_id(pseudo_likelihood.score(df, pseudo_likelihood.WindowNet(), vocab))
+    assert sum(r.pll for r in got.values()) > sum(r.pll for r in untrained.values())
+    assert got[80].pll == 0 == got[80].n_tokens and pseudo_likelihood.score(empty(spark), net, vocab).count() == 0
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    vocab = pseudo_likelihood.vocabulary(docs(spark, texts(50)))
+    mass = np.zeros(pseudo_likelihood.GROUPS)
+    np.add.at(mass, vocab.group[: len(vocab.ids)], np.exp(vocab.within[: len(vocab.ids)]))
+    used = np.unique(vocab.group[: len(vocab.ids)])
+    assert np.allclose(mass[used], 1)
+
+
+def test_a_model_of_nothing(spark):
+    vocab = pseudo_likelihood.vocabulary(empty(spark))
+    net = pseudo_likelihood.train(empty(spark), vocab)
+    assert pseudo_likelihood.score(docs(spark, ["some words"]), net, vocab).head().n_tokens == 2
+
+
+# 10: ORC
+
+
+def test_orc_files_hold_the_ids_in_order(spark, library):
+    rows = texts(50) + ODD
+    rnd = random.Random(1)
+    made = docs(spark, rows).union(docs(spark, rows[:5]))
+    path = orc_ids.write_ids(made.orderBy("source", "text"), WORD, shared_dir(spark))
+    read = orc_ids.read_ids(spark, path)
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(rows)}
+    assert all(r.ids == ids[r.doc_id] and r.n_tokens == len(r.ids) for r in read.collect())
+    order = sorted([*range(len(rows)), *range(5)])
+    starts, at = [], 0
+    for i in order:
+        starts.append((i, at, len(ids[i]), zlib.crc32(np.array(ids[i], "<u4").tobytes())))
+        at += len(ids[i])
+    assert sorted(tuple(r) for r in orc_ids.positions(spark, path).collect()) == starts
+    some = rnd.randrange(len(rows))
+    few = read.where(f"doc_id = {some}")
+    assert "EqualTo(doc_id" in few._jdf.queryExecution().toString() and few.head().ids == ids[some]
+    nothing = orc_ids.write_ids(empty(spark), WORD, shared_dir(spark))
+    assert orc_ids.positions(spark, nothing).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_keeps_clean_documents(spark, tmp_path):
+    rnd = random.Random(6)
+    clean = [" ".join(f"{rnd.choice(WORDS)}{rnd.choice(WORDS)}" for _ in range(60)) for _ in range(40)]
+    item = " ".join(f"bench{i}" for i in range(15))
+    rows = [*clean, clean[0], clean[1] + " tail", None, "", "1234 !!", clean[2] + " " + item]
+    spark.createDataFrame([(1, item), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(corpus_pipeline.run(spark, f"file://{tmp_path}"))
+    assert set(got) == {*range(40)} and all(got[i].n_tokens == len(got[i].ids) > 0 for i in got)
+    df = docs(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, f"file://{tmp_path}").columns == df.columns, name
+        assert stage(spark, df.limit(0), f"file://{tmp_path}").count() == 0, name
