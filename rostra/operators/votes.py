@@ -18,7 +18,7 @@ def event_base(event: Column) -> Column:
 
 
 def split_ids(csv: Column) -> Column:
-    return F.filter(F.transform(F.split(csv, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tally(ballots: DataFrame, keys: Sequence[str], vote: str = "vote", event: str = "event") -> DataFrame:
