@@ -28,7 +28,7 @@ def attendance_lists(spark, sf):  # PRS-03, WIN-07
     return extraction.attendance(protocols(spark, sf), ["p_partkey"], "page", "text", {"beslutande ledamöter": "member", "ersättare": "substitute"})
 
 
-@query("sections", """select p_partkey, p_size::varchar as section, 'Motion om ' || p_name as title, cast(2 as integer) as first_page, cast(2 as integer) as last_page, 1 as n_lines, false as repeated from part
+@query("sections", """select p_partkey, p_size::varchar as section, 'Motion om ' || p_name as title, cast(2 as integer) as first_page, cast(2 as integer) as last_page, 1::bigint as n_lines, false as repeated from part
  union all select p_partkey, '99', 'Val', 2, 2, 6, false from part""")
 def sections(spark, sf):  # PRS-04, WIN-06
     return extraction.sections(protocols(spark, sf), "p_partkey", "page", "text")

@@ -52,7 +52,7 @@ def keyword_contains_all(spark, sf):  # TXT-10
  s as (select doc_id, source, case when n = 'license' then 1000 else greatest(case when strpos(n, 'license') = 1 then 900 when strpos(n, 'license') > 1 then greatest(620, 780 - least(strpos(n, 'license') - 1, 160)) else 0 end,
    case when m > 0 then 220 + m else 0 end) end as score from (select *, coalesce(list_max(list_transform(list_distinct(string_split(n, ' ')), lambda t: case when t = 'license' then 180 when starts_with(t, 'license') then 155
      when t <> '' and starts_with('license', t) and 7 - length(t) <= 2 then 125 when length(t) >= 4 and abs(length(t) - 7) <= 1 and levenshtein(t, 'license') <= 1 then 105 when contains(t, 'license') or (length(t) >= 6 and t[1:5] = 'licen') then 55 else 0 end)), 0) as m from n))
- select doc_id, source, score, cast(row_number() over (order by score desc, doc_id) as integer) as rank from s where score > 0 qualify rank <= 50""")
+ select doc_id, source, cast(score as integer) as score, cast(row_number() over (order by score desc, doc_id) as integer) as rank from s where score > 0 qualify rank <= 50""")
 def ranked_search(spark, sf):  # TXT-08, FLT-10, SRT-03, SRT-08
     """Facets first, then the cheap test, then the score; only the best rows of each partition travel."""
     docs = table(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).withColumn("score", text.field_score(F.col("text"), "license"))
