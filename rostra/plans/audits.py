@@ -96,27 +96,22 @@ def sparse_rows(spark, sf):  # SNK-01
     return sinks.sparse(p).select("p_partkey", F.col("b").isNull().alias("dropped"))
 
 
-def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/rostra-{uuid.uuid4().hex}"
-
-
 @query("stream_summary", "select event_type, count(*) as n, sum(user_id)::bigint as users from events group by event_type")
 def stream_summary(spark, sf):  # STR-01, STR-02, STR-03: the final state of a stream over files equals the batch
-    source, name = scratch(spark), f"stream_{uuid.uuid4().hex}"
+    source, name = sinks.scratch_path(spark), f"stream_{uuid.uuid4().hex}"
     table(spark, sf, "events").select("event_id", "user_id", "event_type").repartition(4).write.parquet(source)
     stream = arrivals.arriving(spark, source, "event_id bigint, user_id bigint, event_type string")
-    q = arrivals.running_summary(stream, ["event_type"], {"users": "user_id"}).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    q = arrivals.running_summary(stream, ["event_type"], {"users": "user_id"}).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", sinks.scratch_path(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
 
 @query("stream_topk_equals_batch", "select event_id, round(value, 4) as value from events order by round(value, 4) desc, event_id limit 25")
 def stream_topk_equals_batch(spark, sf):  # STR-02, STR-08
-    source = scratch(spark)
+    source = sinks.scratch_path(spark)
     rows = table(spark, sf, "events").select("event_id", F.round("value", 4).alias("value"))
     rows.repartition(4).write.parquet(source)
-    best = arrivals.RunningTopK(scratch(spark), [F.desc("value"), F.asc("event_id")], "event_id", 25)
-    q = arrivals.arriving(spark, source, "event_id bigint, value double").writeStream.foreachBatch(best).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    best = arrivals.RunningTopK(sinks.scratch_path(spark), [F.desc("value"), F.asc("event_id")], "event_id", 25)
+    q = arrivals.arriving(spark, source, "event_id bigint, value double").writeStream.foreachBatch(best).option("checkpointLocation", sinks.scratch_path(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return best.result(spark, rows.schema)

@@ -22,6 +22,19 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     sparse(df).write.option("compression", "gzip").json(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the shared folder named in ``spark.checkpoint.dir``; a local one only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/rostra-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, so that it is computed once and read alike by all who use it."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def part_of(ordinal: Column, rows: int = PART_ROWS) -> Column:
     """Part of a row by its number from 1."""
     return F.ceil(ordinal / rows).cast("int")
@@ -31,8 +44,9 @@ def with_parts(df: DataFrame, order: Sequence[str], rows: int = PART_ROWS) -> Da
     """``ordinal`` and ``part`` in the order given, without sending all rows through one task.
 
     Rows are range-partitioned; each partition numbers its own, and only the partitions' sizes are added up in one place.
+    The partitions are written first, as their numbers must be the same for both.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    placed = materialized(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = placed.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     sizes = local.groupBy("_p").agg(F.count("*").alias("c"))
     before = sizes.select("_p", F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))
