@@ -143,7 +143,14 @@ def vocabulary(df: DataFrame, text_col: str = "text") -> Vocabulary:
     """The VOCABULARY most frequent words (ties: smaller first) and the totals; a bounded table comes to the driver."""
     counts = written(word_counts(df, text_col))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    # a histogram of the counts' sizes tells above which the most frequent words lie, so that tasks send few others
+    size = F.floor(F.log2("n") * 8).cast("int")
+    least, held = 0, 0
+    for b, n in sorted(((r.b, r.c) for r in counts.groupBy(size.alias("b")).agg(F.count("*").alias("c")).collect()), reverse=True):
+        least, held = b, held + n
+        if held >= VOCABULARY:
+            break
+    top = counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     return Vocabulary([(bytes(r.word), r.n) for r in top], total, kinds)
 
 
