@@ -11,7 +11,7 @@ from rostra.llm.orc_ids import op10_orc_ids
 from rostra.llm.pseudo_likelihood import op9_pseudo_likelihood
 from rostra.llm.token_counts import op1_token_counts
 from rostra.llm.topk import OP5_SQL, op5_topk
-from rostra.llm.url_filter import op2_url_filter
+from rostra.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_url_filter": OP2_SQL,
     "op5_topk": OP5_SQL,
     "op6_chat_rotation": OP6_SQL,
     "op7_decontamination": OP7_SQL,

@@ -98,4 +98,39 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
+def _sql(rounds: int = 12) -> str:
+    """The same with every round of the propagation as a table of its own."""
+    quote = "''"
+    rules = ", ".join(f"('{h}', '{p}', {str(a).lower()})" for h, p, a in RULES)
+    steps = "".join(
+        f""",
+p{i} as materialized (select m.kind, m.b as host, sum(m.w * r.r * 0.85) as r from moves m join r{i - 1} r on r.kind = m.kind and r.host = m.a group by 1, 2),
+r{i} as materialized (select kind, host, sum(r) as r from (select * from p{i} union all
+  select s.kind, s.host, s.s * (1 - coalesce((select sum(r) from p{i} x where x.kind = s.kind), 0)) from start s) group by 1, 2)"""
+        for i in range(1, rounds + 1)
+    )
+    return f"""
+with raw as (select page_id, html, case when strpos(url, '://') > 0 then url[strpos(url, '://') + 3 :] else '' end as rest from pages),
+p as materialized (select page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from raw),
+rules(h, q, allows) as (values {rules}),
+fit as (select page_id, host, path, h || q as rule, allows, row_number() over (partition by page_id, host, path order by length(h || q) desc, h || q desc) as n from (select distinct page_id, host, path from p)
+  join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, q)),
+ruled as materialized (select p.page_id, p.host, p.path, f.rule, f.allows from p left join (select * from fit where n = 1) f using (page_id, host, path)),
+share as (select host, avg(allows::int) as a from ruled where rule is not null group by 1),
+seeds as (select 't' as kind, host, a as s from share where a > 0 union all select 'd', host, 1 - a from share where a < 1),
+start as materialized (select kind, host, s / sum(s) over (partition by kind) as s from seeds),
+links as (select host as src, translate(regexp_extract(link, '^[^/]*//([^/?#]*)', 1), '{UPPER}', '{LOWER}') as dst from (
+  select host, unnest(regexp_extract_all(html, '(?i)\\shref\\s*=\\s*["{quote}]?((?:[a-z][a-z0-9+.-]*:)?//[^"{quote}\\s>]+)', 1)) as link from p where host <> '')),
+edges as materialized (select src, dst, count(*) as n from links where dst <> '' and dst <> src group by 1, 2),
+moves as materialized (select 't' as kind, src as a, dst as b, n / sum(n) over (partition by src) as w from edges union all select 'd', dst, src, n / sum(n) over (partition by dst) from edges),
+r0 as (select kind, host, s as r from start){steps},
+hosts as (select host, coalesce(sum(r) filter (kind = 't'), 0) as trust, coalesce(sum(r) filter (kind = 'd'), 0) as distrust from r{rounds} group by 1)
+select page_id, host, path, rule, case when coalesce(allows, not coalesce(distrust > 0.5 * (trust + distrust), false)) then 'allow' else 'block' end as verdict,
+  round(coalesce(trust, 0), 9) as trust, round(coalesce(distrust, 0), 9) as distrust from ruled left join hosts using (host)
+"""
+
+
+OP2_SQL = _sql()
