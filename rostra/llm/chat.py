@@ -35,9 +35,10 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     """
     rows = df.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("unknown")).alias("who"), F.coalesce(text, F.lit("")).alias("said")
-    ).distinct()
+    )
     seats = rows.where(F.col("who") != SYSTEM).select("conv", F.col("who").alias("seat")).distinct()
-    parts = rows.groupBy("conv", F.floor(F.col("turn") / part_turns).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("t"))
+    # sets drop repeated rows before the shuffle
+    parts = rows.groupBy("conv", F.floor(F.col("turn") / part_turns).alias("part")).agg(F.sort_array(F.collect_set(F.struct("turn", "who", "said"))).alias("t"))
     seated = parts.join(seats, "conv")
     # each turn as (head, body with end mark, whether it is the seat's own)
     pieces = F.transform("t", lambda x: F.struct(head(x["who"], F.col("seat")).alias("h"), F.concat(x["said"], F.lit(TAIL)).alias("b"), ((x["who"] == F.col("seat")) & (x["who"] != SYSTEM)).alias("own")))
