@@ -62,7 +62,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float
     for i in range(rounds):
         passed = moves.join(rank.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", "b").agg(F.sum(F.col("w") * F.col("r") * damping).alias("r")).withColumnRenamed("b", "host")
         kept = passed.groupBy("kind").agg(F.sum("r").alias("held"))
-        again = start.join(kept, "kind", "left").select("kind", "host", (F.col("s") * (1 - F.coalesce("held", F.lit(0.0)))).alias("r"))
+        again = start.join(F.broadcast(kept), "kind", "left")  # two rows.select("kind", "host", (F.col("s") * (1 - F.coalesce("held", F.lit(0.0)))).alias("r"))
         rank = passed.unionByName(again).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         if i % 3 == 2:
             rank = written(rank)
@@ -73,10 +73,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """One row per page: id, ``host``, ``path``, ``rule``, ``verdict``, ``trust``, ``distrust``.
 
     A page that a rule fits has the rule's verdict. Hosts with allowed pages are trusted seeds and hosts with blocked pages
-    are blocked seeds, each weighted by the share of its ruled
-    pages; trust and reversed distrust spread over the links between hosts. Other pages if their
-    host's distrust makes up more than ``most_distrust`` of its trust and distrust, and allowed otherwise, as are pages
-    whose host neither reaches.
+    are blocked seeds, each weighted by its share among the host's ruled pages; trust and reversed distrust spread over the
+    links between hosts. Other pages are blocked if their host's distrust makes up more than ``most_distrust`` of its trust
+    and distrust, and allowed otherwise, as are pages whose host neither reaches.
 
     Pages are reduced to one row per host before anything is propagated; the last join on the host is split by adaptive
     execution where one host has very many pages. Null url, or one without ``://``: empty host and path, allowed. Null
