@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.llm import byte_bpe, decontaminate, language, near_dedup
-from rostra.llm.common import table, written
+from rostra.llm.common import near_ids, table, without_ids, written
 
 #: A document's language must be this probable; with four languages the best has 0.25 at least.
 LEAST_SCORE = 0.3
@@ -21,16 +21,18 @@ MOST_COVERAGE = 0.0
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language stay; texts that are null, without letters or like no language go."""
-    found = language.identify(docs, language.train(docs))
-    good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    return language.accepted(docs, language.train(docs), least_score=LEAST_SCORE)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id; of rows that repeat it, one."""
-    kept = written(near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    left = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return left.dropDuplicates(["doc_id"]) if kept.where("n > 1").head(1) else left
+    found = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    found = written(found.where("doc_id <> c or n > 1"))
+    left = without_ids(docs.where(F.col("doc_id").isNotNull()), found, "doc_id")
+    again = found.where("doc_id = c")  # ids that several rows have
+    if not again.head(1):
+        return left
+    return left.unionByName(near_ids(docs, again, "doc_id").join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

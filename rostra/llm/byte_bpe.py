@@ -16,7 +16,7 @@ from rostra.llm.merging import Cache, PairMerger
 from rostra.llm.pretokens import STOP, boundaries
 
 #: Distinct pre-tokens cached per worker in each of two generations; fewer cost time only.
-CACHE = 400_000
+CACHE = 250_000
 
 
 class ByteBpe:

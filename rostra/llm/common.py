@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,11 +16,46 @@ from pyspark.sql import functions as F
 #: Only for sessions that name no checkpoint folder (tests, local mode).
 LOCAL_SHARED = "file:///tmp/checkpoints"
 #: UTF-8 bytes that a Python task holds as Python strings at a time (one longer text is still taken whole).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+#: Hash slots of broadcast tables that turn most rows away before a join on ids: at most so many integers.
+SLOTS = 1 << 19
 
 PA_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
 
+#: Rows of an Arrow batch, at most; JVM and Python worker each hold one or two per task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS: texts are long, and the default of 10,000 rows is made for numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def release_memory() -> None:
+    """Gives memory that a finished task has freed back to the system; its worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries other than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batch_map(df: DataFrame, factory: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema) -> DataFrame:
+    """``mapInArrow`` of a function that is made once per task and maps a batch to batches."""
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        work = factory()
+        for batch in batches:
+            yield from work(batch)
+        del work
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,24 +94,40 @@ def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, columns: list[str], schema: dict[str, str], factory: Callable[[], Callable], keep: int = 1) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], schema: dict[str, str], factory: Callable[[], Callable]) -> DataFrame:
     """Maps texts in Arrow batches; no shuffle.
 
-    ``columns``: what the function gets; the last is the text, the first ``keep`` are passed on.
-    ``schema``: names and types of all columns returned, those passed on first.
+    ``columns``: the id, which is passed on, and the text.
+    ``schema``: names and types of all columns returned, the id first.
     ``factory``: runs once per task and gives a function from a list of texts to one list per new column.
     Only these columns are read, so others, whatever their names, neither cost nor clash.
     """
     names, kinds = list(schema), [PA_TYPES[x] for x in schema.values()]
     src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
 
-    def run(batches):
+    def per_task():
         work = factory()
-        for whole in batches:
+
+        def mapped(whole):
             for part in slices(whole, len(columns) - 1):
-                texts = part.column(len(columns) - 1).to_pylist()
-                new = work(texts) if len(columns) - 1 <= keep else work(texts, *[part.column(i).to_pylist() for i in range(keep, len(columns) - 1)])
-                made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(new, kinds[keep:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*[part.column(i).cast(kinds[i]) for i in range(keep)], *made], names=names)
+                made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(work(part.column(len(columns) - 1).to_pylist()), kinds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(kinds[0]), *made], names=names)
+
+        return mapped
+
+    return batch_map(src, per_task, ", ".join(f"`{n}` {t}" for n, t in schema.items()))
+
+
+def slot(id_col: str = "id"):
+    return F.pmod(F.xxhash64(id_col), F.lit(SLOTS)).cast("int")
+
+
+def near_ids(df: DataFrame, ids: DataFrame, id_col: str = "id", turned_away: bool = False) -> DataFrame:
+    """Rows whose id shares a hash slot with one of ``ids`` (or those whose id does not). The slots are broadcast: SLOTS integers at most."""
+    slots = F.broadcast(ids.select(slot(id_col).alias("_slot")).distinct())
+    return df.withColumn("_slot", slot(id_col)).join(slots, "_slot", "left_anti" if turned_away else "left_semi").select(*df.columns)
+
 
-    return src.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in schema.items()))
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id is not among ``ids``. Rows that share no slot with any pass where they are read; only the others are shuffled."""
+    return near_ids(df, ids, id_col, turned_away=True).unionByName(near_ids(df, ids, id_col).join(ids.select(id_col), id_col, "left_anti").select(*df.columns))

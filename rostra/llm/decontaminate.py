@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm.common import map_texts, table
+from rostra.llm.common import batch_map, map_texts, table
 
 #: A-Z in lower case; every other ASCII byte that is neither a digit nor a-z parts words.
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
@@ -192,18 +194,15 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", windo
 
     With ``max_coverage`` 0 every document with a hit goes. A map, without shuffle; nulls and empty texts stay as they are.
     """
-    import re
-
-    import pyarrow as pa
-
     spark, schema = df.sparkSession, df.schema
     made = [spark.sparkContext.broadcast(g) for g in shards(items, "item_id", "text")]
     place = df.columns.index(text_col)
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-    def run(batches):
+    def factory():
         automata = [SuffixAutomaton([(name, words(t)) for name, t in g.value], window) for g in made]
-        for batch in batches:
+
+        def work(batch):
             keep, texts = [], []
             for text in batch.column(place):
                 text = text.as_py()
@@ -222,9 +221,11 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", windo
                 texts.append(text)
             columns = [*batch.columns]
             columns[place] = pa.array(texts, batch.schema.types[place])
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+        return work
 
-    return df.mapInArrow(run, schema)
+    return batch_map(df, factory, schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm.common import map_texts, table
+from rostra.llm.common import batch_map, map_texts, slices, table
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -167,6 +168,28 @@ def identify(df: DataFrame, net: ByteCnn | None, id_col: str = "doc_id", text_co
     return map_texts(df, [id_col, text_col], {id_col: "bigint", "lang_pred": "string", "score": "double"}, factory)
 
 
+def accepted(df: DataFrame, net: ByteCnn | None, text_col: str = "text", least_score: float = 0.3) -> DataFrame:
+    """The rows of ``df`` whose text is in a recognised language with at least this score; all columns stay as they are.
+
+    Rows are judged where they are read and passed on, so no text is shuffled. Null, empty or letterless texts go.
+    """
+    held = df.sparkSession.sparkContext.broadcast(net)
+    place = df.columns.index(text_col)
+
+    def factory():
+        tables = held.value.tables() if held.value else None
+
+        def work(whole):
+            for part in slices(whole, place):
+                texts = part.column(place).to_pylist()
+                got = held.value.predict(texts, tables) if held.value else [(UNKNOWN, 0.0)] * len(texts)
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in got], pa.bool_()))
+
+        return work
+
+    return batch_map(df, factory, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == 2
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostra.llm.common import map_texts, table, written
+from rostra.llm.common import map_texts, near_ids, table, written
 from rostra.llm.components import connected_components
 
 #: A-Z in lower case, white space to blanks.
@@ -22,8 +22,6 @@ MINIMA, ROWS = 128, 4
 AGREE = 77
 #: Members of a band's bucket that are paired directly; larger buckets go the exact way of ``crowded_links``.
 SMALL = 16
-#: Hash slots of the broadcast table that tells which documents may be candidates: at most so many integers.
-SLOTS = 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,7 +43,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 250_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
@@ -113,11 +111,9 @@ def shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> D
         shingler = Shingler()
         return lambda texts: [[shingler.shingles(t).view(np.int64) for t in texts]]
 
-    # most texts are turned away where they are read, by a broadcast table of at most SLOTS numbers; the others are shuffled
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    near = texts.withColumn("slot", slot).join(F.broadcast(ids.select(slot).distinct()), "slot", "left_semi")
-    some = near.select("id", "text").join(ids, "id", "left_semi")
+    # most texts are turned away where they are read; the others are shuffled
+    some = near_ids(texts, ids).join(ids, "id", "left_semi")
     return map_texts(some, ["id", "text"], {"id": "bigint", "s": "array<bigint>"}, factory)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rostra.llm.common import broadcast_file, shared_dir, slices, table
+from rostra.llm.common import batch_map, broadcast_file, shared_dir, slices, table
 from rostra.llm.word_bpe import encoder, whole_tokens
 
 STRIPE_BYTES, INDEX_STRIDE = 32 << 20, 1000
@@ -33,9 +33,11 @@ def write_ids(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id",
     whole = spark.sparkContext.broadcast(tuple(whole_tokens(raw.value).items()))
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches):
+    def factory():
         words, start = encoder(raw.value, whole.value), 0
-        for batch in batches:
+
+        def work(batch):
+            nonlocal start
             for part in slices(batch, 1):
                 packed = words.ids(part.column(1).to_pylist())
                 flat = np.frombuffer(b"".join([x for p in packed for x in (p, end)]), "<i4")
@@ -45,10 +47,12 @@ def write_ids(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(start + offsets[:-1]), pa.array(sizes), ids], names=["doc_id", "file_start", "n_tokens", "ids"])
                 start += int(offsets[-1])
 
+        return work
+
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     placed = docs.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    made = placed.mapInArrow(run, "doc_id bigint, file_start bigint, n_tokens bigint, ids array<int>")
+    made = batch_map(placed, factory, "doc_id bigint, file_start bigint, n_tokens bigint, ids array<int>")
     made.write.option("compression", "none").option("maxRecordsPerFile", 0).option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", INDEX_STRIDE).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(path)
     return path
 
@@ -69,14 +73,13 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``, read from the files."""
     rows = read_ids(spark, path).select("doc_id", "file_start", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
 
-    def check(batches):
-        for b in batches:
-            ids = b.column(3)
-            flat, offsets = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64()), b.column(4)], names=["doc_id", "file_start", "n_tokens", "ids_crc32", "file"])
+    def check(b):
+        ids = b.column(3)
+        flat, offsets = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)), ids.offsets.to_numpy()
+        crc = [zlib.crc32(flat[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64()), b.column(4)], names=["doc_id", "file_start", "n_tokens", "ids_crc32", "file"])
 
-    checked = rows.mapInArrow(check, "doc_id bigint, file_start bigint, n_tokens bigint, ids_crc32 bigint, file string")
+    checked = batch_map(rows, lambda: check, "doc_id bigint, file_start bigint, n_tokens bigint, ids_crc32 bigint, file string")
     return checked.join(file_offsets(spark, path), "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm.common import map_texts, slices, table, written
+from rostra.llm.common import map_texts, release_memory, slices, small_batches, table, written
 
 #: A-Z in lower case; every other ASCII byte that is no digit or letter parts words.
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
@@ -135,7 +135,10 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
                     yield out()
                     counts.clear()
         yield out()
+        counts.clear()
+        release_memory()
 
+    small_batches(df.sparkSession)
     return df.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -184,6 +187,7 @@ def train(df: DataFrame, vocab: Vocabulary, text_col: str = "text") -> WindowNet
             words += size
         moved = net.flat() - first
         at = np.flatnonzero(moved)
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(moved[at].astype(np.float64) * words), pa.array(np.full(len(at), words), pa.int64())], names=["i", "d", "n"])
 
     moves = df.select(text_col).mapInArrow(run, "i bigint, d double, n bigint").groupBy("i").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
