@@ -110,6 +110,12 @@ def section_number(col: Column) -> Column:
     return F.nullif(F.regexp_extract(text_or_empty(col), r"([0-9]{1,4}(\.[0-9]+)?)", 1), F.lit(""))
 
 
+def title_from_header(header: Column, title: Column) -> Column:
+    """What follows the section mark and number in a header, else the title as it is."""
+    found = squeezed(F.regexp_extract(text_or_empty(header), r"^§ *[0-9]+(?:\.[0-9]+)?(.*)$", 1))
+    return F.coalesce(F.nullif(found, F.lit("")), title)
+
+
 def valid_diary(col: Column) -> Column:
     """The number, unless it has no digit or is a placeholder."""
     c = F.trim(text_or_empty(col))

@@ -65,7 +65,7 @@ def inferred_votes(spark, sf):  # PRS-16: counts stated in a text are accepted i
 
 
 @query("result_reconciled", "select p_partkey, case when p_partkey % 2 = 0 then 'reject' else 'approve' end as result from part")
-def result_reconciled(spark, sf):  # PRS-17, PRS-14: the last numbered line decides
+def result_reconciled(spark, sf):  # PRS-17: the last numbered line decides
     from rostra.functions.keys import result_class
 
     last = F.when(F.col("p_partkey") % 2 == 0, "2. Motionen avslås.").otherwise("2. Förslaget bifalls.")

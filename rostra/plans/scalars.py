@@ -59,12 +59,12 @@ def first_valid_candidate(spark, sf):  # PRJ-13
     return table(spark, sf, "part").select("p_partkey", keys.first_valid(a, F.lit(None).cast("string"), b).alias("diary"))
 
 
-@query("matter_titles", "select p_partkey, case when p_partkey % 2 = 0 then p_name else p_brand end as title, p_size::varchar || '.' || (p_partkey % 7)::varchar as number, coalesce(nullif(case when p_partkey % 4 = 0 then p_type else '' end, ''), 'beslut') as kind from part")
-def matter_titles(spark, sf):  # PRJ-11, PRJ-12, PRJ-14
+@query("matter_titles", "select p_partkey, case when p_partkey % 2 = 0 then p_name else p_brand end as title, p_size::varchar || '.' || (p_partkey % 7)::varchar as number, coalesce(nullif(case when p_partkey % 4 = 0 then p_type else '' end, ''), 'beslut') as kind, case when p_partkey % 5 = 0 then p_name else 'ring' end as synced from part")
+def matter_titles(spark, sf):  # PRJ-11, PRJ-12, PRJ-14, PRS-14
     p = table(spark, sf, "part")
     first = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("§ "), F.col("p_size").cast("string")))
     head = F.concat(F.lit("§ "), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit(" ring"))
-    return p.select("p_partkey", keys.first_title(first, F.col("p_brand")).alias("title"), keys.section_number(head).alias("number"), keys.proposal_type(F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")), F.lit(" ")).alias("kind"))
+    return p.select("p_partkey", keys.first_title(first, F.col("p_brand")).alias("title"), keys.section_number(head).alias("number"), keys.proposal_type(F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")), F.lit(" ")).alias("kind"), keys.title_from_header(F.when(F.col("p_partkey") % 5 == 0, "utan").otherwise(head), F.col("p_name")).alias("synced"))
 
 
 @query("stable_hash", "select p_partkey, sha256(lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) || chr(31) || lower(p_brand))[1:16] as id from part")
