@@ -38,7 +38,7 @@ def write_ids(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id",
 
         def work(batch):
             nonlocal start
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 4 << 20):
                 packed = words.ids(part.column(1).to_pylist())
                 flat = np.frombuffer(b"".join([x for p in packed for x in (p, end)]), "<i4")
                 sizes = np.array([len(p) // 4 + 1 for p in packed], np.int64)

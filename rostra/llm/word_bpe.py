@@ -21,7 +21,7 @@ from rostra.llm.merging import Cache, PairMerger
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 UNICODE_SPACE = regex.compile(r"\p{White_Space}+")
 #: Distinct chunks and words cached per worker in each of two generations; fewer cost time only.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def byte_chars() -> str:
@@ -108,7 +108,7 @@ class WordEncoder:
     def folded(self, cache: Cache, make, texts, one, join) -> list:
         """Per text, what its runs' chunks join to; the chunks of all texts are looked up together."""
         runs = [[*self.runs(t)] for t in texts]
-        at = cache.holding({c for rs in runs for r in rs if isinstance(r, list) for c in r}, make).__getitem__
+        at = cache.holding(set().union(*[r for rs in runs for r in rs if isinstance(r, list)]), make).__getitem__
         return [join(one(r) if isinstance(r, bytes) else join(map(at, r)) for r in rs) for rs in runs]
 
     def counts(self, texts: list[str | None]) -> list[int]:
