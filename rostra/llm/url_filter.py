@@ -62,7 +62,8 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float
     for i in range(rounds):
         passed = moves.join(rank.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", "b").agg(F.sum(F.col("w") * F.col("r") * damping).alias("r")).withColumnRenamed("b", "host")
         kept = passed.groupBy("kind").agg(F.sum("r").alias("held"))
-        again = start.join(F.broadcast(kept), "kind", "left")  # two rows.select("kind", "host", (F.col("s") * (1 - F.coalesce("held", F.lit(0.0)))).alias("r"))
+        # two rows are broadcast
+        again = start.join(F.broadcast(kept), "kind", "left").select("kind", "host", (F.col("s") * (1 - F.coalesce("held", F.lit(0.0)))).alias("r"))
         rank = passed.unionByName(again).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         if i % 3 == 2:
             rank = written(rank)
