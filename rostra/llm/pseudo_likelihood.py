@@ -13,11 +13,15 @@ from rostra.llm.common import map_texts, release_memory, slices, small_batches,
 
 #: A-Z in lower case; every other ASCII byte that is no digit or letter parts words.
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
-#: Words with ids of their own, the most frequent ones; the others share RARE ids by their hashes.
+#: Words with ids of their own, the most frequent ones; the others share RARE ids by their hashes, and within such an id
+#: follow their corpus counts, which are joined from the table of all words.
 VOCABULARY, RARE = 16_384, 256
-#: Groups of words that the network tells apart; within a group words follow their corpus counts.
+#: Groups of words that the network's softmax tells apart. Within a group a WindowNet has words follow their corpus counts;
+#: a WordNet goes on to the word.
 GROUPS = 48
 SIDE, EMBED, HIDDEN = 2, 8, 24
+#: Numbers of a network that are averaged as one row.
+BLOCK = 8
 BATCH, RATE = 4096, 0.01
 
 
@@ -66,26 +70,82 @@ class WindowNet:
         z /= z.sum(axis=1, keepdims=True)
         return x, h, z
 
-    def learn(self, ctx: np.ndarray, group: np.ndarray, state: list[np.ndarray]) -> None:
+    def below(self, h: np.ndarray, own: np.ndarray) -> np.ndarray | None:
+        """Log-probabilities of words within their groups, where the network tells them."""
+
+    def learn_below(self, h: np.ndarray, own: np.ndarray, state: list[np.ndarray]) -> np.ndarray | float:
+        """A step for what lies below the groups; the gradient at the hidden layer."""
+        return 0.0
+
+    def learn(self, ctx: np.ndarray, own: np.ndarray, group: np.ndarray, state: list[np.ndarray]) -> None:
         """One Adagrad step on the mean cross entropy."""
         x, h, p = self.forward(ctx)
         p[np.arange(len(group)), group] -= 1
         p /= len(group)
-        gh = (p @ self.w2.T) * (h > 0)
+        gh = (p @ self.w2.T + self.learn_below(h, own, state[5:])) * (h > 0)
         gx = (gh @ self.w1.T).reshape(-1, EMBED)
         ids, back = np.unique(ctx.ravel(), return_inverse=True)
         ge = np.zeros((len(ids), EMBED), np.float32)
         for k in range(EMBED):
             ge[:, k] = np.bincount(back, gx[:, k], len(ids))
-        for q, g, s in zip(self.params()[1:], (x.T @ gh, gh.sum(axis=0), h.T @ p, p.sum(axis=0)), state[1:], strict=True):
+        for q, g, s in zip(self.params()[1:5], (x.T @ gh, gh.sum(axis=0), h.T @ p, p.sum(axis=0)), state[1:5], strict=True):
             s += g * g
             q -= 4 * RATE * g / (np.sqrt(s) + 1e-6)
         state[0][ids] += ge * ge
         self.embed[ids] -= 4 * RATE * ge / (np.sqrt(state[0][ids]) + 1e-6)
 
 
+class WordNet(WindowNet):
+    """Goes on from the group to the word: in each group a binary tree, at whose nodes the hidden layer says which half holds the word.
+
+    Before training, the nodes' biases give every word its share of the group's corpus count.
+    """
+
+    def __init__(self, vocab: Vocabulary, seed: int = 5):
+        super().__init__(seed)
+        self.first, self.nodes, self.signs, bias = vocab.paths()
+        self.v = np.zeros((len(bias), HIDDEN), np.float32)
+        self.c = bias.astype(np.float32)
+
+    def params(self) -> list[np.ndarray]:
+        return [*super().params(), self.v, self.c] if hasattr(self, "c") else super().params()
+
+    def steps(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Lengths of the words' paths; for each step its node, sign, hidden layer and node's vector, and how surely it goes the word's way."""
+        n = self.first[own + 1] - self.first[own]
+        at = np.arange(n.sum()) + np.repeat(self.first[own] - np.cumsum(n) + n, n)
+        node, sign = self.nodes[at], self.signs[at]
+        hr, v = h.repeat(n, axis=0), self.v.take(node, axis=0)
+        return n, node, sign, hr, v, sign * (np.einsum("ij,ij->i", hr, v) + self.c[node])
+
+    def below(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        n, _, _, _, _, s = self.steps(h, own)
+        logs = np.concatenate([[0.0], np.cumsum(-np.logaddexp(0, -s.astype(np.float64)))])
+        ends = np.cumsum(n)
+        return logs[ends] - logs[ends - n]
+
+    def learn_below(self, h: np.ndarray, own: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
+        n, node, sign, hr, v, s = self.steps(h, own)
+        gh = np.zeros_like(h)
+        if not len(node):
+            return gh
+        g = (-sign / (1 + np.exp(np.minimum(s, 60))) / len(own)).astype(np.float32)
+        some = n > 0
+        gh[some] = np.add.reduceat(v * g[:, None], (np.cumsum(n) - n)[some], axis=0)
+        order = np.argsort(node, kind="stable")
+        ids, starts = np.unique(node[order], return_index=True)
+        for q, x, held in ((self.v, hr * g[:, None], state[0]), (self.c, g, state[1])):
+            x = np.add.reduceat(x[order], starts, axis=0)
+            held[ids] += x * x
+            q[ids] -= 4 * RATE * x / (np.sqrt(held[ids]) + 1e-6)
+        return gh
+
+
 class Vocabulary:
-    """Ids of words, their groups, and their log-probabilities within the group."""
+    """Ids of words, their groups, and their log-probabilities within the group.
+
+    ``slots``: what the words that share each of the RARE ids count together.
+    """
 
     def __init__(self, counts: list[tuple[bytes, int]], total: int, kinds: int):
         self.ids = {w: i for i, (w, _) in enumerate(counts)}
@@ -104,10 +164,38 @@ class Vocabulary:
             self.within = np.where(mass > 0, np.log(np.maximum(mass, 1e-300) / np.maximum(by_group[self.group], 1e-300)), 0.0)
         # a rare word is one of about as many as share its id
         self.within[VOCABULARY:] -= np.log(max(1.0, (kinds - len(counts)) / RARE))
+        self.mass = mass
+        self.slots = np.zeros(RARE, np.int64)
         self.seen: dict[bytes, int] = {}
 
+    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The groups' trees: word i's path is what lies from first[i] to first[i + 1] in (nodes, signs); biases of the nodes.
+
+        The words of a group stand in a row, which is halved until each stands alone; a node is named by where it parts the row.
+        """
+        mass = self.mass.copy()
+        mass[VOCABULARY:] = self.slots + 1
+        used = np.concatenate([np.arange(len(self.ids)), np.arange(VOCABULARY, VOCABULARY + RARE)])
+        row = used[np.argsort(self.group[used], kind="stable")]
+        upto = np.concatenate([[0.0], np.cumsum(mass[row])])
+        place, bias = np.arange(len(row)), np.zeros(len(row))
+        low, high = (np.searchsorted(self.group[row], self.group[row], side=x) for x in ("left", "right"))
+        found = []
+        while len(at := np.flatnonzero(high - low > 1)):
+            mid = (low[at] + high[at]) // 2
+            left = place[at] < mid
+            bias[mid] = np.log((upto[mid] - upto[low[at]]) / (upto[high[at]] - upto[mid]))
+            found.append((row[at], mid, np.where(left, 1, -1)))
+            high[at], low[at] = np.where(left, mid, high[at]), np.where(left, low[at], mid)
+        word, node, sign = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(word, kind="stable")
+        first = np.searchsorted(word[order], np.arange(VOCABULARY + RARE + 1))
+        return first, node[order].astype(np.uint16), sign[order].astype(np.float32), bias
+
     def numbers(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(FOLD).split()
+        return self.numbered((text or "").encode().translate(FOLD).split())
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > 400_000:
             seen.clear()
@@ -142,9 +230,30 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(df: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The VOCABULARY most frequent words (ties: smaller first) and the totals; a bounded table comes to the driver."""
-    counts = written(word_counts(df, text_col))
+def slot_totals(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """What the words without ids of their own count, by the id that they share."""
+    held = counts.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches):
+        v, sums = held.value, np.zeros(RARE, np.int64)
+        for batch in batches:
+            ids = v.numbered(batch.column(0).to_pylist())
+            rare = ids >= VOCABULARY
+            np.add.at(sums, ids[rare] - VOCABULARY, batch.column(1).to_numpy(zero_copy_only=False)[rare])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(sums)], names=["slot", "n"])
+
+    out = np.zeros(RARE, np.int64)
+    for r in counts.select("word", "n").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r.slot] = r.n
+    return out
+
+
+def vocabulary(df: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> Vocabulary:
+    """The VOCABULARY most frequent words (ties: smaller first) and the totals; a bounded table comes to the driver.
+
+    ``counts``: the table of all words, if it is written already.
+    """
+    counts = written(word_counts(df, text_col)) if counts is None else counts
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     # a histogram of the counts' sizes tells above which the most frequent words lie, so that tasks send few others
     size = F.floor(F.log2("n") * 8).cast("int")
@@ -154,21 +263,27 @@ def vocabulary(df: DataFrame, text_col: str = "text") -> Vocabulary:
         if held >= VOCABULARY:
             break
     top = counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return Vocabulary([(bytes(r.word), r.n) for r in top], total, kinds)
+    vocab = Vocabulary([(bytes(r.word), r.n) for r in top], total, kinds)
+    if kinds > len(vocab.ids):
+        vocab.slots = slot_totals(counts, vocab)
+    return vocab
 
 
-def train(df: DataFrame, vocab: Vocabulary, text_col: str = "text") -> WindowNet:
-    """A network trained on every word of the corpus.
+def train(df: DataFrame, vocab: Vocabulary, text_col: str = "text", words: bool = False) -> WindowNet:
+    """A network trained on every word of the corpus; with ``words`` a WordNet.
 
     Each task starts from the same weights and passes over its texts; what its network has moved by is averaged over all tasks,
-    weighted by words. Averages are made in Spark, number by number, so the driver gets one network, however many tasks.
+    weighted by words. Averages are made in Spark, BLOCK numbers to a row, so the driver gets one network, however many tasks.
     """
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(vocab)
+    columns = [f"d{k}" for k in range(BLOCK)]
 
     def run(batches):
-        v, net, first = held.value, WindowNet(), WindowNet().flat()
-        state, words, left = [np.zeros_like(p) for p in net.params()], 0, []
+        v = held.value
+        net = WordNet(v) if words else WindowNet()
+        first = net.flat()
+        state, seen, left = [np.zeros_like(p) for p in net.params()], 0, []
         size = 0
         for batch in batches:
             for part in slices(batch, 0):
@@ -179,62 +294,93 @@ def train(df: DataFrame, vocab: Vocabulary, text_col: str = "text") -> WindowNet
                     if size >= BATCH:
                         ctx, own = net.contexts(left)
                         for s in range(0, len(own), BATCH):
-                            net.learn(ctx[s : s + BATCH], v.group[own[s : s + BATCH]], state)
-                        words, left, size = words + size, [], 0
+                            net.learn(ctx[s : s + BATCH], own[s : s + BATCH], v.group[own[s : s + BATCH]], state)
+                        seen, left, size = seen + size, [], 0
         if size:
             ctx, own = net.contexts(left)
-            net.learn(ctx, v.group[own], state)
-            words += size
+            net.learn(ctx, own, v.group[own], state)
+            seen += size
         moved = net.flat() - first
-        at = np.flatnonzero(moved)
+        moved = np.pad(moved, (0, -len(moved) % BLOCK)).reshape(-1, BLOCK)
+        at = np.flatnonzero(moved.any(axis=1))
         release_memory()
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(moved[at].astype(np.float64) * words), pa.array(np.full(len(at), words), pa.int64())], names=["i", "d", "n"])
-
-    moves = df.select(text_col).mapInArrow(run, "i bigint, d double, n bigint").groupBy("i").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    net = WindowNet()
+        for k in range(0, len(at), 10_000):
+            i = at[k : k + 10_000]
+            d = moved[i].astype(np.float64) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(np.full(len(i), seen), pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in d.T]], names=["i", "n", *columns])
+
+    schema = "i bigint, n bigint, " + ", ".join(f"{c} double" for c in columns)
+    moves = df.select(text_col).mapInArrow(run, schema).groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns])
+    net = WordNet(vocab) if words else WindowNet()
     flat = net.flat()
-    rows = moves.orderBy("i").toPandas()
-    flat[rows["i"].to_numpy(np.int64)] += (rows["d"] / rows["n"]).to_numpy(np.float32)
+    whole = np.pad(flat, (0, -len(flat) % BLOCK)).reshape(-1, BLOCK)
+    rows = moves.toArrow()
+    if rows.num_rows:
+        d, n = np.stack([rows[c].to_numpy() for c in columns], axis=1), rows["n"].to_numpy()
+        whole[rows["i"].to_numpy()] += (d / n[:, None]).astype(np.float32)
+    flat = whole.ravel()[: len(flat)]
     return net.load(flat)
 
 
-def score(df: DataFrame, net: WindowNet, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, net: WindowNet, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``pll`` (sum of the log-probabilities of every word given those around it) and
     ``mean_pll`` (0 without words).
 
-    A map where the documents are read. Null, empty or wordless text: 0 words, 0. Very long text: all its words, in slices.
+    With a WordNet and ``counts``, the table of all words, the network gives the word, or the id that rare words share, and a
+    rare word has its part of what the words of that id count; one that was never counted has the part of one occurrence.
+    Then rare words are joined with their counts. Else it is a map where the documents are read.
+    Null, empty or wordless text: 0 words, 0. Very long text: all its words, in slices.
     Repeated rows: each gives its row. Empty table: no rows. Other columns are not read.
     """
+    if (counts is not None) != isinstance(net, WordNet):
+        raise ValueError("a WordNet and counts go together")
     held = df.sparkSession.sparkContext.broadcast((net, vocab))
+    joined = counts is not None
 
     def factory():
         net, v = held.value
+        part = np.concatenate([np.zeros(VOCABULARY), -np.log(v.slots + 1.0)])
 
         def logs(texts: list[np.ndarray]) -> np.ndarray:
             ctx, own = net.contexts(texts)
             out = np.empty(len(own))
             for s in range(0, len(own), BATCH):
-                p, w = net.forward(ctx[s : s + BATCH])[2], own[s : s + BATCH]
-                out[s : s + BATCH] = np.log(np.maximum(p[np.arange(len(w)), v.group[w]], 1e-30)) + v.within[w]
+                w = own[s : s + BATCH]
+                _, h, p = net.forward(ctx[s : s + BATCH])
+                below = net.below(h, w) + part[w] if joined else v.within[w]
+                out[s : s + BATCH] = np.log(np.maximum(p[np.arange(len(w)), v.group[w]], 1e-30)) + below
             return out
 
         def work(texts):
-            sizes, sums = [], []
+            sizes, sums, rare = [], [], []
             for s in range(0, len(texts), 64):
-                xs = [v.numbers(t) for t in texts[s : s + 64]]
+                words = [(t or "").encode().translate(FOLD).split() for t in texts[s : s + 64]]
+                xs = [v.numbered(w) for w in words]
                 n = np.array([len(x) for x in xs])
                 total = np.concatenate([[0.0], np.cumsum(logs(xs))])
                 ends = np.cumsum(n)
                 sizes += n.tolist()
                 sums += (total[ends] - total[ends - n]).tolist()
-            return [sizes, sums, [a / n if n else 0.0 for a, n in zip(sums, sizes, strict=True)]]
+                if joined:
+                    rare += [[w[i] for i in np.flatnonzero(x >= VOCABULARY)] for w, x in zip(words, xs, strict=True)]
+            return [sizes, sums, rare if joined else [a / n if n else 0.0 for a, n in zip(sums, sizes, strict=True)]]
 
         return work
 
-    return map_texts(df, [id_col, text_col], {id_col: "bigint", "n_tokens": "bigint", "pll": "double", "mean_pll": "double"}, factory)
+    if not joined:
+        return map_texts(df, [id_col, text_col], {id_col: "bigint", "n_tokens": "bigint", "pll": "double", "mean_pll": "double"}, factory)
+    # numbers of rows are written with them, so both sides of the join have the same
+    base = map_texts(df, [id_col, text_col], {"id": "bigint", "n_tokens": "bigint", "pll": "double", "rare": "array<binary>"}, factory)
+    base = written(base.withColumn("row", F.monotonically_increasing_id()))
+    # a count of 1 adds nothing
+    more = base.select("row", F.explode("rare").alias("word")).join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    pll = F.col("pll") + F.coalesce("more", F.lit(0.0))
+    out = base.drop("rare").join(more, "row", "left").select(F.col("id").alias(id_col), "n_tokens", pll.alias("pll"))
+    return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0))
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vocab = vocabulary(docs)
-    return score(docs, train(docs, vocab), vocab)
+    counts = written(word_counts(docs))
+    vocab = vocabulary(docs, counts=counts)
+    return score(docs, train(docs, vocab, words=True), vocab, counts=counts)

@@ -428,6 +428,58 @@ def test_probabilities_of_all_words_sum_to_one(spark):
     assert np.allclose(mass[used], 1)
 
 
+def test_words_of_like_count_are_told_apart(spark):
+    rnd = random.Random(2)
+    rows = [" ".join(f"a{k} b{k} c{k}" for k in rnd.choices(range(60), k=40)) for _ in range(300)]
+    vocab = pseudo_likelihood.vocabulary(docs(spark, rows))
+    net = pseudo_likelihood.WordNet(vocab)
+    state = [np.zeros_like(x) for x in net.params()]
+    ctx, own = net.contexts([vocab.numbers(t) for t in rows])
+    for _ in range(60):
+        for s in range(0, len(own), pseudo_likelihood.BATCH):
+            w = own[s : s + pseudo_likelihood.BATCH]
+            net.learn(ctx[s : s + len(w)], w, vocab.group[w], state)
+    h = net.forward(ctx)[1]
+    group = vocab.group[own]
+    told = group == np.bincount(group).argmax()  # one group of words of like count
+    assert len(set(own[told])) > 2
+    assert net.below(h, own)[told].mean() > vocab.within[own][told].mean() + 0.3
+    ids = np.arange(len(vocab.ids))
+    p = np.exp(net.below(h[:1].repeat(len(ids), axis=0), ids))
+    assert np.allclose(np.bincount(vocab.group[ids], p)[np.unique(vocab.group[ids])], 1)
+
+
+def test_rare_words_follow_their_counts(spark):
+    rnd = random.Random(2)
+    often = [f"w{i}" for i in range(pseudo_likelihood.VOCABULARY)]
+    rows = [" ".join(often[i : i + 128] * 6) for i in range(0, len(often), 128)]
+    rows += [" ".join(f"odd{i}" for i in rnd.choices(range(300), k=10)) + " w1 w2" for _ in range(60)] + [None, "", "odd1 odd1 w5"]
+    df = docs(spark, rows)
+    counts = pseudo_likelihood.word_counts(df)
+    v = pseudo_likelihood.vocabulary(df, counts=counts)
+    n = Counter(w for t in rows for w in (t or "").encode().split())
+    rare = {w: c for w, c in n.items() if w not in v.ids}
+    assert v.slots.sum() == sum(rare.values()) > 0 and len(set(rare.values())) > 1
+    start = pseudo_likelihood.WordNet(v)
+    ids = np.arange(pseudo_likelihood.VOCABULARY)
+    assert np.allclose(start.below(np.ones((len(ids), pseudo_likelihood.HIDDEN), np.float32), ids), v.within[ids], atol=1e-3)
+    net = pseudo_likelihood.train(df, v, words=True)
+    got = by_id(pseudo_likelihood.score(df.unionByName(docs(spark, ["never seen"], 999)), net, v, counts=counts))
+    for i in [0, *range(len(rows) - 20, len(rows)), 999]:
+        words = ("never seen" if i == 999 else rows[i] or "").encode().split()
+        x = v.numbered(words)
+        if not words:
+            assert got[i].n_tokens == got[i].pll == got[i].mean_pll == 0
+            continue
+        ctx, own = net.contexts([x])
+        _, h, p = net.forward(ctx)
+        want = np.log(p[np.arange(len(x)), v.group[x]]) + net.below(h, x)
+        want += [0 if w in v.ids else np.log(n.get(w, 1) / (v.slots[j - pseudo_likelihood.VOCABULARY] + 1)) for w, j in zip(words, x, strict=True)]
+        assert got[i].n_tokens == len(x) and got[i].pll == pytest.approx(want.sum(), abs=1e-2)
+    untrained = by_id(pseudo_likelihood.score(df, start, v, counts=counts))
+    assert sum(r.pll for r in got.values()) - got[999].pll > sum(r.pll for r in untrained.values())
+
+
 def test_a_model_of_nothing(spark):
     vocab = pseudo_likelihood.vocabulary(empty(spark))
     net = pseudo_likelihood.train(empty(spark), vocab)
