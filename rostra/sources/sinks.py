@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,23 +53,50 @@ def with_parts(df: DataFrame, order: Sequence[str], rows: int = PART_ROWS) -> Da
     return numbered.withColumn("part", part_of(F.col("ordinal"), rows))
 
 
+def summed_up(placed: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Running sums over all rows, where ``_p`` names a row's partition in the order; only the partitions' sums meet in one place."""
+    sums = placed.groupBy("_p").agg(F.sum(value).alias("_s"))
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = F.sum(value).over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn(name, own).join(before, "_p").withColumn(name, F.col(name) + F.col("_b")).drop("_b")
+
+
 def byte_bounded_parts(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
     """(group, order, part): neighbours share a part while their bytes fit; a row larger than ``most`` has its own.
 
-    Where a part ends depends on where the last one ended, so each group is scanned in order; groups are independent.
+    Where a part ends depends on where the last one ended. No task holds a group: rows are range-partitioned and bytes summed
+    up over all; for every row it is found where the next part would start if one started there, within stretches of
+    ``most`` bytes; and the starts are followed from each group's first row by pointer doubling, so in as many rounds as
+    the logarithm of the most parts of a group. Null sizes count as 0; nulls of ``order`` come last.
     """
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        part, held, out = 1, 0, []
-        for n in pdf[size]:
-            if held and held + n > most:
-                part, held = part + 1, 0
-            held += n
-            out.append(part)
-        return pd.DataFrame({group: pdf[group], order: pdf[order], "part": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(group, order, size).groupBy(group).applyInPandas(work, f"{group} {kinds[group]}, {order} {kinds[order]}, part int")
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("z"))
+    by = [F.asc_nulls_first("g"), F.asc_nulls_last("o")]
+    placed = materialized(rows.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    by = [*by, F.col("_i")]
+    numbered = materialized(summed_up(summed_up(placed.withColumn("_1", F.lit(1).cast("bigint")), by, "_1", "n"), by, "z", "upto").drop("_1", "_i"))
+    ends = numbered.groupBy("g").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    held = materialized(numbered.join(ends.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).drop("_g").withColumn("before", F.col("upto") - F.col("z")))
+    # a part that starts with ``before`` bytes ahead of it ends where a row reaches beyond ``before + most``
+    stretch = lambda c: F.floor(c / most)
+    begun = held.where("z > 0").withColumn("s", F.explode(F.sequence(stretch(F.col("before")), stretch(F.col("upto") - 1))))
+    begun = begun.select("first", "s", F.greatest("before", F.col("s") * most).alias("at"), F.lit(0).alias("k"), F.struct("n", "before", "upto").alias("row"))
+    asked = held.select("first", (F.col("before") + most).alias("at")).distinct().select("first", stretch(F.col("at")).alias("s"), "at", F.lit(1).alias("k"))
+    near = W.partitionBy("first", "s").orderBy("at", "k").rowsBetween(W.unboundedPreceding, 0)
+    found = begun.unionByName(asked, allowMissingColumns=True).withColumn("row", F.last("row", ignorenulls=True).over(near)).where("k = 1 and row.upto > at")
+    # a row that is larger than ``most`` and begins the part ends it as well
+    found = found.select("first", (F.col("at") - most).alias("before"), (F.col("row.n") + F.when(F.col("row.before") + most > F.col("at"), 0).otherwise(1)).alias("next"))
+    jump = materialized(held.join(found, ["first", "before"]).where("next <= last").select("n", "next"))
+    starts = materialized(ends.select(F.col("first").alias("n")))
+    while True:
+        more = materialized(starts.join(jump, "n").select(F.col("next").alias("n")))
+        if not more.head(1):
+            break
+        starts = materialized(starts.union(more))
+        jump = materialized(jump.join(jump.select(F.col("n").alias("next"), F.col("next").alias("_far")), "next").select("n", F.col("_far").alias("next")))
+    marked = held.join(starts.withColumn("_start", F.lit(1).cast("bigint")), "n", "left").withColumn("_start", F.coalesce("_start", F.lit(0).cast("bigint")))
+    counted = materialized(summed_up(marked, ["n"], "_start", "c"))
+    base = counted.where("n = first").select("first", F.col("c").alias("_c"))
+    return counted.join(base, "first").select(F.col("g").alias(group), F.col("o").alias(order), (F.col("c") - F.col("_c") + 1).cast("int").alias("part"))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -226,6 +226,26 @@ def test_byte_bounded_parts(spark):
     assert len(sums) > 1 and all(sum(v) <= 1800 or len(v) == 1 for v in sums.values()) and [r.part for r in got] == sorted(r.part for r in got)
 
 
+def test_byte_bounded_parts_equal_a_scan_and_hold_no_group(spark):
+    rnd = random.Random(8)
+    sizes = [0, 0, None, 1, 5, 90, 100, 101, 350, 30, 40]
+    rows = [(g, i, rnd.choice(sizes)) for g, n in (("a", 300), ("b", 1), (None, 40), ("c", 60)) for i in range(n)] + [("z", i, 0) for i in range(5)] + [("y", i, 500) for i in range(4)]
+    want = set()
+    for g in {r[0] for r in rows}:
+        part, held = 1, 0
+        for _, i, n in sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1]):
+            if held and held + (n or 0) > 100:
+                part, held = part + 1, 0
+            held += n or 0
+            want.add((g, i, part))
+    rnd.shuffle(rows)
+    out = sinks.byte_bounded_parts(spark.createDataFrame(rows, "g string, i int, n int"), "g", "i", "n", 100)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(rows) and set(got) == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert sinks.byte_bounded_parts(spark.createDataFrame([], "g string, i int, n int"), "g", "i", "n", 100).count() == 0
+
+
 def test_orphans_need_a_verified_full_name(spark):
     df = spark.createDataFrame([("m", "S", "Anna Berg", True), ("m", "S", "Berg", False), ("m", "M", "Berg", False), ("m", "S", "Ek", False), ("m", "S", "Bo Ek", False)], "meeting string, party string, name string, verified boolean")
     assert [tuple(r) for r in joins.orphan_fragments(df).collect()] == [("m", "S", "Berg")]
