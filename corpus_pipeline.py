@@ -25,14 +25,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id; of rows that repeat it, one."""
-    found = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    found = written(found.where("doc_id <> c or n > 1"))
-    left = without_ids(docs.where(F.col("doc_id").isNotNull()), found, "doc_id")
-    again = found.where("doc_id = c")  # ids that several rows have
+    """One text of each group of near-duplicates stays, the one with the smallest id; of rows that repeat an id and its
+    text, one. Other texts of the same id are judged on their own. Rows without id stay.
+    """
+    rows = written(near_dedup.kept_texts(docs))
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept"))
+    found = written(ids.where("n > 1 or not kept"))
+    left = without_ids(docs.where(F.col("doc_id").isNotNull()), found, "doc_id").unionByName(docs.where(F.col("doc_id").isNull()))
+    again = found.where("n > 1")  # ids that several rows have
     if not again.head(1):
         return left
-    return left.unionByName(near_ids(docs, again, "doc_id").join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    more = near_ids(docs, again, "doc_id").join(again, "doc_id", "left_semi").select(*docs.columns).withColumn("_same", near_dedup.text_class("text"))
+    good = rows.where("kept").select("doc_id", F.col("same").alias("_same")).distinct()
+    return left.unionByName(more.dropDuplicates(["doc_id", "_same"]).join(good, ["doc_id", "_same"], "left_semi").select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

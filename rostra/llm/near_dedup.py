@@ -104,17 +104,34 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(df, [id_col, text_col], {"id": "bigint", "n_shingles": "bigint", "same": "binary", "keys": "array<bigint>", "sig": "binary"}, factory)
 
 
-def shingle_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, s): the full sets of the documents named in ``ids``."""
+def shingle_sets(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the full sets of the classes (node, rep, same), with the node as id."""
 
     def factory():
         shingler = Shingler()
-        return lambda texts: [[shingler.shingles(t).view(np.int64) for t in texts]]
 
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        def work(texts):
+            sets = [shingler.shingles(t) for t in texts]
+            return [pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), [x.view(np.int64) for x in sets]]
+
+        return work
+
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     # most texts are turned away where they are read; the others are shuffled
-    some = near_ids(texts, ids).join(ids, "id", "left_semi")
-    return map_texts(some, ["id", "text"], {"id": "bigint", "s": "array<bigint>"}, factory)
+    some = near_ids(texts, classes, "rep").join(classes.select("rep", "node"), "rep")
+    sets = map_texts(some, ["node", "text"], {"node": "bigint", "same": "binary", "s": "array<bigint>"}, factory)
+    # an id can have other texts than its class's
+    return sets.join(classes.select("node", "same"), ["node", "same"], "left_semi").dropDuplicates(["node", "same"]).select(F.col("node").alias("id"), "s")
+
+
+@F.pandas_udf(T.BinaryType())
+def text_class(texts):
+    """What names a text's set of shingles; empty without words."""
+    import pandas as pd
+
+    shingler = Shingler()
+    sets = [shingler.shingles(t) for t in texts]
+    return pd.Series([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else b"" for x in sets], dtype=object)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,21 +184,19 @@ def crowded_links(sets: DataFrame, percent: int) -> DataFrame:
     return stars.select("a", "b").union(confirmed(rest, sets, percent))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``.
-
-    1. Documents with the same set of shingles are one class, its smallest id stands for it: copies cost one row each.
-    2. 128 universal hash minima of each class, in 32 bands. Buckets of up to SMALL members give pairs; signatures
-       sift them, full sets confirm them. Members of larger buckets go through ``crowded_links``.
-    3. Components by large-star and small-star; classes get their members back.
+def linked_classes(named: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows; the classes (same, rep, node) of rows with the same set of shingles; links (a, b) between nodes.
 
-    Documents without words are linked with nothing. Null text: the same. Very long text: taken whole. Rows that repeat an
-    id with another text: the id is linked through each of its rows. Empty table: no rows. Other columns are not read.
+    A class's node is its smallest id; where that is the smallest of several classes, the others have nodes above all ids.
     """
-    named = df.where(F.col(id_col).isNotNull())
     every = written(signatures(named, id_col, text_col))
     classes = written(every.where("n_shingles > 0").groupBy("same").agg(F.min("id").alias("rep")))
-    reps = written(every.select("id", "same", "keys").join(classes, "same").where("id = rep").select("id", "keys").dropDuplicates(["id", "keys"]))
+    twice = classes.groupBy("rep").agg(F.min("same").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    most = every.agg(F.max("id").alias("_most"))
+    other = F.col("_most") + 1 + F.monotonically_increasing_id()
+    classes = classes.join(twice, "rep", "left").crossJoin(F.broadcast(most))
+    classes = written(classes.select("same", "rep", F.when(F.col("_least").isNull() | (F.col("same") == F.col("_least")), F.col("rep")).otherwise(other).alias("node")))
+    reps = written(every.select("id", "same", "keys", "sig").join(classes, "same").where("id = rep").dropDuplicates(["same"]).select(F.col("node").alias("id"), "keys", "sig"))
     rows = reps.select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(rows.join(shared, "key"))
@@ -189,25 +204,60 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = (
         groups.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.slice("g", F.col("i") + 2, F.greatest(F.size("g") - F.col("i") - 1, F.lit(0)))).alias("b")).distinct()
     )
-    sigs = every.select("id", "sig").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    sigs = reps.select("id", "sig")
     likely = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(agreeing("sa", "sb") >= AGREE).select("a", "b")
     likely = written(likely)
     crowd = written(members.where(F.col("n") > SMALL).select("id").distinct())
-    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).union(crowd).distinct()
-    sets = written(shingle_sets(named, ids, id_col, text_col).dropDuplicates(["id"]))
-    links = confirmed(likely, sets, percent).union(crowded_links(sets.join(crowd, "id", "left_semi"), percent))
+    ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(crowd).distinct()
+    sets = written(shingle_sets(named, classes.join(ids, "node", "left_semi"), id_col, text_col))
+    return every, classes, confirmed(likely, sets, percent).union(crowded_links(sets.join(crowd, "id", "left_semi"), percent))
+
+
+def with_components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    parts = connected_components(links)
+    return classes.join(parts, classes.node == parts.node, "left").select("same", "rep", classes.node, F.coalesce("component", classes.node).alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """One row per input row with an id: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``.
+
+    1. Documents with the same set of shingles are one class, its smallest id stands for it: copies cost one row each.
+    2. 128 universal hash minima of each class, in 32 bands. Buckets of up to SMALL members give pairs; signatures
+       sift them, full sets confirm them. Members of larger buckets go through ``crowded_links``.
+    3. Components by large-star and small-star; classes get their members back.
+
+    Documents without words are linked with nothing. Null text: the same. Very long text: taken whole. Rows that repeat an
+    id with another text: the id is linked through each of its rows. Empty table: no rows. Other columns are not read.
+    """
+    every, classes, links = linked_classes(df.where(F.col(id_col).isNotNull()), id_col, text_col, percent)
     # rows that repeat an id tie its classes together
     ties = every.where("n_shingles > 0").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    tied = every.join(ties, "id", "left_semi").join(classes, "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    parts = connected_components(links.union(tied))
-    found = classes.join(parts, classes.rep == parts.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
+    tied = written(every.join(ties, "id", "left_semi").select("id", "same").distinct().join(classes, "same").select("id", "node"))
+    tied = tied.join(tied.groupBy("id").agg(F.min("node").alias("low")), "id").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    found = with_components(classes, links.union(tied)).select("same", "component")
     out = every.select("id", "n_shingles", "same").join(found, "same", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def kept_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """(id, same, kept) of each row with an id: whether its own text, whatever other rows its id has, stands for its group."""
+    every, classes, links = linked_classes(df.where(F.col(id_col).isNotNull()), id_col, text_col, percent)
+    found = with_components(classes, links)
+    # nodes above all ids hide smaller ones: groups that have such take the class with the smallest id
+    odd = found.join(found.where("node <> rep").select("component").distinct(), "component", "left_semi")
+    lead = odd.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("_l")).select("component", F.col("_l.node").alias("_lead"))
+    found = found.join(lead, "component", "left").withColumn("component", F.coalesce("_lead", "component")).drop("_lead")
+    out = every.select("id", "same").join(found, "same", "left")
+    kept = F.col("component").isNull() | ((F.col("node") == F.col("component")) & (F.col("id") == F.col("rep")))
+    return out.select(F.col("id").alias(id_col), F.coalesce("same", F.lit(b"")).alias("same"), kept.alias("kept"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """A row without id is linked with nothing; as in the SQL it has no shingles, component or verdict."""
+    docs = table(spark, sf_dir, "documents")
+    nothing = [F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), F.lit(None).cast("boolean").alias("kept")]
+    return near_duplicates(docs).unionByName(docs.where("doc_id is null").select("doc_id", *nothing))
 
 
 #: The same by counting the shingles that documents share, and spreading the smallest id along links.

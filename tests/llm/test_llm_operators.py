@@ -263,6 +263,20 @@ def test_near_duplicates_on_repeated_ids_and_nothing(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_other_texts_of_an_id_and_rows_without_id(spark, tmp_path):
+    base = {k: [f"{k}{i}" for i in range(60)] for k in "pqr"}
+    p, q, r = (" ".join(base[k]) for k in "pqr")
+    near = lambda k: " ".join([*base[k], "end"])
+    rows = [(1, p), (1, q), (2, near("p")), (3, near("q")), (4, r), (4, r), (None, r), (5, near("r")), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = near_dedup.op8_near_dedup(spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(rows) and [tuple(x) for x in got if x.doc_id is None] == [(None, 0, None, None)] * 2
+    left = corpus_pipeline.dedup_stage(spark, df, "")
+    assert Counter(tuple(x) for x in left.collect()) == Counter([(1, p), (1, q), (4, r), (None, r), (None, None)])
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(200, 200)] + [(301, 300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
