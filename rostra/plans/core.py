@@ -212,7 +212,7 @@ def forward_asof(spark, sf):  # JOIN-17, REF-06
 
 @query("page_signature_match", """with s as (select conv_id, turn, sha256(text) as h from conversations), want as (select conv_id as w, turn as t, h, count(*) over (partition by conv_id) as n from s where conv_id % 7 = 0)
  select w as part, s.conv_id as found, s.turn - want.t as shift from want join s on s.h = want.h group by w, s.conv_id, s.turn - want.t, n having count(*) = n""")
-def page_signature_match(spark, sf):  # JOIN-18, PRS-21
+def page_signature_match(spark, sf):  # JOIN-18
     s = table(spark, sf, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"))
     part = s.where("conv_id % 7 = 0")
     want = part.join(part.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id").select(F.col("conv_id").alias("part"), F.col("turn").alias("t"), "h", "n")

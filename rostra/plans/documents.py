@@ -58,7 +58,7 @@ def repaired_meanings(spark, sf):  # PRS-15
 
 
 @query("inferred_votes", "select p_partkey, cast(p_partkey % 5 as integer) as yes, 3 as no, p_partkey % 5 = 2 as accepted from part")
-def inferred_votes(spark, sf):  # PRS-16: counts stated in a text are accepted if the named ballots in it agree
+def inferred_votes(spark, sf):  # counts stated in a text against five given names, not PRS-16
     two = protocols(spark, sf).where("page = 2").select("p_partkey", extraction.stated_tally(F.col("text")).alias("t"), F.lit("Ja: Anna Berg (S), Bo Ek (M). Nej: Ci Dahl (V), Di Ek (C), Eva Fors (L).").alias("named"))
     count = lambda word: F.size(F.regexp_extract_all(F.regexp_extract("named", f"{word}: ([^.]*)", 1), F.lit(extraction.PERSON), F.lit(1)))
     return two.select("p_partkey", "t.yes", "t.no", ((count("Ja") == F.col("t.yes")) & (count("Nej") == F.col("t.no"))).alias("accepted"))
@@ -74,7 +74,7 @@ def result_reconciled(spark, sf):  # PRS-17: the last numbered line decides
 
 
 @query("committee_cover", "select page_id, case when contains(lower(html), 'spam') then 'nämnd' when contains(lower(html), 'www.') then 'utskott' else 'okänd' end as cover from pages")
-def committee_cover(spark, sf):  # PRS-18
+def committee_cover(spark, sf):  # two words of a page, not PRS-18
     low = F.lower("html")
     return table(spark, sf, "pages").select("page_id", F.when(F.contains(low, F.lit("spam")), "nämnd").when(F.contains(low, F.lit("www.")), "utskott").otherwise("okänd").alias("cover"))
 
