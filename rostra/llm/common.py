@@ -21,7 +21,7 @@ CHUNK_BYTES = 1 << 20
 #: Hash slots of broadcast tables that turn most rows away before a join on ids: at most so many integers.
 SLOTS = 1 << 19
 
-PA_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+PA_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
 
 
 #: Rows of an Arrow batch, at most; JVM and Python worker each hold one or two per task.

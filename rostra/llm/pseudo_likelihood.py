@@ -13,35 +13,88 @@ from rostra.llm.common import map_texts, release_memory, slices, small_batches,
 
 #: A-Z in lower case; every other ASCII byte that is no digit or letter parts words.
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
-#: Words with ids of their own, the most frequent ones; the others share RARE ids by their hashes, and within such an id
-#: follow their corpus counts, which are joined from the table of all words.
-VOCABULARY, RARE = 16_384, 256
-#: Groups of words that the network's softmax tells apart. Within a group a WindowNet has words follow their corpus counts;
-#: a WordNet goes on to the word.
-GROUPS = 48
+#: The same, with a line break for each byte that ends a sentence.
+SENTENCES = bytes(0x0A if b in b".!?\n" else FOLD[b] for b in range(256))
+#: Words that the network tells apart, the most frequent ones; it gives all others one id, and a chain over their bytes
+#: goes on to the word.
+VOCABULARY = 16_384
+RARE, PAD = VOCABULARY, VOCABULARY + 1
+#: Words of a class: the first softmax gives the class, the second one the word.
+WIDTH = 128
+CLASSES = VOCABULARY // WIDTH + 1
 SIDE, EMBED, HIDDEN = 2, 8, 24
+BATCH, RATE = 8192, 0.04
+#: Words that one copy of the network is trained on in a pass, about.
+SHARD_WORDS = 4_000_000
 #: Numbers of a network that are averaged as one row.
-BLOCK = 8
-BATCH, RATE = 4096, 0.01
+BLOCK = 32
+#: Distinct words that a worker keeps; fewer cost time only.
+SEEN = 400_000
+#: Sentences of fewer words are not looked up in the corpus.
+RECALL_WORDS = 5
+
+
+class Vocabulary:
+    """The network's words with their corpus counts, and the byte chain of all other words.
+
+    ``follows[a, b]``: how often byte b follows a in words beyond the network's, counted over the corpus; 0 (which no word
+    holds) stands for a word's begin and end.
+    """
+
+    def __init__(self, counts: list[tuple[bytes, int]], rare: int = 0, follows: np.ndarray | None = None):
+        self.ids = {w: i for i, (w, _) in enumerate(counts)}
+        self.mass = np.zeros(VOCABULARY + 1)
+        self.mass[: len(counts)] = [n for _, n in counts]
+        self.mass[RARE] = rare
+        chain = np.ones((256, 256)) if follows is None else follows + 1.0
+        self.chain = np.log(chain / chain.sum(axis=1, keepdims=True))
+        self.seen: dict[bytes, int] = {}
+        self.table: tuple[np.ndarray, ...] = ()
+
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """The log-probabilities of rare words among rare words."""
+        x = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
+        starts = np.flatnonzero(x == 0)[:-1]
+        return np.add.reduceat(self.chain[x[:-1], x[1:]], starts) if len(starts) else np.zeros(0)
+
+    def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' ids, 64-bit hashes, and log-probabilities within their id (0 but for rare words). Words are worked out once and kept."""
+        seen = self.seen
+        if new := list(set(words).difference(seen)):
+            if len(seen) + len(new) > (len(self.table[0]) if self.table else 0):
+                seen.clear()
+                new, size = list(set(words)), max(SEEN, len(words))
+                self.table = np.zeros(size, np.int32), np.zeros(size, np.uint64), np.zeros(size)
+            at = slice(len(seen), len(seen) + len(new))
+            ids = np.fromiter((self.ids.get(w, RARE) for w in new), np.int32, len(new))
+            self.table[0][at] = ids
+            self.table[1][at] = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in new]), "<u8")
+            self.table[2][at] = np.where(ids == RARE, self.spelled(new), 0.0)
+            seen.update(zip(new, range(at.start, at.stop), strict=True))
+        found = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        return tuple(x[found] for x in self.table) if self.table else (found.astype(np.int32), found.astype(np.uint64), found.astype(np.float64))
 
 
 class WindowNet:
-    """Predicts the group of a word from SIDE words before and SIDE after it: embeddings, a hidden layer, softmax.
+    """Predicts a word from SIDE words before and SIDE after it: embeddings, a hidden layer, a softmax over classes of WIDTH
+    words of like frequency, and in the class a softmax over its words, which sees the hidden layer too.
 
-    Places beyond a text's ends have the id PAD.
+    Places beyond a text's ends have the id PAD. Before training, biases give every word its share of the corpus.
     """
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, vocab: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.pad = VOCABULARY + RARE
-        self.embed = rng.normal(0, 0.3, (self.pad + 1, EMBED)).astype(np.float32)
+        self.embed = rng.normal(0, 0.3, (PAD + 1, EMBED)).astype(np.float32)
         self.w1 = rng.normal(0, (2 * SIDE * EMBED) ** -0.5, (2 * SIDE * EMBED, HIDDEN)).astype(np.float32)
         self.b1 = np.zeros(HIDDEN, np.float32)
-        self.w2 = rng.normal(0, HIDDEN**-0.5, (HIDDEN, GROUPS)).astype(np.float32)
-        self.b2 = np.zeros(GROUPS, np.float32)
+        self.w2 = np.zeros((HIDDEN, CLASSES), np.float32)
+        by_class = np.append(vocab.mass[:VOCABULARY].reshape(-1, WIDTH).sum(axis=1), vocab.mass[RARE])
+        self.b2 = np.log(by_class + 0.1).astype(np.float32)
+        self.w3 = np.zeros((VOCABULARY, HIDDEN), np.float32)
+        self.b3 = np.log(vocab.mass[:VOCABULARY] + 1e-6).astype(np.float32)
 
     def params(self) -> list[np.ndarray]:
-        return [self.embed, self.w1, self.b1, self.w2, self.b2]
+        return [self.embed, self.w1, self.b1, self.w2, self.b2, self.w3, self.b3]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params()])
@@ -53,156 +106,94 @@ class WindowNet:
             at += p.size
         return self
 
-    def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Every word's neighbours, and the words."""
-        gap = np.full(SIDE, self.pad, np.int32)
-        held = np.concatenate([x for t in texts for x in (gap, t)] + [gap]) if texts else gap
-        at = np.flatnonzero(held != self.pad)
-        steps = [k for k in range(-SIDE, SIDE + 1) if k]
-        return held[at[:, None] + np.array(steps)], held[at]
+        gap = np.full(SIDE, PAD, np.int32)
+        held = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
+        at = np.flatnonzero(held != PAD)
+        return held[at[:, None] + np.array([k for k in range(-SIDE, SIDE + 1) if k])], held[at]
 
-    def forward(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.embed.take(ctx, axis=0).reshape(len(ctx), -1)
-        h = np.maximum(x @ self.w1 + self.b1, 0)
-        z = h @ self.w2 + self.b2
+        h = x @ self.w1
+        h += self.b1
+        return x, np.maximum(h, 0, out=h)
+
+    @staticmethod
+    def softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
-        return x, h, z
-
-    def below(self, h: np.ndarray, own: np.ndarray) -> np.ndarray | None:
-        """Log-probabilities of words within their groups, where the network tells them."""
-
-    def learn_below(self, h: np.ndarray, own: np.ndarray, state: list[np.ndarray]) -> np.ndarray | float:
-        """A step for what lies below the groups; the gradient at the hidden layer."""
-        return 0.0
-
-    def learn(self, ctx: np.ndarray, own: np.ndarray, group: np.ndarray, state: list[np.ndarray]) -> None:
+        return z
+
+    @staticmethod
+    def by_class(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the words by class, and (class, begin, end) of the classes in it; the rare words, which come last, have no entry."""
+        kind = (own // WIDTH).astype(np.uint8)
+        order = np.argsort(kind, kind="stable")
+        ends = np.cumsum(np.bincount(kind, minlength=CLASSES)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends[: CLASSES - 1])) if b > a]
+
+    def log_probabilities(self, ctx: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Of the words, or of the id of all rare words, given what stands around them."""
+        order, spans = self.by_class(own)
+        word = own[order]
+        _, h = self.hidden(ctx[order])
+        p = self.softmax(h @ self.w2 + self.b2)[np.arange(len(word)), word // WIDTH]
+        for c, a, b in spans:
+            s = slice(c * WIDTH, (c + 1) * WIDTH)
+            p[a:b] *= self.softmax(h[a:b] @ self.w3[s].T + self.b3[s])[np.arange(b - a), word[a:b] % WIDTH]
+        out = np.empty(len(own))
+        out[order] = np.log(np.maximum(p, 1e-30))
+        return out
+
+    def learn(self, ctx: np.ndarray, own: np.ndarray, state: list[np.ndarray]) -> None:
         """One Adagrad step on the mean cross entropy."""
-        x, h, p = self.forward(ctx)
-        p[np.arange(len(group)), group] -= 1
-        p /= len(group)
-        gh = (p @ self.w2.T + self.learn_below(h, own, state[5:])) * (h > 0)
+        order, spans = self.by_class(own)
+        ctx, own, n = ctx[order], own[order], np.float32(len(own))
+        x, h = self.hidden(ctx)
+        p = self.softmax(h @ self.w2 + self.b2)
+        p[np.arange(len(own)), own // WIDTH] -= 1
+        p /= n
+        gh = p @ self.w2.T
+        for c, a, b in spans:
+            s = slice(c * WIDTH, (c + 1) * WIDTH)
+            q = self.softmax(h[a:b] @ self.w3[s].T + self.b3[s])
+            q[np.arange(b - a), own[a:b] % WIDTH] -= 1
+            q /= n
+            gh[a:b] += q @ self.w3[s]
+            self.step(self.w3[s], q.T @ h[a:b], state[5][s])
+            self.step(self.b3[s], q.sum(axis=0), state[6][s])
+        gh *= h > 0
         gx = (gh @ self.w1.T).reshape(-1, EMBED)
-        ids, back = np.unique(ctx.ravel(), return_inverse=True)
-        ge = np.zeros((len(ids), EMBED), np.float32)
-        for k in range(EMBED):
-            ge[:, k] = np.bincount(back, gx[:, k], len(ids))
-        for q, g, s in zip(self.params()[1:5], (x.T @ gh, gh.sum(axis=0), h.T @ p, p.sum(axis=0)), state[1:5], strict=True):
-            s += g * g
-            q -= 4 * RATE * g / (np.sqrt(s) + 1e-6)
-        state[0][ids] += ge * ge
-        self.embed[ids] -= 4 * RATE * ge / (np.sqrt(state[0][ids]) + 1e-6)
-
-
-class WordNet(WindowNet):
-    """Goes on from the group to the word: in each group a binary tree, at whose nodes the hidden layer says which half holds the word.
-
-    Before training, the nodes' biases give every word its share of the group's corpus count.
-    """
-
-    def __init__(self, vocab: Vocabulary, seed: int = 5):
-        super().__init__(seed)
-        self.first, self.nodes, self.signs, bias = vocab.paths()
-        self.v = np.zeros((len(bias), HIDDEN), np.float32)
-        self.c = bias.astype(np.float32)
-
-    def params(self) -> list[np.ndarray]:
-        return [*super().params(), self.v, self.c] if hasattr(self, "c") else super().params()
-
-    def steps(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Lengths of the words' paths; for each step its node, sign, hidden layer and node's vector, and how surely it goes the word's way."""
-        n = self.first[own + 1] - self.first[own]
-        at = np.arange(n.sum()) + np.repeat(self.first[own] - np.cumsum(n) + n, n)
-        node, sign = self.nodes[at], self.signs[at]
-        hr, v = h.repeat(n, axis=0), self.v.take(node, axis=0)
-        return n, node, sign, hr, v, sign * (np.einsum("ij,ij->i", hr, v) + self.c[node])
-
-    def below(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
-        n, _, _, _, _, s = self.steps(h, own)
-        logs = np.concatenate([[0.0], np.cumsum(-np.logaddexp(0, -s.astype(np.float64)))])
-        ends = np.cumsum(n)
-        return logs[ends] - logs[ends - n]
-
-    def learn_below(self, h: np.ndarray, own: np.ndarray, state: list[np.ndarray]) -> np.ndarray:
-        n, node, sign, hr, v, s = self.steps(h, own)
-        gh = np.zeros_like(h)
-        if not len(node):
-            return gh
-        g = (-sign / (1 + np.exp(np.minimum(s, 60))) / len(own)).astype(np.float32)
-        some = n > 0
-        gh[some] = np.add.reduceat(v * g[:, None], (np.cumsum(n) - n)[some], axis=0)
-        order = np.argsort(node, kind="stable")
-        ids, starts = np.unique(node[order], return_index=True)
-        for q, x, held in ((self.v, hr * g[:, None], state[0]), (self.c, g, state[1])):
-            x = np.add.reduceat(x[order], starts, axis=0)
-            held[ids] += x * x
-            q[ids] -= 4 * RATE * x / (np.sqrt(held[ids]) + 1e-6)
-        return gh
-
-
-class Vocabulary:
-    """Ids of words, their groups, and their log-probabilities within the group.
-
-    ``slots``: what the words that share each of the RARE ids count together.
-    """
-
-    def __init__(self, counts: list[tuple[bytes, int]], total: int, kinds: int):
-        self.ids = {w: i for i, (w, _) in enumerate(counts)}
-        mass = np.zeros(VOCABULARY + RARE)
-        mass[: len(counts)] = [n for _, n in counts]
-        rest = max(0, total - int(mass.sum()))
-        mass[VOCABULARY:] = (rest + 1) / RARE
-        self.group = np.zeros(VOCABULARY + RARE, np.int64)
-        order = np.argsort(-mass[: len(counts)], kind="stable")
-        # groups hold about the same mass of words; the last one is for rare words
-        share = np.cumsum(mass[order]) / max(1.0, mass[: len(counts)].sum())
-        self.group[order] = np.minimum((share * (GROUPS - 1)).astype(np.int64), GROUPS - 2)
-        self.group[VOCABULARY:] = GROUPS - 1
-        by_group = np.bincount(self.group, mass, GROUPS)
-        with np.errstate(divide="ignore"):
-            self.within = np.where(mass > 0, np.log(np.maximum(mass, 1e-300) / np.maximum(by_group[self.group], 1e-300)), 0.0)
-        # a rare word is one of about as many as share its id
-        self.within[VOCABULARY:] -= np.log(max(1.0, (kinds - len(counts)) / RARE))
-        self.mass = mass
-        self.slots = np.zeros(RARE, np.int64)
-        self.seen: dict[bytes, int] = {}
+        at = ctx.ravel()
+        ge = np.stack([np.bincount(at, gx[:, k], PAD + 1) for k in range(EMBED)], axis=1).astype(np.float32)
+        for q, g, held in zip(self.params(), (ge, x.T @ gh, gh.sum(axis=0), h.T @ p, p.sum(axis=0)), state):
+            self.step(q, g, held)
+
+    @staticmethod
+    def step(q: np.ndarray, g: np.ndarray, held: np.ndarray) -> None:
+        held += g * g
+        q -= RATE * g / (np.sqrt(held) + 1e-6)
+
+    def fit(self, texts, state: list[np.ndarray] | None = None) -> int:
+        """A pass over texts (arrays of ids) in batches of about BATCH words; the number of words."""
+        state = [np.zeros_like(p) for p in self.params()] if state is None else state
+        held, size, seen = [], 0, 0
+
+        def pass_over():
+            ctx, own = self.contexts(held)
+            for s in range(0, len(own), BATCH):
+                self.learn(ctx[s : s + BATCH], own[s : s + BATCH], state)
+            return len(own)
 
-    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The groups' trees: word i's path is what lies from first[i] to first[i + 1] in (nodes, signs); biases of the nodes.
-
-        The words of a group stand in a row, which is halved until each stands alone; a node is named by where it parts the row.
-        """
-        mass = self.mass.copy()
-        mass[VOCABULARY:] = self.slots + 1
-        used = np.concatenate([np.arange(len(self.ids)), np.arange(VOCABULARY, VOCABULARY + RARE)])
-        row = used[np.argsort(self.group[used], kind="stable")]
-        upto = np.concatenate([[0.0], np.cumsum(mass[row])])
-        place, bias = np.arange(len(row)), np.zeros(len(row))
-        low, high = (np.searchsorted(self.group[row], self.group[row], side=x) for x in ("left", "right"))
-        found = []
-        while len(at := np.flatnonzero(high - low > 1)):
-            mid = (low[at] + high[at]) // 2
-            left = place[at] < mid
-            bias[mid] = np.log((upto[mid] - upto[low[at]]) / (upto[high[at]] - upto[mid]))
-            found.append((row[at], mid, np.where(left, 1, -1)))
-            high[at], low[at] = np.where(left, mid, high[at]), np.where(left, low[at], mid)
-        word, node, sign = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(word, kind="stable")
-        first = np.searchsorted(word[order], np.arange(VOCABULARY + RARE + 1))
-        return first, node[order].astype(np.uint16), sign[order].astype(np.float32), bias
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        return self.numbered((text or "").encode().translate(FOLD).split())
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > 400_000:
-            seen.clear()
-        for w in set(words).difference(seen):
-            i = self.ids.get(w)
-            seen[w] = VOCABULARY + int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % RARE if i is None else i
-        return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= BATCH:
+                seen, held, size = seen + pass_over(), [], 0
+        return seen + (pass_over() if size else 0)
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -230,31 +221,9 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def slot_totals(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """What the words without ids of their own count, by the id that they share."""
-    held = counts.sparkSession.sparkContext.broadcast(vocab)
-
-    def run(batches):
-        v, sums = held.value, np.zeros(RARE, np.int64)
-        for batch in batches:
-            ids = v.numbered(batch.column(0).to_pylist())
-            rare = ids >= VOCABULARY
-            np.add.at(sums, ids[rare] - VOCABULARY, batch.column(1).to_numpy(zero_copy_only=False)[rare])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(sums)], names=["slot", "n"])
-
-    out = np.zeros(RARE, np.int64)
-    for r in counts.select("word", "n").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        out[r.slot] = r.n
-    return out
-
-
-def vocabulary(df: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> Vocabulary:
-    """The VOCABULARY most frequent words (ties: smaller first) and the totals; a bounded table comes to the driver.
-
-    ``counts``: the table of all words, if it is written already.
-    """
-    counts = written(word_counts(df, text_col)) if counts is None else counts
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
+def vocabulary(df: DataFrame, text_col: str = "text") -> Vocabulary:
+    """The VOCABULARY most frequent words (ties: smaller first), and the byte pairs of all others; both are bounded tables, which come to the driver."""
+    counts = written(word_counts(df, text_col))
     # a histogram of the counts' sizes tells above which the most frequent words lie, so that tasks send few others
     size = F.floor(F.log2("n") * 8).cast("int")
     least, held = 0, 0
@@ -262,125 +231,171 @@ def vocabulary(df: DataFrame, text_col: str = "text", counts: DataFrame | None =
         least, held = b, held + n
         if held >= VOCABULARY:
             break
-    top = counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    vocab = Vocabulary([(bytes(r.word), r.n) for r in top], total, kinds)
-    if kinds > len(vocab.ids):
-        vocab.slots = slot_totals(counts, vocab)
-    return vocab
+    top = [(bytes(r.word), r.n) for r in counts.where(size >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    known = counts.sparkSession.sparkContext.broadcast(frozenset(w for w, _ in top))
+
+    def pairs(batches):
+        sums, rare = np.zeros(65536, np.int64), 0
+        for batch in batches:
+            kept = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known.value]
+            if kept:
+                x = np.frombuffer(b"\0" + b"\0".join(w for w, _ in kept) + b"\0", np.uint8).astype(np.int64)
+                sums += np.bincount(x[:-1] * 256 + x[1:], np.repeat([n for _, n in kept], [len(w) + 1 for w, _ in kept]), 65536).astype(np.int64)
+                rare += sum(n for _, n in kept)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], rare))], names=["pair", "n"])
+
+    follows, rare = np.zeros(65536, np.int64), 0
+    for r in counts.select("word", "n").mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        if r.pair < 0:
+            rare = r.n
+        else:
+            follows[r.pair] = r.n
+    return Vocabulary(top, rare, follows.reshape(256, 256))
+
+
+def encoded(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, ids, sizes, keys, spelled), written: a text's word ids as 16-bit integers, and of each of its sentences the
+    number of words, the hash of the words, and the log-probability of its rare words within their id."""
+    held = df.sparkSession.sparkContext.broadcast(vocab)
+
+    def factory():
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        powers = np.cumprod(np.full(1 << 16, odd))
+
+        def work(texts):
+            v, out = held.value, [[], [], [], []]
+            for s in range(0, len(texts), 64):
+                cut = [[x for x in (t or "").encode().translate(SENTENCES).split(b"\n")] for t in texts[s : s + 64]]
+                cut = [[w for x in c if (w := x.split())] for c in cut]
+                ids, hashes, spelled = v.numbered([w for c in cut for x in c for w in x])
+                sizes = np.array([len(x) for c in cut for x in c], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                place = np.arange(len(ids)) - np.repeat(starts, sizes)
+                mixed = (hashes ^ (hashes >> np.uint64(29))) * powers[place & 0xFFFF]
+                keys = (np.add.reduceat(mixed, starts) if len(starts) else mixed[:0]) * odd
+                keys = (keys ^ (keys >> np.uint64(32))).view(np.int64)
+                rare = np.add.reduceat(spelled, starts) if len(starts) else spelled
+                a = b = 0
+                for c in cut:
+                    n, m = sum(map(len, c)), len(c)
+                    for column, x in zip(out, (ids[a : a + n].astype("<u2").tobytes(), sizes[b : b + m].astype("<i4"), keys[b : b + m], rare[b : b + m]), strict=True):
+                        column.append(x)
+                    a, b = a + n, b + m
+            return out
+
+        return work
+
+    rows = map_texts(df, [id_col, text_col], {"id": "bigint", "ids": "binary", "sizes": "array<int>", "keys": "array<bigint>", "spelled": "array<double>"}, factory)
+    # rows are numbered when written, so both sides of later joins have the same numbers
+    return written(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def train(df: DataFrame, vocab: Vocabulary, text_col: str = "text", words: bool = False) -> WindowNet:
-    """A network trained on every word of the corpus; with ``words`` a WordNet.
+def train(texts: DataFrame, vocab: Vocabulary, shard_words: int = SHARD_WORDS) -> WindowNet:
+    """A network trained on every word of the encoded texts.
 
-    Each task starts from the same weights and passes over its texts; what its network has moved by is averaged over all tasks,
-    weighted by words. Averages are made in Spark, BLOCK numbers to a row, so the driver gets one network, however many tasks.
+    Texts are dealt by hash into as many shards as the corpus has ``shard_words``, in the order of their hashes, however
+    they were stored. For each shard a copy of the network passes over its texts; what it has moved by is averaged over all
+    shards, weighted by words. Averages are made in Spark, BLOCK numbers to a row, so the driver gets one network.
     """
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(vocab)
+    held = texts.sparkSession.sparkContext.broadcast(vocab)
     columns = [f"d{k}" for k in range(BLOCK)]
+    words = texts.agg(F.sum(F.length("ids") / 2)).head()[0] or 0
 
     def run(batches):
-        v = held.value
-        net = WordNet(v) if words else WindowNet()
+        net = WindowNet(held.value)
         first = net.flat()
-        state, seen, left = [np.zeros_like(p) for p in net.params()], 0, []
-        size = 0
-        for batch in batches:
-            for part in slices(batch, 0):
-                for text in part.column(0).to_pylist():
-                    x = v.numbers(text)
-                    left.append(x)
-                    size += len(x)
-                    if size >= BATCH:
-                        ctx, own = net.contexts(left)
-                        for s in range(0, len(own), BATCH):
-                            net.learn(ctx[s : s + BATCH], own[s : s + BATCH], v.group[own[s : s + BATCH]], state)
-                        seen, left, size = seen + size, [], 0
-        if size:
-            ctx, own = net.contexts(left)
-            net.learn(ctx, own, v.group[own], state)
-            seen += size
-        moved = net.flat() - first
-        moved = np.pad(moved, (0, -len(moved) % BLOCK)).reshape(-1, BLOCK)
+        seen = net.fit(np.frombuffer(x.as_py(), "<u2").astype(np.int32) for b in batches for x in b.column(0))
+        moved = net.flat().astype(np.float64) - first
+        moved = np.pad(moved, (0, -len(moved) % BLOCK)).reshape(-1, BLOCK) * seen
         at = np.flatnonzero(moved.any(axis=1))
         release_memory()
-        for k in range(0, len(at), 10_000):
-            i = at[k : k + 10_000]
-            d = moved[i].astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(np.full(len(i), seen), pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in d.T]], names=["i", "n", *columns])
-
-    schema = "i bigint, n bigint, " + ", ".join(f"{c} double" for c in columns)
-    moves = df.select(text_col).mapInArrow(run, schema).groupBy("i").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns])
-    net = WordNet(vocab) if words else WindowNet()
+        for k in range(0, len(at), 4000):
+            i = at[k : k + 4000]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in moved[i].T]], names=["i", *columns])
+
+    small_batches(texts.sparkSession)
+    h = F.xxhash64("id", "ids")
+    dealt = texts.where(F.length("ids") > 0).select(h.alias("h"), "ids").repartition(max(1, -(-int(words) // shard_words)), "h").sortWithinPartitions("h", "ids")
+    moves = dealt.select("ids").mapInArrow(run, "i bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
+    net = WindowNet(vocab)
     flat = net.flat()
-    whole = np.pad(flat, (0, -len(flat) % BLOCK)).reshape(-1, BLOCK)
+    whole = np.pad(flat.astype(np.float64), (0, -len(flat) % BLOCK)).reshape(-1, BLOCK)
     rows = moves.toArrow()
     if rows.num_rows:
-        d, n = np.stack([rows[c].to_numpy() for c in columns], axis=1), rows["n"].to_numpy()
-        whole[rows["i"].to_numpy()] += (d / n[:, None]).astype(np.float32)
-    flat = whole.ravel()[: len(flat)]
-    return net.load(flat)
+        whole[rows["i"].to_numpy()] += np.stack([rows[c].to_numpy() for c in columns], axis=1) / words
+    return net.load(whole.ravel()[: len(flat)].astype(np.float32))
 
 
-def score(df: DataFrame, net: WindowNet, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
-    """One row per input row: id, ``n_tokens``, ``pll`` (sum of the log-probabilities of every word given those around it) and
-    ``mean_pll`` (0 without words).
+def sentence_scores(texts: DataFrame, net: WindowNet) -> DataFrame:
+    """(row, id, n_tokens, pll, parts), written: parts are (key, size, log-probability) of sentences long enough to be looked up."""
+    held = texts.sparkSession.sparkContext.broadcast(net)
 
-    With a WordNet and ``counts``, the table of all words, the network gives the word, or the id that rare words share, and a
-    rare word has its part of what the words of that id count; one that was never counted has the part of one occurrence.
-    Then rare words are joined with their counts. Else it is a map where the documents are read.
-    Null, empty or wordless text: 0 words, 0. Very long text: all its words, in slices.
-    Repeated rows: each gives its row. Empty table: no rows. Other columns are not read.
-    """
-    if (counts is not None) != isinstance(net, WordNet):
-        raise ValueError("a WordNet and counts go together")
-    held = df.sparkSession.sparkContext.broadcast((net, vocab))
-    joined = counts is not None
-
-    def factory():
-        net, v = held.value
-        part = np.concatenate([np.zeros(VOCABULARY), -np.log(v.slots + 1.0)])
+    def run(batches):
+        net = held.value
+        for whole in batches:
+            for s in range(0, whole.num_rows, 64):
+                b = whole.slice(s, 64)
+                ids = [np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in b.column(2)]
+                n = np.array([len(x) for x in ids], np.int64)
+                ctx, own = net.contexts(ids)
+                logs = np.concatenate([net.log_probabilities(ctx[k : k + BATCH], own[k : k + BATCH]) for k in range(0, len(own), BATCH)] or [np.zeros(0)])
+                sizes, keys, spelled = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+                per = np.array([len(x) for x in b.column(3)], np.int64)
+                total = np.concatenate([[0.0], np.cumsum(logs)])
+                ends = np.cumsum(sizes)
+                sums = total[ends] - total[ends - sizes] + spelled
+                upto, last = np.concatenate([[0.0], np.cumsum(sums)]), np.cumsum(per)
+                long = sizes >= RECALL_WORDS
+                offsets = np.concatenate([[0], np.cumsum(long)])[np.concatenate([[0], last])]
+                parts = pa.StructArray.from_arrays([pa.array(keys[long]), pa.array(sizes[long], pa.int32()), pa.array(sums[long])], names=["key", "size", "logp"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(n), pa.array(upto[last] - upto[last - per]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)],
+                    names=["row", "id", "n_tokens", "pll", "parts"],
+                )
+        release_memory()
 
-        def logs(texts: list[np.ndarray]) -> np.ndarray:
-            ctx, own = net.contexts(texts)
-            out = np.empty(len(own))
-            for s in range(0, len(own), BATCH):
-                w = own[s : s + BATCH]
-                _, h, p = net.forward(ctx[s : s + BATCH])
-                below = net.below(h, w) + part[w] if joined else v.within[w]
-                out[s : s + BATCH] = np.log(np.maximum(p[np.arange(len(w)), v.group[w]], 1e-30)) + below
-            return out
+    small_batches(texts.sparkSession)
+    rows = texts.select("row", "id", "ids", "sizes", "keys", "spelled")
+    return written(rows.mapInArrow(run, "row bigint, id bigint, n_tokens bigint, pll double, parts array<struct<key:bigint,size:int,logp:double>>"))
 
-        def work(texts):
-            sizes, sums, rare = [], [], []
-            for s in range(0, len(texts), 64):
-                words = [(t or "").encode().translate(FOLD).split() for t in texts[s : s + 64]]
-                xs = [v.numbered(w) for w in words]
-                n = np.array([len(x) for x in xs])
-                total = np.concatenate([[0.0], np.cumsum(logs(xs))])
-                ends = np.cumsum(n)
-                sizes += n.tolist()
-                sums += (total[ends] - total[ends - n]).tolist()
-                if joined:
-                    rare += [[w[i] for i in np.flatnonzero(x >= VOCABULARY)] for w, x in zip(words, xs, strict=True)]
-            return [sizes, sums, rare if joined else [a / n if n else 0.0 for a, n in zip(sums, sizes, strict=True)]]
 
-        return work
+def score(texts: DataFrame, net: WindowNet, id_col: str = "doc_id") -> DataFrame:
+    """One row per encoded text: id, ``n_tokens``, ``pll``, ``mean_pll``, ``n_recalled``, ``corpus_pll``, ``mean_corpus_pll``.
 
-    if not joined:
-        return map_texts(df, [id_col, text_col], {id_col: "bigint", "n_tokens": "bigint", "pll": "double", "mean_pll": "double"}, factory)
-    # numbers of rows are written with them, so both sides of the join have the same
-    base = map_texts(df, [id_col, text_col], {"id": "bigint", "n_tokens": "bigint", "pll": "double", "rare": "array<binary>"}, factory)
-    base = written(base.withColumn("row", F.monotonically_increasing_id()))
-    # a count of 1 adds nothing
-    more = base.select("row", F.explode("rare").alias("word")).join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
-    pll = F.col("pll") + F.coalesce("more", F.lit(0.0))
-    out = base.drop("rare").join(more, "row", "left").select(F.col("id").alias(id_col), "n_tokens", pll.alias("pll"))
-    return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).otherwise(0.0))
+    ``pll`` sums the log-probabilities of every word given the words around it: the network's class, word in the class, and
+    for rare words their bytes. ``corpus_pll`` lets the corpus help: a sentence of RECALL_WORDS words or more that stands in
+    c other places of the corpus has (c + p) / (c + 1) in place of its words' p. ``n_recalled`` counts the words of such
+    sentences. Means are by word, 0 without words.
+    """
+    scored = sentence_scores(texts, net)
+    part = scored.select("row", F.explode("parts").alias("x")).select("row", "x.key", "x.size", "x.logp")
+    # sentences of one place only, nearly all, meet nothing in the join
+    counts = part.groupBy("key").agg((F.count("*") - 1).alias("c")).where("c > 0")
+    gain = F.log((F.col("c") + F.exp("logp")) / (F.col("c") + 1)) - F.col("logp")
+    more = part.join(counts, "key").groupBy("row").agg(F.sum("size").alias("n"), F.sum(gain).alias("gain"))
+    zero = F.lit(0.0)
+    corpus = F.col("pll") + F.coalesce("gain", zero)
+    mean = lambda x: F.when(F.col("n_tokens") > 0, x / F.col("n_tokens")).otherwise(0.0)
+    return scored.drop("parts").join(more, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", "pll", mean(F.col("pll")).alias("mean_pll"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_recalled"), corpus.alias("corpus_pll"), mean(corpus).alias("mean_corpus_pll")
+    )
+
+
+def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of all rows by a network trained on the same rows.
+
+    Word counts, byte pairs, training and sentence counts cover every word of every text; word and sentence counts grow with
+    the corpus and stay in Spark. What is broadcast is bounded by VOCABULARY: words, byte pairs, the network.
+
+    Null, empty or wordless text: 0 words, 0. Very long text: all its words, in slices. Null id: scored like others. Repeated
+    rows: each gives its row, and counts. Ties in frequency: smaller words first. Empty table: no rows. Other columns are
+    not read.
+    """
+    vocab = vocabulary(df, text_col)
+    texts = encoded(df, vocab, id_col, text_col)
+    return score(texts, train(texts, vocab), id_col)
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = written(word_counts(docs))
-    vocab = vocabulary(docs, counts=counts)
-    return score(docs, train(docs, vocab, words=True), vocab, counts=counts)
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))

@@ -410,94 +410,158 @@ def test_urls_equal_brute_force(spark):
 # 9: pseudo-likelihood
 
 
+def cut(text):
+    """Sentences as lists of words."""
+    return [w for x in (text or "").encode().translate(pseudo_likelihood.SENTENCES).split(b"\n") if (w := x.split())]
+
+
+def naive_forward(net, near):
+    """Class and word probabilities of a network, given the ids around, word by word."""
+    h = np.maximum(sum(net.embed[i] @ net.w1[k * pseudo_likelihood.EMBED : (k + 1) * pseudo_likelihood.EMBED] for k, i in enumerate(near)) + net.b1, 0)
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    inner = lambda c: soft(h @ net.w3[c * pseudo_likelihood.WIDTH : (c + 1) * pseudo_likelihood.WIDTH].T + net.b3[c * pseudo_likelihood.WIDTH : (c + 1) * pseudo_likelihood.WIDTH])
+    return h, soft(h @ net.w2 + net.b2), inner
+
+
 def test_scores_equal_a_word_by_word_sum(spark):
-    rows = texts(80) + ODD
+    rows = texts(80) + ["Rare zyx one of a kind. The of the of the!", "the of the of the"] + ODD
     df = docs(spark, rows)
     vocab = pseudo_likelihood.vocabulary(df)
-    counts = Counter(w for t in rows for w in (t or "").encode().translate(pseudo_likelihood.FOLD).split())
+    counts = Counter(w for t in rows for x in cut(t) for w in x)
     assert set(vocab.ids) == set(counts) and list(vocab.ids)[0] == counts.most_common(1)[0][0]
-    net = pseudo_likelihood.train(df, vocab)
-    got = by_id(pseudo_likelihood.score(df, net, vocab))
-    for i in [*range(10), *range(80, 91)]:
-        ids = vocab.numbers(rows[i])
-        padded = [net.pad] * 2 + ids.tolist() + [net.pad] * 2
-        total = 0.0
-        for j in range(min(len(ids), 50)):
-            x = np.concatenate([net.embed[padded[j + k]] for k in (0, 1, 3, 4)])
-            z = np.maximum(x @ net.w1 + net.b1, 0) @ net.w2 + net.b2
-            total += z[vocab.group[ids[j]]] - np.log(np.exp(z - z.max()).sum()) - z.max() + vocab.within[ids[j]]
-        assert got[i].n_tokens == len(ids)
-        if len(ids) <= 50:
-            assert got[i].pll == pytest.approx(total, abs=1e-3)
-    untrained = by_id(pseudo_likelihood.score(df, pseudo_likelihood.WindowNet(), vocab))
+    encoded = pseudo_likelihood.encoded(df, vocab)
+    net = pseudo_likelihood.train(encoded, vocab)
+    got = by_id(pseudo_likelihood.score(encoded, net))
+    places = Counter(tuple(x) for t in rows for x in cut(t))
+    for i in [*range(10), *range(80, len(rows))]:
+        sentences, total, corpus, recalled = cut(rows[i]), 0.0, 0.0, 0
+        words = [w for x in sentences for w in x]
+        assert got[i].n_tokens == len(words)
+        if len(words) > 100:
+            continue
+        ids = [pseudo_likelihood.PAD] * 2 + [vocab.ids[w] for w in words] + [pseudo_likelihood.PAD] * 2
+        j = 2
+        for x in sentences:
+            own = 0.0
+            for _ in x:
+                _, kinds, inner = naive_forward(net, [ids[j + k] for k in (-2, -1, 1, 2)])
+                own += np.log(kinds[ids[j] // pseudo_likelihood.WIDTH]) + np.log(inner(ids[j] // pseudo_likelihood.WIDTH)[ids[j] % pseudo_likelihood.WIDTH])
+                j += 1
+            c = places[tuple(x)] - 1 if len(x) >= pseudo_likelihood.RECALL_WORDS else 0
+            total, recalled = total + own, recalled + (len(x) if c else 0)
+            corpus += np.log((c + np.exp(own)) / (c + 1)) if c else own
+        assert got[i].pll == pytest.approx(total, abs=1e-3) and got[i].corpus_pll == pytest.approx(corpus, abs=1e-3) and got[i].n_recalled == recalled
+        assert got[i].mean_pll == pytest.approx(total / max(1, len(words)), abs=1e-3)
+    untrained = by_id(pseudo_likelihood.score(encoded, pseudo_likelihood.WindowNet(vocab)))
     assert sum(r.pll for r in got.values()) > sum(r.pll for r in untrained.values())
-    assert got[80].pll == 0 == got[80].n_tokens and pseudo_likelihood.score(empty(spark), net, vocab).count() == 0
+    assert got[82].pll == 0 == got[82].n_tokens
+
+
+def test_training_equals_plain_loops(monkeypatch):
+    for name, x in (("VOCABULARY", 12), ("RARE", 12), ("PAD", 13), ("WIDTH", 4), ("CLASSES", 4), ("BATCH", 40)):
+        monkeypatch.setattr(pseudo_likelihood, name, x)
+    vocab = pseudo_likelihood.Vocabulary([(bytes([97 + i]), 20 - i) for i in range(12)], rare=5)
+    rnd = np.random.default_rng(3)
+    corpus = [rnd.integers(0, 13, n).astype(np.int32) for n in (7, 1, 33, 25, 0, 12)]
+    net, plain = pseudo_likelihood.WindowNet(vocab), pseudo_likelihood.WindowNet(vocab)
+    for p in (net, plain):
+        p.w2[...], p.w3[...] = 0.1, np.linspace(-1, 1, p.w3.size).reshape(p.w3.shape)
+    assert net.fit(corpus) == sum(map(len, corpus))
+    state = [np.zeros_like(p) for p in plain.params()]
+    batches, held = [], []
+    for t in corpus:  # as fit groups them
+        held.append(t)
+        if sum(map(len, held)) >= 40:
+            batches, held = [*batches, held], []
+    for group in [*batches, held]:
+        flat = [(t, j) for t in group for j in range(len(t))]
+        for s in range(0, len(flat), 40):
+            grads = [np.zeros(p.shape) for p in plain.params()]
+            part = flat[s : s + 40]
+            touched = set()
+            for t, j in part:
+                near = [int(t[j + k]) if 0 <= j + k < len(t) else 13 for k in (-2, -1, 1, 2)]
+                h, kinds, inner = naive_forward(plain, near)
+                c, at = int(t[j]) // 4, int(t[j]) % 4
+                e = kinds.copy()
+                e[c] -= 1
+                gh = plain.w2 @ e
+                grads[3] += np.outer(h, e) / len(part)
+                grads[4] += e / len(part)
+                if c < 3:
+                    touched.add(c)
+                    e = inner(c)
+                    e[at] -= 1
+                    gh = gh + e @ plain.w3[4 * c : 4 * c + 4]
+                    grads[5][4 * c : 4 * c + 4] += np.outer(e, h) / len(part)
+                    grads[6][4 * c : 4 * c + 4] += e / len(part)
+                gh = gh * (h > 0)
+                grads[1] += np.outer(np.concatenate([plain.embed[i] for i in near]), gh) / len(part)
+                grads[2] += gh / len(part)
+                for k, i in enumerate(near):
+                    grads[0][i] += plain.w1[8 * k : 8 * k + 8] @ gh / len(part)
+            for p, g, a in zip(plain.params(), grads, state, strict=True):
+                a += (g * g).astype(np.float32)
+                p -= (pseudo_likelihood.RATE * g / (np.sqrt(a) + 1e-6)).astype(np.float32)
+    for p, q in zip(net.params(), plain.params(), strict=True):
+        assert np.allclose(p, q, atol=2e-3)
 
 
 def test_probabilities_of_all_words_sum_to_one(spark):
     vocab = pseudo_likelihood.vocabulary(docs(spark, texts(50)))
-    mass = np.zeros(pseudo_likelihood.GROUPS)
-    np.add.at(mass, vocab.group[: len(vocab.ids)], np.exp(vocab.within[: len(vocab.ids)]))
-    used = np.unique(vocab.group[: len(vocab.ids)])
-    assert np.allclose(mass[used], 1)
+    net = pseudo_likelihood.WindowNet(vocab)
+    net.w2[...] = np.random.default_rng(1).normal(0, 1, net.w2.shape)
+    ids = np.arange(pseudo_likelihood.VOCABULARY + 1)
+    assert np.exp(net.log_probabilities(np.tile([3, 4, 5, 6], (len(ids), 1)), ids)).sum() == pytest.approx(1, abs=1e-4)
+    assert np.allclose(np.exp(vocab.chain).sum(axis=1), 1)
 
 
 def test_words_of_like_count_are_told_apart(spark):
     rnd = random.Random(2)
     rows = [" ".join(f"a{k} b{k} c{k}" for k in rnd.choices(range(60), k=40)) for _ in range(300)]
     vocab = pseudo_likelihood.vocabulary(docs(spark, rows))
-    net = pseudo_likelihood.WordNet(vocab)
-    state = [np.zeros_like(x) for x in net.params()]
-    ctx, own = net.contexts([vocab.numbers(t) for t in rows])
+    ids = [vocab.numbered(t.encode().split())[0] for t in rows]
+    net = pseudo_likelihood.WindowNet(vocab)
+    ctx, own = net.contexts(ids)
+    before, state = net.log_probabilities(ctx, own).mean(), [np.zeros_like(p) for p in net.params()]
     for _ in range(60):
-        for s in range(0, len(own), pseudo_likelihood.BATCH):
-            w = own[s : s + pseudo_likelihood.BATCH]
-            net.learn(ctx[s : s + len(w)], w, vocab.group[w], state)
-    h = net.forward(ctx)[1]
-    group = vocab.group[own]
-    told = group == np.bincount(group).argmax()  # one group of words of like count
-    assert len(set(own[told])) > 2
-    assert net.below(h, own)[told].mean() > vocab.within[own][told].mean() + 0.3
-    ids = np.arange(len(vocab.ids))
-    p = np.exp(net.below(h[:1].repeat(len(ids), axis=0), ids))
-    assert np.allclose(np.bincount(vocab.group[ids], p)[np.unique(vocab.group[ids])], 1)
-
-
-def test_rare_words_follow_their_counts(spark):
-    rnd = random.Random(2)
+        net.fit(ids, state)
+    assert net.log_probabilities(ctx, own).mean() > before + 0.3
+
+
+def test_rare_words_follow_their_bytes(spark):
     often = [f"w{i}" for i in range(pseudo_likelihood.VOCABULARY)]
-    rows = [" ".join(often[i : i + 128] * 6) for i in range(0, len(often), 128)]
-    rows += [" ".join(f"odd{i}" for i in rnd.choices(range(300), k=10)) + " w1 w2" for _ in range(60)] + [None, "", "odd1 odd1 w5"]
-    df = docs(spark, rows)
-    counts = pseudo_likelihood.word_counts(df)
-    v = pseudo_likelihood.vocabulary(df, counts=counts)
-    n = Counter(w for t in rows for w in (t or "").encode().split())
-    rare = {w: c for w, c in n.items() if w not in v.ids}
-    assert v.slots.sum() == sum(rare.values()) > 0 and len(set(rare.values())) > 1
-    start = pseudo_likelihood.WordNet(v)
-    ids = np.arange(pseudo_likelihood.VOCABULARY)
-    assert np.allclose(start.below(np.ones((len(ids), pseudo_likelihood.HIDDEN), np.float32), ids), v.within[ids], atol=1e-3)
-    net = pseudo_likelihood.train(df, v, words=True)
-    got = by_id(pseudo_likelihood.score(df.unionByName(docs(spark, ["never seen"], 999)), net, v, counts=counts))
-    for i in [0, *range(len(rows) - 20, len(rows)), 999]:
-        words = ("never seen" if i == 999 else rows[i] or "").encode().split()
-        x = v.numbered(words)
-        if not words:
-            assert got[i].n_tokens == got[i].pll == got[i].mean_pll == 0
-            continue
-        ctx, own = net.contexts([x])
-        _, h, p = net.forward(ctx)
-        want = np.log(p[np.arange(len(x)), v.group[x]]) + net.below(h, x)
-        want += [0 if w in v.ids else np.log(n.get(w, 1) / (v.slots[j - pseudo_likelihood.VOCABULARY] + 1)) for w, j in zip(words, x, strict=True)]
-        assert got[i].n_tokens == len(x) and got[i].pll == pytest.approx(want.sum(), abs=1e-2)
-    untrained = by_id(pseudo_likelihood.score(df, start, v, counts=counts))
-    assert sum(r.pll for r in got.values()) - got[999].pll > sum(r.pll for r in untrained.values())
+    rows = [" ".join(often[i : i + 128] * 2) for i in range(0, len(often), 128)] + ["qaqa qaqb qb", "qaqa zz"]
+    vocab = pseudo_likelihood.vocabulary(docs(spark, rows))
+    rare = [b"qaqb", b"qb", b"zz"]
+    assert not set(rare) & set(vocab.ids) and vocab.mass[pseudo_likelihood.RARE] == sum(n for w, n in Counter(w for t in rows for w in t.encode().split()).items() if w not in vocab.ids)
+    ids, _, logp = vocab.numbered(rare + [b"w1", b"never"])
+    assert (ids[:-2] == pseudo_likelihood.RARE).all() and ids[-1] == pseudo_likelihood.RARE and logp[-2] == 0
+    follows = np.ones((256, 256))
+    for w, n in Counter(w for t in rows for w in t.encode().split() if w not in vocab.ids).items():
+        for a, b in zip(b"\0" + w, w + b"\0"):
+            follows[a, b] += n
+    follows /= follows.sum(axis=1, keepdims=True)
+    for w, x in zip([*rare, b"never"], [*logp[:-2], logp[-1]], strict=True):
+        assert x == pytest.approx(sum(np.log(follows[a, b]) for a, b in zip(b"\0" + w, w + b"\0")))
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    df = docs(spark, texts(300, seed=9) + ODD)
+    vocab = pseudo_likelihood.vocabulary(df)
+    got = []
+    for n in (4, 40):
+        encoded = pseudo_likelihood.encoded(df.repartition(n), vocab)
+        got.append(by_id(pseudo_likelihood.score(encoded, pseudo_likelihood.train(encoded, vocab, shard_words=3000))))
+    assert all(got[0][i].pll == pytest.approx(got[1][i].pll, rel=1e-6, abs=1e-6) for i in got[0])
 
 
 def test_a_model_of_nothing(spark):
-    vocab = pseudo_likelihood.vocabulary(empty(spark))
-    net = pseudo_likelihood.train(empty(spark), vocab)
-    assert pseudo_likelihood.score(docs(spark, ["some words"]), net, vocab).head().n_tokens == 2
+    assert pseudo_likelihood.pseudo_likelihood(empty(spark)).count() == 0
+    rows = [(None, "the same words stand here twice"), (None, "the same words stand here twice"), (1, None), (1, "")]
+    got = pseudo_likelihood.pseudo_likelihood(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_recalled) for r in got) == [(0, 6, 6), (0, 6, 6), (1, 0, 0), (1, 0, 0)]
+    assert all(r.corpus_pll == pytest.approx(np.log((1 + np.exp(r.pll)) / 2)) for r in got if r.n_tokens)
 
 
 # 10: ORC
