@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <=
 SENTENCES = bytes(0x0A if b in b".!?\n" else FOLD[b] for b in range(256))
 #: Words that the network tells apart, the most frequent ones; it gives all others one id, and a chain over their bytes
 #: goes on to the word.
-VOCABULARY = 16_384
+VOCABULARY = 8192
 RARE, PAD = VOCABULARY, VOCABULARY + 1
 #: Words of a class: the first softmax gives the class, the second one the word.
 WIDTH = 128
@@ -25,7 +27,7 @@ CLASSES = VOCABULARY // WIDTH + 1
 SIDE, EMBED, HIDDEN = 2, 8, 24
 BATCH, RATE = 8192, 0.04
 #: Words that one copy of the network is trained on in a pass, about.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 3_000_000
 #: Numbers of a network that are averaged as one row.
 BLOCK = 32
 #: Distinct words that a worker keeps; fewer cost time only.
@@ -59,20 +61,21 @@ class Vocabulary:
 
     def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words' ids, 64-bit hashes, and log-probabilities within their id (0 but for rare words). Words are worked out once and kept."""
-        seen = self.seen
-        if new := list(set(words).difference(seen)):
-            if len(seen) + len(new) > (len(self.table[0]) if self.table else 0):
-                seen.clear()
-                new, size = list(set(words)), max(SEEN, len(words))
+        found = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
+        if not self.table or len(found) and found.min() < 0:
+            new = list({words[i] for i in np.flatnonzero(found < 0).tolist()})
+            if not self.table or len(self.seen) + len(new) > len(self.table[0]):
+                self.seen, new = {}, list(set(words))
+                size = max(SEEN, len(new))
                 self.table = np.zeros(size, np.int32), np.zeros(size, np.uint64), np.zeros(size)
-            at = slice(len(seen), len(seen) + len(new))
+            at = slice(len(self.seen), len(self.seen) + len(new))
             ids = np.fromiter((self.ids.get(w, RARE) for w in new), np.int32, len(new))
             self.table[0][at] = ids
             self.table[1][at] = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in new]), "<u8")
             self.table[2][at] = np.where(ids == RARE, self.spelled(new), 0.0)
-            seen.update(zip(new, range(at.start, at.stop), strict=True))
-        found = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-        return tuple(x[found] for x in self.table) if self.table else (found.astype(np.int32), found.astype(np.uint64), found.astype(np.float64))
+            self.seen.update(zip(new, range(at.start, at.stop), strict=True))
+            found = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        return tuple(x[found] for x in self.table)
 
 
 class WindowNet:
@@ -87,14 +90,16 @@ class WindowNet:
         self.embed = rng.normal(0, 0.3, (PAD + 1, EMBED)).astype(np.float32)
         self.w1 = rng.normal(0, (2 * SIDE * EMBED) ** -0.5, (2 * SIDE * EMBED, HIDDEN)).astype(np.float32)
         self.b1 = np.zeros(HIDDEN, np.float32)
-        self.w2 = np.zeros((HIDDEN, CLASSES), np.float32)
-        by_class = np.append(vocab.mass[:VOCABULARY].reshape(-1, WIDTH).sum(axis=1), vocab.mass[RARE])
-        self.b2 = np.log(by_class + 0.1).astype(np.float32)
-        self.w3 = np.zeros((VOCABULARY, HIDDEN), np.float32)
-        self.b3 = np.log(vocab.mass[:VOCABULARY] + 1e-6).astype(np.float32)
+        # the last column holds biases
+        self.w2 = np.zeros((CLASSES, HIDDEN + 1), np.float32)
+        self.w3 = np.zeros((VOCABULARY, HIDDEN + 1), np.float32)
+        known = vocab.mass[:VOCABULARY].reshape(-1, WIDTH)
+        by_class = np.append(known.sum(axis=1), vocab.mass[RARE]) + 0.1
+        self.w2[:, -1] = np.log(by_class / by_class.sum())
+        self.w3[:, -1] = np.log((known + 1e-6) / (known + 1e-6).sum(axis=1, keepdims=True)).ravel()
 
     def params(self) -> list[np.ndarray]:
-        return [self.embed, self.w1, self.b1, self.w2, self.b2, self.w3, self.b3]
+        return [self.embed, self.w1, self.b1, self.w2, self.w3]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params()])
@@ -115,17 +120,22 @@ class WindowNet:
         return held[at[:, None] + np.array([k for k in range(-SIDE, SIDE + 1) if k])], held[at]
 
     def hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the hidden layer reads, and what it gives, with a column of ones for biases."""
         x = self.embed.take(ctx, axis=0).reshape(len(ctx), -1)
-        h = x @ self.w1
-        h += self.b1
-        return x, np.maximum(h, 0, out=h)
+        h = np.ones((len(ctx), HIDDEN + 1), np.float32)
+        np.maximum(x @ self.w1 + self.b1, 0, out=h[:, :-1])
+        return x, h
 
     @staticmethod
-    def softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+    def exponentials(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A softmax before division: exponentials and their sums by row."""
+        z = h @ w.T
+        e = np.exp(z)
+        total = e @ np.ones(e.shape[1], np.float32)
+        if not (total.min() > 1e-30 and total.max() < 1e30):  # too far off for plain exponentials
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            total = e.sum(axis=1)
+        return e, total
 
     @staticmethod
     def by_class(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -138,44 +148,49 @@ class WindowNet:
     def log_probabilities(self, ctx: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Of the words, or of the id of all rare words, given what stands around them."""
         order, spans = self.by_class(own)
-        word = own[order]
+        word, row = own[order], np.arange(len(own))
         _, h = self.hidden(ctx[order])
-        p = self.softmax(h @ self.w2 + self.b2)[np.arange(len(word)), word // WIDTH]
+        e, total = self.exponentials(h, self.w2)
+        p = e[row, word // WIDTH] / total
         for c, a, b in spans:
-            s = slice(c * WIDTH, (c + 1) * WIDTH)
-            p[a:b] *= self.softmax(h[a:b] @ self.w3[s].T + self.b3[s])[np.arange(b - a), word[a:b] % WIDTH]
+            e, total = self.exponentials(h[a:b], self.w3[c * WIDTH : (c + 1) * WIDTH])
+            p[a:b] *= e[row[: b - a], word[a:b] - c * WIDTH] / total
         out = np.empty(len(own))
         out[order] = np.log(np.maximum(p, 1e-30))
         return out
 
+    def errors(self, h: np.ndarray, w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The softmax less what is right, as a share of n words."""
+        e, total = self.exponentials(h, w)
+        e *= (1 / (total * n))[:, None]
+        e[np.arange(len(at)), at] -= np.float32(1 / n)
+        return e
+
     def learn(self, ctx: np.ndarray, own: np.ndarray, state: list[np.ndarray]) -> None:
         """One Adagrad step on the mean cross entropy."""
         order, spans = self.by_class(own)
-        ctx, own, n = ctx[order], own[order], np.float32(len(own))
+        ctx, own, n = ctx[order], own[order], len(own)
         x, h = self.hidden(ctx)
-        p = self.softmax(h @ self.w2 + self.b2)
-        p[np.arange(len(own)), own // WIDTH] -= 1
-        p /= n
-        gh = p @ self.w2.T
+        p = self.errors(h, self.w2, own // WIDTH, n)
+        gh = p @ self.w2[:, :-1]
         for c, a, b in spans:
-            s = slice(c * WIDTH, (c + 1) * WIDTH)
-            q = self.softmax(h[a:b] @ self.w3[s].T + self.b3[s])
-            q[np.arange(b - a), own[a:b] % WIDTH] -= 1
-            q /= n
-            gh[a:b] += q @ self.w3[s]
-            self.step(self.w3[s], q.T @ h[a:b], state[5][s])
-            self.step(self.b3[s], q.sum(axis=0), state[6][s])
-        gh *= h > 0
+            w = self.w3[c * WIDTH : (c + 1) * WIDTH]
+            q = self.errors(h[a:b], w, own[a:b] - c * WIDTH, n)
+            gh[a:b] += q @ w[:, :-1]
+            self.step(w, q.T @ h[a:b], state[4][c * WIDTH : (c + 1) * WIDTH])
+        gh *= h[:, :-1] > 0
         gx = (gh @ self.w1.T).reshape(-1, EMBED)
         at = ctx.ravel()
         ge = np.stack([np.bincount(at, gx[:, k], PAD + 1) for k in range(EMBED)], axis=1).astype(np.float32)
-        for q, g, held in zip(self.params(), (ge, x.T @ gh, gh.sum(axis=0), h.T @ p, p.sum(axis=0)), state):
+        for q, g, held in zip(self.params(), (ge, x.T @ gh, gh.sum(axis=0), p.T @ h), state):
             self.step(q, g, held)
 
     @staticmethod
     def step(q: np.ndarray, g: np.ndarray, held: np.ndarray) -> None:
         held += g * g
-        q -= RATE * g / (np.sqrt(held) + 1e-6)
+        g *= RATE
+        g /= np.sqrt(held) + 1e-6
+        q -= g
 
     def fit(self, texts, state: list[np.ndarray] | None = None) -> int:
         """A pass over texts (arrays of ids) in batches of about BATCH words; the number of words."""
@@ -295,35 +310,31 @@ def train(texts: DataFrame, vocab: Vocabulary, shard_words: int = SHARD_WORDS) -
     """A network trained on every word of the encoded texts.
 
     Texts are dealt by hash into as many shards as the corpus has ``shard_words``, in the order of their hashes, however
-    they were stored. For each shard a copy of the network passes over its texts; what it has moved by is averaged over all
-    shards, weighted by words. Averages are made in Spark, BLOCK numbers to a row, so the driver gets one network.
+    they were stored. For each shard, which is a few MB, a copy of the network passes over its texts; what it has moved by
+    is averaged over all shards, weighted by words. Averages are made in Spark, BLOCK numbers to a row, so the driver gets
+    one network.
     """
     held = texts.sparkSession.sparkContext.broadcast(vocab)
     columns = [f"d{k}" for k in range(BLOCK)]
-    words = texts.agg(F.sum(F.length("ids") / 2)).head()[0] or 0
+    words = int(texts.agg(F.sum(F.length("ids") / 2)).head()[0] or 0)
 
-    def run(batches):
+    def run(shard: pa.Table) -> pa.Table:
         net = WindowNet(held.value)
         first = net.flat()
-        seen = net.fit(np.frombuffer(x.as_py(), "<u2").astype(np.int32) for b in batches for x in b.column(0))
-        moved = net.flat().astype(np.float64) - first
-        moved = np.pad(moved, (0, -len(moved) % BLOCK)).reshape(-1, BLOCK) * seen
+        seen = net.fit(np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in shard.column("ids").take(pc.sort_indices(shard.column("h"))))
+        moved = (net.flat() - first) * np.float32(seen / words)
+        moved = np.pad(moved, (0, -len(moved) % BLOCK)).reshape(-1, BLOCK)
         at = np.flatnonzero(moved.any(axis=1))
-        release_memory()
-        for k in range(0, len(at), 4000):
-            i = at[k : k + 4000]
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in moved[i].T]], names=["i", *columns])
+        return pa.Table.from_arrays([pa.array(at, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in moved[at].T]], names=["i", *columns])
 
-    small_batches(texts.sparkSession)
     h = F.xxhash64("id", "ids")
-    dealt = texts.where(F.length("ids") > 0).select(h.alias("h"), "ids").repartition(max(1, -(-int(words) // shard_words)), "h").sortWithinPartitions("h", "ids")
-    moves = dealt.select("ids").mapInArrow(run, "i bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
+    dealt = texts.where(F.length("ids") > 0).select(F.pmod(h, F.lit(max(1, -(-words // shard_words)))).alias("shard"), h.alias("h"), "ids")
+    moves = dealt.groupBy("shard").applyInArrow(run, "i bigint, " + ", ".join(f"{c} float" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
     net = WindowNet(vocab)
     flat = net.flat()
     whole = np.pad(flat.astype(np.float64), (0, -len(flat) % BLOCK)).reshape(-1, BLOCK)
     rows = moves.toArrow()
-    if rows.num_rows:
-        whole[rows["i"].to_numpy()] += np.stack([rows[c].to_numpy() for c in columns], axis=1) / words
+    whole[rows["i"].to_numpy()] += np.stack([rows[c].to_numpy() for c in columns], axis=1)
     return net.load(whole.ravel()[: len(flat)].astype(np.float32))
 
 

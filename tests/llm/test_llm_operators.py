@@ -71,6 +71,16 @@ def test_token_counts_equal_the_library(spark, library):
     assert token_counts.count_tokens(empty(spark), WORD).count() == 0
 
 
+def test_ids_equal_the_library_for_every_codepoint(library):
+    raw = open(WORD, "rb").read()
+    words = word_bpe.WordEncoder(raw, word_bpe.whole_tokens(raw), word_bpe.char_tables())
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(chars), 100_000):
+        rows = [" ".join(f"{c} a{c}b 1{c}\u0301" for c in chars[i : i + 40]) for i in range(k, min(k + 100_000, len(chars)), 40)]
+        for t, ids, x in zip(rows, words.ids(rows), library.encode_batch(rows, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == x.ids, t
+
+
 def test_whole_tokens_are_proven(library):
     whole = word_bpe.whole_tokens(open(WORD, "rb").read())
     assert len(whole) > 30_000
@@ -119,15 +129,16 @@ def test_scan_is_associative():
 
 
 def test_cache_holds_what_it_must():
-    cache, made = Cache(3), Counter()
+    cache, made = Cache(600), Counter()
 
     def make(keys):
         made.update(keys)
         return [k * 2 for k in keys]
 
-    for keys in ({1, 2}, {2, 3}, {4, 5}, {1, 2, 3, 4, 5}, {5}):
+    for keys in ({"a", "b"}, {"b", "c"}, {"d", "e"}, {"a", "b", "c", "d", "e"}, {"e"}, {"x" * 1000}, {"e"}):
         held = cache.holding(keys, make)
         assert all(held[k] == 2 * k for k in keys)
+    assert cache.size <= 600 and "x" * 1000 not in cache.young  # one long key does not stay
 
 
 # 7: decontamination
@@ -416,11 +427,11 @@ def cut(text):
 
 
 def naive_forward(net, near):
-    """Class and word probabilities of a network, given the ids around, word by word."""
+    """Hidden layer, class probabilities, and word probabilities by class of a network, given the ids around, word by word."""
     h = np.maximum(sum(net.embed[i] @ net.w1[k * pseudo_likelihood.EMBED : (k + 1) * pseudo_likelihood.EMBED] for k, i in enumerate(near)) + net.b1, 0)
+    h, wide = np.append(h, 1), pseudo_likelihood.WIDTH
     soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-    inner = lambda c: soft(h @ net.w3[c * pseudo_likelihood.WIDTH : (c + 1) * pseudo_likelihood.WIDTH].T + net.b3[c * pseudo_likelihood.WIDTH : (c + 1) * pseudo_likelihood.WIDTH])
-    return h, soft(h @ net.w2 + net.b2), inner
+    return h, soft(net.w2 @ h), lambda c: soft(net.w3[c * wide : (c + 1) * wide] @ h)
 
 
 def test_scores_equal_a_word_by_word_sum(spark):
@@ -465,7 +476,7 @@ def test_training_equals_plain_loops(monkeypatch):
     corpus = [rnd.integers(0, 13, n).astype(np.int32) for n in (7, 1, 33, 25, 0, 12)]
     net, plain = pseudo_likelihood.WindowNet(vocab), pseudo_likelihood.WindowNet(vocab)
     for p in (net, plain):
-        p.w2[...], p.w3[...] = 0.1, np.linspace(-1, 1, p.w3.size).reshape(p.w3.shape)
+        p.w2[:, :-1], p.w3[:, :-1] = 0.1, np.linspace(-1, 1, p.w3[:, :-1].size).reshape(12, -1)
     assert net.fit(corpus) == sum(map(len, corpus))
     state = [np.zeros_like(p) for p in plain.params()]
     batches, held = [], []
@@ -476,26 +487,20 @@ def test_training_equals_plain_loops(monkeypatch):
     for group in [*batches, held]:
         flat = [(t, j) for t in group for j in range(len(t))]
         for s in range(0, len(flat), 40):
-            grads = [np.zeros(p.shape) for p in plain.params()]
-            part = flat[s : s + 40]
-            touched = set()
+            grads, part = [np.zeros(p.shape) for p in plain.params()], flat[s : s + 40]
             for t, j in part:
                 near = [int(t[j + k]) if 0 <= j + k < len(t) else 13 for k in (-2, -1, 1, 2)]
                 h, kinds, inner = naive_forward(plain, near)
-                c, at = int(t[j]) // 4, int(t[j]) % 4
-                e = kinds.copy()
+                c, at, e = int(t[j]) // 4, int(t[j]) % 4, kinds.copy()
                 e[c] -= 1
-                gh = plain.w2 @ e
-                grads[3] += np.outer(h, e) / len(part)
-                grads[4] += e / len(part)
+                gh = e @ plain.w2
+                grads[3] += np.outer(e, h) / len(part)
                 if c < 3:
-                    touched.add(c)
                     e = inner(c)
                     e[at] -= 1
                     gh = gh + e @ plain.w3[4 * c : 4 * c + 4]
-                    grads[5][4 * c : 4 * c + 4] += np.outer(e, h) / len(part)
-                    grads[6][4 * c : 4 * c + 4] += e / len(part)
-                gh = gh * (h > 0)
+                    grads[4][4 * c : 4 * c + 4] += np.outer(e, h) / len(part)
+                gh = (gh * (h > 0))[:-1]
                 grads[1] += np.outer(np.concatenate([plain.embed[i] for i in near]), gh) / len(part)
                 grads[2] += gh / len(part)
                 for k, i in enumerate(near):
@@ -510,7 +515,7 @@ def test_training_equals_plain_loops(monkeypatch):
 def test_probabilities_of_all_words_sum_to_one(spark):
     vocab = pseudo_likelihood.vocabulary(docs(spark, texts(50)))
     net = pseudo_likelihood.WindowNet(vocab)
-    net.w2[...] = np.random.default_rng(1).normal(0, 1, net.w2.shape)
+    net.w2[:, :-1] = np.random.default_rng(1).normal(0, 1, (len(net.w2), pseudo_likelihood.HIDDEN))
     ids = np.arange(pseudo_likelihood.VOCABULARY + 1)
     assert np.exp(net.log_probabilities(np.tile([3, 4, 5, 6], (len(ids), 1)), ids)).sum() == pytest.approx(1, abs=1e-4)
     assert np.allclose(np.exp(vocab.chain).sum(axis=1), 1)
