@@ -15,8 +15,8 @@ from rostra.llm.common import broadcast_file, map_texts, table
 from rostra.llm.merging import Cache, PairMerger
 from rostra.llm.pretokens import STOP, boundaries
 
-#: Distinct pre-tokens cached per worker in each of two generations; fewer cost time only.
-CACHE = 250_000
+#: Bytes of distinct pre-tokens cached per worker in each of two generations, about; fewer cost time only.
+CACHE = 48 << 20
 
 
 class ByteBpe:
@@ -72,8 +72,8 @@ def encode(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: id, ``ids`` (array, if ``with_ids``), ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
     A map over the documents where they are read, without shuffle. Null text: as the empty text, no ids. Very long text:
-    taken whole, a long pre-token merged with a heap. Repeated rows: each gives its row. Empty table: no rows. Other
-    columns are not read.
+    taken whole, a long pre-token merged with a heap. Null id: encoded like others. Repeated rows: each gives its row. Empty
+    table: no rows. Other columns are not read.
     """
     raw = broadcast_file(df.sparkSession, ranks)
 
@@ -92,7 +92,8 @@ def encode(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode(df: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: id and ``bytes``, the decoded ids. Null ids: null."""
+    """One row per input row: id and ``bytes``, the decoded ids. Null ids: null; no ids: no bytes. Very long lists: taken whole.
+    Repeated rows and null ids of rows: each gives its row. Empty table: no rows. Other columns are not read."""
     raw = broadcast_file(df.sparkSession, ranks)
 
     @F.pandas_udf("binary")

@@ -134,18 +134,27 @@ class PairMerger:
 
 
 class Cache:
-    """A mapping in two generations: what was used since the last change of generation survives the next."""
+    """A mapping in two generations: what was used since the last change of generation survives the next.
+
+    ``most``: bytes that a generation holds, about (a key's characters, and 160 for each entry); one call's own keys are
+    always held, even where they are more.
+    """
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
+
+    @staticmethod
+    def weight(keys) -> int:
+        return 160 * len(keys) + 2 * sum(map(len, keys))
 
     def holding(self, keys: set, make) -> dict:
         """A dictionary that holds all keys; ``make`` gives the values of a list of those that are missing."""
         young = self.young
         if missing := keys.difference(young):
-            if len(young) + len(missing) > self.most:
-                self.old, self.young = young, (young := {})
+            if self.size + self.weight(missing) > self.most:
+                self.old, self.young, self.size = young, (young := {}), 0
                 missing = keys
+            self.size += self.weight(missing)
             if self.old:
                 old = self.old
                 for k in missing & old.keys():
@@ -154,4 +163,6 @@ class Cache:
             if missing:
                 todo = list(missing)
                 young.update(zip(todo, make(todo), strict=True))
+            if self.size > self.most:  # one call's keys alone: the next call begins anew
+                self.young, self.old, self.size = {}, {}, 0
         return young

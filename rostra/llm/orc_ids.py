@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rostra.llm.common import batch_map, broadcast_file, shared_dir, slices, table
-from rostra.llm.word_bpe import encoder, whole_tokens
+from rostra.llm.common import batch_map, shared_dir, slices, table
+from rostra.llm.word_bpe import shared_encoder
 
 STRIPE_BYTES, INDEX_STRIDE = 32 << 20, 1000
 
@@ -21,20 +21,18 @@ def write_ids(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id",
     """Writes documents' token ids below ``path`` in ascending order of ids, and returns the path.
 
     Columns: ``doc_id``, ``file_start`` (ids before it in its file), ``n_tokens`` (with the end id), ``ids``. Files follow one
-    another by name. Stripes use integer run-length encoding; the row index lets readers skip by ``doc_id``, and Bloom
+    another by the number of the partition in their names. Stripes use integer run-length encoding; the row index lets readers skip by ``doc_id``, and Bloom
     filters on ``doc_id`` skip row groups in point reads. Readers take stripes in parallel.
 
     Range partitions hold neighbouring documents; rows with one id are parted by their texts' hashes, so a hot id is no
     hot task. Null text: only the end id. Very long text: taken whole. Repeated rows: each is written. Null id: first.
     Empty table: one file without rows, or none. Other columns are not read.
     """
-    spark = df.sparkSession
-    raw = broadcast_file(spark, vocabulary)
-    whole = spark.sparkContext.broadcast(tuple(whole_tokens(raw.value).items()))
+    get = shared_encoder(df.sparkSession, vocabulary)
     end = np.array([end_id], "<u4").tobytes()
 
     def factory():
-        words, start = encoder(raw.value, whole.value), 0
+        words, start = get(), 0
 
         def work(batch):
             nonlocal start
@@ -65,7 +63,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def file_offsets(spark: SparkSession, path: str) -> DataFrame:
     """(file, before): ids in all files before each. Sums are made per file first; one row per file is ordered."""
     files = read_ids(spark, path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("n"))
-    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
+    before = W.orderBy(number, "file").rowsBetween(W.unboundedPreceding, -1)
     return files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 

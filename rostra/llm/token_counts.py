@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rostra.llm.common import broadcast_file, map_texts, table
-from rostra.llm.word_bpe import encoder, whole_tokens
+from rostra.llm.common import map_texts, table
+from rostra.llm.word_bpe import shared_encoder
 
 
 def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -16,15 +16,13 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     among the proven ones count as one, the others are merged, each distinct chunk once per task. Documents are mapped
     where they are read: no shuffle, so neither hot sources nor copies gather anywhere.
 
-    Null text: 0 bytes, 0 tokens. Empty text: the same. Very long text: taken whole. Repeated rows: each gives its row.
-    Empty table: no rows. Other columns are not read.
+    Null text: 0 bytes, 0 tokens. Empty text: the same. Null id: counted like others, the id stays null. Very long text: taken whole.
+    Repeated rows: each gives its row. Empty table: no rows. Other columns are not read.
     """
-    spark = df.sparkSession
-    raw = broadcast_file(spark, vocabulary)
-    whole = spark.sparkContext.broadcast(tuple(whole_tokens(raw.value).items()))
+    get = shared_encoder(df.sparkSession, vocabulary)
 
     def factory():
-        words = encoder(raw.value, whole.value)
+        words = get()
 
         def work(texts):
             counts = words.counts(texts)

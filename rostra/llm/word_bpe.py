@@ -9,19 +9,21 @@ import json
 import os
 import re
 import struct
+import sys
 import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import regex
 
+from pyspark.sql import SparkSession
+
+from rostra.llm.common import broadcast_file
 from rostra.llm.merging import Cache, PairMerger
 
-#: Python's white spaces that are none in Unicode.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-UNICODE_SPACE = regex.compile(r"\p{White_Space}+")
-#: Distinct chunks and words cached per worker in each of two generations; fewer cost time only.
-CACHE = 500_000
+#: Bytes of distinct chunks and words cached per worker in each of two generations, about; fewer cost time only.
+CACHE = 64 << 20
 
 
 def byte_chars() -> str:
@@ -59,6 +61,58 @@ def whole_tokens(raw: bytes) -> dict[str, int]:
     return found
 
 
+@dataclass(frozen=True)
+class CharTables:
+    """What the library makes of each codepoint, whatever version of Unicode it follows.
+
+    ``lower``: (codepoint, lower case) where they differ; ``letters``, ``numbers``, ``spaces``: ranges for a character class;
+    ``odd``: a class of codepoints that the library composes or orders in another way than this Python does.
+    """
+
+    lower: tuple[tuple[int, str], ...]
+    letters: str
+    numbers: str
+    spaces: str
+    odd: str
+
+
+def ranges(points: list[int]) -> str:
+    """A character class's inside for ascending codepoints."""
+    x = np.array(points)
+    if not len(x):
+        return ""
+    cut = np.flatnonzero(np.diff(x) != 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(x[np.append(0, cut + 1)].tolist(), x[np.append(cut, len(x) - 1)].tolist(), strict=True))
+
+
+@lru_cache(maxsize=1)
+def char_tables() -> CharTables:
+    """Asked of the library once, over all codepoints, before any document is read."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+
+    def matching(pattern: str) -> str:
+        one = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        return ranges([ord(c) for k in range(0, len(chars), 50_000) for c, _ in one.pre_tokenize_str("".join(chars[k : k + 50_000]))])
+
+    low, nfc, nfd = normalizers.Lowercase().normalize_str, normalizers.NFC().normalize_str, normalizers.NFD().normalize_str
+    odd = set()
+    for c in chars:
+        if c < "\u0300":
+            continue
+        own, py = nfd(c), unicodedata.normalize("NFD", c)
+        if own != py:
+            odd.update(c + own + py)
+        # marks of the lowest and the highest class show whether both know the same class of c
+        elif unicodedata.combining(c) or not unicodedata.category(c)[0] in "LNPSZ":
+            if any(nfc(x) != unicodedata.normalize("NFC", x) for x in ("\u0345" + c, c + "\u0334")):
+                odd.add(c)
+        if len(py) > 1 and nfc(py) != unicodedata.normalize("NFC", py):
+            odd.update(py)
+    return CharTables(tuple((ord(c), x) for c in chars if (x := low(c)) != c), matching(r"\p{L}"), matching(r"\p{N}"), matching(r"\s"), ranges(sorted(map(ord, odd))))
+
+
 def merger(spec: dict) -> PairMerger:
     """The vocabulary's merges over the ids of its single characters."""
     vocab, suffix, chars = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"], byte_chars()
@@ -76,19 +130,32 @@ class WordEncoder:
     normalised, split by the vocabulary's pattern, pre-tokens proven whole looked up, only the others merged.
     """
 
-    def __init__(self, raw: bytes, whole: dict[str, int]):
+    def __init__(self, raw: bytes, whole: dict[str, int], chars: CharTables):
         spec = json.loads(raw)
         self.merger = merger(spec)
         self.whole = {w: struct.pack("<I", i) for w, i in whole.items()}
-        self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        for name, inside in (("\\p{L}", chars.letters), ("\\p{N}", chars.numbers), ("\\s", chars.spaces)):
+            pattern = pattern.replace(name, inside)
+        self.split, self.spaces = regex.compile(pattern), regex.compile(f"[{chars.spaces}]+")
+        self.lower, self.odd = dict(chars.lower), regex.compile(f"[{chars.odd}]") if chars.odd else None
         self.special = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]}
         self.find_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.words, self.packed, self.counted = Cache(CACHE), Cache(CACHE), Cache(CACHE)
 
+    def composed(self, chunk: str) -> str:
+        if self.odd and self.odd.search(chunk):
+            from tokenizers import normalizers
+
+            return normalizers.NFC().normalize_str(chunk)
+        return unicodedata.normalize("NFC", chunk)
+
     def pre_tokens(self, chunk: str) -> list[str]:
-        """Of a chunk without white space; lower case character by character, so a final sigma is none."""
-        low = chunk.replace("Σ", "σ").lower()
-        return [low] if low.isalpha() else self.split.findall(low)
+        """Of a chunk without white space; lower case character by character."""
+        if chunk.isascii():
+            low = chunk.lower()
+            return [low] if low.isalpha() else self.split.findall(low)
+        return self.split.findall(self.composed(chunk).translate(self.lower))
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pre_tokens(c) for c in chunks]
@@ -102,8 +169,8 @@ class WordEncoder:
             if k % 2:
                 yield self.special[part]
             else:
-                part = unicodedata.normalize("NFC", part)
-                yield part.split() if ODD_SPACE.search(part) is None else [x for x in UNICODE_SPACE.split(part) if x]
+                # no white space composes with a neighbour, so chunks are normalised on their own
+                yield [x for x in self.spaces.split(part) if x]
 
     def folded(self, cache: Cache, make, texts, one, join) -> list:
         """Per text, what its runs' chunks join to; the chunks of all texts are looked up together."""
@@ -120,6 +187,13 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(raw: bytes, whole: tuple[tuple[str, int], ...]) -> WordEncoder:
+def encoder(raw: bytes, whole: tuple[tuple[str, int], ...], chars: CharTables) -> WordEncoder:
     """One per Python worker, so that what a task has cached serves the next."""
-    return WordEncoder(raw, dict(whole))
+    return WordEncoder(raw, dict(whole), chars)
+
+
+def shared_encoder(spark: SparkSession, vocabulary: str):
+    """A function that gives workers their encoder: the file, the proven tokens and the character tables are broadcast, all of a vocabulary's size."""
+    raw = broadcast_file(spark, vocabulary)
+    held = spark.sparkContext.broadcast((tuple(whole_tokens(raw.value).items()), char_tables()))
+    return lambda: encoder(raw.value, *held.value)
