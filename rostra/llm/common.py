@@ -21,7 +21,7 @@ CHUNK_BYTES = 1 << 20
 #: Hash slots of broadcast tables that turn most rows away before a join on ids: at most so many integers.
 SLOTS = 1 << 19
 
-PA_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+PA_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
 #: Rows of an Arrow batch, at most; JVM and Python worker each hold one or two per task.
@@ -60,6 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; the path itself is made by the writer."""
     base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rostra.llm.common import batch_map, map_texts, table
+from rostra.llm.common import batch_map, map_texts, slices, table, unused, written
 
 #: A-Z in lower case; every other ASCII byte that is neither a digit nor a-z parts words.
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
-#: UTF-8 bytes of items in one automaton; more items go to more automata, each of which sees all documents.
-SHARD_BYTES = 8 << 20
+#: UTF-8 bytes of items in one automaton, about; more items go to more automata, which see all documents one after another.
+SHARD_BYTES = 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -27,75 +32,103 @@ class SuffixAutomaton:
     """All word sequences that occur in test items.
 
     ``window``: items of fewer words are one window as a whole, others have every run of so many words as a window.
+
+    States are places in flat integer arrays. Most states go on by one word only, which stands in ``word`` and ``to``; further
+    ways of the few that part stand in ``more``.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window, self.number = window, {}
-        self.next, self.link, self.size = [{}], [-1], [0]
-        ends: list[set[int]] = [set()]
-        whole: dict[int, list[int]] = {}  # length of a short item by the state it ends in
+        self.word, self.to, self.link, self.size = array("i", [-1]), array("i", [0]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
         self.names = [name for name, _ in items]
-        shorts = []
-        for k, (_, item) in enumerate(items):
-            last = 0
-            for w in item:
-                last = self.extend(last, self.number.setdefault(w, len(self.number)))
-                while len(ends) < len(self.next):
-                    ends.append(set())
-                if len(item) >= window:
-                    ends[last].add(k)
-            if 0 < len(item) < window:
-                shorts.append((k, [self.number[w] for w in item]))
-        for s in sorted(range(1, len(self.next)), key=self.size.__getitem__, reverse=True):  # items of longer states end shorter ones too
-            ends[self.link[s]] |= ends[s]
-        for k, item in shorts:
-            s = 0
-            for w in item:
-                s = self.next[s][w]
-            whole.setdefault(s, []).append((len(item), k))
-        #: By state: items of which the last ``window`` words are a window; known for the state whose sequences include that length.
-        self.items = [frozenset(e) for e in ends]
-        #: By state: (length, item) of short items that end here, along the suffix links.
+        number, numbered = self.number, []
+        for _, item in items:
+            last, ids = 0, array("i", [number.setdefault(w, len(number)) for w in item])
+            numbered.append(ids)
+            for w in ids:
+                last = self.extend(last, w)
+        #: By state: the items of which the last ``window`` words are a window (one number, or several).
+        self.items: dict[int, int | tuple[int, ...]] = {}
+        #: By state: (length, item) of the short items that end here.
         self.short: dict[int, list[tuple[int, int]]] = {}
-        for s in range(1, len(self.next)):
-            found, t = [], s
-            while t > 0:
-                found += whole.get(t, [])
-                t = self.link[t]
-            if found:
-                self.short[s] = found
-        self.least = min([window, *(len(i) for _, i in shorts)])
+        for k, ids in enumerate(numbered):
+            if 0 < len(ids) < window:
+                s = 0
+                for w in ids:
+                    s = self.step(s, w)
+                self.short.setdefault(s, []).append((len(ids), k))
+                continue
+            s = n = 0
+            for w in ids:
+                s, n = self.step(s, w), n + 1
+                if n >= window:
+                    while self.size[self.link[s]] >= window:  # the state of the last words alone
+                        s = self.link[s]
+                    self.note(s, k)
+        self.ends = self.short_ends()
+        self.least = min([window, *(len(ids) for ids in numbered if len(ids))])
+
+    def note(self, s: int, k: int) -> None:
+        held = self.items.get(s)
+        if held is None:
+            self.items[s] = k
+        elif (held[-1] if isinstance(held, tuple) else held) != k:  # items come in order
+            self.items[s] = (*held, k) if isinstance(held, tuple) else (held, k)
+
+    def short_ends(self) -> array:
+        """Of each state the nearest one with short items along its suffix links, itself included, or 0."""
+        out = array("i", bytes(4 * len(self.link)))
+        if self.short:
+            for s in np.argsort(np.frombuffer(self.size, np.int32), kind="stable").tolist():
+                if s:
+                    out[s] = s if s in self.short else out[self.link[s]]
+        return out
+
+    def step(self, s: int, w: int) -> int:
+        """The next state, or -1."""
+        if self.word[s] == w:
+            return self.to[s]
+        return self.more[s].get(w, -1) if s in self.more else -1
+
+    def put(self, s: int, w: int, to: int) -> None:
+        if self.word[s] == w or self.word[s] == -1:
+            self.word[s], self.to[s] = w, to
+        else:
+            self.more.setdefault(s, {})[w] = to
 
     def extend(self, last: int, w: int) -> int:
-        if w in self.next[last]:  # another item went this way
-            q = self.next[last][w]
+        if (q := self.step(last, w)) >= 0:  # another item went this way
             return q if self.size[q] == self.size[last] + 1 else self.clone(last, w, q)
-        new = self.state({}, self.size[last] + 1, 0)
+        new = self.state(self.size[last] + 1, 0)
         p = last
-        while p != -1 and w not in self.next[p]:
-            self.next[p][w] = new
+        while p != -1 and self.step(p, w) < 0:
+            self.put(p, w, new)
             p = self.link[p]
         if p != -1:
-            q = self.next[p][w]
+            q = self.step(p, w)
             self.link[new] = q if self.size[q] == self.size[p] + 1 else self.clone(p, w, q)
         return new
 
-    def state(self, after: dict, size: int, link: int) -> int:
-        self.next.append(after)
-        self.size.append(size)
-        self.link.append(link)
-        return len(self.next) - 1
+    def state(self, size: int, link: int) -> int:
+        for column, x in ((self.word, -1), (self.to, 0), (self.size, size), (self.link, link)):
+            column.append(x)
+        return len(self.link) - 1
 
     def clone(self, p: int, w: int, q: int) -> int:
-        c = self.state(dict(self.next[q]), self.size[p] + 1, self.link[q])
+        c = self.state(self.size[p] + 1, self.link[q])
+        self.word[c], self.to[c] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[c] = dict(self.more[q])
         self.link[q] = c
-        while p != -1 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        while p != -1 and self.step(p, w) == q:
+            self.put(p, w, c)
             p = self.link[p]
         return c
 
-    def matches(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans of words inside occurrences of windows, merged, in order; the items that have these windows.
+    def matches(self, text: list[bytes], whole: set[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int]], set[int]]:
+        """Spans of words inside occurrences of windows, merged, in order; the items that have these windows. Where whole short
+        items stand is put into ``whole``.
 
         Words that no item has end every match, so only runs of known words are streamed.
         """
@@ -104,31 +137,40 @@ class SuffixAutomaton:
         spans, found = [], set()
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a >= self.least:
-                self.stream(ids[a:b].tolist(), a, spans, found)
+                self.stream(ids[a:b].tolist(), a, spans, found, whole)
         return spans, found
 
-    def stream(self, ids: list[int], at: int, spans: list, found: set) -> None:
-        after, link, size, short, window = self.next, self.link, self.size, self.short, self.window
+    def stream(self, ids: list[int], at: int, spans: list, found: set, whole: set | None) -> None:
+        word, to, more, link, size, items, ends, window = self.word, self.to, self.more, self.link, self.size, self.items, self.ends, self.window
         state = length = 0
         for i, w in enumerate(ids, at + 1):
-            while (to := after[state].get(w)) is None and state:
+            while True:
+                if word[state] == w:
+                    state, length = to[state], length + 1
+                    break
+                if state in more and w in more[state]:
+                    state, length = more[state][w], length + 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 length = size[state]
-            if to is None:
-                continue
-            state, length = to, length + 1
             if length >= window:
                 t = state
                 while size[link[t]] >= window:
                     t = link[t]
-                if self.items[t]:
-                    found |= self.items[t]
+                if (k := items.get(t)) is not None:
+                    found.update(k) if isinstance(k, tuple) else found.add(k)
                     self.add(spans, i - window, i)
-            if state in short:
-                for n, k in short[state]:
+            t = ends[state]
+            while t:
+                for n, k in self.short[t]:
                     if n <= length:
                         found.add(k)
                         self.add(spans, i - n, i)
+                        if whole is not None:
+                            whole.add((i - n, i))
+                t = ends[link[t]]
 
     @staticmethod
     def add(spans: list, a: int, b: int) -> None:
@@ -137,95 +179,198 @@ class SuffixAutomaton:
         spans.append((a, b))
 
 
-def shards(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """The test items in groups of bounded size. A benchmark is a fixed list, not a corpus: it comes to the driver group by group."""
-    groups, group, held = [], [], 0
-    for name, text in items.select(F.col(id_col).cast("string"), text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator():
-        if group and held + len(text) > SHARD_BYTES:
-            groups.append(group)
-            group, held = [], 0
-        group.append((name, text))
-        held += len(text)
-    return [*groups, group]
+def automata(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Broadcast]:
+    """Automata of items dealt by hash into shards of about SHARD_BYTES, broadcast one after another.
 
+    Each is made by a task, once, and comes through the driver by itself; so neither holds the whole benchmark.
+    """
+    spark = items.sparkSession
+    rows = items.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    held = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    number = max(1, -(-held // SHARD_BYTES))
 
-def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """One row per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``spans`` (array of first word, end, first word, end ...), ``contaminated``.
+    def make(shard: pa.Table) -> pa.Table:
+        made = SuffixAutomaton([(n, words(t)) for n, t in zip(shard.column("name").to_pylist(), shard.column("text").to_pylist(), strict=True)], window)
+        return pa.table({"automaton": pa.array([pickle.dumps(made)], pa.binary())})
 
-    Documents stream through the automaton where they are read: no shuffle unless the benchmark needs several automata.
-    Each automaton is broadcast and holds at most SHARD_BYTES of items.
+    made = rows.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(number))).groupBy("shard").applyInArrow(make, "automaton binary")
+    for row in written(made).toLocalIterator():
+        yield spark.sparkContext.broadcast(pickle.loads(row.automaton))
 
-    Null, empty or wordless text: 0 words, clean. Very long text: taken whole, one state of the automaton at a time.
-    Repeated documents: each gives its row. Repeated items: all are counted; rows of one item id count once. Items
-    without words: no window. Empty benchmark: all clean. Other columns are not read.
-    """
-    spark = df.sparkSession
-    made = [spark.sparkContext.broadcast(g) for g in shards(items, item_id, item_text)]
+
+def hits(df: DataFrame, automaton: Broadcast | None, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, ``n_words``, ``text_md5``, ``spans``, ``items``."""
 
     def factory():
-        automata = [SuffixAutomaton([(name, words(t)) for name, t in g.value], window) for g in made]
+        a = automaton.value if automaton else None
 
         def work(texts):
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], []]
             for text in texts:
-                tokens, spans, found = words(text), [], set()
-                for a in automata:
-                    s, k = a.matches(tokens)
-                    spans += s
-                    found |= {a.names[i] for i in k}
-                merged: list = []
-                for s in sorted(spans):
-                    SuffixAutomaton.add(merged, *s)
-                hit = sum(b - a for a, b in merged)
-                row = (len(tokens), hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), [x for s in merged for x in s], hit > 0)
+                tokens = words(text)
+                spans, found = a.matches(tokens) if a else ([], ())
+                row = (len(tokens), hashlib.md5(text.encode()).digest() if text else b"", [x for s in spans for x in s], [a.names[k] for k in found])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             return out
 
         return work
 
-    kinds = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "spans": "array<int>", "contaminated": "boolean"}
-    return map_texts(df, [id_col, text_col], {id_col: "bigint"} | kinds, factory)
+    return map_texts(df, [id_col, text_col], {id_col: "bigint", "n_words": "bigint", "text_md5": "binary", "spans": "array<int>", "items": "array<string>"}, factory)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def merged(spans):
+    """Spans of several automata, in order and merged."""
+
+    def one(x):
+        out: list = []
+        for s in sorted(zip(x[::2].tolist(), x[1::2].tolist(), strict=True)):
+            SuffixAutomaton.add(out, *s)
+        return [y for s in out for y in s]
+
+    return spans.map(one)
+
+
+def all_hits(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
+    """``hits`` of all automata together. One automaton: a map. Of further ones, hits alone are kept and are joined by text."""
+    found, rest = None, None
+    for one in automata(items, item_id, item_text, window):
+        if found is None:
+            found = hits(df, one, id_col, text_col)
+            continue
+        if rest is None:
+            found = written(found)
+        more = written(hits(df, one, id_col, text_col).where(F.size("spans") > 0).select("text_md5", "spans", "items").dropDuplicates(["text_md5"]))
+        rest = more if rest is None else rest.union(more)
+        one.unpersist()
+    if found is None or rest is None:
+        return hits(df, None, id_col, text_col) if found is None else found
+    more = rest.groupBy("text_md5").agg(F.flatten(F.collect_list("spans")).alias("more"), F.flatten(F.collect_list("items")).alias("named"))
+    both = found.join(more, "text_md5", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return both.select(
+        id_col, "n_words", "text_md5", merged(F.concat("spans", empty("more", "array<int>"))).alias("spans"), F.array_distinct(F.concat("items", empty("named", "array<string>"))).alias("items")
+    )
+
+
+def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """One row per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``spans`` (array of first word, end, first word, end ...), ``contaminated``.
+
+    Documents stream through the automaton where they are read: no shuffle, unless the benchmark needs several automata, which
+    then take their turns; each holds about SHARD_BYTES of items.
+
+    Null, empty or wordless text: 0 words, clean. Very long text: taken whole, one state of the automaton at a time. Null id:
+    like others. Repeated documents: each gives its row. Repeated items: all are counted; rows of one item id count once.
+    Items without id: their windows count, together as one item, which the hash leaves out. Items without words: no window.
+    Empty benchmark: all clean. Other columns are not read.
+    """
+    found = all_hits(df, items, id_col, text_col, item_id, item_text, window)
+    signed = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    hit = F.aggregate(signed, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    names = F.array_sort(F.array_distinct("items"))
+    return found.select(
+        id_col, "n_words", hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), "spans", (F.size("spans") > 0).alias("contaminated")
+    )
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def without_spans(text: str | None, spans: list[tuple[int, int]], n_words: int, min_span: int, window: int, max_coverage: float, whole: set[tuple[int, int]]) -> str | None | bool:
+    """The text without its long spans and whole short items, or False if it goes."""
+    if sum(b - a for a, b in spans) > max_coverage * n_words:
+        return False
+    if not spans:
+        return text
+    at, cut, done = [m.span() for m in WORD.finditer(text)], [], 0
+    for a, b in spans:
+        if b - a >= min_span or any(a <= c and d <= b for c, d in whole):
+            cut.append(text[done : at[a][0]])
+            done = at[b - 1][1]
+    return "".join([*cut, text[done:]])
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, min_span: int = 10, max_coverage: float = 0.0) -> DataFrame:
     """``df`` without contamination: documents of whose words more than ``max_coverage`` lie in hit spans go; from the others
-    spans of ``min_span`` words or more, and of whole short items, are cut out. All columns are kept; only the text changes.
+    hit spans of ``min_span`` words or more, and those that hold a whole item of fewer than ``window`` words, are cut out. All
+    columns are kept; only the text changes. With ``max_coverage`` 0 every document with a hit goes.
 
-    With ``max_coverage`` 0 every document with a hit goes. A map, without shuffle; nulls and empty texts stay as they are.
+    One automaton: a map, without shuffle. More: the spans of texts with hits are joined to the documents.
+
+    Null, empty or wordless texts stay as they are. Very long text: taken whole. Null ids and repeated rows: each row is judged
+    by its text. Items without id or words: as in ``find_contamination``. Empty benchmark: nothing changes. Empty table: no rows.
     """
-    spark, schema = df.sparkSession, df.schema
-    made = [spark.sparkContext.broadcast(g) for g in shards(items, "item_id", "text")]
-    place = df.columns.index(text_col)
-    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    schema, place = df.schema, df.columns.index(text_col)
+    made = automata(items, "item_id", "text", window)
+    one, second = next(made, None), next(made, None)
+    if one is None:
+        return df
+
+    def judge(batch, spans_of):
+        keep, texts = [], []
+        for i, text in enumerate(batch.column(place).to_pylist()):
+            spans, short, n = spans_of(i, text)
+            left = without_spans(text, spans, n, min_span, window, max_coverage, short)
+            keep.append(left is not False)
+            texts.append(None if left is False else left)
+        columns = [*batch.columns[: len(schema)]]
+        columns[place] = pa.array(texts, batch.schema.types[place])
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(schema)]).filter(pa.array(keep, pa.bool_()))
+
+    if second is None:
+
+        def alone():
+            a = one.value
+
+            def spans_of(i, text):
+                tokens, short = words(text), set()
+                return a.matches(tokens, short)[0], short, len(tokens)
+
+            return lambda whole: (judge(part, spans_of) for part in slices(whole, place))
+
+        return batch_map(df, alone, schema)
+    found = None
+    for a in (one, second, *made):
+        more = written(short_hits(df, a, text_col))
+        found = more if found is None else found.union(more)
+        a.unpersist()
+    md5, spans, short = (unused(df, c) for c in ("md5", "spans", "short"))
+    found = found.groupBy("text_md5").agg(F.flatten(F.collect_list("spans")).alias(spans), F.flatten(F.collect_list("short")).alias(short)).withColumnRenamed("text_md5", md5)
+    with_md5 = df.withColumn(md5, F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
+    both = with_md5.join(found, md5, "left").select(*[f"`{c}`" for c in df.columns], merged(F.coalesce(spans, F.array().cast("array<int>"))).alias(spans), short)
+
+    def joined():
+        def work(whole):
+            for part in slices(whole, place):
+                s, k = part.column(len(schema)).to_pylist(), part.column(len(schema) + 1).to_pylist()
+                pairs = lambda x: [*zip(x[::2], x[1::2], strict=True)]
+                yield judge(part, lambda i, text: (pairs(s[i]), set(pairs(k[i] or [])), len(words(text))))
+
+        return work
+
+    return batch_map(both, joined, schema)
+
+
+def short_hits(df: DataFrame, automaton: Broadcast, text_col: str) -> DataFrame:
+    """(text_md5, spans, short) of the distinct texts with hits; ``short``: where whole short items stand."""
 
     def factory():
-        automata = [SuffixAutomaton([(name, words(t)) for name, t in g.value], window) for g in made]
+        a = automaton.value
 
-        def work(batch):
-            keep, texts = [], []
-            for text in batch.column(place):
-                text = text.as_py()
-                tokens = words(text)
-                merged: list = []
-                for s in sorted(s for a in automata for s in a.matches(tokens)[0]):
-                    SuffixAutomaton.add(merged, *s)
-                keep.append(sum(b - a for a, b in merged) <= max_coverage * len(tokens))
-                if keep[-1] and merged:
-                    at, cut, done = [m.span() for m in word.finditer(text)], [], 0
-                    for a, b in merged:
-                        if b - a >= min(min_span, window):
-                            cut.append(text[done : at[a][0]])
-                            done = at[b - 1][1]
-                    text = "".join([*cut, text[done:]])
-                texts.append(text)
-            columns = [*batch.columns]
-            columns[place] = pa.array(texts, batch.schema.types[place])
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+        def work(texts):
+            out = [[], [], []]
+            for text in texts:
+                short: set = set()
+                spans = a.matches(words(text), short)[0]
+                for column, x in zip(out, (hashlib.md5((text or "").encode()).digest(), [x for s in spans for x in s], [x for s in sorted(short) for x in s]), strict=True):
+                    column.append(x)
+            return out
 
         return work
 
-    return batch_map(df, factory, schema)
+    rows = map_texts(df.select(F.lit(0).alias("zero"), text_col), ["zero", text_col], {"zero": "int", "text_md5": "binary", "spans": "array<int>", "short": "array<int>"}, factory)
+    return rows.where(F.size("spans") > 0).drop("zero").dropDuplicates(["text_md5"])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,24 +169,33 @@ def test_automaton_equals_brute_force():
 
 def test_contamination_and_removal(spark, monkeypatch):
     rows = texts(30)
-    bench = [(1, " ".join(rows[3].split()[:14])), (2, "Short item"), (3, None), (4, ""), (5, rows[9]), (5, rows[9])]
+    bench = [(1, " ".join(rows[3].split()[:14])), (2, "Short item"), (3, None), (4, ""), (5, rows[9]), (5, rows[9]), (None, rows[12])]
     rows += ["A SHORT... item, here and more words to keep around it all day long", *ODD]
     items = spark.createDataFrame(bench, "item_id bigint, text string")
     got = by_id(decontaminate.find_contamination(docs(spark, rows), items))
-    named = [(str(i), decontaminate.words(t)) for i, t in bench if t]
+    named = [(str(i or ""), decontaminate.words(t)) for i, t in bench if t]
     for i, t in enumerate(rows):
         pos, found = naive_hits(named, decontaminate.words(t), 10)
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(decontaminate.words(t)), len(pos), len(found), bool(pos))
-        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found - {""})).encode()).hexdigest()
+    assert got[12].contaminated
     kept = by_id(decontaminate.decontaminate(docs(spark, rows), items))
     assert set(kept) == {i for i, r in got.items() if not r.contaminated} and kept[32].text == rows[32]
     cut = by_id(decontaminate.decontaminate(docs(spark, rows), items, min_span=2, max_coverage=0.5))
     assert cut[30].text == "A , here and more words to keep around it all day long"
+    usual = by_id(decontaminate.decontaminate(docs(spark, rows), items, max_coverage=0.5))
+    assert usual[30].text == cut[30].text  # whole short items go, however short
+    long = docs(spark, [f"{'kept ' * 40}{' '.join(rows[3].split()[:14])} kept", None])
+    assert by_id(decontaminate.decontaminate(long, items, max_coverage=0.9, min_span=50))[0].text == long.head().text
+    assert by_id(decontaminate.decontaminate(long, items, max_coverage=0.9, min_span=14))[0].text.split() == ["kept"] * 41
     assert decontaminate.decontaminate(empty(spark), items).count() == 0
+    assert decontaminate.decontaminate(docs(spark, rows), items.limit(0)).count() == len(rows)
     assert decontaminate.find_contamination(docs(spark, rows), items.limit(0)).where("contaminated").count() == 0
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 10)  # every item in an automaton of its own
     assert {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate.find_contamination(docs(spark, rows), items).collect()} == {(i, r.n_hit, r.items_sha256) for i, r in got.items()}
+    again = by_id(decontaminate.decontaminate(docs(spark, rows), items, max_coverage=0.5))
+    assert {i: r.asDict() for i, r in again.items()} == {i: r.asDict() for i, r in usual.items()}
 
 
 # 4: language ID
