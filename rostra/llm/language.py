@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostra.llm.common import batch_map, map_texts, slices, table
@@ -18,8 +19,10 @@ FILTERS = 8
 #: Places in a window at which every filter is applied.
 PLACES = WINDOW - max(WIDTHS) + 1
 EMBED = 6
-#: Labelled rows that are fitted on, at most, and windows of each.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 2
+#: Labelled rows of each language that are fitted on, at most; each with all windows of its whole text.
+SAMPLE_ROWS = 400
+#: Windows that are scored at a time.
+SCORED = 2048
 
 
 class ByteCnn:
@@ -63,16 +66,15 @@ class ByteCnn:
         return tuple((one[k][:, None] + one[k + 1][None]).reshape(65536, -1) for k in (0, 2))
 
     def logits(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        pairs = x[:, :-1].astype(np.intp) * 256 + x[:, 1:]
         best = np.empty((len(x), tables[0].shape[1]), np.float32)
         for s in range(0, len(x), 64):  # small enough for the processor's cache
-            part = pairs[s : s + 64]
+            part = x[s : s + 64, :-1].astype(np.intp) * 256 + x[s : s + 64, 1:]
             total = tables[0].take(part[:, :PLACES], axis=0)
             total += tables[1].take(part[:, 2 : PLACES + 2], axis=0)
             total.max(axis=1, out=best[s : s + 64])
         return np.maximum(best + self.bias, 0) @ self.out + self.out_bias
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 2, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
         """Adam on the cross entropy, classes weighted to count alike."""
         rng = np.random.default_rng(seed)
         weight = len(y) / (len(self.langs) * np.maximum(np.bincount(y, minlength=len(self.langs)), 1))
@@ -110,40 +112,46 @@ class ByteCnn:
                     q -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
 
     def predict(self, texts: list[str | None], tables=None) -> list[tuple[str, float]]:
-        raws = [t.encode() if t and LETTER.search(t) else b"" for t in texts]
-        parts = [self.windows(r) for r in raws]
-        x = np.concatenate(parts) if parts else np.zeros((0, WINDOW), np.uint8)
-        z = self.logits(x, tables or self.tables()).astype(np.float64)
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        z *= (x != 0).sum(axis=1)[:, None]
-        out, at = [], 0
-        for r, p in zip(raws, parts, strict=True):
-            mean = z[at : at + len(p)].sum(axis=0) / max(1, len(r))
-            at += len(p)
-            prob = np.exp(mean - mean.max())
+        tables, out = tables or self.tables(), []
+        for t in texts:
+            raw = t.encode() if t and LETTER.search(t) else b""
+            if not raw:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total, windows = np.zeros(len(self.langs)), self.windows(raw)
+            for s in range(0, len(windows), SCORED):
+                x = windows[s : s + SCORED]
+                z = self.logits(x, tables).astype(np.float64)
+                z -= z.max(axis=1, keepdims=True)
+                z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+                total += (x != 0).sum(axis=1) @ z
+            prob = np.exp((total - total.max()) / len(raw))
             best = int(prob.argmax())
-            out.append((self.langs[best], float(prob[best] / prob.sum())) if r else (UNKNOWN, 0.0))
+            out.append((self.langs[best], float(prob[best] / prob.sum())))
         return out
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS) -> ByteCnn | None:
-    """A network fitted on at most ``rows`` labelled rows (those with the smallest hashes of their ids), each with its first
-    window and windows at hashed places, cut out in Spark so that long texts do not travel. None if no row is labelled."""
-    text, spot = F.col(text_col), F.pmod(F.xxhash64(id_col, F.lit("place")), F.greatest(F.length(text_col) - WINDOW, F.lit(1))).cast("int") + 1
-    cuts = [F.substring(text, 1, WINDOW), *[F.substr(text, F.pmod(spot * (k + 1), F.greatest(F.length(text_col) - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW)) for k in range(windows - 1)]]
-    named = df.where(F.col(lang_col).isNotNull() & text.isNotNull())
-    # each task sends only its rows with small hashes, some more in all than are kept
-    share = min(1.0, 4.0 * rows / max(1, named.select(lang_col).count()))
-    h = F.xxhash64(id_col)
-    some = named.where((h <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else F.lit(True)).where(text.rlike(r"\p{L}"))
-    sample = some.select(h.alias("h"), F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.array(*cuts).alias("cuts")).orderBy("h", "i", "lang", "cuts").limit(rows).select("lang", "cuts").collect()
-    langs = sorted({r.lang for r in sample})
-    if not langs:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> ByteCnn | None:
+    """A network fitted on at most ``rows`` labelled rows of each language: those with the smallest hashes of id and text, with
+    every window of their texts. None if no row is labelled.
+
+    The sample is bounded by ``rows`` and the number of languages, so it comes to the driver; languages rarer than that are
+    taken whole. Rows without label, text or letters are not fitted on. Repeated rows count once for each place in the sample.
+    """
+    text, h = F.col(text_col), F.xxhash64(id_col, text_col)
+    named = df.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+    counts = named.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each language
+    if not counts:
         return None
+    # each task passes on only rows with small hashes, some more in all than are kept
+    most = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(2**63 - 1, -(2**63) + 4.0 * rows / r["count"] * 2**64))).cast("bigint"))])
+    some = named.select(F.col(lang_col).alias("lang"), h.alias("h"), text.alias("text")).where(F.col("h") <= most[F.col("lang")])
+    order = W.partitionBy("lang").orderBy("h", "text")
+    sample = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("lang", "text").orderBy("lang", "n").collect()
+    langs = sorted({r["lang"] for r in counts})
     net = ByteCnn(langs)
-    x = np.concatenate([net.windows(c.encode()[:WINDOW]) for r in sample for c in r.cuts])
-    net.fit(x, np.array([langs.index(r.lang) for r in sample for _ in r.cuts]))
+    parts = [net.windows(r.text.encode()) for r in sample]
+    net.fit(np.concatenate(parts), np.repeat([langs.index(r.lang) for r in sample], [len(p) for p in parts]))
     return net
 
 
@@ -152,7 +160,8 @@ def identify(df: DataFrame, net: ByteCnn | None, id_col: str = "doc_id", text_co
 
     Every window of the whole text is scored, in batches, where the documents are read: no shuffle. The network has a
     fixed size and is broadcast. Null, empty or letterless text, or no network: ``und``, 0. Very long text: all its
-    windows. Repeated rows: each gives its row. Empty table: no rows. Other columns are not read.
+    windows, some at a time. Null id: like others. Repeated rows: each gives its row. Ties: the smaller language. Empty
+    table: no rows. Other columns are not read.
     """
     held = df.sparkSession.sparkContext.broadcast(net)
 
@@ -168,11 +177,14 @@ def identify(df: DataFrame, net: ByteCnn | None, id_col: str = "doc_id", text_co
     return map_texts(df, [id_col, text_col], {id_col: "bigint", "lang_pred": "string", "score": "double"}, factory)
 
 
-def accepted(df: DataFrame, net: ByteCnn | None, text_col: str = "text", least_score: float = 0.3) -> DataFrame:
-    """The rows of ``df`` whose text is in a recognised language with at least this score; all columns stay as they are.
+def accepted(df: DataFrame, net: ByteCnn | None, text_col: str = "text", least_margin: float = 0.1) -> DataFrame:
+    """The rows of ``df`` whose text is in a recognised language; all columns stay as they are.
 
-    Rows are judged where they are read and passed on, so no text is shuffled. Null, empty or letterless texts go.
+    With n languages a score is 1 / n at least; it must be ``least_margin`` of the way from there to 1. Rows are judged where
+    they are read and passed on, so no text is shuffled. Null, empty or letterless texts go, and all rows if there is no
+    network. Very long text: all its windows. Null ids, repeated rows: each row is judged by its text. Empty table: no rows.
     """
+    least_score = least_margin + (1 - least_margin) / max(1, len(net.langs) if net else 1)
     held = df.sparkSession.sparkContext.broadcast(net)
     place = df.columns.index(text_col)
 
@@ -183,7 +195,7 @@ def accepted(df: DataFrame, net: ByteCnn | None, text_col: str = "text", least_s
             for part in slices(whole, place):
                 texts = part.column(place).to_pylist()
                 got = held.value.predict(texts, tables) if held.value else [(UNKNOWN, 0.0)] * len(texts)
-                yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in got], pa.bool_()))
+                yield part.filter(pa.array([lang != UNKNOWN and (len(held.value.langs) == 1 or score >= least_score) for lang, score in got], pa.bool_()))
 
         return work
 
@@ -195,6 +207,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``held_out`` of a row without id is null; such rows are not learned from."""
     docs = table(spark, sf_dir, "documents")
     net = train(docs.where(~held_out()))
     return identify(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
