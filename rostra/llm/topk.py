@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,24 +11,30 @@ from pyspark.sql import functions as F
 from rostra.llm.common import table, written
 
 SCALE = 1024
-#: Vectors of an index block, and queries of a query block.
-BLOCK, QUERIES = 8192, 512
+LIMIT = 1 << 62
+#: Vectors of an index block.
+BLOCK = 16_384
 #: Share of the largest impact at which each round of segments ends.
 LEVELS = (0.15, 0.07, 0.03, 0.0)
 #: A round's survivors are few enough to be rescored when they are this share of a block.
 FEW = 0.2
 
 
+def shift_of(dims: int) -> int:
+    return int(dims + 1).bit_length()
+
+
 class ImpactIndex:
     """Postings of a block's components by dimension, each list ordered by value: a query's segments of descending impact
     are then the two ends of each list.
 
-    After all segments above an impact were processed, a vector's score is at most its sum so far plus that impact for each
+    Segments are processed from the largest quantised impact down; after all above an impact were processed, a vector's score is at most its sum so far plus that impact for each
     of its postings still out. Vectors for which this bound is below the k-th best exact score found are out for certain.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.most = int(np.abs(vectors).max(initial=0))
         self.order = np.argsort(vectors, axis=0, kind="stable").T.copy().astype(np.int32)
         self.values = np.take_along_axis(vectors.T, self.order, axis=1)
 
@@ -36,18 +42,25 @@ class ImpactIndex:
         """Ids and scores of the query's k best in this block (ties to the smaller id; the query's own id is none)."""
         n, dims = self.vectors.shape
         mine = self.ids == own
-        if n - mine.sum() <= 4 * k or not dims:
+        largest = int(np.abs(q).max(initial=0)) * self.most * dims  # no sum of impacts is beyond
+        if n - mine.sum() <= 4 * k or not dims or largest >= 1 << (62 - shift_of(dims)):
             rows = np.flatnonzero(~mine)
         else:
             rows = self.members(q, k, mine)
-        scores = self.vectors[rows] @ q
+        if largest >= 1 << 62:  # beyond 64 bits on the way, perhaps; a score itself must fit
+            exact = self.vectors[rows].astype(object) @ q.astype(object)
+            if max((abs(x) for x in exact), default=0) >= 1 << 63:
+                raise OverflowError(f"a score of query {own} is beyond 64 bits")
+            scores = np.array(exact, np.int64)
+        else:
+            scores = self.vectors[rows] @ q
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows[best]], scores[best]
 
     def members(self, q: np.ndarray, k: int, mine: np.ndarray) -> np.ndarray:
         """Rows that can be among the k best."""
         n, dims = self.vectors.shape
-        shift = int(dims + 1).bit_length()  # sums above, numbers of postings below
+        shift = shift_of(dims)  # a sum stands above the number of its postings in one integer
         sums = np.zeros(n, np.int64)
         largest = int((np.abs(q) * np.maximum(np.abs(self.values[:, 0]), np.abs(self.values[:, -1]))).max())
         low, high = np.zeros(dims, np.int64), np.full(dims, n, np.int64)
@@ -85,52 +98,59 @@ def vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     return df.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def stacked(rows: list, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def stacked(column: pa.ListArray, dims: int) -> np.ndarray:
+    """Lists as rows of a matrix, filled up with zeros."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    out = np.zeros((len(column), dims), np.int64)
+    sizes = np.diff(np.concatenate([[0], ends]))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(ends - sizes, sizes)] = flat
     return out
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products, ties to the smaller id.
 
-    Vectors are dealt by hash of id and vector into blocks of about BLOCK; each is indexed once and meets each block of
-    QUERIES queries. A block gives k rows for each query, of which windows keep the best. Block counts follow the row
-    counts, so tasks stay as large at every size.
+    Vectors are dealt by hash of id and vector into blocks of about BLOCK, whose number follows the row count. Each block is
+    shuffled and indexed once; the queries, copied to every block, come after it in the same partition and stream through
+    the index batch by batch. A block gives k rows for each query, of which windows keep the best.
 
     Vectors null or with null or non-finite components take no part. Shorter vectors count as filled up with zeros. Rows
     that repeat id and vector count once; a query's own id is never found; an id with several vectors asks with the
-    smallest. Ties: smaller id first. Empty tables: no rows. Other columns are not read.
+    smallest. Ties: smaller id first. Empty tables: no rows. Other columns are not read. Components beyond 64 bits raise
+    ValueError, scores beyond OverflowError.
     """
     every = written(vectors(df, id_col, vec_col, scale))
     asked = vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    n, wide = every.agg(F.count("*"), F.max(F.size("v"))).head()
-    n_asked = asked.count()
-    if not n or not n_asked:
+    n, wide, far = every.agg(F.count("*"), F.max(F.size("v")), F.max(F.exists("v", lambda x: (x >= LIMIT) | (x <= -LIMIT)))).head()
+    if not n:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    blocks, parts = -(-n // BLOCK), -(-n_asked // QUERIES)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    index = every.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), "id", "v", F.lit(False).alias("asks"))
-    # every query block visits every index block: queries are few, and are copied to the index rather than the reverse
-    visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v", F.lit(True).alias("asks"))
-    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).cast("int")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, ask = pdf[~pdf.asks], pdf[pdf.asks]
-        rows = stacked(held.v.tolist(), wide)
-        ids = held.id.to_numpy(np.int64)
-        _, first = np.unique(np.column_stack([ids, rows]), axis=0, return_index=True)
-        at = ImpactIndex(ids[first], rows[first]) if len(first) else None
-        out = []
-        for own, q in zip(ask.id.tolist(), stacked(ask.v.tolist(), wide), strict=True):
-            if at is not None:
-                found, scores = at.top(own, q, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    both = index.select("block", cells, "id", "v", "asks").union(visits.select("block", part.alias("part"), "id", "v", "asks"))
-    found = both.groupBy("block", "part").applyInPandas(work, "query_id bigint, vec_id bigint, score bigint")
+    if far:
+        raise ValueError(f"components of {vec_col} times {scale} must be within 2**62")
+    blocks = -(-n // BLOCK)
+    index = every.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
+    visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v")
+
+    def run(batches):
+        block, held, at = None, [], None
+        for whole in batches:
+            numbers, asks = whole.column(0).to_numpy(zero_copy_only=False), whole.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(numbers) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), len(numbers)] if len(numbers) else []
+            for a, b in zip(edges, edges[1:]):  # one block, vectors or queries
+                if numbers[a] != block:
+                    block, held, at = numbers[a], [], None
+                ids, rows = whole.column(2)[a:b].to_numpy(zero_copy_only=False), stacked(whole.column(3)[a:b], wide)
+                if not asks[a]:
+                    held.append((ids, rows))
+                    continue
+                if at is None:
+                    every_id, every_row = (np.concatenate(x) for x in zip(*held)) if held else (ids[:0], rows[:0])
+                    _, first = np.unique(np.column_stack([every_id, every_row]), axis=0, return_index=True)
+                    at, held = ImpactIndex(every_id[first], every_row[first]), []
+                found = [(np.full(len(x), own), x, y) for own, q in zip(ids.tolist(), rows) for x, y in [at.top(own, q, k)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["query_id", "vec_id", "score"])
+
+    dealt = index.union(visits).repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -332,6 +332,19 @@ def test_topk_equals_brute_force(spark, monkeypatch, block):
     assert topk.search(few, few, 10).count() == 6
 
 
+def test_topk_of_large_components(spark):
+    rnd = random.Random(1)
+    rows = {i: [float(rnd.randrange(-(2**20), 2**20)), float(rnd.choice([0, 2**28, -(2**29)]))] for i in range(200)}
+    df = spark.createDataFrame([*rows.items()], "vec_id bigint, embedding array<double>")
+    got = topk.search(df, df.where("vec_id < 9"), 10, scale=1)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == naive_top({i: [x / 1024 for x in v] for i, v in rows.items()}, range(9), 10)
+    far = spark.createDataFrame([(1, [2.0**40, 1.0]), (2, [2.0**40, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.search(far, far, 10).collect()
+    with pytest.raises(ValueError):
+        topk.search(far, far, 10, scale=2**30)
+
+
 # 6: chat
 
 
