@@ -66,7 +66,8 @@ class CharTables:
     """What the library makes of each codepoint, whatever version of Unicode it follows.
 
     ``lower``: (codepoint, lower case) where they differ; ``letters``, ``numbers``, ``spaces``: ranges for a character class;
-    ``odd``: a class of codepoints that the library composes or orders in another way than this Python does.
+    ``odd``: a class of codepoints that the library composes or orders in another way than this Python does; ``agreed``: below
+    this codepoint Python and its modules take letters, numbers and cases as the library does; ``odd_spaces``: white space for this Python alone, or the library alone.
     """
 
     lower: tuple[tuple[int, str], ...]
@@ -74,6 +75,8 @@ class CharTables:
     numbers: str
     spaces: str
     odd: str
+    agreed: str
+    odd_spaces: tuple[str, ...]
 
 
 def ranges(points: list[int]) -> str:
@@ -92,9 +95,9 @@ def char_tables() -> CharTables:
 
     chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
 
-    def matching(pattern: str) -> str:
+    def matching(pattern: str) -> list[str]:
         one = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
-        return ranges([ord(c) for k in range(0, len(chars), 50_000) for c, _ in one.pre_tokenize_str("".join(chars[k : k + 50_000]))])
+        return [c for k in range(0, len(chars), 50_000) for c, _ in one.pre_tokenize_str("".join(chars[k : k + 50_000]))]
 
     low, nfc, nfd = normalizers.Lowercase().normalize_str, normalizers.NFC().normalize_str, normalizers.NFD().normalize_str
     odd = set()
@@ -110,7 +113,12 @@ def char_tables() -> CharTables:
                 odd.add(c)
         if len(py) > 1 and nfc(py) != unicodedata.normalize("NFC", py):
             odd.update(py)
-    return CharTables(tuple((ord(c), x) for c in chars if (x := low(c)) != c), matching(r"\p{L}"), matching(r"\p{N}"), matching(r"\s"), ranges(sorted(map(ord, odd))))
+    lower, letters, numbers, spaces = {c: x for c in chars if (x := low(c)) != c}, matching(r"\p{L}"), matching(r"\p{N}"), matching(r"\s")
+    text = "".join(chars)
+    differ = odd | set(letters) ^ {c for c in chars if c.isalpha()} | set(letters) ^ set(regex.findall(r"\p{L}", text)) | set(numbers) ^ set(regex.findall(r"\p{N}", text))
+    differ |= {c for c in chars if c.lower() != lower.get(c, c)}
+    points = lambda x: ranges(sorted(map(ord, x)))
+    return CharTables(tuple((ord(c), x) for c, x in lower.items()), points(letters), points(numbers), points(spaces), points(odd), min(differ, default=chr(sys.maxunicode)), tuple(sorted(set(spaces) ^ {c for c in chars if c.isspace()})))
 
 
 def merger(spec: dict) -> PairMerger:
@@ -135,9 +143,11 @@ class WordEncoder:
         self.merger = merger(spec)
         self.whole = {w: struct.pack("<I", i) for w, i in whole.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        for name, inside in (("\\p{L}", chars.letters), ("\\p{N}", chars.numbers), ("\\s", chars.spaces)):
-            pattern = pattern.replace(name, inside)
-        self.split, self.spaces = regex.compile(pattern), regex.compile(f"[{chars.spaces}]+")
+        pattern = pattern.replace("\\s", chars.spaces)
+        self.split = regex.compile(pattern)
+        self.split_any = regex.compile(pattern.replace("\\p{L}", chars.letters).replace("\\p{N}", chars.numbers))
+        self.agreed, self.spaces = chars.agreed, regex.compile(f"[{chars.spaces}]+")
+        self.odd_spaces = chars.odd_spaces
         self.lower, self.odd = dict(chars.lower), regex.compile(f"[{chars.odd}]") if chars.odd else None
         self.special = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]}
         self.find_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
@@ -151,11 +161,11 @@ class WordEncoder:
         return unicodedata.normalize("NFC", chunk)
 
     def pre_tokens(self, chunk: str) -> list[str]:
-        """Of a chunk without white space; lower case character by character."""
-        if chunk.isascii():
-            low = chunk.lower()
+        """Of a chunk without white space; lower case character by character, so a final sigma is none."""
+        if max(chunk) < self.agreed:
+            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
             return [low] if low.isalpha() else self.split.findall(low)
-        return self.split.findall(self.composed(chunk).translate(self.lower))
+        return self.split_any.findall(self.composed(chunk).translate(self.lower))
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pre_tokens(c) for c in chunks]
@@ -170,7 +180,7 @@ class WordEncoder:
                 yield self.special[part]
             else:
                 # no white space composes with a neighbour, so chunks are normalised on their own
-                yield [x for x in self.spaces.split(part) if x]
+                yield [x for x in self.spaces.split(part) if x] if any(c in part for c in self.odd_spaces) else part.split()
 
     def folded(self, cache: Cache, make, texts, one, join) -> list:
         """Per text, what its runs' chunks join to; the chunks of all texts are looked up together."""
