@@ -9,6 +9,8 @@ from rostra.llm.common import table, written
 
 #: Host and path prefix of each rule, and whether it allows.
 RULES = (("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False))
+#: Change of all ranks of a kind over CHECK rounds at which rounds end, and rounds at most: 0.85 ** 128 is below the tolerance.
+TOLERANCE, ROUNDS, CHECK, DAMPING = 1e-8, 132, 4, 0.85
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,10 +45,12 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return seen.select("src", dst.alias("dst")).where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust). Trust follows links from trusted hosts; distrust goes against links, from blocked hosts to those
     that link to them. Both are personalised PageRanks: each round passes ``damping`` of a host's rank on and gives the
-    rest back to the seeds; what no link passes on goes back to the seeds too.
+    rest back to the seeds; what no link passes on goes back to the seeds too. Rounds end when the ranks of neither kind have
+    changed by more than ``tolerance`` in all over the last CHECK rounds; each round changes them by ``damping`` times what
+    the last one did, at most. Raises RuntimeError if ``rounds`` rounds are not enough.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     back = edges.groupBy("dst").agg(F.sum("n").alias("out"))
@@ -58,19 +62,25 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float
     start = written(start)
     if not moves.head(1):  # nothing to pass on
         return start.groupBy("host").pivot("kind", ["t", "d"]).agg(F.sum("s")).select("host", F.coalesce("t", F.lit(0.0)).alias("trust"), F.coalesce("d", F.lit(0.0)).alias("distrust"))
-    rank = start.withColumnRenamed("s", "r")
+    mark = rank = start.withColumnRenamed("s", "r")
     for i in range(rounds):
         passed = moves.join(rank.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", "b").agg(F.sum(F.col("w") * F.col("r") * damping).alias("r")).withColumnRenamed("b", "host")
         kept = passed.groupBy("kind").agg(F.sum("r").alias("held"))
         # two rows are broadcast
         again = start.join(F.broadcast(kept), "kind", "left").select("kind", "host", (F.col("s") * (1 - F.coalesce("held", F.lit(0.0)))).alias("r"))
         rank = passed.unionByName(again).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if i % 3 == 2:
+        if i % CHECK == CHECK - 1:
             rank = written(rank)
+            both = rank.unionByName(mark.withColumn("r", -F.col("r"))).groupBy("kind", "host").agg(F.abs(F.sum("r")).alias("moved"))
+            if max((r.m for r in both.groupBy("kind").agg(F.sum("moved").alias("m")).collect()), default=0.0) <= tolerance:  # two numbers
+                break
+            mark = rank
+    else:
+        raise RuntimeError(f"ranks did not settle within {rounds} rounds")
     return rank.groupBy("host").pivot("kind", ["t", "d"]).agg(F.sum("r")).select("host", F.coalesce("t", F.lit(0.0)).alias("trust"), F.coalesce("d", F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = 12, most_distrust: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, tolerance: float = TOLERANCE, rounds: int = ROUNDS, most_distrust: float = 0.5) -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule``, ``verdict``, ``trust``, ``distrust``.
 
     A page that a rule fits has the rule's verdict. Hosts with allowed pages are trusted seeds and hosts with blocked pages
@@ -80,8 +90,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     Pages are reduced to one row per host before anything is propagated; the last join on the host is split by adaptive
     execution where one host has very many pages. Null url, or one without ``://``: empty host and path, allowed. Null
-    page: no links. Very long pages: all their links. Repeated rows: each gives its row, and counts. Empty table: no
-    rows. Other columns are not read.
+    page: no links. Null id: judged like others. Very long pages: all their links. Ties of rules in length: the greater
+    string. Repeated rows: each gives its row, and counts. Empty table: no rows. Other columns are not read.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     seen = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
@@ -89,7 +99,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     per_host = ruled.where("m is not null").groupBy("host").agg(F.avg(F.col("m.allows").cast("double")).alias("p"))
     seeds = per_host.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("p").alias("s")), F.struct(F.lit("d").alias("kind"), (1 - F.col("p")).alias("s")))).alias("x"))
     seeds = written(seeds.select("host", "x.kind", "x.s").where("s > 0"))
-    ranks = spread(written(host_edges(seen, "host", "html")), seeds, rounds)
+    ranks = spread(written(host_edges(seen, "host", "html")), seeds, tolerance, rounds)
     bad = F.col("distrust") > most_distrust * (F.col("trust") + F.col("distrust"))
     hosts = ranks.select("host", "trust", "distrust", bad.alias("bad"))
     verdict = F.when(F.coalesce(F.col("m.allows"), ~F.coalesce("bad", F.lit(False))), "allow").otherwise("block")
@@ -98,10 +108,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+    return judge(table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
-def _sql(rounds: int = 12) -> str:
+def _sql(rounds: int = 100) -> str:
     """The same with every round of the propagation as a table of its own."""
     quote = "''"
     rules = ", ".join(f"('{h}', '{p}', {str(a).lower()})" for h, p, a in RULES)
@@ -129,7 +139,7 @@ moves as materialized (select 't' as kind, src as a, dst as b, n / sum(n) over (
 r0 as (select kind, host, s as r from start){steps},
 hosts as (select host, coalesce(sum(r) filter (kind = 't'), 0) as trust, coalesce(sum(r) filter (kind = 'd'), 0) as distrust from r{rounds} group by 1)
 select page_id, host, path, rule, case when coalesce(allows, not coalesce(distrust > 0.5 * (trust + distrust), false)) then 'allow' else 'block' end as verdict,
-  round(coalesce(trust, 0), 9) as trust, round(coalesce(distrust, 0), 9) as distrust from ruled left join hosts using (host)
+  round(coalesce(trust, 0), 6) as trust, round(coalesce(distrust, 0), 6) as distrust from ruled left join hosts using (host)
 """
 
 

@@ -345,6 +345,37 @@ def test_topk_of_large_components(spark):
         topk.search(far, far, 10, scale=2**30)
 
 
+def test_whole_texts_equal_a_plain_convolution(spark, monkeypatch):
+    net = language.ByteCnn(["de", "en", "fr"])
+    net.out_bias[...], net.bias[...] = [0.1, -0.2, 0.3], 0.05
+    monkeypatch.setattr(language, "SCORED", 3)  # long texts are scored in several goes
+    rows = [*texts(12), "ok", "日本語 " * 150, "x" * 128, "y" * 129, None, "12 !"]
+    got = by_id(language.identify(docs(spark, rows), net))
+    for i, t in enumerate(rows):
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        raw, total = t.encode(), np.zeros(3)
+        for s in range(0, len(raw), language.WINDOW):
+            window = raw[s : s + language.WINDOW].ljust(language.WINDOW, b"\0")
+            pooled = [max(sum(net.embed[window[p + k]] @ f[k, :, j] for k in range(w)) for p in range(language.PLACES)) for w, f in zip(language.WIDTHS, net.filters) for j in range(language.FILTERS)]
+            z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+            total += len(raw[s : s + language.WINDOW]) * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        p = np.exp(total / len(raw))
+        assert got[i].lang_pred == net.langs[int(p.argmax())] and got[i].score == pytest.approx(p.max() / p.sum(), abs=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the and of to in", "en") for i in range(3000)] + [(5000 + i, "щ ы э ю я ж", "ru") for i in range(3)] + [(None, "щ ы э", "ru"), (1, None, "xx"), (2, "12", "yy")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = language.train(df, rows=50)
+    assert net.langs == ["en", "ru"]
+    assert {(r.doc_id, r.lang_pred) for r in language.identify(df.where("doc_id >= 5000 or doc_id is null"), net).collect()} == {(5000, "ru"), (5001, "ru"), (5002, "ru"), (None, "ru")}
+    found = by_id(language.identify(df.where("doc_id < 3000"), net))
+    least = 0.1 + 0.9 / 2
+    assert {r.doc_id for r in language.accepted(df.where("doc_id < 3000"), net).collect()} == {i for i, r in found.items() if r.lang_pred != "und" and r.score >= least}
+
+
 # 6: chat
 
 
@@ -392,7 +423,7 @@ def test_rotation_runs_no_python(spark):
 # 2: URLs
 
 
-def naive_ranks(edges, seeds, rounds=12, damping=0.85):
+def naive_ranks(edges, seeds, rounds=200, damping=0.85):
     total = sum(seeds.values())
     start = {h: s / total for h, s in seeds.items()} if total else {}
     out = Counter()
@@ -415,7 +446,9 @@ def test_urls_equal_brute_force(spark):
         (5, "https://b.org", link("http://d.org", "http://d.org")), (6, None, "x"), (7, "no scheme/here", link("http://b.org")), (8, "ftp://C.ORG#frag", ""), (9, "https://notexample.com/en/", ""), (10, "https://x.net/de/", ""), (10, "https://x.net/de/", ""), (11, "http://com/", ""), (12, "http://com", ""), (13, "://h.org/p?a/b://c", ""),
     ]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'q' as host", "'r' as rule", "0 as trust")
-    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+    got = {r.page_id: r for r in url_filter.judge(df, tolerance=1e-3).collect()}
+    with pytest.raises(RuntimeError):
+        url_filter.judge(df, rounds=8)
 
     def parts(u):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
@@ -443,7 +476,7 @@ def test_urls_equal_brute_force(spark):
         t, d = trust.get(h, 0), distrust.get(h, 0)
         r = got[i]
         assert (r.host, r.path, r.rule) == (h, p, fit[1] if fit else None)
-        assert abs(r.trust - t) < 1e-9 and abs(r.distrust - d) < 1e-9
+        assert abs(r.trust - t) < 2e-3 and abs(r.distrust - d) < 2e-3
         assert r.verdict == ("allow" if fit[2] else "block") if fit else r.verdict == ("block" if d > 0.5 * (t + d) else "allow")
     assert got[13].host == "h.org" and got[12].rule is None and got[11].rule == "com/"
     assert url_filter.judge(df).count() == len(pages) and url_filter.judge(df.limit(0)).count() == 0
