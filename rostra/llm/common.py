@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Only for sessions that name no checkpoint folder (tests, local mode).
@@ -18,8 +18,9 @@ LOCAL_SHARED = "file:///tmp/checkpoints"
 #: UTF-8 bytes that a Python task holds as Python strings at a time (one longer text is still taken whole).
 CHUNK_BYTES = 1 << 20
 
-#: Hash slots of broadcast tables that turn most rows away before a join on ids: at most so many integers.
-SLOTS = 1 << 19
+#: Rows of broadcast tables that turn most rows away before a join on ids, at most; each holds 64 hash slots as bits. With n
+#: ids, about n in 33,554,432 of the other rows pass too: beyond some 10 million ids the join shuffles most rows once.
+SLOT_WORDS = 1 << 19
 
 PA_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
@@ -126,14 +127,20 @@ def map_texts(df: DataFrame, columns: list[str], schema: dict[str, str], factory
     return batch_map(src, per_task, ", ".join(f"`{n}` {t}" for n, t in schema.items()))
 
 
-def slot(id_col: str = "id"):
-    return F.pmod(F.xxhash64(id_col), F.lit(SLOTS)).cast("int")
+def slot(id_col: str) -> tuple[Column, Column]:
+    """An id's word of slots, and its bit there."""
+    h = F.pmod(F.xxhash64(id_col), F.lit(SLOT_WORDS * 64))
+    return F.shiftright(h, 6), h.bitwiseAND(F.lit(63)).cast("int")
 
 
 def near_ids(df: DataFrame, ids: DataFrame, id_col: str = "id", turned_away: bool = False) -> DataFrame:
-    """Rows whose id shares a hash slot with one of ``ids`` (or those whose id does not). The slots are broadcast: SLOTS integers at most."""
-    slots = F.broadcast(ids.select(slot(id_col).alias("_slot")).distinct())
-    return df.withColumn("_slot", slot(id_col)).join(slots, "_slot", "left_anti" if turned_away else "left_semi").select(*df.columns)
+    """Rows whose id shares a hash slot with one of ``ids`` (or those whose id does not). The slots are broadcast: SLOT_WORDS rows at most."""
+    word, bit = slot(id_col)
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    names = [unused(df, "word"), unused(df, "bits")]
+    slots = F.broadcast(ids.groupBy(word.alias(names[0])).agg(bits.alias(names[1])))
+    held = (word == slots[names[0]]) & (F.getbit(slots[names[1]], bit) == 1)
+    return df.join(slots, held, "left_anti" if turned_away else "left_semi")
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -137,11 +137,11 @@ class Cache:
     """A mapping in two generations: what was used since the last change of generation survives the next.
 
     ``most``: bytes that a generation holds, about (a key's characters, and 160 for each entry); one call's own keys are
-    always held, even where they are more.
+    always held, even where they are more. ``fixed``: what is held for good, and not counted.
     """
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old, self.size = most, {}, {}, 0
+    def __init__(self, most: int, fixed: dict | None = None):
+        self.most, self.fixed, self.young, self.old, self.size = most, fixed or {}, dict(fixed or {}), {}, 0
 
     @staticmethod
     def weight(keys) -> int:
@@ -152,8 +152,8 @@ class Cache:
         young = self.young
         if missing := keys.difference(young):
             if self.size + self.weight(missing) > self.most:
-                self.old, self.young, self.size = young, (young := {}), 0
-                missing = keys
+                self.old, self.young, self.size = young, (young := dict(self.fixed)), 0
+                missing = keys.difference(young)
             self.size += self.weight(missing)
             if self.old:
                 old = self.old
@@ -164,5 +164,5 @@ class Cache:
                 todo = list(missing)
                 young.update(zip(todo, make(todo), strict=True))
             if self.size > self.most:  # one call's keys alone: the next call begins anew
-                self.young, self.old, self.size = {}, {}, 0
+                self.young, self.old, self.size = dict(self.fixed), {}, 0
         return young

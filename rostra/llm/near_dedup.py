@@ -161,13 +161,14 @@ def crowded_links(sets: DataFrame, percent: int) -> DataFrame:
     what is left out lies within one component already.
     """
     flat = sets.select("id", F.explode("s").alias("t"))
-    counts = flat.groupBy("t").agg(F.count("*").alias("n"))
+    # counts and hubs are tables of their own, so that a join on a shingle of very many documents can be split
+    counts = written(flat.groupBy("t").agg(F.count("*").alias("n")))
     ordered = flat.join(counts, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("r"))
     size = F.size("r")
     reach = size - F.ceil(size * percent / 100.0 - 1e-9).cast("int") + 1
     heads = ordered.select("id", size.alias("z"), F.aggregate("r", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("w"), F.posexplode(F.slice("r", F.lit(1), reach)).alias("p", "x"))
     heads = written(heads.select("id", "z", "w", "p", F.col("x.t").alias("t"), F.col("x.n").alias("n")).where("n > 1").drop("n"))
-    best = heads.groupBy("t").agg(F.max(F.struct("w", F.negative("id").alias("i"))).alias("m")).select("t", F.col("m.w").alias("mw"), F.negative(F.col("m.i")).alias("m"))
+    best = written(heads.groupBy("t").agg(F.max(F.struct("w", F.negative("id").alias("i"))).alias("m")).select("t", F.col("m.w").alias("mw"), F.negative(F.col("m.i")).alias("m")))
     stars = heads.join(best, "t").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"), "mw").distinct()
     stars = written(confirmed(stars.select("a", "b").distinct(), sets, percent).join(stars, ["a", "b"]).select("a", "b", "mw"))
     hub = stars.groupBy("a").agg(F.max(F.struct("mw", F.negative("b").alias("i"))).alias("h")).select(F.col("a").alias("id"), F.negative(F.col("h.i")).alias("h"))

@@ -22,8 +22,8 @@ from pyspark.sql import SparkSession
 from rostra.llm.common import broadcast_file
 from rostra.llm.merging import Cache, PairMerger
 
-#: Bytes of distinct chunks and words cached per worker in each of two generations, about; fewer cost time only.
-CACHE = 64 << 20
+#: Bytes of distinct pre-tokens cached per worker in each of two generations, about; fewer cost time only.
+CACHE = 32 << 20
 
 
 def byte_chars() -> str:
@@ -67,7 +67,7 @@ class CharTables:
 
     ``lower``: (codepoint, lower case) where they differ; ``letters``, ``numbers``, ``spaces``: ranges for a character class;
     ``odd``: a class of codepoints that the library composes or orders in another way than this Python does; ``agreed``: below
-    this codepoint Python and its modules take letters, numbers and cases as the library does; ``odd_spaces``: white space for this Python alone, or the library alone.
+    this codepoint Python and its modules take letters, numbers and cases as the library does.
     """
 
     lower: tuple[tuple[int, str], ...]
@@ -76,7 +76,6 @@ class CharTables:
     spaces: str
     odd: str
     agreed: str
-    odd_spaces: tuple[str, ...]
 
 
 def ranges(points: list[int]) -> str:
@@ -118,7 +117,7 @@ def char_tables() -> CharTables:
     differ = odd | set(letters) ^ {c for c in chars if c.isalpha()} | set(letters) ^ set(regex.findall(r"\p{L}", text)) | set(numbers) ^ set(regex.findall(r"\p{N}", text))
     differ |= {c for c in chars if c.lower() != lower.get(c, c)}
     points = lambda x: ranges(sorted(map(ord, x)))
-    return CharTables(tuple((ord(c), x) for c, x in lower.items()), points(letters), points(numbers), points(spaces), points(odd), min(differ, default=chr(sys.maxunicode)), tuple(sorted(set(spaces) ^ {c for c in chars if c.isspace()})))
+    return CharTables(tuple((ord(c), x) for c, x in lower.items()), points(letters), points(numbers), points(spaces), points(odd), min(differ, default=chr(sys.maxunicode)))
 
 
 def merger(spec: dict) -> PairMerger:
@@ -134,66 +133,55 @@ def merger(spec: dict) -> PairMerger:
 class WordEncoder:
     """Ids of whole texts, equal to the library's with special strings handled as its default and none added.
 
-    White space separates pre-tokens for certain, so texts are cut there and each distinct chunk is worked out once:
-    normalised, split by the vocabulary's pattern, pre-tokens proven whole looked up, only the others merged.
+    Texts are normalised and split by the vocabulary's pattern; pre-tokens proven whole are looked up, and only the others are
+    merged, each distinct one once while it is cached.
     """
 
     def __init__(self, raw: bytes, whole: dict[str, int], chars: CharTables):
         spec = json.loads(raw)
         self.merger = merger(spec)
-        self.whole = {w: struct.pack("<I", i) for w, i in whole.items()}
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        pattern = pattern.replace("\\s", chars.spaces)
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace("\\s", chars.spaces)
         self.split = regex.compile(pattern)
         self.split_any = regex.compile(pattern.replace("\\p{L}", chars.letters).replace("\\p{N}", chars.numbers))
-        self.agreed, self.spaces = chars.agreed, regex.compile(f"[{chars.spaces}]+")
-        self.odd_spaces = chars.odd_spaces
+        self.high = re.compile(f"[{re.escape(chars.agreed)}-\U0010ffff]")
         self.lower, self.odd = dict(chars.lower), regex.compile(f"[{chars.odd}]") if chars.odd else None
         self.special = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"]}
         self.find_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self.words, self.packed, self.counted = Cache(CACHE), Cache(CACHE), Cache(CACHE)
+        self.packed, self.counted = Cache(CACHE, {w: struct.pack("<I", i) for w, i in whole.items()}), Cache(CACHE, dict.fromkeys(whole, 1))
 
-    def composed(self, chunk: str) -> str:
-        if self.odd and self.odd.search(chunk):
+    def composed(self, text: str) -> str:
+        if self.odd and self.odd.search(text):
             from tokenizers import normalizers
 
-            return normalizers.NFC().normalize_str(chunk)
-        return unicodedata.normalize("NFC", chunk)
+            return normalizers.NFC().normalize_str(text)
+        return unicodedata.normalize("NFC", text)
 
-    def pre_tokens(self, chunk: str) -> list[str]:
-        """Of a chunk without white space; lower case character by character, so a final sigma is none."""
-        if max(chunk) < self.agreed:
-            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            return [low] if low.isalpha() else self.split.findall(low)
-        return self.split_any.findall(self.composed(chunk).translate(self.lower))
-
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [self.pre_tokens(c) for c in chunks]
-        whole = self.whole
-        words = self.words.holding({w for s in split for w in s if w not in whole}, lambda rest: self.merger.merge([w.encode() for w in rest]))
-        return [b"".join([whole.get(w) or words[w] for w in s]) for s in split]
+    def pre_tokens(self, text: str) -> list[str]:
+        """In lower case character by character, so a final sigma is none."""
+        if self.high.search(text):
+            return self.split_any.findall(self.composed(text).translate(self.lower))
+        return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def runs(self, text: str | None):
-        """Lists of chunks, and between them the packed ids of special strings."""
+        """Lists of pre-tokens, and between them the packed ids of special strings."""
         for k, part in enumerate(self.find_special.split(text) if text and "<|" in text else [text or ""]):
-            if k % 2:
-                yield self.special[part]
-            else:
-                # no white space composes with a neighbour, so chunks are normalised on their own
-                yield [x for x in self.spaces.split(part) if x] if any(c in part for c in self.odd_spaces) else part.split()
+            yield self.special[part] if k % 2 else self.pre_tokens(part)
 
     def folded(self, cache: Cache, make, texts, one, join) -> list:
-        """Per text, what its runs' chunks join to; the chunks of all texts are looked up together."""
+        """Per text, what its pre-tokens join to; those of all texts are looked up together."""
         runs = [[*self.runs(t)] for t in texts]
         at = cache.holding(set().union(*[r for rs in runs for r in rs if isinstance(r, list)]), make).__getitem__
         return [join(one(r) if isinstance(r, bytes) else join(map(at, r)) for r in rs) for rs in runs]
 
+    def merged(self, words: list[str]) -> list[bytes]:
+        return self.merger.merge([w.encode() for w in words])
+
     def counts(self, texts: list[str | None]) -> list[int]:
-        return self.folded(self.counted, lambda new: [len(x) // 4 for x in self.chunks(new)], texts, lambda special: 1, sum)
+        return self.folded(self.counted, lambda new: [len(x) // 4 for x in self.merged(new)], texts, lambda special: 1, sum)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        return self.folded(self.packed, self.chunks, texts, bytes, b"".join)
+        return self.folded(self.packed, self.merged, texts, bytes, b"".join)
 
 
 @lru_cache(maxsize=2)

@@ -76,7 +76,7 @@ def test_ids_equal_the_library_for_every_codepoint(library):
     words = word_bpe.WordEncoder(raw, word_bpe.whole_tokens(raw), word_bpe.char_tables())
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for k in range(0, len(chars), 100_000):
-        rows = [" ".join(f"{c} a{c}b 1{c}\u0301" for c in chars[i : i + 40]) for i in range(k, min(k + 100_000, len(chars)), 40)]
+        rows = [" ".join(f"{c} a{c}b\u0301" for c in chars[i : i + 40]) for i in range(k, min(k + 100_000, len(chars)), 40)]
         for t, ids, x in zip(rows, words.ids(rows), library.encode_batch(rows, add_special_tokens=False), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == x.ids, t
 
@@ -297,6 +297,17 @@ def test_other_texts_of_an_id_and_rows_without_id(spark, tmp_path):
     assert Counter(tuple(x) for x in left.collect()) == Counter([(1, p), (1, q), (4, r), (None, r), (None, None)])
 
 
+def test_rows_are_turned_away_by_slots(spark):
+    from rostra.llm.common import near_ids, without_ids
+
+    df = spark.createDataFrame([(i, f"w{i}", -i, "x") for i in range(300)], "doc_id bigint, word string, _slot bigint, bits string")
+    ids = df.where("doc_id % 3 = 0").select("doc_id")
+    assert without_ids(df, ids, "doc_id").collect() and {tuple(r) for r in without_ids(df, ids, "doc_id").collect()} == {(i, f"w{i}", -i, "x") for i in range(300) if i % 3}
+    near = {r.doc_id for r in near_ids(df, ids, "doc_id").collect()}
+    assert {*range(0, 300, 3)} <= near and len(near) < 110
+    assert near_ids(df, ids, "doc_id", turned_away=True).count() == 300 - len(near) and near_ids(df, ids.limit(0), "doc_id").count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(200, 200)] + [(301, 300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
