@@ -83,15 +83,20 @@ def result_group(code: Column) -> Column:
     return out
 
 
+#: Phrases by which a text rejects, between word edges and over any white space. Fixed values.
+REJECTIONS = (
+    r"\b(ledamotsinitiativet|initiativet|motionen|medborgarförslaget|medborgarforslaget)\s+avslås\b"
+    r"|\bavslår\s+yrkandet\s+om\b"
+)
+
+
 def effective_result(result: Column, *texts: Column) -> Column:
     """The stated result, unless it or the text says that something was rejected. Phrases are case-sensitive."""
     r, text = text_or_empty(result), F.concat_ws(" ", *[F.when(t != "", t) for t in texts])
-    edge = "(^|[^A-Za-z0-9_])"
-    subject = edge + "(ledamotsinitiativet|initiativet|motionen|medborgarförslaget|medborgarforslaget)[ \t\n]+avslås"
     return (
         F.when(r == "reject_counterproposal", r)
         .when(r.isin("reject", "rejected", "avslag"), "reject")
-        .when(text.rlike(subject) | text.rlike(edge + "avslår[ \t\n]+yrkandet[ \t\n]+om"), "reject")
+        .when(text.rlike(REJECTIONS), "reject")
         .when(r != "", r)
         .otherwise("other")
     )
@@ -194,12 +199,18 @@ def proposal_type(point_type: Column, document_type: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(text_or_empty(point_type)), F.lit("")), F.nullif(F.trim(text_or_empty(document_type)), F.lit("")), F.lit("beslut"))
 
 
+#: Numbers that one range may span, and digits of a number.
+MOST_SPAN, DIGITS = 1000, 4
+
+
 def expanded_ranges(col: Column) -> Column:
-    """``1–3, 5 och 7-8`` as sorted distinct integers."""
-    bare = F.regexp_replace(text_or_empty(col), "[–—]", "-")
-    parts = F.regexp_extract_all(bare, F.lit("([0-9]+ *- *[0-9]+|[0-9]+)"), F.lit(1))
-    ends = F.transform(parts, lambda x: F.transform(F.split(x, " *- *"), lambda y: y.cast("int")))
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(ends, lambda e: F.sequence(F.array_min(e), F.array_max(e))))))
+    """``1–3, 5 och 7-8`` as sorted distinct integers. Ranges that run backwards or span more than MOST_SPAN are left out."""
+    number = f"[0-9]{{1,{DIGITS}}}"
+    parts = F.regexp_extract_all(text_or_empty(col), F.lit(f"({number}(?:\\s*[–-]\\s*{number})?)"), F.lit(1))
+    ends = F.transform(parts, lambda x: F.transform(F.split(x, "\\s*[–-]\\s*"), lambda y: y.cast("int")))
+    pairs = F.transform(ends, lambda e: F.struct(F.get(e, F.lit(0)).alias("a"), F.element_at(e, -1).alias("b")))
+    sound = F.filter(pairs, lambda p: (p["a"] <= p["b"]) & (p["b"] - p["a"] <= MOST_SPAN))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(sound, lambda p: F.sequence(p["a"], p["b"])))))
 
 
 def ignorable_line(col: Column) -> Column:

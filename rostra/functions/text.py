@@ -9,7 +9,7 @@ import re
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,8 @@ def _folds() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _folds()
+#: Punctuation that parts words in headings of decisions. Fixed values.
+PARTING = r"""[§.,:;!?()\[\]{}"'“”‘’\-–—/\\]+"""
 
 
 def fold(col: Column) -> Column:
@@ -32,6 +34,11 @@ def normalize_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(fold(F.coalesce(col, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def normalize_decision(col: Column) -> Column:
+    """Lower case, no accents; punctuation that parts words becomes single blanks, other signs stay."""
+    return F.trim(F.regexp_replace(F.regexp_replace(fold(F.coalesce(col, F.lit(""))), PARTING, " "), r"\s+", " "))
+
+
 def normalize_query(text: str) -> str:
     plain = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", text.lower()))
     return re.sub("[^a-z0-9]+", " ", plain).strip()
@@ -108,6 +115,34 @@ def field_score(text: Column, query: str) -> Column:
     return F.when(t == "", 0).when(t == q, 1000).when(every, F.greatest(phrase, total)).otherwise(phrase)
 
 
+def likely_token(q: str, t: Column) -> Column:
+    """Whether a text token can score at all for a query token, by cheap tests: every token that scores passes."""
+    n, size, most = len(q), F.length(t), 2 if len(q) >= 8 else 1
+    near = (size >= 4) & (F.abs(size - n) <= most) if n >= 4 else F.lit(False)
+    stem = (size >= 6) & t.startswith(q[:5]) if n >= 6 else F.lit(False)
+    return F.contains(t, F.lit(q)) | stem | near | (F.startswith(F.lit(q), t) & (n - size <= 2) if n >= 5 else F.lit(False))
+
+
+def scored(df: DataFrame, key: str, text: str, query: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, keep, score) of the rows that score for a query of up to six tokens, equal to ``field_score``.
+
+    Texts are cut into tokens once; only tokens that pass ``likely_token`` are compared by edits, and each row's best ones meet
+    in a sum. Rows without text, and queries without tokens, score nothing.
+    """
+    parts = normalize_query(query).split()
+    if not parts or len(parts) > 6:
+        score = field_score(F.col(text), query) if parts else F.lit(0)
+        return df.select(key, *keep, score.alias("score")).where("score > 0")
+    q = " ".join(parts)
+    rows = df.select(key, *keep, normalize_text(F.col(text)).alias("t")).select(key, *keep, (F.col("t") == q).alias("same"), (F.instr("t", q) - 1).alias("at"), F.split("t", " ").alias("w"))
+    likely = lambda p: F.array_distinct(F.filter("w", lambda t: likely_token(p, t)))
+    best = [F.coalesce(F.array_max(F.transform(likely(p), _on(token_score, p))), F.lit(0)) for p in parts]
+    found = rows.select(key, *keep, "same", "at", F.array(*best).alias("b"))
+    phrase = F.when(F.col("at") == 0, 900).when(F.col("at") > 0, F.greatest(F.lit(620), 780 - F.least(F.col("at"), F.lit(160)))).otherwise(0)
+    total = F.when(F.forall("b", lambda x: x > 0), 220 + F.aggregate("b", F.lit(0), lambda a, x: a + x)).otherwise(0)
+    return found.select(key, *keep, F.when(F.col("same"), 1000).otherwise(F.greatest(phrase, total)).alias("score")).where("score > 0")
+
+
 def weighted_score(query: str, fields: Sequence[tuple[Column, float]]) -> Column:
     """The best field's weighted score, and a little for the support by the others."""
     scores = [field_score(c, query) * F.lit(float(w)) for c, w in fields]

@@ -10,14 +10,28 @@ from rostra.functions.keys import squeezed, text_or_empty
 from rostra.functions.text import fold
 
 
+#: Words with which a note begins that is no name, words before a name, and one after it. Fixed values.
+NO_NAME, BEFORE_NAME, AFTER_NAME = r"(?i)^(?:ersätter|ersättare för|tjänstgör för|frånvarande)\b", r"(?i)^(?:jäv|ordförande)\s+", r"(?i)\s*,\s*politisk\s+sekreterare\s*$"
+
+
 def person_name(col: Column) -> Column:
-    """Single blanks, plain hyphens, no role in brackets or after a comma."""
-    plain = F.regexp_replace(text_or_empty(col), "[‐-―]", "-")
-    return squeezed(F.regexp_replace(plain, r" *(\([^)]*\)|,.*)$", ""))
+    """A name without a date or a role before it, with single blanks and plain hyphens; empty where a note stands in its place."""
+    plain = squeezed(F.regexp_replace(F.regexp_replace(text_or_empty(col), r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}\s+", ""), "[‐‑–—]", "-"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(plain, BEFORE_NAME, ""), AFTER_NAME, ""))
+    return F.when(plain.rlike(NO_NAME), "").otherwise(bare)
 
 
 def person_key(col: Column) -> Column:
-    return squeezed(F.regexp_replace(F.translate(fold(person_name(col)), "øæ", "oa"), "[^a-z0-9 -]", ""))
+    """The name in lower case, hyphens as blanks, without accents; ø as o and æ as ae."""
+    folded = fold(squeezed(F.replace(F.lower(person_name(col)), F.lit("-"), F.lit(" "))))
+    return squeezed(F.regexp_replace(F.replace(F.translate(folded, "ø", "o"), F.lit("æ"), F.lit("ae")), "[^a-z0-9 ]", ""))
+
+
+def reviewed(people: DataFrame, aliases: DataFrame, party: str, name: str) -> DataFrame:
+    """Names by the reviewed table (party, alias, canonical), matched by key within the party; others stay. The first of several wins."""
+    by = aliases.groupBy(F.col("party").alias("_party"), person_key(F.col("alias")).alias("_key")).agg(F.min("canonical").alias("_canonical"))
+    found = people.join(by, (F.col(party) == F.col("_party")) & (person_key(F.col(name)) == F.col("_key")), "left")
+    return found.select(*[F.coalesce("_canonical", name).alias(c) if c == name else F.col(c) for c in people.columns])
 
 
 def deletions(col: Column) -> Column:

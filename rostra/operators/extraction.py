@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostra.functions.keys import ignorable_line, squeezed, text_or_empty
+from rostra.functions.keys import ignorable_line, squeezed, stable_hash, text_or_empty
 
 DIARY = "[A-ZÅÄÖ][A-Za-zÅÄÖåäö]{0,6} [0-9]{1,5}/20[0-9]{2}"
 
@@ -71,15 +71,20 @@ STANCE_WORDS = (("bifall", "Bifallsyrkande"), ("avslag", "Avslagsyrkande"), ("å
 
 
 def positions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, name, party, stance): who moves what, by sentences ``<people> yrkar <request>``."""
+    """(keys, name, party, stance, proposal): who moves what, by ``<people> yrkar <request>`` within a sentence, the people in the
+    last 260 characters before. Of a person's motions of one stance, spelt in whatever case, the first counts; ``proposal``
+    is named by a hash of keys, person and request."""
+    move = r"(?iu)([^.!?]{0,260}?)\s+yrkar\s+([^.!?]+)"
     flat = squeezed(text_or_empty(F.col(text)))
-    sentence = F.explode(F.filter(F.split(flat, r"[.!?]"), lambda s: F.lower(s).rlike(r"\syrkar\s"))).alias("s")
-    parts = df.select(*keys, sentence).withColumn("who", F.regexp_extract("s", r"(?i)^(.*?)\syrkar\s", 1)).withColumn("what", F.lower(F.regexp_extract("s", r"(?i)\syrkar\s+(.*)$", 1)))
+    zipped = lambda x, pattern, a, b: F.arrays_zip(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)).alias(a), F.regexp_extract_all(x, F.lit(pattern), F.lit(2)).alias(b))
+    moves = df.select(*keys, F.posexplode(zipped(flat, move, "who", "what")).alias("i", "x")).select(*keys, "i", "x.who", F.lower("x.what").alias("what"))
     stance = F.lit("Yrkande")
     for word, name in reversed(STANCE_WORDS):
         stance = F.when(F.contains("what", F.lit(word)), name).otherwise(stance)
-    people = F.explode(F.arrays_zip(F.regexp_extract_all("who", F.lit(PERSON), F.lit(1)).alias("n"), F.regexp_extract_all("who", F.lit(PERSON), F.lit(2)).alias("p"))).alias("x")
-    return parts.select(*keys, people, stance.alias("stance")).select(*keys, F.col("x.n").alias("name"), F.col("x.p").alias("party"), "stance").distinct()
+    people = moves.select(*keys, "i", "what", stance.alias("stance"), F.posexplode(zipped(F.col("who"), PERSON, "n", "p")).alias("j", "x"))
+    first = people.groupBy(*keys, F.lower("x.n").alias("a"), F.lower("x.p").alias("b"), "stance").agg(F.min(F.struct("i", "j", F.col("x.n").alias("name"), F.col("x.p").alias("party"), "what")).alias("m"))
+    proposal = F.concat(F.lit("proposal_"), stable_hash(*[F.col(k).cast("string") for k in keys], F.col("m.name"), F.col("m.party"), F.col("m.what")))
+    return first.select(*keys, "m.name", "m.party", "stance", proposal.alias("proposal"))
 
 
 def attendance(pages: DataFrame, keys: list[str], page: str, text: str, headings: dict[str, str], most_pages: int = 3) -> DataFrame:
@@ -99,7 +104,7 @@ def stated_tally(text: Column) -> Column:
     def count(word: str) -> Column:
         before = F.regexp_extract(text, rf"(?iu)(?:^|[^\p{{L}}]){word}(?:-röster|röster)?\s*[:=]?\s*([0-9]+)", 1)
         after = F.regexp_extract(text, rf"(?iu)(?:^|[^0-9])([0-9]+)\s+{word}(?:-röster|röster)?(?:$|[^\p{{L}}])", 1)
-        return F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit(""))).cast("int")
+        return F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit(""))).try_cast("int")
 
     return F.struct(*[count(w).alias(n) for w, n in (("ja", "yes"), ("nej", "no"), ("avstår", "abstain"), ("frånvarande", "absent"))])
 

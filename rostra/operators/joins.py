@@ -9,6 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def unused(columns: Sequence[str], name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def prune(rows: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key still exists."""
     return rows.join(kept.select(*keys).distinct(), list(keys), "left_semi")
@@ -44,16 +52,12 @@ def corrected(rows: DataFrame, corrections: DataFrame, key: str, columns: Sequen
     return rows.join(fixes, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def coalesced_lookup(rows: DataFrame, tables: Sequence[tuple[DataFrame, str]], value: str) -> DataFrame:
     """``value`` from the first of several lookups that knows the row's key."""
-    for i, (lookup, key) in enumerate(tables):
-        rows = rows.join(lookup.select(key, F.col(value).alias(f"_{i}")), key, "left")
-    return rows.withColumn(value, F.coalesce(*[f"_{i}" for i in range(len(tables))])).drop(*[f"_{i}" for i in range(len(tables))])
+    names = [unused(rows.columns, f"found{i}") for i in range(len(tables))]
+    for name, (lookup, key) in zip(names, tables, strict=True):
+        rows = rows.join(lookup.select(key, F.col(value).alias(name)), key, "left")
+    return rows.withColumn(value, F.coalesce(*names)).drop(*names)
 
 
 def range_first(points: DataFrame, ranges: DataFrame, group: str, at: str, begin: str, end: str, order: str, width: int = 64) -> DataFrame:
@@ -62,19 +66,35 @@ def range_first(points: DataFrame, ranges: DataFrame, group: str, at: str, begin
     Ranges are spread over buckets of ``width`` and joined by equality on (group, bucket), never by a nested loop.
     """
     bucket = lambda c: F.floor(F.col(c) / width)
-    spread = ranges.withColumn("_b", F.explode(F.sequence(bucket(begin), bucket(end))))
-    hits = points.withColumn("_b", bucket(at)).join(spread, [group, "_b"], "left").where(F.col(begin).isNull() | F.col(at).between(F.col(begin), F.col(end)))
-    found = first_of(hits.where(F.col(begin).isNotNull()), [group, at], [F.col(order)])
-    return points.join(found.select(group, at, order), [group, at], "left")
+    b = unused([*points.columns, *ranges.columns], "bucket")
+    spread = ranges.select(group, begin, end, order).withColumn(b, F.explode(F.sequence(bucket(begin), bucket(end))))
+    hits = points.select(group, at).distinct().withColumn(b, bucket(at)).join(spread, [group, b]).where(F.col(at).between(F.col(begin), F.col(end)))
+    return points.join(hits.groupBy(group, at).agg(F.min(order).alias(order)), [group, at], "left")
 
 
 def forward_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, value: str) -> DataFrame:
     """Each left row with the earliest right row at or after it. Both sides are merged and scanned backwards once per key."""
-    a = left.select(*left.columns, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_left"))
-    b = right.select(*keys, F.col(right_at).alias(at), F.col(value).alias("_v"), F.lit(0).alias("_left"))
-    order = W.partitionBy(*keys).orderBy(F.desc(at), F.asc("_left"), F.desc("_v")).rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last(F.when(F.col("_left") == 0, F.col("_v")), ignorenulls=True).over(order))
-    return both.where("_left = 1").select(*left.columns, value)
+    found, asks = unused([*left.columns, value], "found"), unused([*left.columns, value], "asks")
+    a = left.select(*left.columns, F.lit(None).cast(right.schema[value].dataType).alias(found), F.lit(1).alias(asks))
+    b = right.select(*keys, F.col(right_at).alias(at), F.col(value).alias(found), F.lit(0).alias(asks))
+    order = W.partitionBy(*keys).orderBy(F.desc(at), F.asc(asks), F.desc(found)).rowsBetween(W.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last(F.when(F.col(asks) == 0, F.col(found)), ignorenulls=True).over(order))
+    return both.where(F.col(asks) == 1).select(*left.columns, value)
+
+
+def runs_found(pages: DataFrame, doc: str, at: str, signature: str) -> DataFrame:
+    """(part, found, shift): documents whose pages all stand in a document, in their order, ``shift`` places on; each stands in itself.
+
+    Candidates are found by each document's rarest page alone, and only they are compared page by page, so a page that very
+    many documents share brings none together by itself.
+    """
+    counts = pages.groupBy(signature).agg(F.count("*").alias("c"))
+    known = pages.select(F.col(doc).alias("part"), F.col(at).alias("t"), signature).join(counts, signature)
+    rarest = known.groupBy("part").agg(F.min(F.struct("c", "t", signature)).alias("m"), F.count("*").alias("n")).select("part", "n", F.col("m.t").alias("t"), F.col(f"m.{signature}").alias(signature))
+    where = pages.select(F.col(doc).alias("found"), F.col(at).alias("place"), signature)
+    maybe = rarest.join(where, signature).select("part", "n", "found", (F.col("place") - F.col("t")).alias("shift")).distinct()
+    told = maybe.join(known.select("part", "t", signature), "part").withColumn("place", F.col("t") + F.col("shift"))
+    return told.join(where, ["found", "place", signature]).groupBy("part", "found", "shift", "n").agg(F.count("*").alias("c")).where("c = n").select("part", "found", "shift")
 
 
 def section_sets(pending: DataFrame, stored: DataFrame, key: str, item: str) -> DataFrame:

@@ -22,9 +22,10 @@ def decision_summary(points: DataFrame, meeting: str = "meeting", matter: str =
     return counts.join(F.broadcast(events))
 
 
-def meeting_rollup(points: DataFrame, keys: Sequence[str], decision: str, matter: str, attendance: DataFrame | None = None, person: str = "name") -> DataFrame:
-    """Per meeting: decisions and matters, and people present."""
-    roll = points.groupBy(*keys).agg(F.count_distinct(decision).alias("n_decisions"), F.count_distinct(matter).alias("n_matters"))
+def meeting_rollup(points: DataFrame, keys: Sequence[str], decision: str, matter: str, attendance: DataFrame | None = None, person: str = "name", first_by: Sequence[str] = ()) -> DataFrame:
+    """Per meeting: decisions and matters, and people present; with ``first_by`` the decision that stands for it, the first in that order."""
+    stands = [F.min_by(decision, F.struct(*first_by)).alias("first")] if first_by else []
+    roll = points.groupBy(*keys).agg(F.count_distinct(decision).alias("n_decisions"), F.count_distinct(matter).alias("n_matters"), *stands)
     if attendance is None:
         return roll
     present = attendance.groupBy(*keys).agg(F.count_distinct(person).alias("n_present"))
@@ -33,8 +34,9 @@ def meeting_rollup(points: DataFrame, keys: Sequence[str], decision: str, matter
 
 def representative(rows: DataFrame, keys: Sequence[str], attendees: str, title: str) -> DataFrame:
     """The row that stands for a meeting: most attendees, title without a section mark, smallest title."""
-    order = W.partitionBy(*keys).orderBy(F.desc(attendees), F.startswith(F.col(title), F.lit("§")).cast("int"), title)
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    order = F.struct(F.negative(attendees), F.startswith(F.col(title), F.lit("§")).cast("int"), F.col(title), every)
+    return rows.groupBy(*keys).agg(F.min_by(every, order).alias("r")).select("r.*")
 
 
 def rolled_text(rows: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:

@@ -58,6 +58,17 @@ def dangling(df: DataFrame, parents: DataFrame, columns: Sequence[str], key: str
     return df.join(parents.select(*columns).distinct(), list(columns), "left_anti").select(F.col(key).alias("key"))
 
 
+def archive_rules(files: DataFrame, key: str, path: str, meeting: Sequence[str]) -> list[Rule]:
+    """Rules of an archive: every file has a relative path within it, and no two files are of one meeting."""
+    held = text_or_empty(F.col(path))
+    outside = held.startswith("/") | held.contains("\\") | F.array_contains(F.split(held, "/"), "..")
+    return [
+        Rule("path_missing", "error", lambda: missing(files, key, [path])),
+        Rule("path_outside", "error", lambda: files.where(outside).select(F.col(key).alias("key"))),
+        Rule("repeated_meeting", "error", lambda: repeated(files, meeting)),
+    ]
+
+
 def parity(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, field) in which derived and source rows differ; nulls equal nulls."""
     both = left.select(key, *[F.col(c).alias(f"l_{c}") for c in columns]).join(right.select(key, *[F.col(c).alias(f"r_{c}") for c in columns]), key, "full")
@@ -66,6 +77,7 @@ def parity(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str])
 
 
 def best_copy(df: DataFrame, same: str, order: Sequence) -> DataFrame:
-    """Of rows with the same content the first in order is kept: (all columns, copies)."""
-    w = W.partitionBy(same)
-    return df.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("copies", F.count("*").over(w)).where("_r = 1").drop("_r")
+    """Of rows with the same content the first in order is kept: (all columns, copies). Orders are expressions that compare
+    upwards; one row of each content is kept before anything is shuffled."""
+    every = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(same).agg(F.min_by(every, F.struct(*order, every)).alias("first"), F.count("*").alias("copies")).select("first.*", "copies")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions.keys import MONTHS
+from rostra.operators.joins import forward_asof
+from rostra.sources.sinks import materialized
 
+#: Forms of references. Fixed values.
 SECTION, DIARY, ISO_DATE = r"§\s*[0-9]{1,4}(?:\.[0-9]+)?", r"[A-ZÅÄÖ][A-Za-zÅÄÖåäö]{0,6}\s+[0-9]{1,5}/20[0-9]{2}", r"20[0-9]{2}-[0-9]{2}-[0-9]{2}"
 DAY = r"[0-9]{1,2}\s+(?:" + "|".join(f"[{m[0].upper()}{m[0]}]{m[1:]}" for m in MONTHS) + r")(?:\s+20[0-9]{2})?"
 ANY = f"({SECTION}|(?<![A-Za-zÅÄÖåäö]){DIARY}(?![A-Za-zÅÄÖåäö])|(?<![A-Za-z0-9_]){ISO_DATE}(?![A-Za-z0-9_])|(?<![A-Za-z0-9_]){DAY}(?![A-Za-z0-9_]))"
@@ -22,21 +24,84 @@ def extract(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return found.withColumn("kind", kind)
 
 
-def best_target(refs: DataFrame, rows: DataFrame, keys: Sequence[str], tiers: Sequence[Column], order: Sequence[Column], ref_id: Sequence[str], target: str, distinct: bool = False) -> DataFrame:
-    """Each reference with its best candidate: those that share ``keys`` are ranked by the first tier that holds, then by ``order``.
+#: What rows and the rows that refer are known by.
+ROW = ("id", "doc", "date", "body", "matter", "diary", "point")
 
-    ``rows`` carries its columns prefixed ``t_`` besides the keys; tiers and order may use both sides. With ``distinct`` a row
-    is no target of its own.
+
+def _nearest(refs: DataFrame, rows: DataFrame, pool: Sequence[str]) -> DataFrame:
+    """(ref, target) among rows with the same ``pool`` columns, where the current row is none of them: same diary, the next of
+    the same matter on or after the current date, the first of that matter, the first of all.
+
+    Each step is a join with one row for each key, or a scan along the dates, so no reference meets all its candidates.
+    """
+    keys = list(pool)
+    found = refs
+    for more, order, name in ((["diary"], ["id"], "t_diary"), (["matter"], ["date", "point", "id"], "t_matter"), ([], ["id"], "t_any")):
+        first = rows.groupBy(*keys, *more).agg(F.min_by("id", F.struct(*order)).alias(name))
+        found = found.join(first, [*keys, *more], "left")
+    lead = rows.where("matter is not null").groupBy(*keys, "matter", "date").agg(F.min_by("id", F.struct("point", "id")).alias("t_next"))
+    found = forward_asof(found, lead, [*keys, "matter"], "date", "date", "t_next")
+    return found.select("ref", F.coalesce("t_diary", F.when(F.col("matter").isNotNull(), F.coalesce("t_next", "t_matter")), "t_any").alias("target"))
+
+
+def _near(refs: DataFrame, rows: DataFrame, pool: Sequence[str]) -> DataFrame:
+    """(ref, target) among the few rows of one document or meeting: the current row itself, same diary, then as in ``_nearest``."""
+    keys = list(pool)
+    mine = refs.select("ref", *keys, *[F.col(c).alias(f"own_{c}") for c in ROW if c not in keys])
+    both = mine.join(rows, keys)
+    own = lambda c: F.col(c) if c in keys else F.col(f"own_{c}")
+    same = lambda c: F.coalesce(F.col(c) == own(c), F.lit(False))
+    other = ~same("id")
+    meeting = same("date") & same("body")
+    rank = (
+        F.when(same("id") & same("point"), 0).when(same("diary") & same("doc"), 1).when(same("diary") & meeting, 2).when(same("diary"), 3)
+        .when(other & same("matter") & (F.col("date") >= own("date")), 4).when(other & same("matter"), 5).when(other & same("doc"), 6).when(other, 7).otherwise(8)
+    )
+    # within a rank: by date and point among rows of a matter, by point in the same document, else as the rows come
+    by_date, by_point = F.when(rank.isin(4, 5), F.col("date")), F.when(rank.isin(4, 5, 6), F.col("point"))
+    return both.groupBy("ref").agg(F.min_by("id", F.struct(rank, by_date, by_point, F.col("id"))).alias("target"))
+
+
+def _pooled(refs: DataFrame, rows: DataFrame, bodies: bool) -> DataFrame:
+    """(ref, target, pool) by the first pool that has a row with the label: same document, same meeting, same body, all."""
+    pools = [("document", _near, ["label", "doc"]), ("meeting", _near, ["label", "date", "body"]), *([("body", _nearest, ["label", "body"])] if bodies else []), ("all", _nearest, ["label"])]
+    left, out = refs.where("label is not null"), None
+    for name, way, pool in pools:
+        # a table, as the next pool asks what this one left
+        found = materialized(way(left, rows, pool).where("target is not null").withColumn("pool", F.lit(name)))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("ref"), "ref", "left_anti")
+    return out
+
+
+def targets(refs: DataFrame, rows: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(ref, kind, target, pool) of references.
+
+    ``refs``: (ref, kind, label), the current row's columns ROW, and ``url``; ``label`` is a point's base number, a diary
+    number in normal form, or a date in ISO form. ``rows``: ROW and ``base``; ``meetings``: (id, date, body).
+
+    A point means a row of that base number, a diary number a row of that diary, each in the nearest pool. A date means the
+    current meeting where it is its date, else a row of the same matter on that date. A reference that finds nothing or its
+    own row falls back to the source (pool ``source``) if the current row has a url; dates stay text.
     """
-    tier = F.lit(len(tiers))
-    for i, t in reversed(list(enumerate(tiers))):
-        tier = F.when(t, i).otherwise(tier)
-    both = refs.join(rows, list(keys))
-    if distinct:
-        both = both.where(F.col(ref_id[0]) != F.col(target))
-    both = both.withColumn("tier", tier.cast("int"))
-    place = W.partitionBy(*ref_id).orderBy("tier", *order)
-    return both.withColumn("_r", F.row_number().over(place)).where("_r = 1").select(*ref_id, target, "tier")
+    refs, rows = materialized(refs), materialized(rows)
+    labelled = lambda c: rows.where(F.col(c).isNotNull()).select(F.col(c).alias("label"), *ROW)
+    diary = refs.where("kind = 'diary'")
+    own = diary.where("diary = label").select("ref", F.col("id").alias("target"), F.lit("own").alias("pool"))
+    asked = diary.where("diary is null or diary <> label")
+    found = _pooled(refs.where("kind = 'section'"), labelled("base"), True).unionByName(own).unionByName(_pooled(asked, labelled("diary"), False))
+    day = refs.where("kind = 'date'").select("ref", "id", "matter", "body", "label", F.col("date").alias("own_date"))
+    held = meetings.groupBy("date", "body").agg(F.min("id").alias("meeting"))
+    day = day.join(held, (day.label == held.date) & (day.body == held.body) & (day.own_date == held.date), "left").select(day["*"], "meeting")
+    same = rows.where("matter is not null").select(F.col("date").alias("label"), "matter", F.col("id").alias("row"))
+    of_matter = day.join(same, ["label", "matter"]).where("row <> id").groupBy("ref").agg(F.min("row").alias("row"))
+    dated = day.join(of_matter, "ref", "left").select("ref", F.coalesce(F.when(F.col("meeting") != F.col("id"), F.col("meeting")), "row").alias("target"), F.when(F.col("meeting") != F.col("id"), "meeting").otherwise("matter").alias("pool"))
+    every = refs.select("ref", "kind", "id", "url").join(found.unionByName(dated.where("target is not null")), "ref", "left")
+    lost = F.col("target").isNull() | (F.col("target") == F.col("id"))
+    return every.select(
+        "ref", "kind", F.when(~lost, F.col("target")).alias("target"),
+        F.when(~lost, F.col("pool")).when((F.col("kind") != "date") & F.col("url").isNotNull(), "source").otherwise("none").alias("pool"),
+    )
 
 
 def date_target(refs: DataFrame, rows: DataFrame, date: str, matter: str, own: str, target: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rostra.operators.joins import unused
+
 
 def disambiguated(df: DataFrame, key: str, position: str, out: str = "unique_id") -> DataFrame:
     """The first occurrence keeps its id, later ones get ``__source_<position>``."""
@@ -60,14 +62,19 @@ def decode_ranges(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
     """Each row's part of the whole column. The total is one row, joined to all."""
-    total = df.agg(F.sum(value).alias("_t"))
-    return df.join(F.broadcast(total)).withColumn(out, F.when(F.col("_t") != 0, F.col(value) / F.col("_t")).otherwise(0.0)).drop("_t")
-
-
-def numeric_key(text: Column, width: int = 12) -> Column:
-    """A sort key in which runs of digits order by their value: each is padded with zeros."""
-    padded = F.regexp_replace(F.lower(text), "([0-9]+)", "0" * width + "$1")
-    return F.regexp_replace(padded, "0+([0-9]{%d})" % width, "$1")
+    name = unused(df.columns, "total")
+    total = df.agg(F.sum(value).alias(name))
+    return df.join(F.broadcast(total)).withColumn(out, F.when(F.col(name) != 0, F.col(value) / F.col(name)).otherwise(0.0)).drop(name)
+
+
+def numeric_key(text: Column) -> Column:
+    """A sort key in which runs of digits order by their value, however long: each gets its number of digits before it, and
+    that number's own length before that."""
+    bare = F.regexp_replace(F.lower(text), "(?<![0-9])0+(?=[0-9])", "")
+    runs, rest = F.regexp_extract_all(bare, F.lit("([0-9]+)"), F.lit(1)), F.split(bare, "[0-9]+")
+    size = lambda x: F.length(x).cast("string")
+    keyed = F.transform(runs, lambda x: F.concat(F.length(size(x)).cast("string"), size(x), x))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(rest.alias("a"), keyed.alias("b")), lambda p: F.array_compact(F.array(p["a"], p["b"])))), "")
 
 
 def ordered(columns: Sequence[tuple[Column, bool]], descending: bool) -> list[Column]:

@@ -72,10 +72,10 @@ def incremental_work(spark, sf):  # STR-06
     return arrivals.new_work(table(spark, sf, "documents").select("doc_id", "source"), state, "doc_id")
 
 
-@query("merged_pack", "select * from (select l_orderkey as doc_index, l_suppkey as name from lineitem where l_orderkey < 100 union all select l_orderkey + 100, l_suppkey from lineitem where l_orderkey < 40) group by all")
+@query("merged_pack", "select distinct * from (select l_orderkey as doc_index, l_suppkey as name from lineitem union all select l_orderkey + 1 + (select max(o_orderkey) from orders), l_suppkey from lineitem)")
 def merged_pack(spark, sf):  # STR-07, SRC-02
     docs, rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_index")), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_index"), F.col("l_suppkey").alias("name"))
-    return arrivals.merged_pack(docs.where("doc_index < 100"), docs.where("doc_index < 40"), rows.where("doc_index < 100"), rows.where("doc_index < 40"), same=["doc_index", "name"])[1]
+    return arrivals.merged_pack(docs, docs, rows, rows, same=["doc_index", "name"])[1]
 
 
 @query("diary_upsert", "select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(b.diary, a.diary) as diary from (select doc_id, 'old' as diary from labels where doc_id % 2 = 0) a full join (select doc_id, 'new' as diary from labels where doc_id % 3 = 0) b using (doc_id)")

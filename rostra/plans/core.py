@@ -95,14 +95,14 @@ def stated_over_named(spark, sf):  # AGG-02, JOIN-02
 
 
 @query("canonical_totals", f"""with {BALLOTS}, {STATED}, t as (select id, {TALLY} from ballots group by id),
- e as (select l_orderkey as id, cast(sum(l_linenumber) as bigint) as ey, cast(sum(l_quantity) as bigint) as en from lineitem where l_linenumber < 4 group by 1),
+ e as (select l_orderkey as id, cast(sum(l_linenumber) as bigint) as ey, cast(sum(l_quantity) as bigint) as en from lineitem group by 1),
  m as (select s.*, yes, no, abstain, absent, coalesce(case when stated_yes > 0 then stated_yes end, ey, 0) as y, coalesce(case when stated_no > 0 then stated_no end, en, 0) as n
    from stated s left join t using (id) left join e using (id))
  select id, case when y + n > 0 then y else coalesce(yes, 0) end as yes, case when y + n > 0 then n else coalesce(no, 0) end as no,
    case when y + n > 0 then 0 else coalesce(abstain, 0) end as abstain, case when y + n > 0 then 0 else coalesce(absent, 0) end as absent from m""")
 def canonical_totals(spark, sf):  # AGG-03
     rows = votes.with_tally(stated(spark, sf), votes.tally(ballots(spark, sf), ["id"]), ["id"])
-    events = table(spark, sf, "lineitem").where("l_linenumber < 4").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("stated_yes"), F.col("l_quantity").cast("bigint").alias("stated_no"), F.lit(None).cast("bigint").alias("stated_abstain"), F.lit(None).cast("bigint").alias("stated_absent"))
+    events = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("bigint").alias("stated_yes"), F.col("l_quantity").cast("bigint").alias("stated_no"), F.lit(None).cast("bigint").alias("stated_abstain"), F.lit(None).cast("bigint").alias("stated_absent"))
     return votes.canonical_totals(rows, events, ["id"])
 
 
@@ -182,10 +182,9 @@ def diary_lookup(spark, sf):  # JOIN-09, JOIN-10
     return joins.coalesced_lookup(rows, [(by_url, "c_custkey"), (by_title, "c_nationkey")], "diary").select("o_orderkey", "diary")
 
 
-@query("point_details", f"with {POINTS}, {BALLOTS} select p.id, p.body, b.seq, b.name, b.vote from points p join ballots b using (id) where p.id in (1, 77, 512, 900)")
+@query("point_details", f"with {POINTS}, {BALLOTS} select p.id, p.body, b.seq, b.name, b.vote from points p join ballots b using (id)")
 def point_details(spark, sf):  # JOIN-03, JOIN-11
-    wanted = F.col("id").isin(1, 77, 512, 900)
-    return points(spark, sf).where(wanted).join(ballots(spark, sf).where(wanted).select("id", "seq", "name", "vote"), "id").select("id", "body", "seq", "name", "vote")
+    return points(spark, sf).select("id", "body").join(ballots(spark, sf).select("id", "seq", "name", "vote"), "id")
 
 
 @query("new_links_antijoin", "select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
@@ -210,13 +209,11 @@ def forward_asof(spark, sf):  # JOIN-17, REF-06
     return joins.forward_asof(e.where("event_type = 'click'").drop("event_type"), right, ["user_id"], "day", "day", "target").withColumn("day", F.col("day").cast("string")).fillna(-1, ["target"])
 
 
-@query("page_signature_match", """with s as (select conv_id, turn, sha256(text) as h from conversations), want as (select conv_id as w, turn as t, h, count(*) over (partition by conv_id) as n from s where conv_id % 7 = 0)
+@query("page_signature_match", """with s as (select conv_id, turn, sha256(text) as h from conversations), want as (select conv_id as w, turn as t, h, count(*) over (partition by conv_id) as n from s)
  select w as part, s.conv_id as found, s.turn - want.t as shift from want join s on s.h = want.h group by w, s.conv_id, s.turn - want.t, n having count(*) = n""")
 def page_signature_match(spark, sf):  # JOIN-18
     s = table(spark, sf, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"))
-    part = s.where("conv_id % 7 = 0")
-    want = part.join(part.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id").select(F.col("conv_id").alias("part"), F.col("turn").alias("t"), "h", "n")
-    return want.join(s, "h").groupBy("part", F.col("conv_id").alias("found"), (F.col("turn") - F.col("t")).alias("shift"), "n").agg(F.count("*").alias("c")).where("c = n").select("part", "found", "shift")
+    return joins.runs_found(s, "conv_id", "turn", "h")
 
 
 @query("meeting_sections_sets", """with a as (select o_custkey as k, list(distinct o_orderpriority) as a from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey as k, list(distinct o_orderpriority) as b from orders where o_orderkey % 3 = 0 group by 1),

@@ -42,7 +42,7 @@ def decision_points(spark, sf):  # PRS-05, PRS-08, WIN-08
 
 @query("positions", "select p_partkey, name, party, stance from part, (values ('Anna Berg', 'S', 'Bifallsyrkande'), ('Bo Ek', 'M', 'Avslagsyrkande'), ('Ci Dahl', 'V', 'Avslagsyrkande')) v(name, party, stance)")
 def positions(spark, sf):  # PRS-09
-    return extraction.positions(protocols(spark, sf).where("page = 2"), ["p_partkey"], "text")
+    return extraction.positions(protocols(spark, sf).where("page = 2"), ["p_partkey"], "text").drop("proposal")
 
 
 @query("vote_statements", "select p_partkey, true as held, cast(p_partkey % 5 as integer) as yes, 3 as no, cast(coalesce(null, -1) as integer) as abstain from part")
@@ -57,36 +57,6 @@ def repaired_meanings(spark, sf):  # PRS-15
     return table(spark, sf, "part").select("p_partkey", extraction.repaired_meaning(F.substring(full, 1, 25), F.concat(F.lit("Se nedan. "), full, F.lit(" NEJ-röst annat."))).alias("meaning"))
 
 
-@query("inferred_votes", "select p_partkey, cast(p_partkey % 5 as integer) as yes, 3 as no, p_partkey % 5 = 2 as accepted from part")
-def inferred_votes(spark, sf):  # counts stated in a text against five given names, not PRS-16
-    two = protocols(spark, sf).where("page = 2").select("p_partkey", extraction.stated_tally(F.col("text")).alias("t"), F.lit("Ja: Anna Berg (S), Bo Ek (M). Nej: Ci Dahl (V), Di Ek (C), Eva Fors (L).").alias("named"))
-    count = lambda word: F.size(F.regexp_extract_all(F.regexp_extract("named", f"{word}: ([^.]*)", 1), F.lit(extraction.PERSON), F.lit(1)))
-    return two.select("p_partkey", "t.yes", "t.no", ((count("Ja") == F.col("t.yes")) & (count("Nej") == F.col("t.no"))).alias("accepted"))
-
-
-@query("result_reconciled", "select p_partkey, case when p_partkey % 2 = 0 then 'reject' else 'approve' end as result from part")
-def result_reconciled(spark, sf):  # PRS-17: the last numbered line decides
-    from rostra.functions.keys import result_class
-
-    last = F.when(F.col("p_partkey") % 2 == 0, "2. Motionen avslås.").otherwise("2. Förslaget bifalls.")
-    lines = F.split(F.concat(F.lit("1. Ärendet bordläggs.\n"), last), "\n")
-    return table(spark, sf, "part").select("p_partkey", result_class(F.element_at(F.filter(lines, lambda x: x.rlike("^[0-9]+\\.")), -1))["result"].alias("result"))
-
-
-@query("committee_cover", "select page_id, case when contains(lower(html), 'spam') then 'nämnd' when contains(lower(html), 'www.') then 'utskott' else 'okänd' end as cover from pages")
-def committee_cover(spark, sf):  # two words of a page, not PRS-18
-    low = F.lower("html")
-    return table(spark, sf, "pages").select("page_id", F.when(F.contains(low, F.lit("spam")), "nämnd").when(F.contains(low, F.lit("www.")), "utskott").otherwise("okänd").alias("cover"))
-
-
-@query("meeting_groups", "select n_name as body, o_orderdate::date::varchar as date, count(distinct o_orderpriority) as diaries, count(distinct o_orderpriority) > 1 as ambiguous from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2")
-def meeting_groups(spark, sf):  # PRS-20
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    n = F.count_distinct("o_orderpriority")
-    return rows.groupBy(F.col("n_name").alias("body"), F.col("o_orderdate").cast("date").cast("string").alias("date")).agg(n.alias("diaries"), (n > 1).alias("ambiguous"))
-
-
 @query("heading_carry_forward", "select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading from conversations qualify heading is not null")
 def heading_carry_forward(spark, sf):  # WIN-07
     c = table(spark, sf, "conversations")
@@ -105,11 +75,16 @@ def anchors(spark, sf):  # SRC-09, SRC-12
     return found.withColumn("link", listings.canonical_link(F.concat("href", F.lit("#top")), "https://example.org/")).groupBy("page_id", "href", "label", "link").agg(F.count("*").alias("n"))
 
 
-@query("protocol_pdfs", "select page_id, page_id % 4 < 2 as is_protocol from pages")
+TITLES = ("2024-02-03 Nämnden.pdf", "2024-02-03.pdf", "2024-02-03 Kallelse.pdf", "Kallelse och protokoll.PDF", "Protokoll 3.html", "Rapport.pdf", "2024-02-03 möte.pdf")
+SECTIONS = ("Protokoll", "Budget", "", "Övrigt")
+
+
+@query("protocol_pdfs", """with t as (select page_id, [%s][1 + page_id %% 7] as title, [%s][1 + page_id %% 4] as section from pages)
+ select page_id, ends_with(lower(title), '.pdf') and (contains(lower(title || ' ' || section), 'protokoll') or (regexp_matches(title, '^20\\d{2}-\\d{2}-\\d{2}\\s')
+   and not regexp_matches(lower(title || ' ' || section), 'ärendelista|arendelista|föredragningslista|kallelse|reglemente|arbetsordning|budget|rapport'))) as is_protocol from t""" % (", ".join(f"'{t}'" for t in TITLES), ", ".join(f"'{t}'" for t in SECTIONS)))
 def protocol_pdfs(spark, sf):  # SRC-13
-    pick = (F.col("page_id") % 4).cast("int")
-    url = F.concat(F.lit("https://example.org/"), F.get(F.array(F.lit("2024-02-03.pdf"), F.lit("x-protokoll.pdf"), F.lit("2024-02-03-kallelse.pdf"), F.lit("protokoll.html")), pick))
-    return table(spark, sf, "pages").select("page_id", listings.is_protocol_pdf(url, F.lit(None).cast("string")).alias("is_protocol"))
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("page_id") % len(values)).cast("int"))
+    return table(spark, sf, "pages").select("page_id", listings.is_protocol_pdf(pick(TITLES), pick(SECTIONS)).alias("is_protocol"))
 
 
 @query("preceding_headings", """with h as (select user_id, event_id as pos, event_type as label from events where event_type in ('signup', 'error')), i as (select user_id, event_id as pos from events where event_type = 'view')

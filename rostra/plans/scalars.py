@@ -9,9 +9,14 @@ from rostra.operators import votes
 from rostra.plans.civic import query, table
 
 
-@query("normalize_text", "select doc_id, trim(regexp_replace(strip_accents(lower(replace(text[1:400], 'ß', '@'))), '[^a-z0-9]+', ' ', 'g')) as normal from documents")
+@query("normalize_text", "select doc_id, trim(regexp_replace(strip_accents(lower(replace(text, 'ß', '@'))), '[^a-z0-9]+', ' ', 'g')) as normal from documents")
 def normalize_text(spark, sf):  # TXT-01
-    return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.substring("text", 1, 400)).alias("normal"))
+    return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
+@query("normalize_decision", "select doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(replace(text, 'ß', '@'))), '[§.,:;!?()\\[\\]{}\"“”‘’–—/\\\\''-]+', ' ', 'g'), '\\s+', ' ', 'g')) as normal from documents")
+def normalize_decision(spark, sf):  # TXT-02
+    return table(spark, sf, "documents").select("doc_id", text.normalize_decision(F.regexp_replace("text", "ß", "@")).alias("normal"))
 
 
 @query("canonical_names", """select c_custkey, trim(regexp_replace(lower('Hållbarhetssutskottet  ' || c_mktsegment || ' 2019-2022'), '\\s+', ' ', 'g')) as raw,
@@ -37,11 +42,15 @@ def result_group(spark, sf):  # PRJ-09
     return table(spark, sf, "orders").select("o_orderkey", keys.result_group(code).alias("grp"))
 
 
-@query("effective_result", """select o_orderkey, case o_custkey % 5 when 0 then 'reject_counterproposal' when 1 then 'reject' when 2 then 'reject' when 3 then 'approve' else 'other' end as effective from orders""")
+RESULT_TEXTS = ("Motionen avslås.", "", "Fullmäktige beslutar: motionen  avslås.", "Motionen Avslås", "Nämnden", "promotionen avslås", "motionen avslåsning", "Nämnden avslår\tyrkandet om bidrag", "medborgarförslaget avslås")
+
+
+@query("effective_result", """with t as (select o_orderkey, ['reject_counterproposal', 'avslag', 'approve', 'approve', ''][1 + o_custkey % 5] as r, [""" + ", ".join(f"'{x}'" for x in RESULT_TEXTS) + """][1 + o_orderkey % 9] as s from orders)
+ select o_orderkey, case when r = 'reject_counterproposal' then r when r = 'avslag' or regexp_matches(s, '(^|[^\\p{L}])(ledamotsinitiativet|initiativet|motionen|medborgarförslaget|medborgarforslaget)\\s+avslås($|[^\\p{L}])')
+   or regexp_matches(s, '(^|[^\\p{L}])avslår\\s+yrkandet\\s+om($|[^\\p{L}])') then 'reject' when r <> '' then r else 'other' end as effective from t""")
 def effective_result(spark, sf):  # PRJ-10
-    pick = (F.col("o_custkey") % 5).cast("int")
-    result = F.get(F.array(*[F.lit(x) for x in ("reject_counterproposal", "avslag", "approve", "approve", "")]), pick)
-    said = F.get(F.array(*[F.lit(x) for x in ("Motionen avslås.", "", "Fullmäktige beslutar: motionen avslås.", "Motionen Avslås", "Nämnden")]), pick)
+    result = F.get(F.array(*[F.lit(x) for x in ("reject_counterproposal", "avslag", "approve", "approve", "")]), (F.col("o_custkey") % 5).cast("int"))
+    said = F.get(F.array(*[F.lit(x) for x in RESULT_TEXTS]), (F.col("o_orderkey") % len(RESULT_TEXTS)).cast("int"))
     return table(spark, sf, "orders").select("o_orderkey", keys.effective_result(result, said, F.lit("")).alias("effective"))
 
 
@@ -72,9 +81,9 @@ def stable_hash(spark, sf):  # PRJ-18
     return table(spark, sf, "part").select("p_partkey", keys.stable_hash(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ")), F.col("p_brand")).alias("id"))
 
 
-@query("slugs", "select doc_id, trim(regexp_replace(strip_accents(lower(replace(text[1:60], 'ß', '@'))), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents")
+@query("slugs", "select doc_id, trim(regexp_replace(strip_accents(lower(replace(text, 'ß', '@'))), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents")
 def slugs(spark, sf):  # PRJ-19
-    return table(spark, sf, "documents").select("doc_id", keys.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", keys.slug(F.col("text")).alias("slug"))
 
 
 @query("iso_dates", """select event_id, strftime(ts, '%Y-%m-%d') as iso, strftime(ts + interval 2 month, '%Y-%m') as later from events""")

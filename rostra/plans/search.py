@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostra.functions import text
@@ -53,10 +54,11 @@ def keyword_contains_all(spark, sf):  # TXT-10
    case when m > 0 then 220 + m else 0 end) end as score from (select *, coalesce(list_max(list_transform(list_distinct(string_split(n, ' ')), lambda t: case when t = 'license' then 180 when starts_with(t, 'license') then 155
      when t <> '' and starts_with('license', t) and 7 - length(t) <= 2 then 125 when length(t) >= 4 and abs(length(t) - 7) <= 1 and levenshtein(t, 'license') <= 1 then 105 when contains(t, 'license') or (length(t) >= 6 and t[1:5] = 'licen') then 55 else 0 end)), 0) as m from n))
  select doc_id, source, cast(score as integer) as score, cast(row_number() over (order by score desc, doc_id) as integer) as rank from s where score > 0 qualify rank <= 50""")
-def ranked_search(spark, sf):  # TXT-08, FLT-10, SRT-03, SRT-08
-    """Facets first, then the cheap test, then the score; only the best rows of each partition travel."""
-    docs = table(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).withColumn("score", text.field_score(F.col("text"), "license"))
-    return windows.top_k(docs.where("score > 0").select("doc_id", "source", "score"), [F.desc("score"), F.asc("doc_id")], 50)
+def ranked_search(spark, sf):  # FLT-10, SRT-03, SRT-08
+    """Facets first; then texts are scored by their distinct tokens, each of which is scored once where it can match at all;
+    only the best rows of each partition travel."""
+    docs = table(spark, sf, "documents").where(F.col("lang").isin("en", "fr"))
+    return windows.top_k(text.scored(docs, "doc_id", "text", "license", ["source"]), [F.desc("score"), F.asc("doc_id")], 50)
 
 
 @query("quick_prefilter", f"select p_partkey from part where contains(lower(p_brand), 'widgets') or contains(p_name, 'widgets') or len(list_filter(list_distinct(string_split(p_name, ' ')), lambda t: length(t) >= 3 and {TOKEN_MATCH})) > 0")
@@ -96,10 +98,23 @@ def people(spark, sf):
     return table(spark, sf, "part").select(F.col("p_type").alias("party"), F.col("p_brand").alias("body"), name.alias("name"))
 
 
-@query("person_keys", "select c_custkey, lower(replace(replace(c_name, '#', ''), '0', 'o')) as key from customer")
+NAMES = ("Ærø Bech-Olsen", "jäv Åsa  Öberg", "Ordförande Zoë Ek", "ersätter Bo Ek", "Frånvarande", "2024-01-02 Liv-Maj Ås, politisk sekreterare", "Ordförandes Kalle", "Tjänstgör för Bo Ek")
+NAME_KEYS = ("aero bech olsen", "asa oberg", "zoe ek", "", "", "liv maj as", "ordforandes kalle", "")
+
+
+@query("person_keys", "select c_custkey, trim([" + ", ".join(f"'{x}'" for x in NAME_KEYS) + "][1 + c_custkey % 8] || case when c_custkey % 8 in (3, 4, 7) then '' when c_custkey % 8 = 5 then '' else ' ' || replace(lower(c_name), '#', '') end) as key from customer")
 def person_keys(spark, sf):  # ENT-01
-    raw = F.concat(F.translate(F.col("c_name"), "0", "Ø"), F.lit("  (ordförande)"))
-    return table(spark, sf, "customer").select("c_custkey", entities.person_key(raw).alias("key"))
+    k = F.col("c_custkey") % 8
+    name = F.get(F.array(*[F.lit(x) for x in NAMES]), k.cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", entities.person_key(F.when(k == 5, name).otherwise(F.concat_ws(" ", name, "c_name"))).alias("key"))
+
+
+@query("reviewed_names", "select c_custkey, case when c_custkey % 4 = 0 then 'Åsa Öberg' when c_custkey % 4 = 1 then 'Asa Oberg' else c_name end as name from customer")
+def reviewed_names(spark, sf):  # ENT-03
+    k = F.col("c_custkey") % 4
+    people = table(spark, sf, "customer").select("c_custkey", F.when(k == 1, "M").otherwise("S").alias("party"), F.when(k < 2, "Asa Oberg").otherwise(F.col("c_name")).alias("name"))
+    aliases = spark.createDataFrame([("S", "asa-oberg", "Åsa Öberg"), ("V", "Asa Oberg", "Nobody")], "party string, alias string, canonical string")
+    return entities.reviewed(people, aliases, "party", "name").select("c_custkey", "name")
 
 
 @query("alias_pairs", f"with {PEOPLE}, p as (select distinct party, name from people) select p.party, p.name as a, q.name as b from p join p q on p.party = q.party and p.name < q.name and abs(length(p.name) - length(q.name)) <= 1 and damerau_levenshtein(p.name, q.name) <= 2 and levenshtein(replace(p.name, 'é', '~'), replace(q.name, 'é', '~')) <= 1")
@@ -137,17 +152,37 @@ def ref_extract(spark, sf):  # REF-01, REF-02
     return references.extract(references_text(spark, sf), "id", "text")
 
 
-@query("ref_target_tiers", f"""with {POINTS}, r as (select id as rid, matter % 30 as n, body, date, party from points where id % 40 = 0), t as (select id as tid, matter % 30 as n, body as tb, date as td, party as tp from points where id % 3 = 0),
- j as (select rid, tid, case when tb = body and td = date then 0 when tb = body and tp = party then 1 when tb = body then 2 else 3 end as tier, td >= date as ahead, td, date from r join t using (n) where rid <> tid)
- select rid, tid, cast(tier as integer) as tier from (select *, row_number() over (partition by rid order by tier, (case when ahead then 0 else 1 end), td, tid) as k from j) where k = 1""")
-def ref_target_tiers(spark, sf):  # REF-03, REF-04, REF-06, JOIN-17
-    p = points(spark, sf).withColumn("n", F.col("matter") % 30)
-    refs = p.where("id % 40 = 0").select(F.col("id").alias("rid"), "n", "body", "date", "party")
-    rows = p.where("id % 3 = 0").select(F.col("id").alias("tid"), "n", F.col("body").alias("t_body"), F.col("date").alias("t_date"), F.col("party").alias("t_party"))
-    both = F.col("t_body") == F.col("body")
-    tiers = [both & (F.col("t_date") == F.col("date")), both & (F.col("t_party") == F.col("party")), both]
-    ahead = F.when(F.col("t_date") >= F.col("date"), 0).otherwise(1)
-    return references.best_target(refs, rows, ["n"], tiers, [ahead, F.col("t_date"), F.col("tid")], ["rid"], "tid", distinct=True)
+REF_ROWS = """rows as (select o_orderkey as id, 'D' || (o_orderkey // 8)::varchar as doc, cast(o_orderdate as date)::varchar as date, n_name as body, case when o_orderkey % 11 > 0 then (o_custkey % 400)::varchar end as matter,
+  case when o_orderkey % 5 > 0 then 'ks ' || (o_orderkey % 900)::varchar || '/2024' end as diary, (o_orderkey % 60)::varchar as base, (o_orderkey % 60)::varchar || '.' || (o_orderkey % 3)::varchar as point,
+  case when o_orderkey % 4 > 0 then 'u' end as url from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+ refs as (select id * 3 + k as ref, ['section', 'diary', 'date'][k + 1] as kind, case k when 0 then (id * 7 % 63)::varchar when 1 then case when id % 13 = 0 then coalesce(diary, 'ks 1/2024') else 'ks ' || (id * 3 % 1100)::varchar || '/2024' end
+   else case when id % 2 = 0 then date else lag(date) over (partition by matter, k order by id) end end as label, id, doc, date, body, matter, diary, point, url from rows, range(3) r(k))"""
+
+
+@query("ref_target_tiers", f"""with {REF_ROWS}, m as (select date, body, min(id) as id from rows where id % 10 = 0 group by 1, 2),
+ asked as (select ref, kind, label, id, doc, date, body, matter, diary, point from refs where kind <> 'date' and not (kind = 'diary' and diary is not distinct from label)),
+ j as (select a.ref, t.id as target, case when t.doc = a.doc then 0 when t.date = a.date and t.body = a.body then 1 when t.body = a.body and kind = 'section' then 2 else 3 end as pool,
+   case when t.id = a.id and t.point = a.point then 0 when t.diary = a.diary and t.doc = a.doc then 1 when t.diary = a.diary and t.date = a.date and t.body = a.body then 2 when t.diary = a.diary then 3
+     when t.id <> a.id and t.matter = a.matter and t.date >= a.date then 4 when t.id <> a.id and t.matter = a.matter then 5 when t.id <> a.id and t.doc = a.doc then 6 when t.id <> a.id then 7 else 8 end as rank, t.date, t.point
+   from asked a join rows t on (kind = 'section' and t.base = a.label) or (kind = 'diary' and t.diary = a.label)),
+ best as (select ref, target, ['document', 'meeting', 'body', 'all'][pool + 1] as pool from j qualify row_number() over (partition by ref order by pool, case when pool > 1 and rank in (1, 2) then 3 else rank end, case when rank in (4, 5) then date end, case when rank in (4, 5, 6) then point end, target) = 1),
+ day as (select ref, coalesce(case when m.id <> r.id then m.id end, (select min(t.id) from rows t where t.date = r.label and t.matter = r.matter and t.id <> r.id)) as target, case when m.id <> r.id then 'meeting' else 'matter' end as pool
+   from refs r left join m on r.label = m.date and r.body = m.body and r.date = r.label where kind = 'date'),
+ f as (select * from best union all select ref, id, 'own' from refs where kind = 'diary' and diary = label union all select * from day where target is not null)
+ select r.ref, r.kind, case when f.target <> r.id then f.target end as target, case when f.target <> r.id then f.pool when r.kind <> 'date' and url is not null then 'source' else 'none' end as pool from refs r left join f using (ref)""")
+def ref_target_tiers(spark, sf):  # REF-02 to REF-06, JOIN-17
+    k = F.col("id")
+    text_of = lambda c: c.cast("string")
+    p = points(spark, sf).select("id", text_of(F.col("date")).alias("date"), "body", F.col("matter").alias("m"))
+    rows = p.select(
+        "id", F.concat(F.lit("D"), text_of(F.floor(k / 8))).alias("doc"), "date", "body", F.when(k % 11 > 0, text_of(F.col("m") % 400)).alias("matter"),
+        F.when(k % 5 > 0, F.concat(F.lit("ks "), text_of(k % 900), F.lit("/2024"))).alias("diary"), text_of(k % 60).alias("base"), F.concat(text_of(k % 60), F.lit("."), text_of(k % 3)).alias("point"), F.when(k % 4 > 0, "u").alias("url"),
+    )
+    day = F.when(k % 2 == 0, F.col("date")).otherwise(F.lag("date").over(W.partitionBy("matter").orderBy("id")))
+    diary = F.when(k % 13 == 0, F.coalesce("diary", F.lit("ks 1/2024"))).otherwise(F.concat(F.lit("ks "), text_of(k * 3 % 1100), F.lit("/2024")))
+    said = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(n).alias("kind"), c.alias("label")) for i, (n, c) in enumerate((("section", text_of(k * 7 % 63)), ("diary", diary), ("date", day)))])
+    refs = rows.withColumn("x", said).select(F.explode("x").alias("x"), *[c for c in rows.columns if c != "base"]).select((k * 3 + F.col("x.k")).alias("ref"), "x.kind", "x.label", *[c for c in rows.columns if c != "base"])
+    return references.targets(refs, rows.drop("url"), rows.where("id % 10 = 0").select("id", "date", "body"))
 
 
 @query("ref_dates", "with e as (select event_id, user_id, cast(ts as date) as day, event_type from events) select a.event_id as own, a.day::varchar as day, min(b.event_id) as target, a.user_id from e a join e b on a.user_id = b.user_id and a.day = b.day and a.event_id <> b.event_id where a.event_type = 'view' and b.event_type = 'click' group by 1, 2, 4")

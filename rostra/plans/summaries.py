@@ -69,15 +69,15 @@ def document_summary(spark, sf):  # AGG-10
 
 
 @query("meeting_rollup", f"""with {POINTS}, a as (select n_name as body, count(distinct s_suppkey) as n_present from supplier join nation on s_nationkey = n_nationkey group by 1)
- select body, count(distinct id) as n_decisions, count(distinct matter) as n_matters, coalesce(any_value(n_present), 0) as n_present from points left join a using (body) group by body""")
+ select body, count(distinct id) as n_decisions, count(distinct matter) as n_matters, coalesce(any_value(n_present), 0) as n_present, arg_min(id, row(date, id)) as first from points left join a using (body) group by body""")
 def meeting_rollup(spark, sf):  # AGG-11
     present = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("body"), F.col("s_suppkey").alias("name"))
-    return meetings.meeting_rollup(points(spark, sf), ["body"], "id", "matter", present)
+    return meetings.meeting_rollup(points(spark, sf), ["body"], "id", "matter", present, first_by=["date", "id"])
 
 
-@query("meeting_search_text", "select user_id, string_agg(event_type, ' ' order by event_id) as rolled from events where event_id % 4 = 0 group by user_id")
+@query("meeting_search_text", "select user_id, string_agg(event_type, ' ' order by event_id) as rolled from events group by user_id")
 def meeting_search_text(spark, sf):  # AGG-12
-    return meetings.rolled_text(table(spark, sf, "events").where("event_id % 4 = 0"), ["user_id"], "event_id", "event_type")
+    return meetings.rolled_text(table(spark, sf, "events"), ["user_id"], "event_id", "event_type")
 
 
 @query("facet_dictionary", "select facet, min(value) as value, count(*) as n from (unpivot (select p_type, lower(p_brand) as p_brand, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as p_name from part) on p_type, p_brand, p_name into name facet value value) group by facet, lower(value)")
@@ -168,13 +168,10 @@ def top_k_points(spark, sf):  # SRT-01, SRT-02, SRT-08: numeric collation, desce
     return windows.top_k(table(spark, sf, "part").select("p_partkey", "p_brand"), windows.ordered([(key, False), (F.col("p_partkey"), False)], descending=True), 50)
 
 
-@query("desc_negates_ties", f"with {POINTS} select id, cast(row_number() over (order by kind desc, date desc, body desc, id desc) as bigint) as place from points where party = 'BUILDING' and body = 'NATION_3'")
+@query("desc_negates_ties", f"with {POINTS} select id, cast(row_number() over (order by kind desc, date desc, body desc, id desc) as bigint) as place from points")
 def desc_negates_ties(spark, sf):  # SRT-02, SRT-10
-    from pyspark.sql import Window as W
-
-    rows = points(spark, sf).where("party = 'BUILDING' and body = 'NATION_3'")
     order = windows.ordered([(F.col(c), False) for c in ("kind", "date", "body", "id")], descending=True)
-    return rows.select("id", F.row_number().over(W.orderBy(*order)).cast("bigint").alias("place"))
+    return sinks.with_parts(points(spark, sf).select("id", "kind", "date", "body"), order).select("id", F.col("ordinal").cast("bigint").alias("place"))
 
 
 @query("page_slice", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 250 offset 500")

@@ -28,12 +28,17 @@ def canonical_link(href: Column, base: str) -> Column:
     return F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare).when(F.startswith(bare, F.lit("/")), F.concat(F.lit(base.rstrip("/")), bare)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), bare))
 
 
-def is_protocol_pdf(url: Column, label: Column) -> Column:
-    """A PDF named as a protocol or beginning with a date, and none of agendas, summons or budgets."""
-    name, text = F.lower(F.regexp_extract(url, r"([^/]*)$", 1)), F.lower(F.coalesce(label, F.lit("")))
-    both = F.concat_ws(" ", name, text)
-    good = F.contains(both, F.lit("protokoll")) | name.rlike("^20[0-9]{2}-[0-9]{2}-[0-9]{2}")
-    return name.rlike(r"\.pdf(\?.*)?$") & good & ~both.rlike("kallelse|dagordning|föredragningslista|budget|årsredovisning")
+#: Words of documents that are no protocols unless they are named so. Fixed values.
+NO_PROTOCOLS = ("ärendelista", "arendelista", "föredragningslista", "kallelse", "reglemente", "arbetsordning", "budget", "rapport")
+
+
+def is_protocol_pdf(title: Column, section: Column) -> Column:
+    """A PDF whose title or section says protocol, or whose title begins with a date and neither names another kind."""
+    name = F.lower(F.coalesce(title, F.lit("")))
+    both = F.concat(name, F.lit(" "), F.lower(F.coalesce(section, F.lit(""))))
+    named = F.contains(both, F.lit("protokoll"))
+    other = F.exists(F.array(*[F.lit(w) for w in NO_PROTOCOLS]), lambda w: F.contains(both, w))
+    return name.endswith(".pdf") & (named | (name.rlike(r"^20[0-9]{2}-[0-9]{2}-[0-9]{2}\s+") & ~other))
 
 
 def preceding_heading(items: DataFrame, headings: DataFrame, key: str, at: str, label: str, reach: int = HEADING_REACH) -> DataFrame:

@@ -20,21 +20,24 @@ PACK = f"struct<schema:string,pf:string,pt:string,d:array<{DOCUMENT}>,r:array<st
 def assigned_json(spark: SparkSession, paths: str | Sequence[str], marker: str, schema: str) -> DataFrame:
     """(file, data): files of the form ``marker = {json};``, parsed by an explicit schema."""
     raw = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    body = F.regexp_extract("value", rf"(?s){marker}\s*=\s*(.*?)\s*;?\s*$", 1)
+    body = F.rtrim(F.regexp_replace("value", rf"(?s)^.*?{marker}\s*=\s*", ""), F.lit("; \t\r\n"))
     return raw.select("file", F.from_json(body, schema).alias("data"))
 
 
 def part_number(file: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(file, r"([0-9]+)\.[a-z]+$", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.coalesce(F.nullif(F.regexp_extract(file, r"([0-9]+)\.[a-z]+$", 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
 def unstrided(df: DataFrame, keep: Sequence[str], flat: Column, names: Sequence[str] = VOTE_FIELDS) -> DataFrame:
     """Rows of a flat row-major array; lengths that the stride does not divide are refused."""
     n = len(names)
-    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("_f") / n).cast("int") - 1), lambda i: F.struct(*[F.get("_f", i * n + k).alias(c) for k, c in enumerate(names)], i.alias("ord")))
-    held = df.select(*keep, flat.alias("_f")).where(F.size("_f") > 0)
-    checked = held.select(*keep, F.when(F.size("_f") % n != 0, F.raise_error(F.lit("flat array is not a multiple of its stride"))).otherwise(rows).alias("_r"))
-    return checked.select(*keep, F.inline("_r"))
+
+    def rows(f: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor(F.size(f) / n).cast("int") - 1), lambda i: F.struct(*[F.get(f, i * n + k).alias(c) for k, c in enumerate(names)], i.alias("ord")))
+        return F.when(F.size(f) == 0, F.slice(each, 1, 0)).when(F.size(f) % n != 0, F.raise_error(F.lit("flat array is not a multiple of its stride"))).otherwise(each)
+
+    # bound by a lambda, the array is worked out once for a row, however many values are taken from it
+    return df.select(*keep, F.inline(F.flatten(F.transform(F.array(F.coalesce(flat, F.array().cast("array<string>"))), rows))))
 
 
 def read_pack(spark: SparkSession, paths: Sequence[str], marker: str = r"window\.[A-Za-z]+") -> dict[str, DataFrame]:
@@ -53,7 +56,7 @@ def decoded_dictionary(rows: DataFrame, row: str, strings: str, columns: Sequenc
     """Named columns of array rows; values of coded columns are places in the array of strings."""
     def value(i: int, c: str) -> Column:
         v = F.get(F.col(row), F.lit(i))
-        return (F.get(F.col(strings), v.cast("int")) if c in coded else v).alias(c)
+        return (F.get(F.col(strings), v.try_cast("int")) if c in coded else v).alias(c)
 
     return rows.select(*[value(i, c) for i, c in enumerate(columns)])
 
@@ -64,6 +67,12 @@ def gunzipped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: gzip.decompress(base64.b64decode(t[3:])).decode() if t and t.startswith("gz:") else t)
 
 
+@F.pandas_udf(T.StringType())
+def gzipped(texts: pd.Series) -> pd.Series:
+    """Texts as ``gz:`` and base64, the inverse of ``gunzipped``."""
+    return texts.map(lambda t: None if t is None else "gz:" + base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode())
+
+
 def ndjson(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(meta row, data rows) of newline-delimited JSON, compressed or not."""
     raw = spark.read.text(path)

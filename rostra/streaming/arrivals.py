@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rostra.operators.joins import unused
+
 
 def arriving(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1, kind: str = "parquet") -> DataFrame:
     """A stream over files as they come."""
@@ -19,24 +23,40 @@ def running_summary(stream: DataFrame, keys: Sequence[str], measures: dict) -> D
 
 
 class RunningTopK:
-    """For ``foreachBatch``: the k best rows of all batches so far, kept as a table and merged with each batch.
+    """For ``foreachBatch``: the k best rows of all batches so far, one for each key, kept as tables named by batch.
 
-    A batch that is given twice changes nothing, as rows are kept once per key. Only k rows of the state are read.
+    Rows of a key are reduced to its best one before the k best are taken. A batch merges with the last finished one before
+    it, so a batch that is given again, also after a restart, writes the same rows again. Only k rows of the state are read.
     """
 
     def __init__(self, path: str, order: Sequence, key: str, k: int):
-        self.path, self.order, self.key, self.k = path, list(order), key, k
-        self.version = 0
+        self.path, self.order, self.key, self.k = path.rstrip("/"), list(order), key, k
+
+    def before(self, spark: SparkSession, schema, batch_id: int | None = None) -> DataFrame | None:
+        """The table of the last batch, or of the last one before ``batch_id``."""
+        batch = unused(schema.names, "batch")
+        try:
+            held = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(self.path)
+        except AnalysisException:  # nothing is written yet
+            return None
+        named = F.regexp_extract("_metadata.file_path", "/v([0-9]+)/", 1).cast("bigint")
+        held = held.withColumn(batch, named)
+        held = held if batch_id is None else held.where(F.col(batch) < batch_id)
+        last = held.agg(F.max(batch)).head()[0]
+        return None if last is None else held.where(F.col(batch) == last).drop(batch)
+
+    def best(self, df: DataFrame) -> DataFrame:
+        place, rank = W.partitionBy(self.key).orderBy(*self.order), unused(df.columns, "rank")
+        return df.withColumn(rank, F.row_number().over(place)).where(F.col(rank) == 1).drop(rank).orderBy(*self.order).limit(self.k)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        best = batch.orderBy(*self.order).limit(self.k)
-        if self.version:
-            best = batch.sparkSession.read.schema(batch.schema).parquet(f"{self.path}/v{self.version}").unionByName(best)
-        best.dropDuplicates([self.key]).orderBy(*self.order).limit(self.k).write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        best, before = self.best(batch), self.before(batch.sparkSession, batch.schema, batch_id)
+        best = best if before is None else self.best(before.unionByName(best))
+        best.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
 
     def result(self, spark: SparkSession, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{self.path}/v{self.version}")
+        found = self.before(spark, schema)
+        return spark.createDataFrame([], schema) if found is None else found
 
 
 def new_work(live: DataFrame, state: DataFrame, key: str = "url", retry: Sequence[str] = ("needs_review",)) -> DataFrame:
@@ -47,7 +67,8 @@ def new_work(live: DataFrame, state: DataFrame, key: str = "url", retry: Sequenc
 
 def merged_pack(old_docs: DataFrame, new_docs: DataFrame, old_rows: DataFrame, new_rows: DataFrame, index: str = "doc_index", same: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Documents and their rows appended, the new ones' indexes moved behind the old; rows that repeat are left out."""
-    moved = old_docs.agg((F.coalesce(F.max(index), F.lit(-1)) + 1).alias("_o"))
-    shift = lambda df: df.join(F.broadcast(moved)).withColumn(index, F.col(index) + F.col("_o")).drop("_o")
+    name = unused([*old_docs.columns, *new_rows.columns, *new_docs.columns], "shift")
+    moved = old_docs.agg((F.coalesce(F.max(index), F.lit(-1)) + 1).alias(name))
+    shift = lambda df: df.join(F.broadcast(moved)).withColumn(index, F.col(index) + F.col(name)).drop(name)
     rows = old_rows.unionByName(shift(new_rows))
     return old_docs.unionByName(shift(new_docs)), rows.dropDuplicates(list(same)) if same else rows

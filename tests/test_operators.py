@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostra.functions import keys, text
-from rostra.operators import allocation, entities, extraction, facets, joins, meetings, quality, references, votes, windows
+from rostra.operators import allocation, entities, extraction, facets, joins, meetings, quality, records, references, votes, windows
 from rostra.sources import listings, packs, sinks
 from rostra.streaming import arrivals
 
@@ -187,16 +187,29 @@ def test_counts_and_percents_agree(spark):
 
 def test_scalars(spark):
     assert one(spark, r=keys.expanded_ranges(F.lit("Paragraf 1–3, 5 och 7-8"))) == [1, 2, 3, 5, 7, 8]
+    assert one(spark, r=keys.expanded_ranges(F.lit("9-7, 1–1002, 3"))) == [3]
+    assert max(one(spark, r=keys.expanded_ranges(F.lit("1-999999999 och 99999999999")))) <= 9999
     assert one(spark, a=keys.result_group(F.lit("")), b=keys.result_group(F.lit("tabled")), c=keys.result_group(F.lit("refer_back")), d=keys.result_group(F.lit(None).cast("string"))) == {"a": "approved", "b": "continued", "c": "refer_back", "d": "approved"}
     assert one(spark, a=keys.swedish_date(F.lit("den 3 mars 2023"), F.lit(2024)), b=keys.swedish_date(F.lit("12 Oktober"), F.lit(2024)), c=keys.swedish_date(F.lit("i går"), F.lit(2024))) == {"a": "2023-03-03", "b": "2024-10-12", "c": None}
     assert one(spark, a=keys.composite_key(F.lit(None), F.lit("b")), b=keys.slug(F.lit(" Åre Ö 12!")), c=keys.preview(F.lit("abc def"), 4)) == {"a": "|b", "b": "are-o-12", "c": "abc…"}
     assert one(spark, a=keys.effective_result(F.lit("approve"), F.lit("motionen avslås")), b=keys.effective_result(F.lit("approve"), F.lit("Motionen Avslås")), c=keys.effective_result(F.lit(None), F.lit(""))) == {"a": "reject", "b": "approve", "c": "other"}
     assert one(spark, a=windows.numeric_key(F.lit("a10")) > windows.numeric_key(F.lit("a2")), b=windows.numeric_key(F.lit("B007x")) == windows.numeric_key(F.lit("b7x"))) == {"a": True, "b": True}
+    low = sorted(("x9" * 1, "x10", "x" + "9" * 20, "x1" + "0" * 20, "x1a2", "x1a10", "y"), key=lambda t: one(spark, k=windows.numeric_key(F.lit(t))))
+    assert low == ["x1a2", "x1a10", "x9", "x10", "x" + "9" * 20, "x1" + "0" * 20, "y"]
+    assert one(spark, a=text.normalize_decision(F.lit("§ 51. Svar  på «Å/B» – 3+4?"))) == "51 svar pa «a b» 3+4"
 
 
 # joins and windows
 
 
+def test_runs_stand_in_other_documents(spark):
+    rnd = random.Random(4)
+    docs = {i: [rnd.choice("abc") for _ in range(rnd.randrange(1, 6))] for i in range(40)}
+    df = spark.createDataFrame([(i, t, h) for i, d in docs.items() for t, h in enumerate(d)], "d int, t int, h string")
+    want = {(a, b, k) for a, x in docs.items() for b, y in docs.items() for k in range(len(y) - len(x) + 1) if y[k : k + len(x)] == x}
+    assert {tuple(r) for r in joins.runs_found(df, "d", "t", "h").collect()} == want
+
+
 def test_range_join_takes_the_first_cover(spark):
     pages = spark.createDataFrame([("d", 1), ("d", 70), ("d", 200), ("e", 5)], "doc string, page int")
     ranges = spark.createDataFrame([("d", 9, 0, 100), ("d", 3, 60, 80), ("e", 1, 6, 9)], "doc string, rng int, b int, e int")
@@ -260,6 +273,11 @@ def test_aliases(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in names for b in names if a < b and edits(a, b) <= 1}
 
 
+def test_person_keys(spark):
+    cases = {"Ærø Bech-Olsen": "aero bech olsen", "Jäv  Åsa Öberg": "asa oberg", "Ersätter Bo Ek": "", "ersättare för Bo": "", "Bo Ek, politisk sekreterare": "bo ek", "2024-01-02 Bo–Ek": "bo ek", "Frånvarandes Bo": "franvarandes bo"}
+    assert {k: one(spark, x=entities.person_key(F.lit(k))) for k in cases} == cases and one(spark, x=entities.person_key(F.lit(None).cast("string"))) == ""
+
+
 # extraction
 
 PAGES = [
@@ -285,6 +303,7 @@ def test_protocol_pages(spark):
 def test_tallies(spark):
     got = one(spark, t=extraction.stated_tally(F.lit("Omröstning: Ja: 31, 28 nej-röster, frånvarande 2")))
     assert (got.yes, got.no, got.abstain, got.absent) == (31, 28, None, 2)
+    assert one(spark, t=extraction.stated_tally(F.lit("Ja: 99999999999"))).yes is None
     assert one(spark, a=extraction.vote_held(F.lit("Votering begärs")), b=extraction.vote_held(F.lit("Ingen votering"))) == {"a": True, "b": False}
 
 
@@ -301,6 +320,79 @@ def test_references(spark):
     assert [(r.label, r.kind) for r in references.extract(df, "id", "t").orderBy("pos").collect()] == [("§ 12.3", "section"), ("Ks 4/2023", "diary"), ("2024-01-02", "date"), ("3 Mars", "day")]
 
 
+def naive_target(ref, rows, meetings):
+    """One reference by the rules, row by row."""
+    me = {**ref}
+    if ref["kind"] == "date":
+        held = [m["id"] for m in meetings if m["date"] == ref["label"] == ref["date"] and m["body"] == ref["body"]]
+        if held and min(held) != ref["id"]:
+            return min(held)
+        same = [r["id"] for r in rows if r["date"] == ref["label"] and r["matter"] and r["matter"] == ref["matter"] and r["id"] != ref["id"]]
+        return min(same, default=None)
+    if ref["kind"] == "diary" and ref["diary"] == ref["label"]:
+        return None
+    pool = [r for r in rows if r["base" if ref["kind"] == "section" else "diary"] == ref["label"]]
+    meeting = lambda r: r["date"] == me["date"] and r["body"] == me["body"]
+    tiers = [lambda r: r["doc"] == me["doc"], meeting, *([lambda r: r["body"] == me["body"]] if ref["kind"] == "section" else []), lambda r: True]
+    pool = next((p for t in tiers if (p := [r for r in pool if t(r)])), [])
+    other, matter = (lambda r: r["id"] != me["id"]), (lambda r: r["matter"] and r["matter"] == me["matter"])
+    diary = lambda r: r["diary"] and r["diary"] == me["diary"]
+    for keep, order in (
+        (lambda r: r["id"] == me["id"] and r["point"] == me["point"], ["id"]), (lambda r: diary(r) and r["doc"] == me["doc"], ["id"]), (lambda r: diary(r) and meeting(r), ["id"]), (diary, ["id"]),
+        (lambda r: other(r) and matter(r) and r["date"] >= me["date"], ["date", "point", "id"]), (lambda r: other(r) and matter(r), ["date", "point", "id"]), (lambda r: other(r) and r["doc"] == me["doc"], ["point", "id"]), (other, ["id"]), (lambda r: True, ["id"]),
+    ):
+        if found := [r for r in pool if keep(r)]:
+            best = min(found, key=lambda r: [r[c] for c in order])["id"]
+            return best if best != me["id"] else None
+    return None
+
+
+def test_targets_equal_the_rules_row_by_row(spark):
+    rnd = random.Random(5)
+    rows = [{"id": i, "doc": f"d{rnd.randrange(12)}", "date": f"2024-01-0{rnd.randrange(1, 6)}", "body": rnd.choice("xy"), "matter": rnd.choice(["m1", "m2", "m3", None]), "diary": rnd.choice(["k1", "k2", "k3", None]), "base": str(rnd.randrange(4)), "point": str(rnd.randrange(3)), "url": rnd.choice(["u", None])} for i in range(60)]
+    refs = []
+    for r in rows:
+        for kind, label in (("section", str(rnd.randrange(5))), ("diary", rnd.choice(["k1", "k2", "k3", "k4"])), ("date", f"2024-01-0{rnd.randrange(1, 6)}")):
+            refs.append({"ref": len(refs), "kind": kind, "label": label, **{k: v for k, v in r.items() if k != "base"}})
+    meetings = [{"id": 1000 + i, "date": f"2024-01-0{i}", "body": "x"} for i in (1, 2, 3)]
+    row = "id long, doc string, date string, body string, matter string, diary string, "
+    got = references.targets(
+        spark.createDataFrame(refs, "ref long, kind string, label string, " + row + "point string, url string"), spark.createDataFrame([{k: v for k, v in r.items() if k != "url"} for r in rows], row + "base string, point string"),
+        spark.createDataFrame(meetings, "id long, date string, body string"),
+    )
+    found = {r.ref: r for r in got.collect()}
+    assert len(found) == len(refs)
+    for r in refs:
+        want = naive_target(r, rows, meetings)
+        assert found[r["ref"]].target == want, r
+        assert want is not None or found[r["ref"]].pool == ("source" if r["kind"] != "date" and r["url"] else "none")
+
+
+def test_parts_are_kept_once(spark):
+    rnd = random.Random(8)
+    parts = [(f"g{rnd.randrange(9)}", i, rnd.randrange(4), rnd.randrange(2), rnd.choice(["", "s1", "s2", "s3"]), sorted({rnd.randrange(5) for _ in range(rnd.randrange(3))}), sorted({rnd.randrange(5) for _ in range(rnd.randrange(2))})) for i in range(70)]
+    df = spark.createDataFrame(parts, "g string, part long, pages int, rank int, signature string, sections array<int>, declared array<int>")
+    got = {r.part: r for r in records.deduplicated_parts(df, "g").collect()}
+    for g in {p[0] for p in parts}:
+        kept = []
+        number = lambda p: p[6] or p[5]
+        for p in sorted((p for p in parts if p[0] == g), key=lambda p: (number(p)[0] if number(p) else 10**6, -p[2], p[3], p[1])):
+            gone = any((p[4] and p[4] == q[4]) or (p[5] and p[5] == q[5]) or (p[6] and p[6] == q[6]) for q in kept)
+            shared = next((x for x in (sorted(set(number(p)) & set(number(q))) for q in kept) if x), [])
+            assert got[p[1]].kept != gone and (gone or got[p[1]].overlaps == shared), p
+            kept += [] if gone else [p]
+
+
+def test_field_scores_through_tokens(spark):
+    rnd = random.Random(6)
+    words = ["skola", "skolan", "skolor", "sko", "budget", "budgeten", "parken", "laddinfrastruktur", "x"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 5)))) for i in range(80)] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    for q in ("skola", "budget skolan", "sko", "", "laddinfrastrukturen parken x", "a b c d e f g skola"):
+        want = {(r.k, r.s) for r in df.select("k", text.field_score(F.col("t"), q).alias("s")).where("s > 0").collect()}
+        assert {(r.k, r.score) for r in text.scored(df, "k", "t", q).collect()} == (want if q else set()), q
+
+
 # sources and sinks
 
 
@@ -335,8 +427,9 @@ def test_listings(spark):
     got = listings.anchors(spark.createDataFrame([(1, html), (2, None)], "k int, h string"), "k", "h").collect()
     assert [(r.href, r.label) for r in got] == [("/a.pdf#p", "Protokoll 1"), ("https://x.org/b", "B")]
     assert one(spark, a=listings.canonical_link(F.lit("/a.pdf#p"), "https://y.org/"), b=listings.canonical_link(F.lit("c/d"), "https://y.org"), c=listings.canonical_link(F.lit("https://x.org/b#q"), "z")) == {"a": "https://y.org/a.pdf", "b": "https://y.org/c/d", "c": "https://x.org/b"}
-    names = ["2024-01-05.pdf", "Protokoll-x.PDF", "2024-01-05-kallelse.pdf", "protokoll-budget.pdf"]
-    assert [one(spark, p=listings.is_protocol_pdf(F.lit("https://x/" + n), F.lit(""))) for n in names] == [True, True, False, False]
+    names = ["2024-01-05 Nämnden.pdf", "2024-01-05.pdf", "Protokoll-x.PDF", "2024-01-05 kallelse.pdf", "protokoll med budget.pdf", "protokoll.html"]
+    assert [one(spark, p=listings.is_protocol_pdf(F.lit(n), F.lit(None).cast("string"))) for n in names] == [True, False, True, False, True, False]
+    assert one(spark, p=listings.is_protocol_pdf(F.lit("bilaga.pdf"), F.lit("Protokoll"))) and not one(spark, p=listings.is_protocol_pdf(F.lit("2024-01-05 x.pdf"), F.lit("Reglemente")))
     assert listings.balanced_object("x registerInitialState('c', {\"a\": \"}\\\" {\", \"b\": {}} ) y", "registerInitialState(") == "{\"a\": \"}\\\" {\", \"b\": {}}"
     assert listings.balanced_object("none", "m(") is None and listings.balanced_object("m({", "m(") is None
     items = spark.createDataFrame([(1, 5), (1, 20_000), (1, 50)], "k int, at int")
@@ -368,11 +461,20 @@ def test_merged_indexes_move(spark):
 def test_repeated_batches_change_nothing(spark, tmp_path):
     df = spark.range(50).withColumn("v", F.col("id") % 7)
     best = arrivals.RunningTopK(f"file://{tmp_path}/top", [F.desc("v"), F.asc("id")], "id", 5)
+    assert best.result(spark, df.schema).count() == 0
     for n, part in enumerate((df.where("id < 20"), df.where("id >= 20"), df.where("id < 20"))):
         best(part, n)
+        arrivals.RunningTopK(best.path, best.order, "id", 5)(part, n)  # given again, after a restart
     assert [r.id for r in best.result(spark, df.schema).orderBy(F.desc("v"), "id").collect()] == [r.id for r in df.orderBy(F.desc("v"), "id").limit(5).collect()]
 
 
+def test_keys_count_once_however_often_they_come(spark, tmp_path):
+    df = spark.createDataFrame([(1, 9), (1, 9), (1, 8), (1, 9), (2, 8), (3, 7), (4, 1)], "id int, v int")
+    best = arrivals.RunningTopK(f"file://{tmp_path}/top", [F.desc("v")], "id", 3)
+    best(df, 7)
+    assert {tuple(r) for r in best.result(spark, df.schema).collect()} == {(1, 9), (2, 8), (3, 7)}
+
+
 # quality and meetings
 
 
