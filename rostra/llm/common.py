@@ -71,7 +71,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; the path itself is made by the writer."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or LOCAL_SHARED
     return f"{base.rstrip('/')}/rostra-{uuid.uuid4().hex}"
 
 

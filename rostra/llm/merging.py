@@ -151,10 +151,12 @@ class Cache:
         """A dictionary that holds all keys; ``make`` gives the values of a list of those that are missing."""
         young = self.young
         if missing := keys.difference(young):
-            if self.size + self.weight(missing) > self.most:
+            more = self.weight(missing)
+            if self.size + more > self.most:
                 self.old, self.young, self.size = young, (young := dict(self.fixed)), 0
                 missing = keys.difference(young)
-            self.size += self.weight(missing)
+                more = self.weight(missing)
+            self.size += more
             if self.old:
                 old = self.old
                 for k in missing & old.keys():

@@ -142,6 +142,11 @@ class WordEncoder:
         self.merger = merger(spec)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace("\\s", chars.spaces)
         self.split = regex.compile(pattern)
+        # most texts have Latin letters only, for which classes without properties are faster
+        kind = {n: "".join(re.escape(c) for c in map(chr, range(256)) if regex.match(f"[{x}]", c)) for n, x in (("L", chars.letters), ("N", chars.numbers), ("S", chars.spaces))}
+        contractions = "".join(f"{re.escape(x)}|" for x in pattern.split("|") if x.isascii() and x.startswith("'"))
+        self.split_latin = re.compile(f"[{kind['L']}]+|[{kind['N']}]|{contractions}[^{kind['S']}{kind['L']}{kind['N']}]+")
+        self.beyond_latin = re.compile("[^\x00-\xff]")
         self.split_any = regex.compile(pattern.replace("\\p{L}", chars.letters).replace("\\p{N}", chars.numbers))
         self.high = re.compile(f"[{re.escape(chars.agreed)}-\U0010ffff]")
         self.lower, self.odd = dict(chars.lower), regex.compile(f"[{chars.odd}]") if chars.odd else None
@@ -158,6 +163,8 @@ class WordEncoder:
 
     def pre_tokens(self, text: str) -> list[str]:
         """In lower case character by character, so a final sigma is none."""
+        if not self.beyond_latin.search(text):
+            return self.split_latin.findall(text.lower())  # composed already, and stays within Latin-1
         if self.high.search(text):
             return self.split_any.findall(self.composed(text).translate(self.lower))
         return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())

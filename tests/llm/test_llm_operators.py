@@ -141,6 +141,22 @@ def test_cache_holds_what_it_must():
     assert cache.size <= 600 and "x" * 1000 not in cache.young  # one long key does not stay
 
 
+def test_rows_without_id_and_repeated_rows_each_give_a_row(spark):
+    rows = [(None, "one two three"), (None, None), (3, "one two three"), (3, "one two three"), (3, "other words here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).withColumn("score", F.lit("x"))
+    items = spark.createDataFrame([("i", "two three")], "item_id string, text string")
+    want = Counter(i for i, _ in rows)
+    net = language.train(df)
+    made = {
+        "counts": token_counts.count_tokens(df, WORD), "codes": byte_bpe.encode(df, RANKS), "languages": language.identify(df, net), "hits": decontaminate.find_contamination(df, items),
+        "scores": pseudo_likelihood.pseudo_likelihood(df), "files": orc_ids.positions(spark, orc_ids.write_ids(df, WORD, shared_dir(spark))),
+    }
+    for name, got in made.items():
+        assert Counter(r.doc_id for r in got.collect()) == want, name
+    assert {(r.doc_id, r.n_items) for r in made["hits"].collect()} == {(None, 1), (None, 0), (3, 1), (3, 0)}
+    assert [r.start for r in made["files"].orderBy("start").collect()] == [0, *itertools.accumulate(r.n_tokens for r in made["files"].orderBy("start").collect())][:-1]
+
+
 # 7: decontamination
 
 
