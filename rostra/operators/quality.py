@@ -69,6 +69,42 @@ def archive_rules(files: DataFrame, key: str, path: str, meeting: Sequence[str])
     ]
 
 
+def document_rules(docs: DataFrame, hosts: Sequence[str], boilerplate: str) -> list[Rule]:
+    """Rules of documents (id, date, title, url, text): ids count once, dates are dates, a date in the title is the document's, the
+    url's host is known, and no boilerplate is left in the text."""
+    key, date = F.col("id").alias("key"), text_or_empty(F.col("date"))
+    in_title = F.regexp_extract(text_or_empty(F.col("title")), r"(20[0-9]{2}-[0-9]{2}-[0-9]{2})", 1)
+    host = F.lower(F.regexp_extract(text_or_empty(F.col("url")), "^[a-zA-Z]+://([^/?#]*)", 1))
+    return [
+        Rule("repeated_id", "error", lambda: repeated(docs, ["id"])),
+        Rule("bad_date", "error", lambda: docs.where(F.try_to_date(date, "yyyy-MM-dd").isNull() | ~date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")).select(key)),
+        Rule("title_date_differs", "review", lambda: docs.where((in_title != "") & (in_title != date)).select(key)),
+        Rule("unknown_host", "error", lambda: docs.where(~host.isin(*hosts)).select(key)),
+        Rule("boilerplate_left", "review", lambda: docs.where(text_or_empty(F.col("text")).rlike(boilerplate)).select(key)),
+    ]
+
+
+def ballot_rules(ballots: DataFrame, points: DataFrame, stated: DataFrame, votes: Sequence[str]) -> list[Rule]:
+    """Rules of ballots (id, name, vote, event): their point exists, votes are known, events are named, and no event has more named
+    votes than are stated (event, n)."""
+    key = F.col("id").alias("key")
+    named = ballots.where(text_or_empty(F.col("event")) != "").groupBy("event").agg(F.count("*").alias("named"))
+    return [
+        Rule("ballot_without_point", "error", lambda: dangling(ballots, points, ["id"], "id")),
+        Rule("unknown_vote", "error", lambda: ballots.where(~text_or_empty(F.col("vote")).isin(*votes)).select(key)),
+        Rule("event_missing", "error", lambda: ballots.where(text_or_empty(F.col("event")) == "").select(key)),
+        Rule("named_over_stated", "review", lambda: named.join(stated, "event").where("named > n").select(F.col("event").alias("key"))),
+    ]
+
+
+def attendance_rules(attendance: DataFrame, meetings: DataFrame, voters: DataFrame) -> list[Rule]:
+    """Rules of attendance (meeting, name): its meeting exists, and whoever voted (meeting, name) was there."""
+    return [
+        Rule("unknown_meeting", "error", lambda: dangling(attendance, meetings, ["meeting"], "meeting")),
+        Rule("voter_missing", "review", lambda: voters.distinct().join(attendance.select("meeting", "name").distinct(), ["meeting", "name"], "left_anti").select(F.concat_ws("|", "meeting", "name").alias("key"))),
+    ]
+
+
 def parity(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, field) in which derived and source rows differ; nulls equal nulls."""
     both = left.select(key, *[F.col(c).alias(f"l_{c}") for c in columns]).join(right.select(key, *[F.col(c).alias(f"r_{c}") for c in columns]), key, "full")

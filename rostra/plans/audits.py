@@ -115,3 +115,70 @@ def stream_topk_equals_batch(spark, sf):  # STR-02, STR-08
     q = arrivals.arriving(spark, source, "event_id bigint, value double").writeStream.foreachBatch(best).option("checkpointLocation", sinks.scratch_path(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return best.result(spark, rows.schema)
+
+
+@query("document_issues", """with d as (select o_orderkey // 2 * 2 + case when o_orderkey % 40 = 1 then 0 else o_orderkey % 2 end as id, case when o_orderkey % 19 = 0 then '2024-13-01' when o_orderkey % 23 = 0 then '24-1-1' else '2024-03-0' || (1 + o_orderkey % 4)::varchar end as date, o_orderkey as k from orders)
+ select 'repeated_id' as category, 'error' as severity, id::varchar as key from d group by id having count(*) > 1
+ union all select 'bad_date', 'error', id::varchar from d where k % 19 = 0 or k % 23 = 0
+ union all select 'title_date_differs', 'review', id::varchar from d where k % 3 = 0 and date <> '2024-03-01'
+ union all select 'unknown_host', 'error', id::varchar from d where k % 29 = 0 or k % 31 = 0
+ union all select 'boilerplate_left', 'review', id::varchar from d where k % 37 = 0""")
+def document_issues(spark, sf):  # DQ-01, DQ-02
+    k = F.col("o_orderkey")
+    docs = table(spark, sf, "orders").select(
+        (F.floor(k / 2) * 2 + F.when(k % 40 == 1, 0).otherwise(k % 2)).alias("id"), F.when(k % 19 == 0, "2024-13-01").when(k % 23 == 0, "24-1-1").otherwise(F.concat(F.lit("2024-03-0"), (1 + k % 4).cast("string"))).alias("date"),
+        F.when(k % 3 == 0, "Protokoll 2024-03-01").otherwise("Protokoll").alias("title"), F.when(k % 29 == 0, "https://other.org/a").when(k % 31 == 0, "a.pdf").otherwise("HTTPS://Example.org/a?b").alias("url"),
+        F.when(k % 37 == 0, "text\nDigitalt justerat protokoll").otherwise("text").alias("text"),
+    )
+    return quality.issues(quality.document_rules(docs, ["example.org"], "(?i)digitalt justerat"))
+
+
+@query("ballot_issues", """with b as (select case when l_orderkey % 53 = 0 then -l_orderkey else l_orderkey end as id, l_suppkey as name, case when l_orderkey % 50 = 0 and l_linenumber = 1 then 'Kanske' else 'Ja' end as vote, case when l_orderkey % 97 = 0 then '' else l_orderkey::varchar end as event from lineitem),
+ s as (select o_orderkey::varchar as event, o_custkey % 6 as n from orders)
+ select 'ballot_without_point' as category, 'error' as severity, id::varchar as key from b where id < 0 union all select 'unknown_vote', 'error', id::varchar from b where vote = 'Kanske' union all select 'event_missing', 'error', id::varchar from b where event = ''
+ union all select 'named_over_stated', 'review', event from (select event, count(*) as c from b where event <> '' group by 1) join s using (event) where c > n""")
+def ballot_issues(spark, sf):  # DQ-03, DQ-04
+    k, orders = F.col("l_orderkey"), table(spark, sf, "orders")
+    ballots = table(spark, sf, "lineitem").select(F.when(k % 53 == 0, -k).otherwise(k).alias("id"), F.col("l_suppkey").alias("name"), F.when((k % 50 == 0) & (F.col("l_linenumber") == 1), "Kanske").otherwise("Ja").alias("vote"), F.when(k % 97 == 0, "").otherwise(k.cast("string")).alias("event"))
+    stated = orders.select(F.col("o_orderkey").cast("string").alias("event"), (F.col("o_custkey") % 6).alias("n"))
+    return quality.issues(quality.ballot_rules(ballots, orders.select(F.col("o_orderkey").alias("id")), stated, ["Ja", "Nej", "Avstår", "Frånvarande"]))
+
+
+@query("attendance_issues", """with a as (select l_orderkey as meeting, l_suppkey as name from lineitem where l_linenumber % 3 > 0), v as (select distinct l_orderkey as meeting, l_suppkey as name from lineitem where l_orderkey % 9 = 0)
+ select 'unknown_meeting' as category, 'error' as severity, meeting::varchar as key from a where meeting not in (select o_orderkey from orders where o_orderkey % 45 > 0)
+ union all select 'voter_missing', 'review', meeting::varchar || '|' || name::varchar from (select * from v except select * from a)""")
+def attendance_issues(spark, sf):  # DQ-05
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("meeting"), F.col("l_suppkey").alias("name"), "l_linenumber")
+    meetings = table(spark, sf, "orders").where("o_orderkey % 45 > 0").select(F.col("o_orderkey").alias("meeting"))
+    return quality.issues(quality.attendance_rules(rows.where("l_linenumber % 3 > 0").drop("l_linenumber"), meetings, rows.where("meeting % 9 = 0").select("meeting", "name")))
+
+
+@query("diary_pack", """with o as (select doc_id, 'u' || doc_id::varchar as url, 't' || (doc_id // 2)::varchar as title, case when doc_id % 5 = 0 then 'old' end as diary from documents where doc_id % 3 > 0),
+ n as (select case when doc_id % 4 = 0 then 'v' else 'u' end || doc_id::varchar as url, 't' || (doc_id // 2)::varchar as title, 'Ks ' || (doc_id % 7)::varchar || '/2024' as d from documents where doc_id % 2 = 0 and doc_id % 11 > 0),
+ r as (select * from n where url not in (select url from o)), t as (select title, min(d) as d from r group by 1)
+ select o.url, o.title, coalesce((select min(d) from n where n.url = o.url), t.d, diary) as diary from o left join t using (title)
+ union all select url, (min(row(d, title))).title, min(d) from (select url, d, title from r where title not in (select title from o)) group by url""".replace("(min(row(d, title))).title", "arg_min(title, row(d, title))"))
+def diary_pack(spark, sf):  # SNK-05
+    k, docs = F.col("doc_id"), table(spark, sf, "documents")
+    title = F.concat(F.lit("t"), F.floor(k / 2).cast("string")).alias("title")
+    old = docs.where("doc_id % 3 > 0").select(F.concat(F.lit("u"), k.cast("string")).alias("url"), title, F.when(k % 5 == 0, "old").alias("diary"))
+    new = docs.where("doc_id % 2 = 0").select(F.concat(F.when(k % 4 == 0, "v").otherwise("u"), k.cast("string")).alias("url"), title, F.when(k % 11 > 0, F.concat(F.lit("Ks "), (k % 7).cast("string"), F.lit("/2024"))).otherwise(" ").alias("diary"))
+    return sinks.merged_diaries(old, new)[0]
+
+
+@query("bootstrap_rows", "select o_orderkey, o_orderpriority, o_orderstatus, (select count(*) from orders) as total, (select count(distinct o_orderpriority) from orders) as n_o_orderpriority, (select count(distinct o_orderstatus) from orders) as n_o_orderstatus from orders order by o_orderdate desc, o_orderkey limit 8")
+def bootstrap_rows(spark, sf):  # SNK-04
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    return sinks.bootstrap(o, [F.desc("o_orderdate"), F.asc("o_orderkey")], ["o_orderpriority", "o_orderstatus"]).drop("o_orderdate")
+
+
+@query("stream_retarget", "select user_id, count(*) as n, sum(event_id)::bigint as ids from events where event_type = 'click' group by user_id")
+def stream_retarget(spark, sf):  # STR-03: a new filter starts a new query over the same files; nothing of the old one is carried over
+    source = sinks.scratch_path(spark)
+    table(spark, sf, "events").select("event_id", "user_id", "event_type").repartition(4).write.parquet(source)
+    for kind in ("view", "click"):
+        name = f"stream_{uuid.uuid4().hex}"
+        stream = arrivals.arriving(spark, source, "event_id bigint, user_id bigint, event_type string").where(F.col("event_type") == kind)
+        q = arrivals.running_summary(stream, ["user_id"], {"ids": "event_id"}).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", sinks.scratch_path(spark)).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.table(name)

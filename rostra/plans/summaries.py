@@ -200,3 +200,33 @@ def export_projection(spark, sf):  # SNK-06, PRJ-21, PRJ-23
 
     o = table(spark, sf, "orders")
     return o.select(F.col("o_orderkey").alias("Nr"), F.col("o_orderpriority").alias("Typ"), display_date(F.col("o_orderdate")).alias("Datum"), percent_text(F.col("o_custkey") % 8, F.lit(8)).alias("Andel"))
+
+
+@query("export_documents", "select doc_id::varchar as \"Id\", upper(lang) as \"Språk\", case when length(text) > 80 then rtrim(text[1:80]) || '…' else text end as \"Utdrag\", coalesce(toxic, 0) = 1 as \"Granskas\" from documents left join labels using (doc_id)")
+def export_documents(spark, sf):  # SNK-06
+    from rostra.functions.keys import preview
+
+    both = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return both.select(F.col("doc_id").cast("string").alias("Id"), F.upper("lang").alias("Språk"), preview(F.col("text"), 80).alias("Utdrag"), (F.coalesce("toxic", F.lit(0)) == 1).alias("Granskas"))
+
+
+@query("export_decisions", f"with {POINTS}, {BALLOTS}, v as (select id, count(*) filter (vote = 'Ja') as ja, count(*) filter (vote = 'Nej') as nej from ballots group by 1) select strftime(date, '%d/%m/%Y') as \"Datum\", body as \"Organ\", '§ ' || id::varchar as \"Paragraf\", case result when 'F' then 'Bifall' when 'O' then 'Avslag' else result end as \"Resultat\", coalesce(ja, 0) as \"Ja\", coalesce(nej, 0) as \"Nej\" from points left join v using (id)")
+def export_decisions(spark, sf):  # SNK-06
+    from rostra.functions.keys import display_date, mapped
+
+    count = lambda word: F.count_if(F.col("vote") == word)
+    tally = ballots(spark, sf).groupBy("id").agg(count("Ja").alias("ja"), count("Nej").alias("nej"))
+    p = points(spark, sf).join(tally, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return p.select(display_date(F.col("date")).alias("Datum"), F.col("body").alias("Organ"), F.concat(F.lit("§ "), F.col("id").cast("string")).alias("Paragraf"), mapped(F.col("result"), {"F": "Bifall", "O": "Avslag"}).alias("Resultat"), zero("ja").alias("Ja"), zero("nej").alias("Nej"))
+
+
+@query("export_elections", "with r as (select n_name as region, c_mktsegment as party, count(*) as votes from customer join nation on c_nationkey = n_nationkey group by 1, 2) select region as \"Område\", party as \"Parti\", votes as \"Röster\", printf('%.2f%%', votes / sum(votes) over (partition by region) * 100.0) as \"Andel\" from r")
+def export_elections(spark, sf):  # SNK-06
+    from pyspark.sql import Window as W
+
+    from rostra.functions.keys import percent_text
+
+    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    votes = c.groupBy(F.col("n_name").alias("region"), F.col("c_mktsegment").alias("party")).agg(F.count("*").alias("votes"))
+    return votes.select(F.col("region").alias("Område"), F.col("party").alias("Parti"), F.col("votes").alias("Röster"), percent_text(F.col("votes"), F.sum("votes").over(W.partitionBy("region"))).alias("Andel"))

@@ -23,7 +23,10 @@ def write_ndjson(df: DataFrame, path: str) -> None:
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path below the shared folder named in ``spark.checkpoint.dir``; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/rostra-{uuid.uuid4().hex}"
 
 
@@ -105,6 +108,26 @@ def upserted(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -
     return old.join(fresh, key, "full").select(key, *[F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)).alias(c) for c in columns])
 
 
+def merged_diaries(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pack, missing) of rows (url, title, diary): a new row's number goes to the old row of its url, or else of its title; new
+    rows that match neither are added. ``missing`` are the rows that still have none. Of several numbers the smallest counts."""
+    number = F.nullif(F.trim(F.coalesce("diary", F.lit(""))), F.lit(""))
+    fresh = new.select("url", "title", number.alias("d")).where("d is not null")
+    by_url = fresh.groupBy("url").agg(F.min("d").alias("d_url"))
+    rest = fresh.join(old.select("url"), "url", "left_anti")
+    by_title = rest.groupBy("title").agg(F.min("d").alias("d_title"))
+    pack = old.join(by_url, "url", "left").join(by_title, "title", "left").select("url", "title", F.coalesce("d_url", "d_title", number).alias("diary"))
+    added = rest.join(old.select("title"), "title", "left_anti").groupBy("url").agg(F.min(F.struct("d", "title")).alias("m")).select("url", "m.title", F.col("m.d").alias("diary"))
+    pack = pack.unionByName(added)
+    return pack, pack.where("diary is null").select("url", "title")
+
+
+def bootstrap(rows: DataFrame, order: Sequence[Column], facets: Sequence[str], n: int = 8) -> DataFrame:
+    """The first rows in order, each with the number of all rows and of each facet's values: what a page shows before the rest is read."""
+    totals = rows.agg(F.count("*").alias("total"), *[F.count_distinct(c).alias(f"n_{c}") for c in facets])
+    return rows.orderBy(*order).limit(n).join(F.broadcast(totals))  # one row
+
+
 def publish(spark: SparkSession, df: DataFrame, path: str, valid: Callable[[DataFrame], bool]) -> bool:
     """Writes beside ``path``, checks what was written, and only then renames; what was published before stays until then.
 
