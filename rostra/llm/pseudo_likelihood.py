@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -15,16 +16,17 @@ from rostra.llm.common import map_texts, release_memory, slices, small_batches,
 
 #: A-Z in lower case; every other ASCII byte that is no digit or letter parts words.
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
-#: The same, with a line break for each byte that ends a sentence.
-SENTENCES = bytes(0x0A if b in b".!?\n" else FOLD[b] for b in range(256))
+#: The same, with a mark for each byte that ends a sentence.
+MARK = b"\x01"
+SENTENCES = bytes(MARK[0] if b in b".!?\n" else FOLD[b] for b in range(256))
 #: Words that the network tells apart, the most frequent ones; it gives all others one id, and a chain over their bytes
 #: goes on to the word.
 VOCABULARY = 8192
-RARE, PAD = VOCABULARY, VOCABULARY + 1
+RARE, PAD, SENTENCE = VOCABULARY, VOCABULARY + 1, VOCABULARY + 2
 #: Words of a class: the first softmax gives the class, the second one the word.
 WIDTH = 128
 CLASSES = VOCABULARY // WIDTH + 1
-SIDE, EMBED, HIDDEN = 2, 8, 24
+SIDE, EMBED, HIDDEN = 2, 6, 16
 BATCH, RATE = 8192, 0.04
 #: Words that one copy of the network is trained on in a pass, about.
 SHARD_WORDS = 3_000_000
@@ -69,7 +71,7 @@ class Vocabulary:
                 size = max(SEEN, len(new))
                 self.table = np.zeros(size, np.int32), np.zeros(size, np.uint64), np.zeros(size)
             at = slice(len(self.seen), len(self.seen) + len(new))
-            ids = np.fromiter((self.ids.get(w, RARE) for w in new), np.int32, len(new))
+            ids = np.fromiter((SENTENCE if w == MARK else self.ids.get(w, RARE) for w in new), np.int32, len(new))
             self.table[0][at] = ids
             self.table[1][at] = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in new]), "<u8")
             self.table[2][at] = np.where(ids == RARE, self.spelled(new), 0.0)
@@ -199,8 +201,9 @@ class WindowNet:
 
         def pass_over():
             ctx, own = self.contexts(held)
-            for s in range(0, len(own), BATCH):
-                self.learn(ctx[s : s + BATCH], own[s : s + BATCH], state)
+            cuts = np.linspace(0, len(own), max(1, round(len(own) / BATCH)) + 1).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:]):  # one step, or several of one size after a long text
+                self.learn(ctx[a:b], own[a:b], state)
             return len(own)
 
         for t in texts:
@@ -215,7 +218,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts. Each task adds up what it reads before anything is shuffled; its table is bounded and is given out when full."""
 
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -223,8 +226,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, 0):
                 for text in part.column(0).to_pylist():
-                    for w in (text or "").encode().translate(FOLD).split():
-                        counts[w] = counts.get(w, 0) + 1
+                    counts.update((text or "").encode().translate(FOLD).split())
                 if len(counts) > 200_000:
                     yield out()
                     counts.clear()
@@ -281,22 +283,26 @@ def encoded(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
         def work(texts):
             v, out = held.value, [[], [], [], []]
             for s in range(0, len(texts), 64):
-                cut = [[x for x in (t or "").encode().translate(SENTENCES).split(b"\n")] for t in texts[s : s + 64]]
-                cut = [[w for x in c if (w := x.split())] for c in cut]
-                ids, hashes, spelled = v.numbered([w for c in cut for x in c for w in x])
-                sizes = np.array([len(x) for c in cut for x in c], np.int64)
-                starts = np.cumsum(sizes) - sizes
+                split = [(t or "").encode().translate(SENTENCES).replace(MARK, b" \x01 ").split() for t in texts[s : s + 64]]
+                upto = np.cumsum([len(x) for x in split])
+                ids, hashes, spelled = v.numbered([w for x in split for w in x])
+                mark = ids == SENTENCE
+                # a sentence begins after a mark and with a text
+                begin = np.cumsum(mark)
+                begin += np.searchsorted(upto, np.arange(len(ids)), side="right")
+                ids, hashes, spelled, begin = (x[~mark] for x in (ids, hashes, spelled, begin))
+                words = upto - np.concatenate([[0], np.cumsum(mark)])[upto]
+                starts = np.flatnonzero(np.diff(begin, prepend=-1))
+                sizes = np.diff(starts, append=len(ids))
                 place = np.arange(len(ids)) - np.repeat(starts, sizes)
                 mixed = (hashes ^ (hashes >> np.uint64(29))) * powers[place & 0xFFFF]
                 keys = (np.add.reduceat(mixed, starts) if len(starts) else mixed[:0]) * odd
                 keys = (keys ^ (keys >> np.uint64(32))).view(np.int64)
                 rare = np.add.reduceat(spelled, starts) if len(starts) else spelled
-                a = b = 0
-                for c in cut:
-                    n, m = sum(map(len, c)), len(c)
-                    for column, x in zip(out, (ids[a : a + n].astype("<u2").tobytes(), sizes[b : b + m].astype("<i4"), keys[b : b + m], rare[b : b + m]), strict=True):
+                packed, at = ids.astype("<u2"), np.searchsorted(starts, words)
+                for a, b, i, j in zip([0, *words[:-1].tolist()], words.tolist(), [0, *at[:-1].tolist()], at.tolist(), strict=True):
+                    for column, x in zip(out, (packed[a:b].tobytes(), sizes[i:j].astype("<i4"), keys[i:j], rare[i:j]), strict=True):
                         column.append(x)
-                    a, b = a + n, b + m
             return out
 
         return work

@@ -143,7 +143,7 @@ def test_cache_holds_what_it_must():
 
 def test_rows_without_id_and_repeated_rows_each_give_a_row(spark):
     rows = [(None, "one two three"), (None, None), (3, "one two three"), (3, "one two three"), (3, "other words here")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).withColumn("score", F.lit("x"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'x' as score")
     items = spark.createDataFrame([("i", "two three")], "item_id string, text string")
     want = Counter(i for i, _ in rows)
     net = language.train(df)
@@ -514,7 +514,7 @@ def test_urls_equal_brute_force(spark):
 
 def cut(text):
     """Sentences as lists of words."""
-    return [w for x in (text or "").encode().translate(pseudo_likelihood.SENTENCES).split(b"\n") if (w := x.split())]
+    return [w for x in (text or "").encode().translate(pseudo_likelihood.SENTENCES).split(pseudo_likelihood.MARK) if (w := x.split())]
 
 
 def naive_forward(net, near):
@@ -560,11 +560,11 @@ def test_scores_equal_a_word_by_word_sum(spark):
 
 
 def test_training_equals_plain_loops(monkeypatch):
-    for name, x in (("VOCABULARY", 12), ("RARE", 12), ("PAD", 13), ("WIDTH", 4), ("CLASSES", 4), ("BATCH", 40)):
+    for name, x in (("VOCABULARY", 12), ("RARE", 12), ("PAD", 13), ("EMBED", 8), ("WIDTH", 4), ("CLASSES", 4), ("BATCH", 40)):
         monkeypatch.setattr(pseudo_likelihood, name, x)
     vocab = pseudo_likelihood.Vocabulary([(bytes([97 + i]), 20 - i) for i in range(12)], rare=5)
     rnd = np.random.default_rng(3)
-    corpus = [rnd.integers(0, 13, n).astype(np.int32) for n in (7, 1, 33, 25, 0, 12)]
+    corpus = [rnd.integers(0, 13, n).astype(np.int32) for n in (7, 1, 33, 25, 0, 90, 12)]
     net, plain = pseudo_likelihood.WindowNet(vocab), pseudo_likelihood.WindowNet(vocab)
     for p in (net, plain):
         p.w2[:, :-1], p.w3[:, :-1] = 0.1, np.linspace(-1, 1, p.w3[:, :-1].size).reshape(12, -1)
@@ -577,8 +577,9 @@ def test_training_equals_plain_loops(monkeypatch):
             batches, held = [*batches, held], []
     for group in [*batches, held]:
         flat = [(t, j) for t in group for j in range(len(t))]
-        for s in range(0, len(flat), 40):
-            grads, part = [np.zeros(p.shape) for p in plain.params()], flat[s : s + 40]
+        cuts = np.linspace(0, len(flat), max(1, round(len(flat) / 40)) + 1).astype(int)
+        for x, y in zip(cuts, cuts[1:]):
+            grads, part = [np.zeros(p.shape) for p in plain.params()], flat[x:y]
             for t, j in part:
                 near = [int(t[j + k]) if 0 <= j + k < len(t) else 13 for k in (-2, -1, 1, 2)]
                 h, kinds, inner = naive_forward(plain, near)
