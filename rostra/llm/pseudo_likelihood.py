@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from rostra.llm.common import map_texts, release_memory, slices, small_batches, table, written
 
@@ -33,7 +33,7 @@ SHARD_WORDS = 3_000_000
 #: Numbers of a network that are averaged as one row.
 BLOCK = 32
 #: Distinct words that a worker keeps; fewer cost time only.
-SEEN = 400_000
+SEEN = 600_000
 #: Sentences of fewer words are not looked up in the corpus.
 RECALL_WORDS = 5
 
@@ -64,19 +64,20 @@ class Vocabulary:
     def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words' ids, 64-bit hashes, and log-probabilities within their id (0 but for rare words). Words are worked out once and kept."""
         found = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
-        if not self.table or len(found) and found.min() < 0:
-            new = list({words[i] for i in np.flatnonzero(found < 0).tolist()})
+        missing = np.flatnonzero(found < 0)
+        if not self.table or len(missing):
+            new = list({words[i] for i in missing.tolist()})
             if not self.table or len(self.seen) + len(new) > len(self.table[0]):
-                self.seen, new = {}, list(set(words))
+                self.seen, new, missing = {}, list(set(words)), np.arange(len(words))
                 size = max(SEEN, len(new))
                 self.table = np.zeros(size, np.int32), np.zeros(size, np.uint64), np.zeros(size)
             at = slice(len(self.seen), len(self.seen) + len(new))
             ids = np.fromiter((SENTENCE if w == MARK else self.ids.get(w, RARE) for w in new), np.int32, len(new))
             self.table[0][at] = ids
-            self.table[1][at] = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in new]), "<u8")
+            self.table[1][at] = np.fromiter(map(xxh3_64_intdigest, new), np.uint64, len(new))
             self.table[2][at] = np.where(ids == RARE, self.spelled(new), 0.0)
             self.seen.update(zip(new, range(at.start, at.stop), strict=True))
-            found = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+            found[missing] = np.fromiter((self.seen[words[i]] for i in missing.tolist()), np.int64, len(missing))
         return tuple(x[found] for x in self.table)
 
 
@@ -285,7 +286,7 @@ def encoded(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
             for s in range(0, len(texts), 64):
                 split = [(t or "").encode().translate(SENTENCES).replace(MARK, b" \x01 ").split() for t in texts[s : s + 64]]
                 upto = np.cumsum([len(x) for x in split])
-                ids, hashes, spelled = v.numbered([w for x in split for w in x])
+                ids, hashes, spelled = v.numbered([*chain.from_iterable(split)])
                 mark = ids == SENTENCE
                 # a sentence begins after a mark and with a text
                 begin = np.cumsum(mark)
