@@ -6,6 +6,7 @@ from rostra.llm.byte_bpe import op3_byte_bpe
 from rostra.llm.chat import OP6_SQL, op6_chat_rotation
 from rostra.llm.decontaminate import OP7_SQL, op7_decontamination
 from rostra.llm.fingerprints import op13_fingerprints
+from rostra.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from rostra.llm.language import op4_language_id
 from rostra.llm.near_dedup import OP8_SQL, op8_near_dedup
 from rostra.llm.orc_ids import op10_orc_ids
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_orc_ids": op10_orc_ids,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op6_chat_rotation": OP6_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_near_dedup": OP8_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
