@@ -8,6 +8,7 @@ from rostra.llm.decontaminate import OP7_SQL, op7_decontamination
 from rostra.llm.fingerprints import op13_fingerprints
 from rostra.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from rostra.llm.language import op4_language_id
+from rostra.llm.merkle import OP11_SQL, op11_merkle
 from rostra.llm.near_dedup import OP8_SQL, op8_near_dedup
 from rostra.llm.orc_ids import op10_orc_ids
 from rostra.llm.pseudo_likelihood import op9_pseudo_likelihood
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_orc_ids": op10_orc_ids,
+    "op11_merkle": op11_merkle,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op6_chat_rotation": OP6_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_near_dedup": OP8_SQL,
+    "op11_merkle": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
 }
