@@ -169,7 +169,10 @@ def swedish_date(col: Column, year: Column) -> Column:
 
 
 def percent_text(part: Column, whole: Column) -> Column:
-    return F.when(whole != 0, F.format_string("%.2f%%", part / whole * 100.0)).otherwise("0.00%")
+    """A count's share of another, in hundredths of a percent, halves up; decided by integers, so no rounding of quotients shows."""
+    part, whole = part.cast("bigint"), whole.cast("bigint")
+    hundredths = F.call_function("div", part * 20000 + whole, 2 * whole)
+    return F.when(whole != 0, F.format_string("%d.%02d%%", F.call_function("div", hundredths, F.lit(100)), hundredths % 100)).otherwise("0.00%")
 
 
 def matter_type(*texts: Column) -> Column:

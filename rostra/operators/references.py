@@ -35,13 +35,13 @@ def _nearest(refs: DataFrame, rows: DataFrame, pool: Sequence[str]) -> DataFrame
     Each step is a join with one row for each key, or a scan along the dates, so no reference meets all its candidates.
     """
     keys = list(pool)
-    found = refs
-    for more, order, name in ((["diary"], ["id"], "t_diary"), (["matter"], ["date", "point", "id"], "t_matter"), ([], ["id"], "t_any")):
-        first = rows.groupBy(*keys, *more).agg(F.min_by("id", F.struct(*order)).alias(name))
-        found = found.join(first, [*keys, *more], "left")
-    lead = rows.where("matter is not null").groupBy(*keys, "matter", "date").agg(F.min_by("id", F.struct("point", "id")).alias("t_next"))
-    found = forward_asof(found, lead, [*keys, "matter"], "date", "date", "t_next")
-    return found.select("ref", F.coalesce("t_diary", F.when(F.col("matter").isNotNull(), F.coalesce("t_next", "t_matter")), "t_any").alias("target"))
+    first = lambda more, order, name: rows.groupBy(*keys, *more).agg(F.min_by("id", F.struct(*order)).alias(name))
+    found = refs.join(first([], ["id"], "t_any"), keys, "left").join(first(["diary"], ["id"], "t_diary"), [*keys, "diary"], "left")
+    # only what has a matter asks by it, so rows without one are no hot key
+    rows = rows.where("matter is not null")
+    led = forward_asof(refs.where("matter is not null"), rows.groupBy(*keys, "matter", "date").agg(F.min_by("id", F.struct("point", "id")).alias("t_next")), [*keys, "matter"], "date", "date", "t_next")
+    led = led.join(first(["matter"], ["date", "point", "id"], "t_matter"), [*keys, "matter"], "left").select("ref", F.coalesce("t_next", "t_matter").alias("t_matter"))
+    return found.join(led, "ref", "left").select("ref", F.coalesce("t_diary", "t_matter", "t_any").alias("target"))
 
 
 def _near(refs: DataFrame, rows: DataFrame, pool: Sequence[str]) -> DataFrame:

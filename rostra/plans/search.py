@@ -161,10 +161,12 @@ REF_ROWS = """rows as (select o_orderkey as id, 'D' || (o_orderkey // 8)::varcha
 
 @query("ref_target_tiers", f"""with {REF_ROWS}, m as (select date, body, min(id) as id from rows where id % 10 = 0 group by 1, 2),
  asked as (select ref, kind, label, id, doc, date, body, matter, diary, point from refs where kind <> 'date' and not (kind = 'diary' and diary is not distinct from label)),
- j as (select a.ref, t.id as target, case when t.doc = a.doc then 0 when t.date = a.date and t.body = a.body then 1 when t.body = a.body and kind = 'section' then 2 else 3 end as pool,
+ c as (select a.ref, a.kind, struct_pack(id := a.id, doc := a.doc, date := a.date, body := a.body, matter := a.matter, diary := a.diary, point := a.point) as a, struct_pack(id := t.id, doc := t.doc, date := t.date, body := t.body, matter := t.matter, diary := t.diary, point := t.point) as t from asked a join rows t on t.base = a.label where a.kind = 'section'
+   union all select a.ref, a.kind, struct_pack(id := a.id, doc := a.doc, date := a.date, body := a.body, matter := a.matter, diary := a.diary, point := a.point), struct_pack(id := t.id, doc := t.doc, date := t.date, body := t.body, matter := t.matter, diary := t.diary, point := t.point) from asked a join rows t on t.diary = a.label where a.kind = 'diary'),
+ j as (select ref, t.id as target, case when t.doc = a.doc then 0 when t.date = a.date and t.body = a.body then 1 when t.body = a.body and kind = 'section' then 2 else 3 end as pool,
    case when t.id = a.id and t.point = a.point then 0 when t.diary = a.diary and t.doc = a.doc then 1 when t.diary = a.diary and t.date = a.date and t.body = a.body then 2 when t.diary = a.diary then 3
      when t.id <> a.id and t.matter = a.matter and t.date >= a.date then 4 when t.id <> a.id and t.matter = a.matter then 5 when t.id <> a.id and t.doc = a.doc then 6 when t.id <> a.id then 7 else 8 end as rank, t.date, t.point
-   from asked a join rows t on (kind = 'section' and t.base = a.label) or (kind = 'diary' and t.diary = a.label)),
+   from c),
  best as (select ref, target, ['document', 'meeting', 'body', 'all'][pool + 1] as pool from j qualify row_number() over (partition by ref order by pool, case when pool > 1 and rank in (1, 2) then 3 else rank end, case when rank in (4, 5) then date end, case when rank in (4, 5, 6) then point end, target) = 1),
  day as (select ref, coalesce(case when m.id <> r.id then m.id end, (select min(t.id) from rows t where t.date = r.label and t.matter = r.matter and t.id <> r.id)) as target, case when m.id <> r.id then 'meeting' else 'matter' end as pool
    from refs r left join m on r.label = m.date and r.body = m.body and r.date = r.label where kind = 'date'),

@@ -221,7 +221,7 @@ def export_decisions(spark, sf):  # SNK-06
     return p.select(display_date(F.col("date")).alias("Datum"), F.col("body").alias("Organ"), F.concat(F.lit("§ "), F.col("id").cast("string")).alias("Paragraf"), mapped(F.col("result"), {"F": "Bifall", "O": "Avslag"}).alias("Resultat"), zero("ja").alias("Ja"), zero("nej").alias("Nej"))
 
 
-@query("export_elections", "with r as (select n_name as region, c_mktsegment as party, count(*) as votes from customer join nation on c_nationkey = n_nationkey group by 1, 2) select region as \"Område\", party as \"Parti\", votes as \"Röster\", printf('%.2f%%', votes / sum(votes) over (partition by region) * 100.0) as \"Andel\" from r")
+@query("export_elections", "with r as (select n_name as region, c_mktsegment as party, count(*) as votes from customer join nation on c_nationkey = n_nationkey group by 1, 2), s as (select *, sum(votes) over (partition by region)::bigint as n, (votes * 20000 + n) // (2 * n) as h from r) select region as \"Område\", party as \"Parti\", votes as \"Röster\", printf('%d.%02d%%', h // 100, h % 100) as \"Andel\" from s")
 def export_elections(spark, sf):  # SNK-06
     from pyspark.sql import Window as W
 
