@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rostra.functions.keys import ignorable_line, matter_type, result_class, slug, squeezed, text_or_empty
+from rostra.functions.text import fold
 from rostra.operators.extraction import PERSON, attendance, diary_from_first_page, first_page_date, stated_tally, vote_held
 
 #: Headings of a section's fields: description, requests, procedure, vote, decision. Fixed values.
@@ -159,27 +159,85 @@ def inferred_votes(text: Column) -> Column:
     return F.struct(stated["yes"].alias("yes"), stated["no"].alias("no"), right.alias("accepted"), F.when(right, F.concat(people("Ja"), people("Nej"))).otherwise(F.slice(people("Ja"), 1, 0)).alias("named"))
 
 
-@F.pandas_udf(T.StringType())
-def final_line(decisions: pd.Series, points: pd.Series) -> pd.Series:
+#: Words that end a numbered line of a decision. Fixed values.
+AFTER_LINE = ("Medel", "Tillägget", "Jäv", "Reservation")
+
+
+def final_line(decision: Column, point: Column) -> Column:
     """The text of the numbered line that a point (``section.number``) means, up to the next number or heading; else empty."""
-    import re
-
-    def one(text, point):
-        number = point.rsplit(".", 1)[1] if point and "." in point else ""
-        if not number.isdigit():
-            return ""
-        lines = (text or "").replace("\r", "").split("\n")
-        at = next((i for i, x in enumerate(lines) if re.match(rf"\s*{number}\.\s*", x)), None)
-        if at is None:
-            return ""
-        value = [re.sub(r"^\s*\d+\.\s*", "", lines[at])]
-        for x in lines[at + 1 :]:
-            if re.match(r"\s*\d+\.\s+|\s*(?:Medel|Tillägget|Jäv|Reservation)\b", x, re.IGNORECASE):
-                break
-            value.append(x)
-        return " ".join(" ".join(value).split())
-
-    return pd.Series([one(t, p) for t, p in zip(decisions, points, strict=True)], dtype=object)
+    number = F.when(F.contains(point, F.lit(".")), F.substring_index(point, ".", -1))
+    lines = F.split(F.replace(text_or_empty(decision), F.lit("\r"), F.lit("")), "\n")
+    begins = F.transform(lines, lambda x: F.regexp_extract(x, r"^\s*([0-9]+)\.", 1) == number)
+    at = F.array_position(begins, F.lit(True)).cast("int")
+    rest = F.slice(lines, at + 1, F.size(lines))
+    ends = F.array_position(F.transform(rest, lambda x: x.rlike(rf"(?iu)^\s*[0-9]+\.\s+|^\s*(?:{'|'.join(AFTER_LINE)})(?![\p{{L}}\p{{N}}_])")), F.lit(True)).cast("int")
+    more = F.when(ends > 0, F.slice(rest, F.lit(1), ends - 1)).otherwise(rest)
+    whole = F.array_join(F.concat(F.array(F.regexp_replace(F.get(lines, at - 1), r"^\s*[0-9]+\.\s*", "")), more), " ")
+    return F.when(number.rlike("^[0-9]+$") & (at > 0), squeezed(whole)).otherwise("")
+
+
+#: How running text tells of a vote: what opens it, which decision it is of, what the votes mean, who gave them, how many. Fixed patterns.
+VOTE_MARKER = r"(?iu)votering\s+beg(?:ä|a)r(?:s|des)?\s+och\s+verkst(?:ä|a)ll(?:s|des)?\s*\.?"
+VOTE_PHRASE = "votering begars och verkstalls"
+VOTE_POINT = r"(?iu)beslutspunkt\s+([0-9]+)"
+VOTE_MEANING = r"(?isu)Ja-r(?:ö|o)st\s+inneb(?:ä|a)r\s+(.+?)\.\s*Nej-?\s*r(?:ö|o)st\s+inneb(?:ä|a)r\s+(.+?)\.\s*(?=Ja-r(?:ö|o)ster|Nej-r(?:ö|o)ster|Ordf(?:ö|o)rande|resultatet)"
+VOTE_NAMES = r"(?isu)Ja-r(?:ö|o)ster\s+l(?:ä|a)mnas\s+av\s+(.+?)\.\s*Nej-r(?:ö|o)ster\s+l(?:ä|a)mnas\s+av\s+(.+?)(?:\.|\nOrdf(?:ö|o)rande)"
+VOTE_RESULT = r"(?iu)resultatet\s+([0-9]+)\s+ja-r(?:ö|o)ster\s+och\s+([0-9]+)\s+nej-r(?:ö|o)ster"
+VOTE_PERSON = r"([^,;.]+?)\s*\(([A-Za-zÅÄÖåäö]+)\)"
+#: Characters before a marker in which its decision is named.
+LOOK_BACK = 2400
+
+
+def _clean(said: Column) -> Column:
+    return F.regexp_replace(squeezed(said), r"\s+-\s*", "-")
+
+
+def _people(said: Column) -> Column:
+    """Array of (name, party) of a list of people with parties in brackets."""
+    text = _clean(said)
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(VOTE_PERSON), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(VOTE_PERSON), F.lit(2)).alias("p"))
+    named = F.transform(pairs, lambda x: F.struct(F.regexp_replace(_clean(x["n"]), r"(?iu)^och\s+", "").alias("name"), x["p"].alias("party")))
+    return F.filter(named, lambda x: x["name"] != "")
+
+
+def paragraph_votes(docs: DataFrame, doc: str, name: str, text: str, points: str, voted: str) -> DataFrame:
+    """(doc, point, event, yes_meaning, no_meaning, yes, no, yes_people, no_people): votes that running text tells of.
+
+    ``points`` maps a document's points to texts, ``voted`` those that have events already; ``name`` names it in event ids.
+    A marker opens a vote, which lasts to the next one. Its point is the last ``beslutspunkt N`` in the characters before it
+    (the point of that number, the only point if there is but one). Accepted are votes with meanings, names and numbers, where
+    as many are named as stated on either side, and none of them is nobody; events are numbered by their order in the text.
+    A point that has an event, or got one before, gets none. Texts and maps that are null are empty.
+    """
+    said = text_or_empty(F.col(text))
+    tells = F.contains(squeezed(fold(said)), F.lit(VOTE_PHRASE))
+    parts = F.split(said, f"(?={VOTE_MARKER})")
+    opened = docs.where(tells).select(doc, F.col(name).alias("name"), F.coalesce(F.map_keys(points), F.array().cast("array<string>")).alias("known"), F.coalesce(F.map_keys(voted), F.array().cast("array<string>")).alias("has"), parts.alias("parts"))
+    each = opened.select("*", F.posexplode("parts").alias("i", "said")).where(F.col("said").rlike(f"^{VOTE_MARKER}"))
+    before = F.array_join(F.slice("parts", F.lit(1), F.col("i")), "")
+    number = F.try_element_at(F.regexp_extract_all(F.substr(before, F.greatest(F.length(before) - LOOK_BACK + 1, F.lit(1))), F.lit(VOTE_POINT), F.lit(1)), F.lit(-1))
+    of_number = F.get(F.filter("known", lambda p: p.endswith(F.concat(F.lit("."), number)) | (p == number)), F.lit(0))
+    in_base = F.concat(F.substring_index(F.get("known", F.lit(0)), ".", 1), F.lit("."), number)
+    point = F.coalesce(F.when(F.array_contains("known", in_base), in_base), of_number, F.when(F.size("known") == 1, F.get("known", F.lit(0))))
+    cut = lambda pattern, i: F.regexp_extract("said", pattern, i)
+    meaning = lambda i: F.when(_clean(cut(VOTE_MEANING, i)).rlike(r"(?iu)^(?:bifall|avslag)(?![\p{L}\p{N}_])"), _clean(cut(VOTE_MEANING, i))).otherwise(F.concat(F.lit("bifall till "), _clean(cut(VOTE_MEANING, i))))
+    count = lambda i: F.coalesce(cut(VOTE_RESULT, i).try_cast("int"), F.lit(0))
+    rows = each.withColumn("point", point).where("point is not null and not array_contains(has, point)").where(cut(VOTE_MEANING, 1) != "")
+    rows = rows.select(doc, "name", "i", "point", meaning(1).alias("yes_meaning"), meaning(2).alias("no_meaning"), count(1).alias("yes"), count(2).alias("no"), _people(cut(VOTE_NAMES, 1)).alias("yes_people"), _people(cut(VOTE_NAMES, 2)).alias("no_people"))
+    right = rows.where("yes > 0 and no > 0 and size(yes_people) = yes and size(no_people) = no")
+    plain = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]+", "_")
+    nth = F.row_number().over(W.partitionBy(doc).orderBy("i"))
+    event = F.concat(F.lit("vote_"), plain(F.col("name")), F.lit("_"), plain(F.col("point")), F.lit("_inferred_"), nth.cast("string"))
+    first = F.row_number().over(W.partitionBy(doc, "point").orderBy("i"))
+    numbered = right.withColumn("event", event).withColumn("first", first).where("first = 1")
+    return numbered.select(doc, "point", "event", "yes_meaning", "no_meaning", "yes", "no", "yes_people", "no_people")
+
+
+def paragraph_ballots(votes: DataFrame, doc: str) -> DataFrame:
+    """(doc, point, event, name, party, vote, participant) of ``paragraph_votes``."""
+    sides = [votes.select(doc, "point", "event", F.lit(vote).alias("vote"), F.lit(side).alias("side"), F.posexplode(f"{side}_people").alias("n", "who")) for side, vote in (("yes", "Ja"), ("no", "Nej"))]
+    every = sides[0].unionByName(sides[1])
+    return every.select(doc, "point", "event", "who.name", "who.party", "vote", F.concat_ws("", "event", F.lit(":"), "side", F.lit("_"), (F.col("n") + 1).cast("string")).alias("participant"))
 
 
 def reconciled_result(result: Column, decision: Column, line: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # importing a module registers its queries
-from rostra.plans import audits, core, documents, packing, records, scalars, search, seats, summaries  # noqa: F401
+from rostra.plans import audits, core, documents, integrity, packing, records, scalars, search, seats, summaries  # noqa: F401
 from rostra.plans.civic import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

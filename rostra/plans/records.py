@@ -79,6 +79,48 @@ def inferred_votes(spark, sf):  # PRS-16
     return table(spark, sf, "part").select("p_partkey", v["yes"].alias("yes"), v["no"].alias("no"), v["accepted"].alias("accepted"), F.size(v["named"]).alias("n_named"))
 
 
+PARAGRAPHS = r"""said as (select p_partkey as k, case when p_partkey % 5 = 0 then ['7'] else ['12', '12.1', '12.2'] end as known, case when p_partkey % 7 = 0 then ['12.2'] else [] end as has,
+  'Ärendet. Beslutspunkt 1 behandlas. Votering ' || case when p_partkey % 11 = 0 then 'begärdes och verkställdes.' else 'begärs och  verkställs.' end || ' Ja-röst innebär ' || p_name || '. Nej-röst innebär avslag på motionen. Ja-röster lämnas av Anna Berg (S) och Bo Ek (M). Nej-röster lämnas av Ci Dahl (V).' || chr(10)
+  || 'Ordföranden finner resultatet 2 ja-röster och ' || case when p_partkey % 3 = 0 then '2' else '1' end || ' nej-röster. Beslutspunkt 2 är nästa. VOTERING begärdes och verkställdes. Ja-röst innebär Bifall enligt ' || p_brand || '. Nej- röst innebär ' || p_type || '. '
+  || case when p_partkey % 4 = 0 then '' else 'Ja-röster lämnas av Eva - Lena Ås (MP). Nej-röster lämnas av Bo Ek (M), Ci Dahl (V) och Åke' || chr(10) || ' Öst (KD).' || chr(10) end || 'Ordföranden finner resultatet 1 ja-röster och 3 nej-röster. '
+  || case when p_partkey % 6 = 0 then 'Votering begärs och verkställs. Ja-röst innebär a. Nej-röst innebär b. Ja-röster lämnas av A B (S). Nej-röster lämnas av C D (M). Resultatet 1 ja-röster och 1 nej-röster.' else '' end as text from part),
+ segs as (select *, string_split(regexp_replace(text, '(votering\s+beg(?:ä|a)r(?:s|des)?\s+och\s+verkst(?:ä|a)ll(?:s|des)?\s*\.?)', chr(1) || '\1', 'gi'), chr(1)) as parts from said where contains(regexp_replace(lower(text), '\s+', ' ', 'g'), 'votering begärs och verkställs')),
+ each as (select k, known, has, i, parts[i] as s, right(array_to_string(parts[1:i - 1], ''), 2400) as before from (select *, unnest(range(2, len(parts) + 1)) as i from segs)),
+ cut as (select *, regexp_extract_all(before, 'beslutspunkt\s+([0-9]+)', 1, 'i')[-1] as num, regexp_extract(s, 'Ja-r(?:ö|o)st\s+inneb(?:ä|a)r\s+(.+?)\.\s*Nej-?\s*r(?:ö|o)st\s+inneb(?:ä|a)r\s+(.+?)\.\s*(?:Ja-r(?:ö|o)ster|Nej-r(?:ö|o)ster|Ordf(?:ö|o)rande|resultatet)', ['y', 'n'], 'is') as m,
+   regexp_extract(s, 'Ja-r(?:ö|o)ster\s+l(?:ä|a)mnas\s+av\s+(.+?)\.\s*Nej-r(?:ö|o)ster\s+l(?:ä|a)mnas\s+av\s+(.+?)(?:\.|\nOrdf(?:ö|o)rande)', ['y', 'n'], 'is') as p, regexp_extract(s, 'resultatet\s+([0-9]+)\s+ja-r(?:ö|o)ster\s+och\s+([0-9]+)\s+nej-r(?:ö|o)ster', ['y', 'n'], 'i') as r from each),
+ who as (select *, coalesce(list_filter(known, lambda x: x = split_part(known[1], '.', 1) || '.' || num)[1], list_filter(known, lambda x: ends_with(x, '.' || num) or x = num)[1], case when len(known) = 1 then known[1] end) as point,
+   list_transform(regexp_extract_all(regexp_replace(trim(regexp_replace(p.y, '\s+', ' ', 'g')), '\s+-\s*', '-', 'g'), '[^,;.]+?\s*\([A-Za-zÅÄÖåäö]+\)'), lambda x: {{'name': regexp_replace(trim(split_part(x, '(', 1)), '^och\s+', '', 'i'), 'party': split_part(split_part(x, '(', 2), ')', 1)}}) as yes_people,
+   list_transform(regexp_extract_all(regexp_replace(trim(regexp_replace(p.n, '\s+', ' ', 'g')), '\s+-\s*', '-', 'g'), '[^,;.]+?\s*\([A-Za-zÅÄÖåäö]+\)'), lambda x: {{'name': regexp_replace(trim(split_part(x, '(', 1)), '^och\s+', '', 'i'), 'party': split_part(split_part(x, '(', 2), ')', 1)}}) as no_people,
+   case when regexp_matches(m.y, '^(bifall|avslag)\b', 'i') then m.y else 'bifall till ' || m.y end as yes_meaning, case when regexp_matches(m.n, '^(bifall|avslag)\b', 'i') then m.n else 'bifall till ' || m.n end as no_meaning, try_cast(r.y as integer) as yes, try_cast(r.n as integer) as no from cut),
+ fine as (select *, row_number() over (partition by k order by i) as nth from who where point is not null and not list_contains(has, point) and m.y <> '' and yes > 0 and no > 0 and len(yes_people) = yes and len(no_people) = no),
+ votes as (select *, 'vote_doc_' || k::varchar || '_' || replace(point, '.', '_') || '_inferred_' || nth::varchar as event from fine qualify row_number() over (partition by k, point order by i) = 1)""".replace("{{", "{").replace("}}", "}")
+
+
+def paragraph_documents(spark, sf):
+    k, n, s = F.col("p_partkey"), F.lit("\n"), F.lit
+    marker = F.when(k % 11 == 0, "begärdes och verkställdes.").otherwise("begärs och  verkställs.")
+    named = F.when(k % 4 == 0, "").otherwise("Ja-röster lämnas av Eva - Lena Ås (MP). Nej-röster lämnas av Bo Ek (M), Ci Dahl (V) och Åke\n Öst (KD).\n")
+    third = "Votering begärs och verkställs. Ja-röst innebär a. Nej-röst innebär b. Ja-röster lämnas av A B (S). Nej-röster lämnas av C D (M). Resultatet 1 ja-röster och 1 nej-röster."
+    said = F.concat(
+        s("Ärendet. Beslutspunkt 1 behandlas. Votering "), marker, s(" Ja-röst innebär "), F.col("p_name"), s(". Nej-röst innebär avslag på motionen. Ja-röster lämnas av Anna Berg (S) och Bo Ek (M). Nej-röster lämnas av Ci Dahl (V)."), n,
+        s("Ordföranden finner resultatet 2 ja-röster och "), F.when(k % 3 == 0, "2").otherwise("1"), s(" nej-röster. Beslutspunkt 2 är nästa. VOTERING begärdes och verkställdes. Ja-röst innebär Bifall enligt "), F.col("p_brand"), s(". Nej- röst innebär "), F.col("p_type"), s(". "),
+        named, s("Ordföranden finner resultatet 1 ja-röster och 3 nej-röster. "), F.when(k % 6 == 0, third).otherwise(""),
+    )
+    texts = lambda *ps: F.map_from_arrays(F.array(*map(F.lit, ps)), F.array(*[F.lit("x")] * len(ps)))
+    return table(spark, sf, "part").select(k, F.concat(s("doc "), k.cast("string")).alias("name"), said.alias("text"), F.when(k % 5 == 0, texts("7")).otherwise(texts("12", "12.1", "12.2")).alias("p"), F.when(k % 7 == 0, texts("12.2")).alias("v"))
+
+
+@query("paragraph_votes", f"with {PARAGRAPHS} select k as p_partkey, point, event, yes_meaning, no_meaning, yes, no from votes")
+def paragraph_votes(spark, sf):  # PRS-16: events
+    return records.paragraph_votes(paragraph_documents(spark, sf), "p_partkey", "name", "text", "p", "v").drop("yes_people", "no_people")
+
+
+@query("paragraph_ballots", f"""with {PARAGRAPHS}, b as (select k, point, event, 'Ja' as vote, 'yes' as side, unnest(yes_people) as who, unnest(range(1, len(yes_people) + 1)) as n from votes union all select k, point, event, 'Nej', 'no', unnest(no_people), unnest(range(1, len(no_people) + 1)) from votes)
+ select k as p_partkey, point, event, who.name as name, who.party as party, vote, event || ':' || side || '_' || n::varchar as participant from b""")
+def paragraph_ballots(spark, sf):  # PRS-16: ballots
+    return records.paragraph_ballots(records.paragraph_votes(paragraph_documents(spark, sf), "p_partkey", "name", "text", "p", "v"), "p_partkey")
+
+
 @query("result_reconciled", """with k as (select p_partkey as k from part)
  select k as p_partkey, case k % 6 when 0 then 'Ansökan beviljas' when 1 then 'Ansökan avslås' when 2 then 'Ansökan beviljas inte' when 3 then 'Förening A får 5 000 kr' when 4 then '' else 'Utse ledamot' end as line,
    case k % 6 when 0 then 'approved' when 1 then 'reject' when 2 then case when k % 2 = 0 and k % 4 = 0 then 'approved' when k % 2 = 0 then 'reject' end when 3 then case when k % 4 < 2 then 'approved' else 'approve' end when 4 then case when k % 4 < 2 then 'reject' else 'approve' end
