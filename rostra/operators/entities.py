@@ -70,6 +70,40 @@ def person_index(people: DataFrame, party: str, body: str, name: str) -> DataFra
     return both.select(party, body, "surname", F.when(F.col("n") == 1, F.col("near")).when(F.col("m") == 1, F.col("wide")).alias("name")).where("name is not null")
 
 
+def identities(people: DataFrame, party: str, body: str, name: str) -> DataFrame:
+    """(party, body, name, norm, first, last, identity) of distinct named people; the identity is the first and last word, none for a single word."""
+    rows = people.select(text_or_empty(F.col(party)).alias("party"), text_or_empty(F.col(body)).alias("body"), person_name(F.col(name)).alias("name"), person_key(F.col(name)).alias("norm"))
+    words = F.split("norm", " ")
+    first, last = F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
+    known = rows.where("name <> '' and norm <> ''").distinct()
+    return known.select("*", first.alias("first"), last.alias("last"), F.when(F.size(words) > 1, F.concat_ws("|", first, last)).alias("identity"))
+
+
+def resolved_people(people: DataFrame, party: str, body: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """((party, body, norm, name, how), (party, norm, name)): whom each name means in a body, and in its party anywhere.
+
+    A name of several words means its identity, in the identity's longest spelling (ties: the smaller key, then spelling). A
+    single word means the one identity of that surname in its party and body; where the body knows none, the one in the
+    party; else itself. In the party's map a name is blank where bodies disagree. ``how``: identity, body, party or own.
+
+    Candidate sets are counts of distinct identities, so no surname's bearers are gathered.
+    """
+    known = identities(people, party, body, name)
+    whole = known.where("identity is not null")
+    spelt = whole.groupBy("party", "identity").agg(F.min_by("name", F.struct(-F.length("name"), F.col("norm"), F.col("name"))).alias("spelt"))
+    near = whole.groupBy("party", "body", "last").agg(F.count_distinct("identity").alias("n"), F.min("identity").alias("near"))
+    wide = whole.groupBy("party", "last").agg(F.count_distinct("identity").alias("m"), F.min("identity").alias("wide"))
+    both = known.join(near, ["party", "body", "last"], "left").join(wide, ["party", "last"], "left")
+    how = F.when(F.col("identity").isNotNull(), "identity").when(F.col("n") == 1, "body").when(F.col("n").isNull() & (F.col("m") == 1), "party").otherwise("own")
+    meant = F.when(F.col("how") == "identity", F.col("identity")).when(F.col("how") == "body", F.col("near")).when(F.col("how") == "party", F.col("wide"))
+    asked = both.withColumn("how", how).select("party", "body", "norm", "name", "how", meant.alias("identity"))
+    found = asked.join(spelt, ["party", "identity"], "left").select("party", "body", "norm", F.coalesce("spelt", "name").alias("name"), "how")
+    # spellings that share a key may differ where each stands for itself; the smaller one does for all
+    by_body = found.groupBy("party", "body", "norm").agg(F.min("name").alias("name"), F.min("how").alias("how"))
+    by_party = found.groupBy("party", "norm").agg(F.when(F.min("name") == F.max("name"), F.min("name")).otherwise("").alias("name"))
+    return by_body, by_party
+
+
 def preferred_spelling(people: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Each key's most frequent spelling; ties to the longer, then the smaller."""
     counts = people.groupBy(*keys, name).agg(F.count("*").alias("n"))

@@ -68,3 +68,23 @@ def archive_issues(spark, sf):  # DQ-09
     path = F.when(k % 50 == 0, F.concat(F.lit("../"), "source")).when(k % 41 == 0, "").otherwise(F.concat(F.lit("2024/"), "source", F.lit("/"), k.cast("string"), F.lit(".pdf")))
     files = table(spark, sf, "documents").select("doc_id", path.alias("path"), F.col("source").alias("body"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")).cast("string").alias("date"))
     return quality.issues(quality.archive_rules(files, "doc_id", "path", ["body", "date"]))
+
+
+@query("pack_parts_with_children", """with recursive docs as (select c_custkey as doc, c_nationkey as date, 'B' || (c_custkey % 3)::varchar as body, c_name as name from customer),
+ votes as (select o_custkey as doc, l_linenumber as n, l_returnflag as vote from lineitem join orders on l_orderkey = o_orderkey), positions as (select o_custkey as doc, o_orderpriority as stance from orders),
+ att as (select s_nationkey as date, case when s_suppkey % 7 = 0 then 'none' else 'B' || (s_suppkey % 3)::varchar end as body, s_name as name from supplier),
+ own as (select date, body, min(doc) as doc from docs group by 1, 2),
+ z as (select doc, strlen('{"doc":' || doc::varchar || ',"date":' || date::varchar || ',"body":"' || body || '","name":"' || name || '"}') + 1 as z from docs
+  union all select doc, strlen('{"doc":' || doc::varchar || ',"n":' || n::varchar || ',"vote":"' || vote || '"}') + 1 from votes union all select doc, strlen('{"doc":' || doc::varchar || ',"stance":"' || stance || '"}') + 1 from positions
+  union all select coalesce(doc, (select min(doc) from docs)), strlen('{"date":' || date::varchar || ',"body":"' || body || '","name":"' || name || '"}') + 1 from att left join own using (date, body) union all select min(doc), 500 from docs),
+ w as (select doc, sum(z)::bigint as bytes from z where doc in (select doc from docs) group by doc), c as (select doc, bytes, row_number() over (order by doc) as i, sum(bytes) over (order by doc) as upto from w),
+ parts as (select 1 as part, 0::bigint as s, (select max(i) from c where upto <= 20000) as e union all select part + 1, e, (select max(i) from c where i > e and upto - (select x.upto from c x where x.i = e) <= 20000) from parts where e < (select max(i) from c))
+ select doc, bytes, part from c join parts on i > s and i <= e""")
+def pack_parts_with_children(spark, sf):  # SNK-03: votes, positions and first-owned attendance follow their documents
+    docs = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_nationkey").alias("date"), F.concat(F.lit("B"), (F.col("c_custkey") % 3).cast("string")).alias("body"), F.col("c_name").alias("name"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc"), "o_orderpriority")
+    votes = table(spark, sf, "lineitem").join(orders, "l_orderkey").select("doc", F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("vote"))
+    body = F.when(F.col("s_suppkey") % 7 == 0, "none").otherwise(F.concat(F.lit("B"), (F.col("s_suppkey") % 3).cast("string")))
+    there = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("date"), body.alias("body"), F.col("s_name").alias("name"))
+    weights = sinks.pack_weights(docs, "doc", ["date", "body"], [votes, orders.select("doc", F.col("o_orderpriority").alias("stance"))], there, header=500)
+    return sinks.pack_parts(weights, "doc", 20_000)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostra.operators import extraction, records
+from rostra.operators import assembly, extraction, records
 from rostra.plans.civic import query, table
 
 
@@ -59,6 +59,49 @@ def protocol_issues(spark, sf):  # PRS-12, DQ-01 to 05
     return records.protocol_issues(pages, known, records.protocol_records(pages, "p_partkey", "page", "text"), "p_partkey", "page", "text")
 
 
+def known_protocols(spark, sf):
+    """What is known of each part's protocol. Some name the sections they want, some a section's own url."""
+    k = F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    return table(spark, sf, "part").select(
+        k, F.lit("2024-02-03").alias("date"), F.when(k % 4 == 0, "Kulturnämnden").when(k % 4 == 1, "Kommunstyrelsen").otherwise("Kommunstyrelsens utskott Å").alias("body"), F.concat(F.lit("2024-02-03 Protokoll "), k.cast("string")).alias("title"), F.concat(F.lit("https://example.org/"), k.cast("string")).alias("url"),
+        F.concat(F.lit("p/"), k.cast("string"), F.lit(".pdf")).alias("path"), F.when(k % 12 == 1, F.array(F.lit("1"))).when(k % 12 == 2, F.array(F.lit("2"), F.lit("7"))).otherwise(none).alias("include"),
+        F.when(k % 5 == 0, F.create_map(F.lit("1"), F.lit("https://example.org/s1"))).alias("section_urls"),
+    )
+
+
+ASSEMBLED = """k as (select p_partkey as k, p_name, p_brand from part where p_partkey % 9 > 0),
+ s as (select k, 1 as s, '1' as section, 'Motion om ' || p_name || case when k % 3 = 0 then ' fortsatt rubrik' else '' end as title, 'Kn ' || k::varchar || '/2022' as diary, case when k % 2 = 0 then [('1.1', 'Nämnden beslutar att Motionen bifalls'), ('1.2', 'Nämnden beslutar att Utse ledamot')] else [('1', 'Motionen avslås.')] end as points, 'motion' as mt, k % 8 > 0 as held from k
+  union all select k, 2, case when k % 10 = 3 then '1' else '2' end, 'Val', '', [(case when k % 10 = 3 then '1' else '2' end, 'Ärendet bordläggs.')], 'unclassified', false from k),
+ w as (select *, case k % 4 when 0 then 'Kulturnämnden' when 1 then 'Kommunstyrelsen' else 'Kommunstyrelsens utskott Å' end as body, case k % 4 when 0 then 'kulturnamnden' when 1 then 'kommunstyrelsen' else 'kommunstyrelsens_utskott_a' end as key, case when k % 5 = 0 and section = '1' then 'https://example.org/s1' else 'https://example.org/' || k::varchar end as url from s where k % 12 not in (1, 2) or (k % 12 = 1 and section = '1') or (k % 12 = 2 and section = '2')),
+ d as (select *, 'case_body_' || key || '_2024_02_03_' || section || case when row_number() over (partition by k, section order by s) > 1 then '_' || sha256(lower(url) || chr(31) || section || chr(31) || lower(title))[1:8] else '' end as id, 'matter_' || sha256(lower(body) || chr(31) || lower(case when diary <> '' then diary else title end))[1:16] as matter from w),
+ p as (select *, unnest(points) as x, unnest(range(len(points))) as nth from d)"""
+
+
+@query("protocol_documents", f"""with {ASSEMBLED}
+ select k as p_partkey, id, matter, x[1] as point, x[2] as text, 'decision_point_' || sha256(id || chr(31) || x[1] || chr(31) || lower(x[2]))[1:16] as point_id, '§ ' || section || ' ' || title as header, url as source_url, 'p/' || k::varchar || '.pdf' as path, case k % 4 when 0 then 'namnd' when 1 then 'kommunstyrelsen' else 'kommunstyrelseutskott' end as kind,
+  mt as matter_type, case when mt = 'unclassified' then mt else 'classified' end as state, 'final_decision' as level, 'formal_decision' as status, 2::bigint as page, case when held then 'vote_' || id || '_1' end as event,
+  cast(case when held and k % 5 > 0 then case when k % 5 = 3 then 3 else 2 end end as integer) as stated_yes, case when held then case when k % 5 in (2, 3) then 'held_roll_call' else 'held_tally_only' end end as vote_status, cast(case when held and k % 5 in (2, 3) then 3 else 0 end as integer) as n_ballots,
+  case when held and k % 5 in (2, 3) then points[1][1] || ' Ci Dahl vote_' || id || '_1:3' end as last_ballot from p""")
+def protocol_documents(spark, sf):  # PRS-12: assembly
+    made = assembly.documents(records.protocol_records(papers(spark, sf), "p_partkey", "page", "text"), known_protocols(spark, sf), "p_partkey")
+    rows = made.select("*", F.explode("p").alias("point", "text"))
+    meta, event = F.element_at("pm", F.col("point")), F.try_element_at("v", F.col("point"))
+    last = F.get("votes", F.size("votes") - 1)
+    return rows.select(
+        "p_partkey", F.col("i").alias("id"), F.col("mi").alias("matter"), "point", "text", meta["decision_point_id"].alias("point_id"), F.col("ht").alias("header"), F.col("u").alias("source_url"), F.col("lp").alias("path"), F.col("bt").alias("kind"),
+        meta["matter_type"].alias("matter_type"), meta["matter_type_state"].alias("state"), meta["decision_level"].alias("level"), meta["extraction_status"].alias("status"), meta["source_page"].cast("bigint").alias("page"), event.alias("event"),
+        meta["stated_yes"].alias("stated_yes"), F.try_element_at("ve", event)["vote_status"].alias("vote_status"), F.size("votes").alias("n_ballots"), F.when(F.size("votes") > 0, F.concat_ws(" ", last["point"], last["name"], last["participant"])).alias("last_ballot"),
+    )
+
+
+@query("supplement_issues", """select p_partkey, x as section, 'supplement_sections_missing' as code, 'review' as severity from (select p_partkey, unnest(case when p_partkey % 12 = 1 then ['1'] else ['2', '7'] end) as x from part where p_partkey % 12 in (1, 2))
+ where p_partkey % 9 = 0 or x = '7' or (x = '2' and p_partkey % 10 = 3)""")
+def supplement_issues(spark, sf):  # PRS-12: wanted sections
+    known = known_protocols(spark, sf)
+    return assembly.supplement_issues(assembly.documents(records.protocol_records(papers(spark, sf), "p_partkey", "page", "text"), known, "p_partkey"), known, "p_partkey")
+
+
 @query("record_positions", """with k as (select p_partkey as k from part where p_partkey % 9 > 0), v as (select 'Anna Berg' as name, 'S' as party, 'Bifallsyrkande' as a, 'Bifallsyrkande' as b union all select 'Bo Ek', 'M', 'Avslagsyrkande', 'Återremissyrkande' union all select 'Ci Dahl', 'V', 'Avslagsyrkande', 'Återremissyrkande'),
  r as (select k, name, party, case when k % 2 = 0 then a else b end as stance, case when name = 'Anna Berg' then 'bifall till motionen' when k % 2 = 0 then 'avslag' else 'återremiss' end as request from k, v)
  select k as p_partkey, '1' as point, name, party, stance, 'proposal_' || sha256(lower(k::varchar || chr(31) || '1' || chr(31) || name || chr(31) || party || chr(31) || request))[1:16] as proposal from r""")

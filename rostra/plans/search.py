@@ -137,6 +137,32 @@ def person_index(spark, sf):  # ENT-04
     return entities.person_index(people(spark, sf), "party", "body", "name")
 
 
+MEMBERS = """m as (select p_type as party, p_brand as body, case when p_partkey % 3 = 0 then '' else ['Anna', 'Bo', 'Åsa Maria', 'Eva-Lena', 'Ordförande Anna'][1 + p_partkey % 5] || ' ' end || case when p_partkey % 7 = 0 then 'Ék' else 'Ek' end || (p_partkey % 31)::varchar as raw from part),
+ i as (select distinct party, body, name, norm, split_part(norm, ' ', 1) as first, split_part(norm, ' ', -1) as last, case when contains(norm, ' ') then split_part(norm, ' ', 1) || '|' || split_part(norm, ' ', -1) end as identity
+   from (select *, regexp_replace(raw, '^Ordförande ', '') as name, replace(strip_accents(lower(regexp_replace(raw, '^Ordförande ', ''))), '-', ' ') as norm from m)),
+ sp as (select party, identity, arg_min(name, row(-length(name), norm, name)) as spelt from i where identity is not null group by 1, 2),
+ ne as (select party, body, last, count(distinct identity) as n, min(identity) as near from i where identity is not null group by 1, 2, 3), wi as (select party, last, count(distinct identity) as m, min(identity) as wide from i where identity is not null group by 1, 2),
+ h as (select i.*, case when identity is not null then 'identity' when n = 1 then 'body' when n is null and m = 1 then 'party' else 'own' end as how, near, wide from i left join ne using (party, body, last) left join wi using (party, last)),
+ f as (select h.party, h.body, h.norm, coalesce(spelt, h.name) as name, how from h left join sp on sp.party = h.party and sp.identity = case how when 'identity' then h.identity when 'body' then near when 'party' then wide end)"""
+
+
+def members(spark, sf):
+    k = F.col("p_partkey")
+    first = F.get(F.array(*[F.lit(x) for x in ("Anna", "Bo", "Åsa Maria", "Eva-Lena", "Ordförande Anna")]), (k % 5).cast("int"))
+    name = F.concat(F.when(k % 3 == 0, "").otherwise(F.concat(first, F.lit(" "))), F.when(k % 7 == 0, "Ék").otherwise("Ek"), (k % 31).cast("string"))
+    return table(spark, sf, "part").select(F.col("p_type").alias("party"), F.col("p_brand").alias("body"), name.alias("raw"))
+
+
+@query("people_by_body", f"with {MEMBERS} select party, body, norm, min(name) as name, min(how) as how from f group by 1, 2, 3")
+def people_by_body(spark, sf):  # ENT-04
+    return entities.resolved_people(members(spark, sf), "party", "body", "raw")[0]
+
+
+@query("people_by_party", f"with {MEMBERS} select party, norm, case when min(name) = max(name) then min(name) else '' end as name from f group by 1, 2")
+def people_by_party(spark, sf):  # ENT-04: blank where bodies disagree
+    return entities.resolved_people(members(spark, sf), "party", "body", "raw")[1]
+
+
 REFS = """refs as (select p_partkey as id, pos, label, case when label[1] = '§' then 'section' when regexp_matches(label, '^20[0-9]{2}-[0-9]{2}-[0-9]{2}$') then 'date' when contains(label, '/') then 'diary' else 'day' end as kind from (
  select p_partkey, unnest(range(4)) as pos, unnest(['§ ' || p_size::varchar, 'Ks ' || p_partkey::varchar || '/2024', '2024-01-' || lpad((1 + p_partkey % 28)::varchar, 2, '0'), '3 mars 2024']) as label from part))"""
 

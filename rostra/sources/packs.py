@@ -8,12 +8,29 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STRIDE = 6
 VOTE_FIELDS = ("doc_index", "point", "name", "party", "vote", "participant_id")
-DOCUMENT = "struct<i:string,mi:string,dt:string,t:string,ht:string,ad:string,yd:string,pd:string,vd:string,bd:string,p:map<string,string>,v:map<string,string>,b:string,bt:string,doc:string,u:string,lp:string,dn:string,cn:string,mt:string,mo:string,cf:string>"
+_STATED = ",".join(f"{c}:int" for c in ("stated_yes", "stated_no", "stated_abstain", "stated_absent"))
+#: What is known of a point, and of a vote event. Numbers of pages come as texts, as some are none.
+POINT_META = (
+    "struct<" + ",".join(f"{c}:string" for c in (
+        "result", "decision_level", "decision_stage", "decision_disposition", "decision_subject", "matter_type", "matter_type_state", "matter_outcome", "confidence", "decision_point_id", "matter_id",
+        "source_url", "local_path", "source_page", "source_page_end", "extraction_status",
+    )) + f",{_STATED}>"
+)
+VOTE_EVENT = (
+    "struct<points:array<string>," + ",".join(f"{c}:string" for c in ("source_kind", "vote_type", "vote_status", "tally_status", "yes_meaning", "no_meaning", "inferred_from"))
+    + f",{_STATED},{_STATED.replace('stated_', 'source_stated_')},count_conflict:boolean>"
+)
+DOCUMENT = (
+    "struct<i:string,mi:string,dt:string,t:string,ht:string,ad:string,yd:string,pd:string,vd:string,bd:string,p:map<string,string>,"
+    f"pm:map<string,{POINT_META}>,v:map<string,string>,ve:map<string,{VOTE_EVENT}>,"
+    "b:string,bt:string,doc:string,u:string,lp:string,dn:string,cn:string,mt:string,mo:string,cf:string>"
+)
 PACK = f"struct<schema:string,pf:string,pt:string,d:array<{DOCUMENT}>,r:array<string>,pr:array<string>,mr:array<string>>"
 
 
@@ -24,6 +41,15 @@ def assigned_json(spark: SparkSession, paths: str | Sequence[str], marker: str,
     return raw.select("file", F.from_json(body, schema).alias("data"))
 
 
+def documents(packs: DataFrame) -> DataFrame:
+    """Documents of parsed packs (file, data) as ``pack_rules`` reads them: doc is the place among all packs, by file and place."""
+    each = packs.select("file", F.posexplode("data.d").alias("n", "d"))
+    sizes = packs.select("file", F.coalesce(F.size("data.d"), F.lit(0)).alias("c"))  # a row for each file
+    before = sizes.select("file", F.coalesce(F.sum("c").over(W.orderBy(part_number(F.col("file")), "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    placed = each.join(before, "file").withColumn("doc", (F.col("b") + F.col("n")).cast("bigint"))
+    return placed.select("doc", F.col("d.i").alias("id"), F.col("d.dt").alias("date"), F.col("d.b").alias("body"), F.col("d.doc").alias("title"), F.col("d.u").alias("url"), F.col("d.ht").alias("header"), F.col("d.ad").alias("description"), F.col("d.bd").alias("decision"), "d.p", "d.pm", "d.v", "d.ve")
+
+
 def part_number(file: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(file, r"([0-9]+)\.[a-z]+$", 1), F.lit("")).try_cast("int"), F.lit(0))
 

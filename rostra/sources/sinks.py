@@ -102,6 +102,39 @@ def byte_bounded_parts(df: DataFrame, group: str, order: str, size: str, most: i
     return counted.join(base, "first").select(F.col("g").alias(group), F.col("o").alias(order), (F.col("c") - F.col("_c") + 1).cast("int").alias("part"))
 
 
+def json_bytes(*columns: str) -> Column:
+    """Bytes of a row's columns as JSON, with the comma after it. Nulls are left out, as JSON leaves them out."""
+    return (F.octet_length(F.to_json(F.struct(*columns))) + 1).cast("bigint")
+
+
+def pack_weights(docs: DataFrame, doc: str, meeting: Sequence[str], children: Sequence[DataFrame], attendance: DataFrame, header: int = 0) -> DataFrame:
+    """(doc, bytes): what each document brings into a pack, serialised: itself, its rows in ``children`` (tables with ``doc``), and
+    the attendance of meetings (``meeting`` columns, as in ``docs``) whose first document it is. Attendance that no document
+    owns, and ``header`` bytes, go with the first document. Rows of documents that do not exist count nowhere. Null
+    meetings own nothing. Each table is summed by key before anything is joined."""
+    own = docs.select(doc, json_bytes(*docs.columns).alias("z"))
+    summed = [own, *[c.select(doc, json_bytes(*c.columns).alias("z")).groupBy(doc).agg(F.sum("z").alias("z")).join(docs.select(doc), doc, "left_semi") for c in children]]
+    owners = docs.groupBy(*meeting).agg(F.min(doc).alias(doc))
+    of_meeting = attendance.select(*meeting, json_bytes(*attendance.columns).alias("z")).groupBy(*meeting).agg(F.sum("z").alias("z")).join(owners, list(meeting), "left")
+    first = docs.agg(F.min(doc).alias("first"))  # one row
+    loose = of_meeting.crossJoin(F.broadcast(first)).select(F.coalesce(doc, "first").alias(doc), "z")
+    with_header = first.where("first is not null").select(F.col("first").alias(doc), F.lit(header).cast("bigint").alias("z"))
+    every = loose.unionByName(with_header)
+    for s in summed:
+        every = every.unionByName(s)
+    return every.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.sum("z").alias("bytes"))
+
+
+def pack_parts(weights: DataFrame, doc: str, most: int) -> DataFrame:
+    """(doc, bytes, part): the longest runs of documents whose weights fit into ``most`` bytes. A single document beyond it raises."""
+    held = materialized(weights.select(doc, "bytes"))
+    over = held.where(F.col("bytes") > most).orderBy(doc).select(doc, "bytes").head()
+    if over is not None:
+        raise ValueError(f"document {over[0]} needs {over[1]} bytes; a part holds {most}")
+    parts = byte_bounded_parts(held.withColumn("pack", F.lit(1)), "pack", doc, "bytes", most)
+    return held.join(parts.select(doc, "part"), doc)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Old rows with the new ones' values where they have any, and new rows besides."""
     fresh = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
