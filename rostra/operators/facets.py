@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostra.operators.joins import unused
+
 #: Codes of ballots that count for no party. Fixed values.
 INVALID_CODES = ("BLANK", "OG", "OGEJ")
 PUBLIC_SINCE = "2023-01-01"
@@ -69,3 +71,19 @@ def cascading_values(df: DataFrame, target: str, chosen: Mapping[str, Sequence])
     """Values of one facet that occur under the choices made in the others."""
     others = {k: v for k, v in chosen.items() if k != target}
     return df.where(facet_predicate(others)).groupBy(target).agg(F.count("*").alias("n")).where(F.col(target).isNotNull())
+
+
+def cascading_values_all(df: DataFrame, facets: Sequence[str], chosen: Mapping[str, Sequence]) -> DataFrame:
+    """(facet, value, n): the values of every facet that occur under the choices made in the others, in one scan.
+
+    Each row has a bit for each facet whose choice it fails. It counts for a facet if it fails none, or that one alone, so a
+    row that fails two counts nowhere and goes before anything is shuffled. Nulls fail a choice, and are no values.
+    """
+    facets = list(facets)
+    failed = reduce(lambda a, b: a.bitwiseOR(b), [F.when(~F.coalesce(F.col(f).isin(list(chosen[f])), F.lit(False)), F.lit(1 << i).cast("bigint")).otherwise(0) for i, f in enumerate(facets) if len(chosen.get(f, ()))], F.lit(0).cast("bigint"))
+    others = [c for c in chosen if c not in facets and len(chosen[c])]
+    bits = unused(df.columns, "failed")
+    held = df.where(facet_predicate({c: chosen[c] for c in others})).select(*[F.col(f).cast("string").alias(f) for f in facets], failed.alias(bits)).where(F.bit_count(bits) <= 1)
+    counts = lambda i: F.col(bits).bitwiseAND(F.lit(((1 << len(facets)) - 1) ^ (1 << i)).cast("bigint")) == 0
+    pairs = F.array_compact(F.array(*[F.when(counts(i) & F.col(f).isNotNull(), F.struct(F.lit(f).alias("facet"), F.col(f).alias("value"))) for i, f in enumerate(facets)]))
+    return held.select(F.explode(pairs).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rostra.functions import text
 from rostra.operators import entities, references, windows
-from rostra.plans.civic import POINTS, points, query, table
+from rostra.operators import token_index as postings
+from rostra.plans.civic import ORACLE_SQL, POINTS, points, query, table
+from rostra.sources import sinks
 
 #: A token t matches the query token 'widgets' (7 letters: stems of 5, one edit).
 TOKEN_MATCH = "(contains(t, 'widgets') or (length(t) >= 6 and t[1:5] = 'widge') or (length(t) >= 4 and abs(length(t) - 7) <= 1 and (t[1] = 'w' or t[-1] = 's') and levenshtein(t, 'widgets') <= 1))"
@@ -61,6 +63,34 @@ def ranked_search(spark, sf):  # FLT-10, SRT-03, SRT-08
     return windows.top_k(text.scored(docs, "doc_id", "text", "license", ["source"]), [F.desc("score"), F.asc("doc_id")], 50)
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def document_index(spark, sf):
+    """The index of a folder's documents, written once in a session while their files stay the same."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = (spark.sparkContext.applicationId, sf, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    if now not in _INDEXES:
+        _INDEXES[now] = postings.write_index(table(spark, sf, "documents"), "doc_id", "text", sinks.scratch_path(spark), ["lang", "source"])
+    return _INDEXES[now]
+
+
+@query("indexed_search", ORACLE_SQL["ranked_search"])
+def indexed_search(spark, sf):  # TXT-11: as ranked_search, by postings
+    found = postings.search(spark, document_index(spark, sf), "license", "doc_id", ["source"], F.col("lang").isin("en", "fr"))
+    return windows.top_k(found, [F.desc("score"), F.asc("doc_id")], 50)
+
+
+@query("indexed_phrase", """with n as (select doc_id, trim(regexp_replace(strip_accents(lower(replace(text, 'ß', '@'))), '[^a-z0-9]+', ' ', 'g')) as n from documents), t as (select doc_id, n, list_distinct(string_split(n, ' ')) as ts from n),
+ m as (select doc_id, n, [coalesce(list_max(list_transform(ts, lambda t: case when t = p then 180 when starts_with(t, p) then 155 when length(p) >= 5 and t <> '' and starts_with(p, t) and length(p) - length(t) <= 2 then 125
+    when length(p) >= 4 and length(t) >= 4 and abs(length(t) - length(p)) <= 1 and levenshtein(t, p) <= 1 then 105 when contains(t, p) then 55 else 0 end)), 0) for p in ['the', 'open']] as b from t)
+ select doc_id, cast(case when n = 'the open' then 1000 else greatest(case when strpos(n, 'the open') = 1 then 900 when strpos(n, 'the open') > 1 then greatest(620, 780 - least(strpos(n, 'the open') - 1, 160)) else 0 end, case when b[1] > 0 and b[2] > 0 then 220 + b[1] + b[2] else 0 end) end as integer) as score
+ from m where case when strpos(n, 'the open') > 0 then 1 when b[1] > 0 and b[2] > 0 then 1 else 0 end = 1""")
+def indexed_phrase(spark, sf):  # TXT-11, TXT-06: every text that scores for two words, as a phrase or apart
+    return postings.search(spark, document_index(spark, sf), "The open", "doc_id")
+
+
 @query("quick_prefilter", f"select p_partkey from part where contains(lower(p_brand), 'widgets') or contains(p_name, 'widgets') or len(list_filter(list_distinct(string_split(p_name, ' ')), lambda t: length(t) >= 3 and {TOKEN_MATCH})) > 0")
 def quick_prefilter(spark, sf):  # TXT-08
     return table(spark, sf, "part").where(text.quick_match([F.col("p_brand"), F.col("p_type")], F.col("p_name"), "widgets")).select("p_partkey")

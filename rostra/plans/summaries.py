@@ -91,6 +91,18 @@ def facet_cascade(spark, sf):  # AGG-14
     return facets.cascading_values(points(spark, sf), "body", {"party": ["BUILDING"], "kind": ["5-LOW"], "body": ["NATION_1"]})
 
 
+CHOICES = {"body": ["NATION_1", "NATION_2", "NATION_5"], "party": ["BUILDING", "MACHINERY"], "kind": ["1-URGENT", "5-LOW"], "result": ["F", "O"], "member": [], "year": ["1995", "1996", "1997"]}
+
+
+@query("facet_cascade_all", f"""with {POINTS}, r as (select body, party, kind, result, member, year(date)::varchar as year from points),
+ m as (select *, body in ('NATION_1', 'NATION_2', 'NATION_5') as a, party in ('BUILDING', 'MACHINERY') as b, kind in ('1-URGENT', '5-LOW') as c, result in ('F', 'O') as d, year in ('1995', '1996', '1997') as e from r)
+ select 'body' as facet, body as value, count(*) as n from m where b and c and d and e group by body union all select 'party', party, count(*) from m where a and c and d and e group by party union all select 'kind', kind, count(*) from m where a and b and d and e group by kind
+ union all select 'result', result, count(*) from m where a and b and c and e group by result union all select 'member', member, count(*) from m where a and b and c and d and e group by member union all select 'year', year, count(*) from m where a and b and c and d group by year""")
+def facet_cascade_all(spark, sf):  # AGG-14: six facets, one scan
+    p = points(spark, sf).withColumn("year", F.year("date").cast("string"))
+    return facets.cascading_values_all(p, list(CHOICES), CHOICES)
+
+
 @query("stance_groups", f"""with {BALLOTS}, p as (select id % 100 as point, name, party, case vote when 'Ja' then 'Bifallsyrkande' when 'Nej' then 'Avslagsyrkande' else 'Annat' end as stance from ballots)
  select point, stance, count(distinct name::varchar || party) as n, case stance when 'Bifallsyrkande' then 1 when 'Avslagsyrkande' then 2 else 6 end as stance_rank from p group by 1, 2""")
 def stance_groups(spark, sf):  # AGG-16
