@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rostra.operators import quality
 from rostra.plans.civic import query, table
@@ -97,13 +96,19 @@ def sparse_rows(spark, sf):  # SNK-01
 
 
 @query("stream_summary", "select event_type, count(*) as n, sum(user_id)::bigint as users from events group by event_type")
-def stream_summary(spark, sf):  # STR-01, STR-02, STR-03: the final state of a stream over files equals the batch
-    source, name = sinks.scratch_path(spark), f"stream_{uuid.uuid4().hex}"
+def stream_summary(spark, sf):  # STR-01, STR-02: the final state of a stream over files equals the batch
+    source, summary = sinks.scratch_path(spark), arrivals.RunningSummary(sinks.scratch_path(spark), ["event_type"], {"users": "user_id"}, compact=2)
     table(spark, sf, "events").select("event_id", "user_id", "event_type").repartition(4).write.parquet(source)
-    stream = arrivals.arriving(spark, source, "event_id bigint, user_id bigint, event_type string")
-    q = arrivals.running_summary(stream, ["event_type"], {"users": "user_id"}).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", sinks.scratch_path(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return stream_into(spark, source, summary, sinks.scratch_path(spark)).result(spark, EVENTS)
+
+
+EVENTS = StructType([StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("event_type", StringType())])
+
+
+def stream_into(spark, source, summary, checkpoint):
+    """Whatever has come below ``source`` since the checkpoint goes into the summary, file by file."""
+    arrivals.arriving(spark, source, EVENTS).writeStream.foreachBatch(summary).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return summary
 
 
 @query("stream_topk_equals_batch", "select event_id, round(value, 4) as value from events order by round(value, 4) desc, event_id limit 25")
@@ -173,12 +178,29 @@ def bootstrap_rows(spark, sf):  # SNK-04
 
 
 @query("stream_retarget", "select user_id, count(*) as n, sum(event_id)::bigint as ids from events where event_type = 'click' group by user_id")
-def stream_retarget(spark, sf):  # STR-03: a new filter starts a new query over the same files; nothing of the old one is carried over
-    source = sinks.scratch_path(spark)
-    table(spark, sf, "events").select("event_id", "user_id", "event_type").repartition(4).write.parquet(source)
-    for kind in ("view", "click"):
-        name = f"stream_{uuid.uuid4().hex}"
-        stream = arrivals.arriving(spark, source, "event_id bigint, user_id bigint, event_type string").where(F.col("event_type") == kind)
-        q = arrivals.running_summary(stream, ["user_id"], {"ids": "event_id"}).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", sinks.scratch_path(spark)).trigger(availableNow=True).start()
-        q.awaitTermination()
-    return spark.table(name)
+def stream_retarget(spark, sf):  # STR-03: the filter changes while rows arrive; the new one catches up from the partial tables
+    source, checkpoint = sinks.scratch_path(spark), sinks.scratch_path(spark)
+    summary = arrivals.RunningSummary(sinks.scratch_path(spark), ["event_type", "user_id"], {"ids": "event_id"}, compact=3)
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    rows.where("event_id % 2 = 0").repartition(2).write.parquet(source)
+    stream_into(spark, source, summary, checkpoint).result(spark, EVENTS, ["user_id"], F.col("event_type") == "view").head()
+    rows.where("event_id % 2 = 1 or event_id is null").repartition(2).write.mode("append").parquet(source)
+    return stream_into(spark, source, summary, checkpoint).result(spark, EVENTS, ["user_id"], F.col("event_type") == "click")
+
+
+@query("ingestion_ledger", """with k as (select doc_id as k from documents where doc_id % 11 > 0)
+ select k::varchar as key, case when k % 5 = 0 and k % 7 > 0 and k % 2 = 1 then 'needs_review' when k % 5 = 0 and k % 7 = 0 then 'needs_review' else 'done' end as status,
+  cast(case when k % 7 = 0 then case when k % 5 = 0 then 2 else 1 end when k % 5 = 0 then case when k % 2 = 0 then 2 else 3 end else 1 end as integer) as tries from k
+ union all select doc_id::varchar, 'done', 1 from documents where doc_id % 11 = 0""")
+def ingestion_ledger(spark, sf):  # STR-06: three runs; what fails is new again, what needs review is tried again
+    ledger = arrivals.IngestionLedger(spark, sinks.scratch_path(spark))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), "doc_id")
+    k = F.col("doc_id")
+
+    def work(run):
+        failed, unclear = (k % 7 == 0) & F.lit(run == 1), (k % 5 == 0) & ~((k % 2 == 0) & (k % 7 > 0) & F.lit(run > 1))
+        return lambda due: due.select("key", F.when(failed & (k % 11 > 0), F.lit(None)).when(unclear & (k % 11 > 0), "needs_review").otherwise("done").alias("status"))
+
+    for run in (1, 2, 3):
+        ledger.run(docs, work(run))
+    return ledger.state()
