@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostra.functions.keys import MONTHS
+from rostra.functions.keys import MONTHS, swedish_date
 from rostra.operators.joins import forward_asof
 from rostra.sources.sinks import materialized
 
@@ -24,6 +24,46 @@ def extract(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return found.withColumn("kind", kind)
 
 
+#: A year by itself. Fixed value.
+YEAR = r"(?<![A-Za-z0-9_])(20[0-9]{2})(?![A-Za-z0-9_])"
+#: Characters from a date's start, and before it, in which its year is looked for.
+AHEAD, BEHIND = 160, 120
+#: Labels have three characters at least, so no more of them end in BEHIND characters.
+_NEAR_LABELS = BEHIND // 3 + 1
+
+
+def extract_dated(df: DataFrame, id_col: str, text: str, date: str) -> DataFrame:
+    """``extract`` with ``full``, the label with its year, and ``iso``, the date it means (null for labels that are no date).
+
+    A day without a year has the first one from its own place on within AHEAD characters, else the last one within BEHIND
+    before it, else that of the row's ``date``; without any it stays as it is. What lies around a label is cut out within the
+    row, from the pieces between labels. Null texts have no labels.
+    """
+    found, rest = F.regexp_extract_all(text, F.lit(f"{ANY}(?=([\\s\\S]{{0,{AHEAD}}}))"), F.lit(1)), F.regexp_extract_all(text, F.lit(f"{ANY}(?=([\\s\\S]{{0,{AHEAD}}}))"), F.lit(2))
+    pieces = F.transform(F.split(text, ANY, -1), lambda x: F.substr(x, F.greatest(F.length(x) - BEHIND + 1, F.lit(1))))
+    rows = df.select(id_col, F.col(date).cast("string").alias("own"), found.alias("labels"), rest.alias("rest"), pieces.alias("pieces"))
+    each = rows.select(id_col, "own", "labels", "pieces", F.posexplode(F.arrays_zip("labels", "rest").alias("z")).alias("pos", "z")).select(id_col, "own", "labels", "pieces", "pos", F.col("z.labels").alias("label"), F.col("z.rest").alias("rest"))
+    near = F.transform(F.sequence(F.greatest(F.col("pos") - _NEAR_LABELS, F.lit(0)), F.col("pos")), lambda j: F.concat(F.get("pieces", j), F.when(j < F.col("pos"), F.get("labels", j)).otherwise("")))
+    joined = F.array_join(near, "")
+    before = F.substr(joined, F.greatest(F.length(joined) - BEHIND + 1, F.lit(1)))
+    after = F.substr(F.concat("label", "rest"), F.lit(1), F.lit(AHEAD))
+    kind = F.when(F.startswith("label", F.lit("§")), "section").when(F.col("label").rlike(f"^{ISO_DATE}$"), "date").when(F.contains("label", F.lit("/")), "diary").otherwise("day")
+    none = F.lit("")
+    year = F.coalesce(F.nullif(F.regexp_extract(after, YEAR, 1), none), F.try_element_at(F.regexp_extract_all(before, F.lit(YEAR), F.lit(1)), F.lit(-1)), F.nullif(F.substring(F.coalesce("own", none), 1, 4), none))
+    full = F.when((F.col("kind") == "day") & ~F.col("label").rlike(YEAR), F.concat_ws(" ", "label", year)).otherwise(F.col("label"))
+    iso = F.when(F.col("kind") == "date", F.col("label")).when((F.col("kind") == "day") & F.col("full").rlike(YEAR), swedish_date(F.regexp_replace("full", r"\s+", " "), F.lit(None)))
+    return each.withColumn("kind", kind).withColumn("full", full).select(id_col, "pos", "label", "kind", "full", iso.alias("iso"))
+
+
+def as_targets(found: DataFrame) -> DataFrame:
+    """References with labels as ``targets`` asks for them: points by their base number, diary numbers in normal form, days and dates as ISO dates."""
+    label = (
+        F.when(F.col("kind") == "section", F.regexp_extract("label", "([0-9]{1,4})", 1)).when(F.col("kind") == "diary", F.regexp_replace(F.lower("label"), r"\s+", " "))
+        .otherwise(F.col("iso"))
+    )
+    return found.withColumn("label", label).withColumn("kind", F.when(F.col("kind") == "day", "date").otherwise(F.col("kind"))).drop("full", "iso")
+
+
 #: What rows and the rows that refer are known by.
 ROW = ("id", "doc", "date", "body", "matter", "diary", "point")
 

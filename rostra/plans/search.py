@@ -208,6 +208,40 @@ def ref_extract(spark, sf):  # REF-01, REF-02
     return references.extract(references_text(spark, sf), "id", "text")
 
 
+DATED = """said as (select p_partkey as k, case when p_partkey % 9 = 0 then null else (2010 + p_partkey % 13)::varchar || '-05-06' end as own,
+  case when p_partkey % 3 = 0 then 'Budget 20' || lpad((p_partkey % 30)::varchar, 2, '0') || ', ' else 'Sedan ' end || repeat('x ', (p_partkey % 80)::integer) || 'den 3 mars och § 4.2 samt 12 Maj ' || repeat('y ', (1 + p_partkey % 100)::integer) || case when p_partkey % 4 = 0 then '2021' when p_partkey % 4 = 1 then 'a2022b 2023' else '' end || ' till 1 juni 2020, Ks 7/2019.' as text from part),
+ l as (select *, strpos(text, '3 mars') as a, strpos(text, '12 Maj') as b, strpos(text, '1 juni 2020') as c from said),
+ e as (select k, own, text, unnest([a, strpos(text, '§ 4.2'), b, c, strpos(text, 'Ks 7/2019')]) as s0, unnest(['3 mars', '§ 4.2', '12 Maj', '1 juni 2020', 'Ks 7/2019']) as label, unnest(range(5)) as pos, unnest(['day', 'section', 'day', 'day', 'diary']) as kind, unnest(['03-03', '', '05-12', '06-01', '']) as md from l),
+ y as (select *, regexp_extract(substr(text, s0, 160), '\\b(20[0-9]{2})\\b', 1) as ahead, regexp_extract_all(substr(text, greatest(s0 - 120, 1), s0 - greatest(s0 - 120, 1)), '\\b(20[0-9]{2})\\b', 1)[-1] as behind from e),
+ d as (select *, coalesce(nullif(ahead, ''), behind, own[1:4]) as year from y)"""
+
+
+@query("ref_years", f"with {DATED} select k as p_partkey, pos::integer as pos, label, kind, case when kind = 'day' and label <> '1 juni 2020' then concat_ws(' ', label, year) else label end as full, case when kind = 'day' then case when label = '1 juni 2020' then '2020-06-01' else year || '-' || md end end as iso from d")
+def ref_years(spark, sf):  # REF-01: years of days that have none
+    return references.extract_dated(dated_text(spark, sf), "p_partkey", "text", "own")
+
+
+@query("ref_day_targets", f"""with {DATED}, r as (select distinct k, year || '-' || md as iso from d where kind = 'day' and label = '3 mars'), m as (select k, k % 40 as matter from said),
+ rows as (select k as id, (2010 + k % 13)::varchar || '-03-03' as date, k % 40 as matter from said)
+ select r.k as p_partkey, min(rows.id) as target from r join m using (k) join rows on rows.date = r.iso and rows.matter = m.matter and rows.id <> r.k group by 1""")
+def ref_day_targets(spark, sf):  # REF-01, REF-05: days find rows of their matter once they have a year
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    said = dated_text(spark, sf)
+    rows = said.select(k.alias("id"), none.alias("doc"), F.concat((2010 + k % 13).cast("string"), F.lit("-03-03")).alias("date"), F.lit("b").alias("body"), (k % 40).cast("string").alias("matter"), none.alias("diary"), F.lit("1").alias("point"))
+    found = references.as_targets(references.extract_dated(said, "p_partkey", "text", "own").where("label = '3 mars'"))
+    refs = found.join(rows.withColumnRenamed("id", "p_partkey"), "p_partkey").select(k.alias("ref"), "kind", "label", k.alias("id"), "doc", "date", "body", "matter", "diary", "point", none.alias("url"))
+    made = references.targets(refs, rows.withColumn("base", none), rows.select("id", "date", "body").limit(0))
+    return made.where("target is not null").select(F.col("ref").alias("p_partkey"), "target")
+
+
+def dated_text(spark, sf):
+    k = F.col("p_partkey")
+    lead = F.when(k % 3 == 0, F.concat(F.lit("Budget 20"), F.lpad((k % 30).cast("string"), 2, "0"), F.lit(", "))).otherwise("Sedan ")
+    late = F.when(k % 4 == 0, "2021").when(k % 4 == 1, "a2022b 2023").otherwise("")
+    said = F.concat(lead, F.repeat(F.lit("x "), (k % 80).cast("int")), F.lit("den 3 mars och § 4.2 samt 12 Maj "), F.repeat(F.lit("y "), (1 + k % 100).cast("int")), late, F.lit(" till 1 juni 2020, Ks 7/2019."))
+    return table(spark, sf, "part").select(k, F.when(k % 9 > 0, F.concat((2010 + k % 13).cast("string"), F.lit("-05-06"))).alias("own"), said.alias("text"))
+
+
 REF_ROWS = """rows as (select o_orderkey as id, 'D' || (o_orderkey // 8)::varchar as doc, cast(o_orderdate as date)::varchar as date, n_name as body, case when o_orderkey % 11 > 0 then (o_custkey % 400)::varchar end as matter,
   case when o_orderkey % 5 > 0 then 'ks ' || (o_orderkey % 900)::varchar || '/2024' end as diary, (o_orderkey % 60)::varchar as base, (o_orderkey % 60)::varchar || '.' || (o_orderkey % 3)::varchar as point,
   case when o_orderkey % 4 > 0 then 'u' end as url from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
