@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rostra.functions.keys import squeezed, text_or_empty
 from rostra.functions.text import fold
+from rostra.operators.joins import unused
 
 
 #: Words with which a note begins that is no name, words before a name, and one after it. Fixed values.
@@ -29,9 +30,10 @@ def person_key(col: Column) -> Column:
 
 def reviewed(people: DataFrame, aliases: DataFrame, party: str, name: str) -> DataFrame:
     """Names by the reviewed table (party, alias, canonical), matched by key within the party; others stay. The first of several wins."""
-    by = aliases.groupBy(F.col("party").alias("_party"), person_key(F.col("alias")).alias("_key")).agg(F.min("canonical").alias("_canonical"))
-    found = people.join(by, (F.col(party) == F.col("_party")) & (person_key(F.col(name)) == F.col("_key")), "left")
-    return found.select(*[F.coalesce("_canonical", name).alias(c) if c == name else F.col(c) for c in people.columns])
+    of, key, stands = (unused(people.columns, c) for c in ("of_party", "by_key", "stands"))
+    by = aliases.groupBy(F.col("party").alias(of), person_key(F.col("alias")).alias(key)).agg(F.min("canonical").alias(stands))
+    found = people.join(by, (F.col(party) == F.col(of)) & (person_key(F.col(name)) == F.col(key)), "left")
+    return found.select(*[F.coalesce(stands, name).alias(c) if c == name else F.col(c) for c in people.columns])
 
 
 def deletions(col: Column) -> Column:
@@ -108,4 +110,5 @@ def preferred_spelling(people: DataFrame, keys: list[str], name: str) -> DataFra
     """Each key's most frequent spelling; ties to the longer, then the smaller."""
     counts = people.groupBy(*keys, name).agg(F.count("*").alias("n"))
     order = W.partitionBy(*keys).orderBy(F.desc("n"), F.desc(F.length(name)), name)
-    return counts.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    rank = unused(counts.columns, "rank")
+    return counts.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)

@@ -48,8 +48,9 @@ def orphan_fragments(people: DataFrame, meeting: str = "meeting", party: str = "
 
 def corrected(rows: DataFrame, corrections: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Columns replaced where a correction says so."""
-    fixes = corrections.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    return rows.join(fixes, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    new = {c: unused(rows.columns, f"new_{c}") for c in columns}
+    fixes = corrections.select(key, *[F.col(c).alias(new[c]) for c in columns])
+    return rows.join(fixes, key, "left").select(*[F.coalesce(new[c], c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 def coalesced_lookup(rows: DataFrame, tables: Sequence[tuple[DataFrame, str]], value: str) -> DataFrame:

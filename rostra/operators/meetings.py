@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 STANCES = ("Bifallsyrkande", "Avslagsyrkande", "Återremissyrkande", "Bordläggningsyrkande", "Yrkande")
 
 
-def decision_summary(points: DataFrame, meeting: str = "meeting", matter: str = "matter", point: str = "point", vote_ids: str = "vote_ids") -> DataFrame:
+def decision_summary(points: DataFrame, meeting: str = "meeting", matter: str = "matter", point: str = "point", vote_ids: str = "vote_ids", events: DataFrame | None = None) -> DataFrame:
     """One row: rows, distinct matters, meetings, points and vote events.
 
-    Vote ids are unnested on a branch of their own, so that the other distinct counts are not multiplied.
+    Vote ids are unnested on a branch of their own, or come as rows ``events`` with a column ``event``, so that the other
+    distinct counts are not multiplied.
     """
     counts = points.agg(F.count("*").alias("n_rows"), F.count_distinct(matter).alias("matters"), F.count_distinct(meeting).alias("meetings"), F.count_distinct(meeting, matter, point).alias("decisions"))
-    events = points.select(F.explode(vote_ids).alias("e")).agg(F.count_distinct("e").alias("vote_events"))
-    return counts.join(F.broadcast(events))
+    each = points.select(F.explode(vote_ids).alias("e")) if events is None else events.select(F.col("event").alias("e"))
+    return counts.join(F.broadcast(each.agg(F.count_distinct("e").alias("vote_events"))))  # one row
 
 
 def meeting_rollup(points: DataFrame, keys: Sequence[str], decision: str, matter: str, attendance: DataFrame | None = None, person: str = "name", first_by: Sequence[str] = ()) -> DataFrame:

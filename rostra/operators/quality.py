@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostra.functions.keys import text_or_empty
+from rostra.operators.joins import unused
 
 
 @dataclass(frozen=True)
@@ -86,14 +87,14 @@ def document_rules(docs: DataFrame, hosts: Sequence[str], boilerplate: str) -> l
 
 def ballot_rules(ballots: DataFrame, points: DataFrame, stated: DataFrame, votes: Sequence[str]) -> list[Rule]:
     """Rules of ballots (id, name, vote, event): their point exists, votes are known, events are named, and no event has more named
-    votes than are stated (event, n)."""
-    key = F.col("id").alias("key")
-    named = ballots.where(text_or_empty(F.col("event")) != "").groupBy("event").agg(F.count("*").alias("named"))
+    votes than are stated (event, n). Where ``stated`` has a column ``vote``, votes of that kind alone are counted against it."""
+    key, kind = F.col("id").alias("key"), ["event", "vote"] if "vote" in stated.columns else ["event"]
+    named = ballots.where(text_or_empty(F.col("event")) != "").groupBy(*kind).agg(F.count("*").alias("named"))
     return [
         Rule("ballot_without_point", "error", lambda: dangling(ballots, points, ["id"], "id")),
         Rule("unknown_vote", "error", lambda: ballots.where(~text_or_empty(F.col("vote")).isin(*votes)).select(key)),
         Rule("event_missing", "error", lambda: ballots.where(text_or_empty(F.col("event")) == "").select(key)),
-        Rule("named_over_stated", "review", lambda: named.join(stated, "event").where("named > n").select(F.col("event").alias("key"))),
+        Rule("named_over_stated", "review", lambda: named.join(stated, kind).where("named > n").select(F.concat_ws("|", *kind).alias("key"))),
     ]
 
 
@@ -107,8 +108,9 @@ def attendance_rules(attendance: DataFrame, meetings: DataFrame, voters: DataFra
 
 def parity(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, field) in which derived and source rows differ; nulls equal nulls."""
-    both = left.select(key, *[F.col(c).alias(f"l_{c}") for c in columns]).join(right.select(key, *[F.col(c).alias(f"r_{c}") for c in columns]), key, "full")
-    differing = F.array_compact(F.array(*[F.when(~F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")), F.lit(c)) for c in columns]))
+    a, b = (unused([key], side) for side in ("left_row", "right_row"))
+    both = left.select(key, F.struct(*columns).alias(a)).join(right.select(key, F.struct(*columns).alias(b)), key, "full")
+    differing = F.array_compact(F.array(*[F.when(~F.col(f"{a}.`{c}`").eqNullSafe(F.col(f"{b}.`{c}`")), F.lit(c)) for c in columns]))
     return both.select(key, F.explode(differing).alias("field"))
 
 

@@ -26,8 +26,9 @@ def last_wins(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
 def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's most frequent value; ties go to the longer, then the smaller one. Counts are aggregated before any ordering."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    top = counts.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), F.desc(F.length(value)), value)))
-    return top.where("_r = 1").select(key, value, "n")
+    rank = unused(counts.columns, "rank")
+    top = counts.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), F.desc(F.length(value)), value)))
+    return top.where(F.col(rank) == 1).select(key, value, "n")
 
 
 def carried_forward(df: DataFrame, keys: Sequence[str], order: str, heading: Column, out: str = "heading") -> DataFrame:
@@ -53,7 +54,8 @@ def encode_ranges(df: DataFrame, key: str, value: str) -> DataFrame:
     """Runs of consecutive distinct integers as (key, begin, length)."""
     distinct = df.select(key, value).distinct()
     island = F.col(value) - F.row_number().over(W.partitionBy(key).orderBy(value))
-    return distinct.withColumn("_i", island).groupBy(key, "_i").agg(F.min(value).alias("begin"), F.count("*").alias("length")).drop("_i")
+    name = unused(distinct.columns, "island")
+    return distinct.withColumn(name, island).groupBy(key, name).agg(F.min(value).alias("begin"), F.count("*").alias("length")).drop(name)
 
 
 def decode_ranges(df: DataFrame, key: str, value: str) -> DataFrame:

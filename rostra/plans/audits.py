@@ -83,8 +83,11 @@ def diary_upsert(spark, sf):  # SNK-05
     return sinks.upserted(labels.where("doc_id % 2 = 0").select("doc_id", F.lit("old").alias("diary")), labels.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("diary")), "doc_id", ["diary"])
 
 
-@query("byte_bounded_parts")
-def byte_bounded_parts(spark, sf):  # SNK-03; where a part ends depends on the one before, tested by its invariants
+@query("byte_bounded_parts", """with recursive d as (select source, doc_id, strlen(text)::bigint as z, row_number() over (partition by source order by doc_id) as i, sum(strlen(text)) over (partition by source order by doc_id)::bigint as upto from documents),
+ p as (select source, 1 as part, 0::bigint as s, greatest(1, coalesce(max(i) filter (upto <= 60000), 1)) as e, max(i) as n from d group by source
+  union all select p.source, p.part + 1, p.e, greatest(p.e + 1, coalesce((select max(d.i) from d where d.source = p.source and d.i > p.e and d.upto - (select x.upto from d x where x.source = p.source and x.i = p.e) <= 60000), p.e + 1)), p.n from p where p.e < p.n)
+ select source, doc_id, part from d join p using (source) where i > s and i <= e""")
+def byte_bounded_parts(spark, sf):  # SNK-03
     docs = table(spark, sf, "documents").select("source", "doc_id", F.octet_length("text").alias("size"))
     return sinks.byte_bounded_parts(docs, "source", "doc_id", "size", 60_000)
 
@@ -149,6 +152,18 @@ def ballot_issues(spark, sf):  # DQ-03, DQ-04
     return quality.issues(quality.ballot_rules(ballots, orders.select(F.col("o_orderkey").alias("id")), stated, ["Ja", "Nej", "Avstår", "Frånvarande"]))
 
 
+@query("ballot_issues_by_vote", """with b as (select case when l_orderkey % 53 = 0 then -l_orderkey else l_orderkey end as id, l_suppkey as name, case when l_orderkey % 50 = 0 and l_linenumber = 1 then 'Kanske' when l_returnflag = 'A' then 'Ja' when l_returnflag = 'N' then 'Nej' else 'Frånvarande' end as vote, case when l_orderkey % 97 = 0 then '' else l_orderkey::varchar end as event from lineitem),
+ s as (select o_orderkey::varchar as event, v as vote, o_custkey % 3 as n from orders, (values ('Ja'), ('Nej')) t(v) where o_custkey % 10 > 0)
+ select 'ballot_without_point' as category, 'error' as severity, id::varchar as key from b where id < 0 union all select 'unknown_vote', 'error', id::varchar from b where vote = 'Kanske' union all select 'event_missing', 'error', id::varchar from b where event = ''
+ union all select 'named_over_stated', 'review', event || '|' || vote from (select event, vote, count(*) as c from b where event <> '' group by 1, 2) join s using (event, vote) where c > n""")
+def ballot_issues_by_vote(spark, sf):  # DQ-04: each vote by itself; events whose conflict is known state nothing
+    k, orders = F.col("l_orderkey"), table(spark, sf, "orders")
+    vote = F.when((k % 50 == 0) & (F.col("l_linenumber") == 1), "Kanske").when(F.col("l_returnflag") == "A", "Ja").when(F.col("l_returnflag") == "N", "Nej").otherwise("Frånvarande")
+    ballots = table(spark, sf, "lineitem").select(F.when(k % 53 == 0, -k).otherwise(k).alias("id"), F.col("l_suppkey").alias("name"), vote.alias("vote"), F.when(k % 97 == 0, "").otherwise(k.cast("string")).alias("event"))
+    stated = orders.where("o_custkey % 10 > 0").select(F.col("o_orderkey").cast("string").alias("event"), F.explode(F.array(F.lit("Ja"), F.lit("Nej"))).alias("vote"), (F.col("o_custkey") % 3).alias("n"))
+    return quality.issues(quality.ballot_rules(ballots, orders.select(F.col("o_orderkey").alias("id")), stated, ["Ja", "Nej", "Avstår", "Frånvarande"]))
+
+
 @query("attendance_issues", """with a as (select l_orderkey as meeting, l_suppkey as name from lineitem where l_linenumber % 3 > 0), v as (select distinct l_orderkey as meeting, l_suppkey as name from lineitem where l_orderkey % 9 = 0)
  select 'unknown_meeting' as category, 'error' as severity, meeting::varchar as key from a where meeting not in (select o_orderkey from orders where o_orderkey % 45 > 0)
  union all select 'voter_missing', 'review', meeting::varchar || '|' || name::varchar from (select * from v except select * from a)""")

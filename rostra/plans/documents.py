@@ -101,6 +101,17 @@ def embedded_states(spark, sf):  # SRC-10, SRC-11
     return listings.folder_files(table(spark, sf, "part").select("p_partkey", state(page).alias("s")), "p_partkey", "s")
 
 
+@query("page_states", """select p_partkey, 'c1' as component, p_name as name from part where p_partkey % 5 > 0 union all select p_partkey, 'c ' || p_size::varchar, p_brand || ' } `' from part where p_partkey % 7 > 0""")
+def page_states(spark, sf):  # SRC-10: every state of a page; what is broken is left out
+    k, name = F.col("p_partkey"), lambda v: F.concat(F.lit('{"a":{"name":"'), v, F.lit('"}}'))
+    page = F.concat(
+        F.lit("<script>AppRegistry.registerInitialState('c1', "), F.when(k % 5 == 0, '{"a":{"name":"x"}').otherwise(name(F.col("p_name"))), F.lit(");</script><script>AppRegistry.registerInitialState( \"c "), F.col("p_size").cast("string"), F.lit('" , '),
+        F.when(k % 7 == 0, '{"a": nothing}').otherwise(name(F.concat("p_brand", F.lit(" } `")))), F.lit(");</script><p>{}</p>"),
+    )
+    found = listings.page_states(table(spark, sf, "part").select(k, page.alias("html")), "p_partkey", "html")
+    return found.select("p_partkey", "component", F.get_json_object("state", "$.a.name").alias("name"))
+
+
 @query("stride_unpack", "select o_custkey as pack, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ord, o_orderkey::varchar as doc_index, o_orderstatus as point, 'n' as name, 'p' as party, 'Ja' as vote, o_orderkey::varchar || ':1' as participant_id from orders")
 def stride_unpack(spark, sf):  # SRC-03
     key = F.col("o_orderkey").cast("string")

@@ -50,7 +50,8 @@ def published_table(spark, sf):  # SNK-07: a table that fails its check leaves t
     return spark.read.parquet(path)
 
 
-@query("link_audit", f"select kind, pool, count(*) as links, 0::bigint as bad from ({ORACLE_SQL['ref_target_tiers']}) group by 1, 2")
+@query("link_audit", f"""select kind, pool, count(*) as links, count(*) filter (target = ref // 3 or (target is not null and not exists (select 1 from orders where o_orderkey = target)) or (pool in ('document', 'meeting', 'body', 'all', 'matter')) = (target is null)) as bad
+ from ({ORACLE_SQL['ref_target_tiers']}) l group by 1, 2""")
 def link_audit(spark, sf):  # DQ-07: links to the own row, to no row, or of none in a pool of rows are bad
     links = search.ref_target_tiers(spark, sf).withColumn("own", F.floor(F.col("ref") / 3))
     known = table(spark, sf, "orders").select(F.col("o_orderkey").alias("target"), F.lit(1).alias("known"))
@@ -60,6 +61,23 @@ def link_audit(spark, sf):  # DQ-07: links to the own row, to no row, or of none
     return both.groupBy("kind", "pool").agg(F.count("*").alias("links"), F.count_if(bad).alias("bad"))
 
 
+@query("link_faults", f"""with l as (select ref, kind, pool, case when ref % 13 = 0 then ref // 3 when ref % 17 = 0 then -5 when ref % 19 = 0 then null when ref % 23 = 0 then coalesce(target, 1) else target end as target from ({ORACLE_SQL['ref_target_tiers']}))
+ select ref, case when target = ref // 3 then 'own_row' when target is not null and not exists (select 1 from orders where o_orderkey = target) then 'no_such_row' when target is null then 'target_missing' else 'target_in_no_pool' end as fault
+ from l where target = ref // 3 or (target is not null and not exists (select 1 from orders where o_orderkey = target)) or (pool in ('document', 'meeting', 'body', 'all', 'matter')) = (target is null)""")
+def link_faults(spark, sf):  # DQ-07: which links are bad, and why, when some are spoilt
+    ref = F.col("ref")
+    own = F.floor(ref / 3)
+    target = F.when(ref % 13 == 0, own).when(ref % 17 == 0, -5).when(ref % 19 == 0, F.lit(None)).when(ref % 23 == 0, F.coalesce("target", F.lit(1))).otherwise(F.col("target"))
+    links = search.ref_target_tiers(spark, sf).select("ref", "pool", target.alias("target"), own.alias("own"))
+    known = table(spark, sf, "orders").select(F.col("o_orderkey").alias("target"), F.lit(1).alias("known"))
+    named = F.col("pool").isin("document", "meeting", "body", "all", "matter")
+    fault = (
+        F.when(F.col("target") == F.col("own"), "own_row").when(F.col("target").isNotNull() & F.col("known").isNull(), "no_such_row").when(named & F.col("target").isNull(), "target_missing")
+        .when(~named & F.col("target").isNotNull(), "target_in_no_pool")
+    )
+    return links.join(known, "target", "left").select("ref", fault.alias("fault")).where("fault is not null")
+
+
 @query("archive_issues", """with f as (select doc_id, case when doc_id % 50 = 0 then '../' || source when doc_id % 41 = 0 then '' else '2024/' || source || '/' || doc_id::varchar || '.pdf' end as path, source as body, (date '2024-01-01' + (doc_id % 300)::int)::varchar as date from documents)
  select 'path_outside' as category, 'error' as severity, doc_id::varchar as key from f where path like '../%' union all select 'path_missing', 'error', doc_id::varchar from f where path = ''
  union all select 'repeated_meeting', 'error', body || '|' || date from f group by body, date having count(*) > 1""")

@@ -195,18 +195,36 @@ def committee_cover(spark, sf):  # PRS-18
  n as (select *, case when len(declared) > 0 then declared else sections end as num, row_number() over (partition by g order by coalesce(list_min(case when len(declared) > 0 then declared else sections end), 1000000), -pages, rank, part) as i from c)
  select g, count(*) as parts, count(*) filter (i = 1) as first_kept, min(case when i = 1 then part end) as first from n group by g""")
 def part_dedupe(spark, sf):  # PRS-21: what the first choice is; all choices are tested against a scan by hand
+    parts = meeting_parts(spark, sf)
+    kept = records.deduplicated_parts(parts, "g")
+    first = F.coalesce(F.array_min(F.when(F.col("d") > 6, F.array("d")).when(F.col("a") > 0, F.array("a"))), F.lit(1_000_000))
+    head = parts.groupBy("g").agg(F.min_by("part", F.struct(first, F.negative("pages"), "rank", "part")).alias("head"))
+    both = parts.join(kept, ["g", "part"]).join(head, "g")
+    best = F.min_by("part", F.when(F.col("kept"), F.struct(first, F.negative("pages"), "rank", "part")))
+    return both.groupBy("g").agg(F.count("*").alias("parts"), F.count_if(F.col("kept") & (F.col("part") == F.col("head"))).alias("first_kept"), best.alias("first"))
+
+
+@query("part_dedupe_choices", """with recursive p as (select o_custkey as g, o_orderkey as part, o_orderkey % 4 as pages, o_orderkey % 2 as rank, case when o_orderkey % 5 > 0 then (o_orderkey % 7)::varchar else '' end as sig, o_orderkey % 6 as a, o_orderkey % 11 as d from orders),
+ c as (select *, case when a > 0 then list_sort(list_distinct([a, a + d % 3])) else [] end as sections, case when d > 6 then [d] else [] end as declared from p),
+ n as (select *, case when len(declared) > 0 then declared else sections end as num, list_concat(list_concat(case when sig <> '' then ['t' || sig] else [] end, case when len(sections) > 0 then ['s' || sections::varchar] else [] end), case when len(declared) > 0 then ['d' || declared::varchar] else [] end) as own from c),
+ r as (select *, row_number() over (partition by g order by coalesce(list_min(num), 1000000), -pages, rank, part) as i from n),
+ s as (select g, i, part, true as kept, own as seen, [num] as nums, []::bigint[] as shared from r where i = 1
+  union all select r.g, r.i, r.part, not list_has_any(s.seen, r.own), case when list_has_any(s.seen, r.own) then s.seen else list_concat(s.seen, r.own) end, case when list_has_any(s.seen, r.own) then s.nums else list_concat(s.nums, [r.num]) end,
+   case when list_has_any(s.seen, r.own) then [] else coalesce(list_filter(s.nums, lambda x: list_has_any(x, r.num))[1], []) end from s join r on r.g = s.g and r.i = s.i + 1)
+ select s.g, s.part, kept, array_to_string(list_sort(list_intersect(shared, num)), ',') as overlaps from s join r using (g, i)""")
+def part_dedupe_choices(spark, sf):  # PRS-21: which parts stay, and what the kept ones share with an earlier one
+    kept = records.deduplicated_parts(meeting_parts(spark, sf), "g")
+    return kept.select("g", "part", "kept", F.array_join(F.transform("overlaps", lambda x: x.cast("string")), ",").alias("overlaps"))
+
+
+def meeting_parts(spark, sf):
     k = F.col("o_orderkey")
     a, d = (k % 6).cast("int"), (k % 11).cast("int")
     none = F.array().cast("array<int>")
-    parts = table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("g"), k.alias("part"), (k % 4).alias("pages"), (k % 2).alias("rank"), F.when(k % 5 > 0, (k % 7).cast("string")).otherwise("").alias("signature"),
         F.when(a > 0, F.array(a, a + d % 3)).otherwise(none).alias("sections"), F.when(d > 6, F.array(d)).otherwise(none).alias("declared"), a.alias("a"), d.alias("d"),
     )
-    kept = records.deduplicated_parts(parts, "g")
-    first = F.coalesce(F.array_min(F.when(F.col("d") > 6, F.array("d")).when(F.col("a") > 0, F.array("a"))), F.lit(1_000_000))
-    both = parts.join(kept, ["g", "part"])
-    best = F.min_by("part", F.when(F.col("kept"), F.struct(first, F.negative("pages"), "rank", "part")))
-    return both.groupBy("g").agg(F.count("*").alias("parts"), F.lit(1).cast("bigint").alias("first_kept"), best.alias("first"))
 
 
 @query("meeting_groups", """with p as (select n_name as body, cast(o_orderdate as date)::varchar as date, case when o_orderkey % 4 > 0 then case when o_orderkey % 3 = 0 then lower(o_orderpriority) else o_orderpriority end else '' end as diary from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),

@@ -56,10 +56,17 @@ def draft_totals(spark, sf):  # JOIN-12, ALLOC-12
 
 @query("decision_summary", f"""with {POINTS}, v as (select count(distinct event) as vote_events from (select l_orderkey::varchar || ':' || l_linestatus as event from lineitem where l_orderkey in (select id from points)))
  select count(*) as n_rows, count(distinct matter) as matters, count(distinct body || date::varchar) as meetings, count(distinct body || date::varchar || matter::varchar || id::varchar) as decisions, any_value(vote_events) as vote_events from points, v""")
-def decision_summary(spark, sf):  # AGG-09, PRJ-02
-    ids = ballots(spark, sf).groupBy("id").agg(F.array_join(F.collect_set("event"), ", ").alias("csv"))
-    rows = points(spark, sf).join(ids, "id", "left").withColumn("vote_ids", votes.split_ids(F.col("csv")))
-    return meetings.decision_summary(rows.withColumn("meeting", F.concat("body", F.col("date").cast("string"))), point="id")
+def decision_summary(spark, sf):  # AGG-09
+    rows = points(spark, sf).withColumn("meeting", F.concat("body", F.col("date").cast("string")))
+    return meetings.decision_summary(rows, point="id", events=ballots(spark, sf).select("id", "event").join(rows.select("id"), "id", "left_semi"))
+
+
+@query("split_vote_ids", """with v as (select p_partkey, case when p_partkey % 7 = 0 then null when p_partkey % 5 = 0 then ' , ' else 'e' || (p_partkey % 4)::varchar || ', ' || p_brand || ' ,e' || (p_partkey % 3)::varchar || ',' end as csv from part)
+ select p_partkey, unnest(list_filter(list_transform(string_split(csv, ','), lambda x: trim(x)), lambda x: x <> '')) as event from v""")
+def split_vote_ids(spark, sf):  # PRJ-02
+    k = F.col("p_partkey")
+    csv = F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, " , ").otherwise(F.concat(F.lit("e"), (k % 4).cast("string"), F.lit(", "), F.col("p_brand"), F.lit(" ,e"), (k % 3).cast("string"), F.lit(",")))
+    return table(spark, sf, "part").select(k, F.explode(votes.split_ids(csv)).alias("event"))
 
 
 @query("document_summary", "select count(*) as n_documents, count(distinct lang) as n_types, count(*) filter (doc_id % 3 = 0) as n_dated, count(*) filter (quality is not null) as n_summarized from documents left join labels using (doc_id)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rostra.operators.joins import unused
+
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 HEADING_REACH = 8000
 
@@ -43,16 +46,17 @@ def is_protocol_pdf(title: Column, section: Column) -> Column:
 
 def preceding_heading(items: DataFrame, headings: DataFrame, key: str, at: str, label: str, reach: int = HEADING_REACH) -> DataFrame:
     """Each item with the last heading before it, no more than ``reach`` characters away. Both are merged and scanned once."""
-    a = items.select(key, at, F.lit(None).cast("string").alias("_l"), F.lit(None).cast(items.schema[at].dataType).alias("_p"), F.lit(1).alias("_item"))
-    b = headings.select(key, at, F.col(label).alias("_l"), F.col(at).alias("_p"), F.lit(0).alias("_item"))
-    w = W.partitionBy(key).orderBy(at, F.desc("_item")).rowsBetween(W.unboundedPreceding, 0)
-    both = a.union(b).select(key, at, "_item", F.last("_l", ignorenulls=True).over(w).alias("l"), F.last("_p", ignorenulls=True).over(w).alias("p"))
-    return both.where("_item = 1").select(key, at, F.when(F.col(at) - F.col("p") <= reach, F.col("l")).alias(label))
+    said, place, asks = (unused([key, at, label], c) for c in ("said", "place", "asks"))
+    a = items.select(key, at, F.lit(None).cast("string").alias(said), F.lit(None).cast(items.schema[at].dataType).alias(place), F.lit(1).alias(asks))
+    b = headings.select(key, at, F.col(label).alias(said), F.col(at).alias(place), F.lit(0).alias(asks))
+    w = W.partitionBy(key).orderBy(at, F.desc(asks)).rowsBetween(W.unboundedPreceding, 0)
+    both = a.union(b).select(key, at, asks, F.last(said, ignorenulls=True).over(w).alias(said), F.last(place, ignorenulls=True).over(w).alias(place))
+    return both.where(F.col(asks) == 1).select(key, at, F.when(F.col(at) - F.col(place) <= reach, F.col(said)).alias(label))
 
 
-def balanced_object(text: str, marker: str) -> str | None:
-    """The braces that follow the marker, with quotes and escapes minded."""
-    start = text.find(marker)
+def balanced_object(text: str, marker: str | int) -> str | None:
+    """The braces that follow the marker, or a place, with quotes and escapes minded."""
+    start = text.find(marker) if isinstance(marker, str) else marker
     start = text.find("{", start) if start >= 0 else -1
     depth, quote, i = 0, "", start
     while 0 <= i < len(text):
@@ -61,7 +65,7 @@ def balanced_object(text: str, marker: str) -> str | None:
             i += c == "\\"
             if c == quote:
                 quote = ""
-        elif c in "\"'`":
+        elif c in "\"'":
             quote = c
         elif c == "{":
             depth += 1
@@ -89,6 +93,34 @@ def embedded_state(marker: str):
     return state
 
 
+#: How a page hands a state to one of its components. Fixed pattern.
+STATE_CALL = r"AppRegistry\.registerInitialState\(\s*['\"]([^'\"]+)['\"]\s*,"
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("component", T.StringType()), T.StructField("at", T.LongType()), T.StructField("state", T.StringType())])))
+def registered_states(pages: pd.Series) -> pd.Series:
+    """Every state that a page registers, with its component and where the call stands. What is no JSON object is left out; null
+    pages have none."""
+    call = re.compile(STATE_CALL)
+
+    def one(page):
+        found = []
+        for m in call.finditer(page or ""):
+            try:
+                state = json.loads(balanced_object(page, m.end()) or "")
+            except ValueError:
+                continue
+            found.append({"component": m[1], "at": m.start(), "state": json.dumps(state, ensure_ascii=False)})
+        return found
+
+    return pd.Series([one(p) for p in pages])
+
+
+def page_states(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, component, at, state): a row for each state of each page."""
+    return df.select(key, F.explode(registered_states(F.col(html))).alias("x")).select(key, "x.*")
+
+
 def folder_files(df: DataFrame, key: str, state: str) -> DataFrame:
     """(key, label, name, url) of all files in nested folders; files carry the names of the folders above them."""
     def walk(node: dict, label: str) -> Iterator[tuple[str, str, str]]:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rostra.operators.joins import unused
+
 PART_ROWS = 128
 
 
@@ -48,11 +50,12 @@ def with_parts(df: DataFrame, order: Sequence[str], rows: int = PART_ROWS) -> Da
     Rows are range-partitioned; each partition numbers its own, and only the partitions' sizes are added up in one place.
     The partitions are written first, as their numbers must be the same for both.
     """
-    placed = materialized(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    local = placed.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("c"))
-    before = sizes.select("_p", F.coalesce(F.sum("c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    numbered = local.join(before, "_p").withColumn("ordinal", F.col("b") + F.col("_n")).drop("_p", "_n", "b")
+    place, nth, size, ahead = (unused(df.columns, c) for c in ("place", "nth", "size", "ahead"))
+    placed = materialized(df.repartitionByRange(*order).withColumn(place, F.spark_partition_id()))
+    local = placed.withColumn(nth, F.row_number().over(W.partitionBy(place).orderBy(*order)))
+    sizes = local.groupBy(place).agg(F.count("*").alias(size))
+    before = sizes.select(place, F.coalesce(F.sum(size).over(W.orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(ahead))
+    numbered = local.join(before, place).withColumn("ordinal", F.col(ahead) + F.col(nth)).drop(place, nth, ahead)
     return numbered.withColumn("part", part_of(F.col("ordinal"), rows))
 
 
@@ -137,8 +140,9 @@ def pack_parts(weights: DataFrame, doc: str, most: int) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Old rows with the new ones' values where they have any, and new rows besides."""
-    fresh = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    return old.join(fresh, key, "full").select(key, *[F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)).alias(c) for c in columns])
+    name = {c: unused([key, *columns], f"new_{c}") for c in columns}
+    fresh = new.select(key, *[F.col(c).alias(name[c]) for c in columns])
+    return old.select(key, *columns).join(fresh, key, "full").select(key, *[F.coalesce(F.nullif(F.col(name[c]), F.lit("")), F.col(c)).alias(c) for c in columns])
 
 
 def merged_diaries(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY = {"text_blocks", "allocation_lottery", "members_and_substitutes", "byte_bounded_parts"}
+ROWS_ONLY = {"text_blocks", "allocation_lottery", "members_and_substitutes"}
 
 
 @pytest.fixture(scope="module")
