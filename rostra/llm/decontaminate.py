@@ -19,8 +19,12 @@ from rostra.llm.common import batch_map, map_texts, slices, table, unused, writt
 
 #: A-Z in lower case; every other ASCII byte that is neither a digit nor a-z parts words.
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20) for b in range(256))
-#: UTF-8 bytes of items in one automaton, about; more items go to more automata, which see all documents one after another.
+#: UTF-8 bytes of items in one automaton, about; more items go to more automata.
 SHARD_BYTES = 4 << 20
+#: Longer items are cut into pieces of so many words, which overlap so that every window lies in one.
+LONG_BYTES, PIECE_WORDS = 1 << 20, 100_000
+#: Pickled automata that are broadcast together, for one pass over the documents; one alone may have MOST_BYTES.
+PASS_BYTES, MOST_BYTES = 64 << 20, 256 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -156,10 +160,11 @@ class SuffixAutomaton:
                 state = link[state]
                 length = size[state]
             if length >= window:
-                t = state
-                while size[link[t]] >= window:
-                    t = link[t]
-                if (k := items.get(t)) is not None:
+                # the state of the last words alone: what is longer finds nothing more, and a match never climbs twice
+                while size[link[state]] >= window:
+                    state = link[state]
+                length = window
+                if (k := items.get(state)) is not None:
                     found.update(k) if isinstance(k, tuple) else found.add(k)
                     self.add(spans, i - window, i)
             t = ends[state]
@@ -179,13 +184,55 @@ class SuffixAutomaton:
         spans.append((a, b))
 
 
+class Several:
+    """Automata that are asked together."""
+
+    def __init__(self, automata: list[SuffixAutomaton]):
+        self.automata = automata
+
+    def matches(self, text: list[bytes], whole: set[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int]], list[str | None]]:
+        """Merged spans, and the names of items."""
+        every, names = [], []
+        for a in self.automata:
+            spans, found = a.matches(text, whole)
+            every += spans
+            names += [a.names[k] for k in found]
+        return merged_spans(every) if len(self.automata) > 1 else every, names
+
+
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list = []
+    for s in sorted(spans):
+        SuffixAutomaton.add(out, *s)
+    return out
+
+
+def pieces(rows: DataFrame, window: int) -> DataFrame:
+    """(name, text) with very long texts in pieces of the same name."""
+
+    def work(batch: pa.RecordBatch):
+        for part in slices(batch, 1):
+            names, texts = [], []
+            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                cut = [text]
+                if len(text) > LONG_BYTES // 4 and len(text.encode()) > LONG_BYTES and len(w := words(text)) > PIECE_WORDS:
+                    cut = [b" ".join(w[i : i + PIECE_WORDS + window - 1]).decode() for i in range(0, len(w) - window + 1, PIECE_WORDS)]
+                names += [name] * len(cut)
+                texts += cut
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["name", "text"])
+
+    return batch_map(rows, lambda: work, "name string, text string")
+
+
 def automata(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Broadcast]:
-    """Automata of items dealt by hash into shards of about SHARD_BYTES, broadcast one after another.
+    """Automata of items dealt by hash into shards of about SHARD_BYTES, broadcast in groups of about PASS_BYTES, one group after another.
 
-    Each is made by a task, once, and comes through the driver by itself; so neither holds the whole benchmark.
+    Each is made by a task, once, and comes through the driver with its group; so neither holds the whole benchmark. One
+    beyond MOST_BYTES raises ValueError.
     """
     spark = items.sparkSession
     rows = items.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    rows = written(pieces(rows, window))
     held = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     number = max(1, -(-held // SHARD_BYTES))
 
@@ -194,8 +241,17 @@ def automata(items: DataFrame, id_col: str, text_col: str, window: int) -> Itera
         return pa.table({"automaton": pa.array([pickle.dumps(made)], pa.binary())})
 
     made = rows.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(number))).groupBy("shard").applyInArrow(make, "automaton binary")
+    group, size = [], 0
     for row in written(made).toLocalIterator():
-        yield spark.sparkContext.broadcast(pickle.loads(row.automaton))
+        if (n := len(row.automaton)) > MOST_BYTES:
+            raise ValueError(f"an automaton of {n} bytes is not broadcast; lower SHARD_BYTES")
+        if group and size + n > PASS_BYTES:
+            yield spark.sparkContext.broadcast(Several(group))
+            group, size = [], 0
+        group.append(pickle.loads(row.automaton))
+        size += n
+    if group:
+        yield spark.sparkContext.broadcast(Several(group))
 
 
 def hits(df: DataFrame, automaton: Broadcast | None, id_col: str, text_col: str) -> DataFrame:
@@ -209,7 +265,7 @@ def hits(df: DataFrame, automaton: Broadcast | None, id_col: str, text_col: str)
             for text in texts:
                 tokens = words(text)
                 spans, found = a.matches(tokens) if a else ([], ())
-                row = (len(tokens), hashlib.md5(text.encode()).digest() if text else b"", [x for s in spans for x in s], [a.names[k] for k in found])
+                row = (len(tokens), hashlib.md5(text.encode()).digest() if text else b"", [x for s in spans for x in s], list(found))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             return out
@@ -224,16 +280,13 @@ def merged(spans):
     """Spans of several automata, in order and merged."""
 
     def one(x):
-        out: list = []
-        for s in sorted(zip(x[::2].tolist(), x[1::2].tolist(), strict=True)):
-            SuffixAutomaton.add(out, *s)
-        return [y for s in out for y in s]
+        return [y for s in merged_spans([*zip(x[::2].tolist(), x[1::2].tolist(), strict=True)]) for y in s]
 
     return spans.map(one)
 
 
 def all_hits(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """``hits`` of all automata together. One automaton: a map. Of further ones, hits alone are kept and are joined by text."""
+    """``hits`` of all automata together. One group of them: a map. Of further ones, hits alone are kept and are joined by text."""
     found, rest = None, None
     for one in automata(items, item_id, item_text, window):
         if found is None:
@@ -257,8 +310,8 @@ def all_hits(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_i
 def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``spans`` (array of first word, end, first word, end ...), ``contaminated``.
 
-    Documents stream through the automaton where they are read: no shuffle, unless the benchmark needs several automata, which
-    then take their turns; each holds about SHARD_BYTES of items.
+    Documents stream through the automata where they are read, in time linear in their words: no shuffle, unless the
+    benchmark has more than about PASS_BYTES of automata, which then take their turns. A very long item is held in pieces.
 
     Null, empty or wordless text: 0 words, clean. Very long text: taken whole, one state of the automaton at a time. Null id:
     like others. Repeated documents: each gives its row. Repeated items: all are counted; rows of one item id count once.
@@ -296,7 +349,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", windo
     hit spans of ``min_span`` words or more, and those that hold a whole item of fewer than ``window`` words, are cut out. All
     columns are kept; only the text changes. With ``max_coverage`` 0 every document with a hit goes.
 
-    One automaton: a map, without shuffle. More: the spans of texts with hits are joined to the documents.
+    One group of automata: a map, without shuffle. More: the spans of texts with hits are joined to the documents.
 
     Null, empty or wordless texts stay as they are. Very long text: taken whole. Null ids and repeated rows: each row is judged
     by its text. Items without id or words: as in ``find_contamination``. Empty benchmark: nothing changes. Empty table: no rows.

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -183,6 +184,40 @@ def test_automaton_equals_brute_force():
         assert ({x for s in spans for x in range(*s)}, {a.names[k] for k in found}) == naive_hits(items, doc, window)
 
 
+def test_periodic_text_is_streamed_in_linear_time():
+    words = [b"a"] * 100_000
+    began = time.perf_counter()
+    spans, found = decontaminate.SuffixAutomaton([("x", words)], 10).matches(words)
+    assert (spans, found) == ([(0, 100_000)], {0}) and time.perf_counter() - began < 5
+    rnd = random.Random(8)
+    for _ in range(300):
+        unit = [rnd.choice([b"a", b"b"]) for _ in range(rnd.randrange(1, 4))]
+        repeat = lambda n: (unit * 40)[: rnd.randrange(n)]
+        items = [(str(i), repeat(40) + [rnd.choice([b"a", b"c"])] * rnd.randrange(3)) for i in range(3)]
+        doc = [w for _ in range(4) for w in [*repeat(30), rnd.choice([b"a", b"b", b"z"])]]
+        a = decontaminate.SuffixAutomaton(items, 4)
+        spans, found = a.matches(doc)
+        assert ({x for s in spans for x in range(*s)}, {a.names[k] for k in found}) == naive_hits(items, doc, 4)
+
+
+def test_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LONG_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    rnd = random.Random(9)
+    long = [f"w{rnd.randrange(30)}" for _ in range(120)]
+    items = spark.createDataFrame([("i", " ".join(long)), ("j", "w1 w2"), (None, " ".join(long[:25]))], "item_id string, text string")
+    rows = [" ".join(long[a : a + n]) for a in range(0, 100, 3) for n in (9, 10, 14, 25)] + ["w1 w2", " ".join(long)]
+    got = by_id(decontaminate.find_contamination(docs(spark, rows), items))
+    named = [("i", [w.encode() for w in long]), ("j", [b"w1", b"w2"]), ("", [w.encode() for w in long[:25]])]
+    for i, t in enumerate(rows):
+        pos, found = naive_hits(named, decontaminate.words(t), 10)
+        assert (got[i].n_hit, got[i].n_items) == (len(pos), len(found)), t
+    assert decontaminate.pieces(items.selectExpr("item_id as name", "text"), 10).count() > 10
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="not broadcast"):
+        decontaminate.find_contamination(docs(spark, rows), items)
+
+
 def test_contamination_and_removal(spark, monkeypatch):
     rows = texts(30)
     bench = [(1, " ".join(rows[3].split()[:14])), (2, "Short item"), (3, None), (4, ""), (5, rows[9]), (5, rows[9]), (None, rows[12])]
@@ -210,6 +245,8 @@ def test_contamination_and_removal(spark, monkeypatch):
     assert decontaminate.find_contamination(docs(spark, rows), items.limit(0)).where("contaminated").count() == 0
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 10)  # every item in an automaton of its own
     assert {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate.find_contamination(docs(spark, rows), items).collect()} == {(i, r.n_hit, r.items_sha256) for i, r in got.items()}
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 1)  # and in a pass of its own
+    assert {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate.find_contamination(docs(spark, rows), items).collect()} == {(i, r.n_hit, r.items_sha256) for i, r in got.items()}
     again = by_id(decontaminate.decontaminate(docs(spark, rows), items, max_coverage=0.5))
     assert {i: r.asDict() for i, r in again.items()} == {i: r.asDict() for i, r in usual.items()}
 
