@@ -157,7 +157,8 @@ def crowded_links(sets: DataFrame, percent: int) -> DataFrame:
     Sets are ordered from rare to common shingles; two similar sets share one among the first few, and only so far from
     the start that the rest can still suffice. For each such shingle all are compared with the member that has the
     most common shingles (in a group of edited copies, the one nearest to all), and only pairs not yet joined by that
-    are compared with each other. So a group of copies gives rows in proportion to its size, and no link is lost:
+    are compared with each other, the smaller set by those of its rarest shingles alone that no pair can lack, which are
+    about half as many. So pages of one template that are not similar enough rarely meet. A group of copies gives rows in proportion to its size, and no link is lost:
     what is left out lies within one component already.
     """
     flat = sets.select("id", F.explode("s").alias("t"))
@@ -173,8 +174,10 @@ def crowded_links(sets: DataFrame, percent: int) -> DataFrame:
     stars = written(confirmed(stars.select("a", "b").distinct(), sets, percent).join(stars, ["a", "b"]).select("a", "b", "mw"))
     hub = stars.groupBy("a").agg(F.max(F.struct("mw", F.negative("b").alias("i"))).alias("h")).select(F.col("a").alias("id"), F.negative(F.col("h.i")).alias("h"))
     named = heads.join(hub, "id", "left").withColumn("h", F.coalesce("h", "id"))
+    # the smaller set of a pair has this overlap at least, so one of its first shingles is among the other's
+    first = F.col("z") - F.ceil(F.col("z") * (2.0 * percent) / (100.0 + percent) - 1e-9) + 1
     # joined already: both at one hub, or one is the other's hub
-    x, y = named.alias("x"), named.alias("y")
+    x, y = named.where(F.col("p") < first).alias("x"), named.alias("y")
     near = (F.col("x.z") < F.col("y.z")) | ((F.col("x.z") == F.col("y.z")) & (F.col("x.id") < F.col("y.id")))
     need = F.ceil((F.col("x.z") + F.col("y.z")) * percent / (100.0 + percent) - 1e-9)
     room = 1 + F.least(F.col("x.z") - F.col("x.p"), F.col("y.z") - F.col("y.p")) - 1

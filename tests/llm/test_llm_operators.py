@@ -329,6 +329,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_links_among_templated_pages_are_exact(spark):
+    rnd = random.Random(6)
+    sets = []
+    for size in (40, 41, 60):
+        core = [rnd.getrandbits(60) for _ in range(size)]
+        for _ in range(70):  # similarities around 0.85
+            kept = rnd.sample(core, size - rnd.randrange(6))
+            sets.append(kept + [rnd.getrandbits(60) for _ in range(rnd.randrange(8))])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "id bigint, s array<bigint>")
+    links = {tuple(sorted((r.a, r.b))) for r in near_dedup.crowded_links(df, 85).collect()}
+    true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len({*sets[i]} & {*sets[j]}) >= 85 * len({*sets[i]} | {*sets[j]})}
+    assert links <= true and len(true) > 300
+    parts = lambda pairs: {r.node: r.component for r in connected_components(spark.createDataFrame([*pairs], "a bigint, b bigint")).collect()}
+    assert parts(links) == parts(true)
+
+
 def test_near_duplicates_on_repeated_ids_and_nothing(spark):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (4, c), (4, c), (None, c)], "doc_id bigint, text string")
