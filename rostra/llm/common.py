@@ -146,6 +146,17 @@ def near_ids(df: DataFrame, ids: DataFrame, id_col: str = "id", turned_away: boo
     return df.join(slots, held, "left_anti" if turned_away else "left_semi")
 
 
+def in_batches(df: DataFrame, most: int, id_col: str = "id") -> Iterator[list]:
+    """The rows of a table, of which no two have an id in common, at most so many at a time at the driver, in order of id."""
+    after = None
+    while True:
+        rows = (df if after is None else df.where(F.col(id_col) > after)).orderBy(id_col).limit(most).collect()
+        if not rows:
+            return
+        yield rows
+        after = rows[-1][id_col]
+
+
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows whose id is not among ``ids``. Rows that share no slot with any pass where they are read; only the others are shuffled."""
     return near_ids(df, ids, id_col, turned_away=True).unionByName(near_ids(df, ids, id_col).join(ids.select(id_col), id_col, "left_anti").select(*df.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rostra.llm.common import shared_dir, table, unused, written
+from rostra.llm.common import in_batches, shared_dir, table, unused, written
 from rostra.llm.topk import LIMIT, stacked
 
 SCALE = 256
@@ -207,18 +207,6 @@ def found(rows: list, names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], names=names)
 
 
-def in_batches(spark: SparkSession, anchors: DataFrame, most: int):
-    """Bounded batches of anchors at the driver, in order of id."""
-    after = None
-    while True:
-        rest = anchors if after is None else anchors.where(F.col("id") > after)
-        rows = rest.orderBy("id").limit(most).collect()
-        if not rows:
-            return
-        yield rows
-        after = rows[-1].id
-
-
 def mine(
     df: DataFrame, anchors: F.Column, label: F.Column, id_col: str = "vec_id", vec_col: str = "embedding", positives: int = 5, negatives: int = 3, least: int = 50, most: int = 95, scale: int = SCALE,
 ) -> DataFrame:
@@ -256,7 +244,7 @@ def mine(
     asked = written(prepared(asking.where(F.col(name)), id_col, vec_col, label, scale).groupBy("id").agg(F.min(F.struct("label", "v")).alias("s")).select("id", "s.label", "s.v"))
     path = shared_dir(spark)
     spark.createDataFrame([], kinds).write.parquet(path)
-    for batch in in_batches(spark, asked, ANCHORS):
+    for batch in in_batches(asked, ANCHORS):
         vectors = spark.sparkContext.broadcast((np.array([r.id for r in batch], np.int64), np.array([r.label for r in batch], np.int64), matrix([r.v for r in batch], dims)))
         first = rows.mapInArrow(lambda b, v=vectors: positives_of(v.value, turn.value, positives)(b), "anchor_id bigint, positive_id bigint, tag bigint, score bigint")
         order = W.partitionBy("anchor_id").orderBy(F.desc("score"), "positive_id", "tag")

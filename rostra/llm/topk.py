@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rostra.llm.common import table, written
+from rostra.llm.common import in_batches, shared_dir, table, written
 
 SCALE = 1024
+#: Queries whose vectors are broadcast at a time: QUERIES * 8 bytes for each dimension.
+QUERIES = 4_096
 LIMIT = 1 << 62
 #: Vectors of an index block.
 BLOCK = 16_384
@@ -38,15 +40,16 @@ class ImpactIndex:
         self.order = np.argsort(vectors, axis=0, kind="stable").T.copy().astype(np.int32)
         self.values = np.take_along_axis(vectors.T, self.order, axis=1)
 
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the query's k best in this block (ties to the smaller id; the query's own id is none)."""
+    def top(self, own: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the query's k best in this block (ties to the smaller id; the query's own id is none). Those below
+        ``floor`` may be left out."""
         n, dims = self.vectors.shape
         mine = self.ids == own
         largest = int(np.abs(q).max(initial=0)) * self.most * dims  # no sum of impacts is beyond
         if n - mine.sum() <= 4 * k or not dims or largest >= 1 << (62 - shift_of(dims)):
             rows = np.flatnonzero(~mine)
         else:
-            rows = self.members(q, k, mine)
+            rows = self.members(q, k, mine, floor)
         if largest >= 1 << 62:  # beyond 64 bits on the way, perhaps; a score itself must fit
             exact = self.vectors[rows].astype(object) @ q.astype(object)
             if max((abs(x) for x in exact), default=0) >= 1 << 63:
@@ -57,8 +60,8 @@ class ImpactIndex:
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows[best]], scores[best]
 
-    def members(self, q: np.ndarray, k: int, mine: np.ndarray) -> np.ndarray:
-        """Rows that can be among the k best."""
+    def members(self, q: np.ndarray, k: int, mine: np.ndarray, floor: int | None = None) -> np.ndarray:
+        """Rows that can be among the k best, and not below ``floor``."""
         n, dims = self.vectors.shape
         shift = shift_of(dims)  # a sum stands above the number of its postings in one integer
         sums = np.zeros(n, np.int64)
@@ -86,7 +89,7 @@ class ImpactIndex:
             exact = np.sort(self.vectors[guess] @ q)
             if len(exact) < k:
                 continue
-            rows = np.flatnonzero(bound >= exact[-k])
+            rows = np.flatnonzero(bound >= (exact[-k] if floor is None else max(int(exact[-k]), floor)))
             if len(rows) <= max(8 * k, FEW * n) or not bar:
                 return rows
         return np.flatnonzero(~mine)
@@ -110,51 +113,66 @@ def stacked(column: pa.ListArray, dims: int) -> np.ndarray:
 def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products, ties to the smaller id.
 
-    Vectors are dealt by hash of id and vector into blocks of about BLOCK, whose number follows the row count. Each block is
-    shuffled and indexed once; the queries, copied to every block, come after it in the same partition and stream through
-    the index batch by batch. A block gives k rows for each query, of which windows keep the best.
+    Queries come to the driver and the tasks in batches of QUERIES; each batch is one pass over the vectors, which stay where
+    they are. A task indexes about BLOCK of its vectors at a time, asks all queries, and returns only its ``k`` best for each,
+    so what is shuffled grows with rows and tasks, not with blocks; windows keep the best of those.
 
     Vectors null or with null or non-finite components take no part. Shorter vectors count as filled up with zeros. Rows
     that repeat id and vector count once; a query's own id is never found; an id with several vectors asks with the
     smallest. Ties: smaller id first. Empty tables: no rows. Other columns are not read. Components beyond 64 bits raise
     ValueError, scores beyond OverflowError.
     """
-    every = written(vectors(df, id_col, vec_col, scale))
-    asked = vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    spark = df.sparkSession
+    every = written(vectors(df, id_col, vec_col, scale).distinct())
+    asked = written(vectors(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v")))
     n, wide, far = every.agg(F.count("*"), F.max(F.size("v")), F.max(F.exists("v", lambda x: (x >= LIMIT) | (x <= -LIMIT)))).head()
     if not n:
-        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if far:
         raise ValueError(f"components of {vec_col} times {scale} must be within 2**62")
-    blocks = -(-n // BLOCK)
-    index = every.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
-    visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v")
-
-    def run(batches):
-        block, held, at = None, [], None
-        for whole in batches:
-            numbers, asks = whole.column(0).to_numpy(zero_copy_only=False), whole.column(1).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero((np.diff(numbers) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), len(numbers)] if len(numbers) else []
-            for a, b in zip(edges, edges[1:]):  # one block, vectors or queries
-                if numbers[a] != block:
-                    block, held, at = numbers[a], [], None
-                ids, rows = whole.column(2)[a:b].to_numpy(zero_copy_only=False), stacked(whole.column(3)[a:b], wide)
-                if not asks[a]:
-                    held.append((ids, rows))
-                    continue
-                if at is None:
-                    every_id, every_row = (np.concatenate(x) for x in zip(*held)) if held else (ids[:0], rows[:0])
-                    _, first = np.unique(np.column_stack([every_id, every_row]), axis=0, return_index=True)
-                    at, held = ImpactIndex(every_id[first], every_row[first]), []
-                found = [(np.full(len(x), own), x, y) for own, q in zip(ids.tolist(), rows) for x, y in [at.top(own, q, k)]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)], names=["query_id", "vec_id", "score"])
-
-    dealt = index.union(visits).repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
-    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    path, kinds = shared_dir(spark), "query_id bigint, vec_id bigint, score bigint"
+    spark.createDataFrame([], kinds).write.parquet(path)
+    for batch in in_batches(asked, QUERIES):
+        held = spark.sparkContext.broadcast((np.array([r.id for r in batch], np.int64), stacked(pa.array([r.v for r in batch], pa.list_(pa.int64())), max(wide, max(len(r.v) for r in batch)))))
+        every.mapInArrow(lambda b, q=held: best_of(q.value, k, b), kinds).write.mode("append").parquet(path)
+        held.unpersist()
+    found = spark.read.schema(kinds).parquet(path)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def best_of(asked: tuple[np.ndarray, np.ndarray], k: int, batches):
+    """A task's ``k`` best vectors for each query."""
+    owners, queries = asked
+    none = np.zeros(0, np.int64)
+    best = [(none, none)] * len(owners)
+
+    def ask(ids, rows):
+        index = ImpactIndex(np.concatenate(ids), np.concatenate(rows))
+        for i, q in enumerate(queries):
+            kept = best[i]
+            new = index.top(int(owners[i]), q, k, int(kept[1][-1]) if len(kept[1]) == k else None)
+            x, y = (np.concatenate(c) for c in zip(kept, new))
+            at = np.lexsort((x, -y))[:k]
+            best[i] = x[at], y[at]
+
+    ids, rows, n = [], [], 0
+    for whole in batches:
+        for s in range(0, whole.num_rows, BLOCK):
+            part = whole.slice(s, BLOCK)
+            ids.append(part.column(0).to_numpy(zero_copy_only=False))
+            rows.append(stacked(part.column(1), queries.shape[1]))
+            n += part.num_rows
+            if n >= BLOCK:
+                ask(ids, rows)
+                ids, rows, n = [], [], 0
+    if n:
+        ask(ids, rows)
+    sizes = [len(x) for x, _ in best]
+    if sum(sizes):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(owners, sizes)), *(pa.array(np.concatenate(c)) for c in zip(*best))], names=["query_id", "vec_id", "score"])
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return search(rows, rows.where("vec_id % 100 = 0"))
