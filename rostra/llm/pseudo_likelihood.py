@@ -30,6 +30,10 @@ SIDE, EMBED, HIDDEN = 2, 6, 16
 BATCH, RATE = 8192, 0.04
 #: Words that one copy of the network is trained on in a pass, about.
 SHARD_WORDS = 3_000_000
+#: Rounds of training: in each, one shard in so many takes part.
+ROUNDS = (8, 1)
+#: Rows that repeat id and text more often are dealt to shards by where they are stored, not together.
+REPEATED = 1000
 #: Numbers of a network that are averaged as one row.
 BLOCK = 32
 #: Distinct words that a worker keeps; fewer cost time only.
@@ -313,36 +317,57 @@ def encoded(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
     return written(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def train(texts: DataFrame, vocab: Vocabulary, shard_words: int = SHARD_WORDS) -> WindowNet:
+def train(texts: DataFrame, vocab: Vocabulary, shard_words: int = SHARD_WORDS, rounds: tuple[int, ...] = ROUNDS) -> WindowNet:
     """A network trained on every word of the encoded texts.
 
     Texts are dealt by hash into as many shards as the corpus has ``shard_words``, in the order of their hashes, however
-    they were stored. For each shard, which is a few MB, a copy of the network passes over its texts; what it has moved by
-    is averaged over all shards, weighted by words. Averages are made in Spark, BLOCK numbers to a row, so the driver gets
-    one network.
+    they were stored; a text that stands REPEATED times and more under one id is spread over all. For each shard, which is
+    a few MB, a copy of the network passes over its texts; what it has moved by is averaged over all shards, weighted by
+    words. Averages are made in Spark, BLOCK numbers to a row, so the driver gets one network.
+
+    Each round starts from the last one's average. Its number n says that one shard in n takes part; the last one is 1.
     """
-    held = texts.sparkSession.sparkContext.broadcast(vocab)
+    spark = texts.sparkSession
+    held = spark.sparkContext.broadcast(vocab)
     columns = [f"d{k}" for k in range(BLOCK)]
-    words = int(texts.agg(F.sum(F.length("ids") / 2)).head()[0] or 0)
-
-    def run(shard: pa.Table) -> pa.Table:
-        net = WindowNet(held.value)
-        first = net.flat()
-        seen = net.fit(np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in shard.column("ids").take(pc.sort_indices(shard.column("h"))))
-        moved = (net.flat() - first) * np.float32(seen / words)
-        moved = np.pad(moved, (0, -len(moved) % BLOCK)).reshape(-1, BLOCK)
-        at = np.flatnonzero(moved.any(axis=1))
-        return pa.Table.from_arrays([pa.array(at, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in moved[at].T]], names=["i", *columns])
-
-    h = F.xxhash64("id", "ids")
-    dealt = texts.where(F.length("ids") > 0).select(F.pmod(h, F.lit(max(1, -(-words // shard_words)))).alias("shard"), h.alias("h"), "ids")
-    moves = dealt.groupBy("shard").applyInArrow(run, "i bigint, " + ", ".join(f"{c} float" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
+    rows = texts.where(F.length("ids") > 0).select(F.xxhash64("id", "ids").alias("h"), "row", "ids")
+    words = int(rows.agg(F.sum(F.length("ids") / 2)).head()[0] or 0)
+    often = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > REPEATED).select("h")
+    if often.head(1):
+        again = rows.join(often, "h", "left_semi").select(F.xxhash64("h", "row").alias("h"), "row", "ids")
+        rows = rows.join(often, "h", "left_anti").unionByName(again)
+    number = max(1, -(-words // shard_words))
+    dealt = rows.select(F.pmod("h", F.lit(number)).alias("shard"), "h", "ids")
+
+    def moving(start):
+        def run(shard: pa.Table) -> pa.Table:
+            net, first = WindowNet(held.value).load(start.value), start.value
+            seen = net.fit(np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in shard.column("ids").take(pc.sort_indices(shard.column("h"))))
+            moved = (net.flat() - first) * np.float32(seen)
+            moved = np.pad(moved, (0, -len(moved) % BLOCK)).reshape(-1, BLOCK)
+            at = np.flatnonzero(moved.any(axis=1))
+            blocks = [pa.array(np.append(x, seen if k == 0 else 0).astype(np.float64)) for k, x in enumerate(moved[at].T)]
+            return pa.Table.from_arrays([pa.array(np.append(at, -1), pa.int64()), *blocks], names=["i", *columns])  # -1: the number of words
+
+        return run
+
     net = WindowNet(vocab)
-    flat = net.flat()
-    whole = np.pad(flat.astype(np.float64), (0, -len(flat) % BLOCK)).reshape(-1, BLOCK)
-    rows = moves.toArrow()
-    whole[rows["i"].to_numpy()] += np.stack([rows[c].to_numpy() for c in columns], axis=1)
-    return net.load(whole.ravel()[: len(flat)].astype(np.float32))
+    for every in rounds:
+        if every > 1 and number == 1:
+            continue  # one shard has nobody to agree with
+        start = spark.sparkContext.broadcast(net.flat())
+
+        part = dealt.where(F.col("shard") % every == 0)
+        moves = part.groupBy("shard").applyInArrow(moving(start), "i bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
+        flat, got = net.flat(), moves.toArrow()
+        whole = np.pad(flat.astype(np.float64), (0, -len(flat) % BLOCK)).reshape(-1, BLOCK)
+        at, sums = got["i"].to_numpy(), np.stack([got[c].to_numpy() for c in columns], axis=1)
+        seen = sums[at < 0, 0].sum()
+        if seen:
+            whole[at[at >= 0]] += sums[at >= 0] / seen
+        net.load(whole.ravel()[: len(flat)].astype(np.float32))
+        start.unpersist()
+    return net
 
 
 def sentence_scores(texts: DataFrame, net: WindowNet) -> DataFrame:

@@ -696,6 +696,27 @@ def test_rare_words_follow_their_bytes(spark):
         assert x == pytest.approx(sum(np.log(follows[a, b]) for a, b in zip(b"\0" + w, w + b"\0")))
 
 
+def test_context_helps_on_texts_that_were_not_trained_on(spark):
+    from pyspark.sql import functions as F
+
+    df = table(spark, "/root/testdata/sf0.1", "documents")
+    part = F.pmod(F.xxhash64("text"), F.lit(5))  # copies fall together
+    vocab = pseudo_likelihood.vocabulary(df.where(part > 0))
+    texts, others = pseudo_likelihood.encoded(df.where(part > 0), vocab), pseudo_likelihood.encoded(df.where(part == 0), vocab)
+    mean = lambda net: (lambda r: r[0] / r[1])(pseudo_likelihood.score(others, net).agg(F.sum("pll"), F.sum("n_tokens")).head())
+    alone = mean(pseudo_likelihood.WindowNet(vocab))  # words by their shares of the corpus
+    once, twice = (mean(pseudo_likelihood.train(texts, vocab, 300_000, rounds)) for rounds in ((1,), (8, 1)))
+    assert alone + 0.1 < once < twice - 0.1
+
+
+def test_texts_that_stand_very_often_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "REPEATED", 20)
+    df = docs(spark, [*texts(20), *["one and the same text of some words"] * 60]).selectExpr("case when doc_id >= 20 then null else doc_id end as doc_id", "text")
+    vocab = pseudo_likelihood.vocabulary(df)
+    net = pseudo_likelihood.train(pseudo_likelihood.encoded(df, vocab), vocab, shard_words=100)
+    assert np.isfinite(net.flat()).all() and (net.flat() != pseudo_likelihood.WindowNet(vocab).flat()).any()
+
+
 def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
     df = docs(spark, texts(300, seed=9) + ODD)
     vocab = pseudo_likelihood.vocabulary(df)
