@@ -23,7 +23,7 @@ from rostra.llm.common import broadcast_file
 from rostra.llm.merging import Cache, PairMerger
 
 #: Bytes of distinct pre-tokens cached per worker in each of two generations, about; fewer cost time only.
-CACHE = 32 << 20
+CACHE = 96 << 20
 
 
 def byte_chars() -> str:
