@@ -102,13 +102,17 @@ def _near(refs: DataFrame, rows: DataFrame, pool: Sequence[str]) -> DataFrame:
     return both.groupBy("ref").agg(F.min_by("id", F.struct(rank, by_date, by_point, F.col("id"))).alias("target"))
 
 
-def _pooled(refs: DataFrame, rows: DataFrame, bodies: bool) -> DataFrame:
-    """(ref, target, pool) by the first pool that has a row with the label: same document, same meeting, same body, all."""
-    pools = [("document", _near, ["label", "doc"]), ("meeting", _near, ["label", "date", "body"]), *([("body", _nearest, ["label", "body"])] if bodies else []), ("all", _nearest, ["label"])]
+def _pooled(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ref, target, pool) by the first pool that has a row with the label: same document, same meeting, same body (for points), all.
+
+    ``by`` tells points' labels from diary numbers, so that both go through the pools together.
+    """
+    pools = [("document", _near, ["by", "label", "doc"]), ("meeting", _near, ["by", "label", "date", "body"]), ("body", _nearest, ["by", "label", "body"]), ("all", _nearest, ["by", "label"])]
     left, out = refs.where("label is not null"), None
     for name, way, pool in pools:
+        asks = left.where("by = 'section'") if name == "body" else left
         # a table, as the next pool asks what this one left
-        found = materialized(way(left, rows, pool).where("target is not null").withColumn("pool", F.lit(name)))
+        found = materialized(way(asks, rows, pool).where("target is not null").withColumn("pool", F.lit(name)))
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("ref"), "ref", "left_anti")
     return out
@@ -125,11 +129,12 @@ def targets(refs: DataFrame, rows: DataFrame, meetings: DataFrame) -> DataFrame:
     own row falls back to the source (pool ``source``) if the current row has a url; dates stay text.
     """
     refs, rows = materialized(refs), materialized(rows)
-    labelled = lambda c: rows.where(F.col(c).isNotNull()).select(F.col(c).alias("label"), *ROW)
+    labelled = lambda c, by: rows.where(F.col(c).isNotNull()).select(F.lit(by).alias("by"), F.col(c).alias("label"), *ROW)
     diary = refs.where("kind = 'diary'")
     own = diary.where("diary = label").select("ref", F.col("id").alias("target"), F.lit("own").alias("pool"))
     asked = diary.where("diary is null or diary <> label")
-    found = _pooled(refs.where("kind = 'section'"), labelled("base"), True).unionByName(own).unionByName(_pooled(asked, labelled("diary"), False))
+    asks = refs.where("kind = 'section'").unionByName(asked).withColumnRenamed("kind", "by")
+    found = _pooled(asks, labelled("base", "section").unionByName(labelled("diary", "diary"))).unionByName(own)
     day = refs.where("kind = 'date'").select("ref", "id", "matter", "body", "label", F.col("date").alias("own_date"))
     held = meetings.groupBy("date", "body").agg(F.min("id").alias("meeting"))
     day = day.join(held, (day.label == held.date) & (day.body == held.body) & (day.own_date == held.date), "left").select(day["*"], "meeting")
