@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rostra.functions.keys import ignorable_line, matter_type, result_class, slug, squeezed, text_or_empty
 from rostra.functions.text import fold
 from rostra.operators.extraction import PERSON, attendance, diary_from_first_page, first_page_date, stated_tally, vote_held
+from rostra.sources.sinks import materialized
 
 #: Headings of a section's fields: description, requests, procedure, vote, decision. Fixed values.
 FIELD_HEADINGS = {
@@ -131,6 +132,7 @@ def protocol_issues(pages: DataFrame, known: DataFrame, records: DataFrame, doc:
     Of the first page: date, diary number and body; of the protocol: sections, repeated numbers and attendance; of its
     sections: ``vote_issues``. ``section`` is empty for issues of the protocol.
     """
+    records = materialized(records.select(doc, "section", "vote_issues"))  # asked three times, parsed once
     first = pages.where(F.col(page) == 1).select(doc, text_or_empty(F.col(text)).alias("said"))
     seen = known.join(first, doc).select(doc, "date", "diary", "body", "said", first_page_date(F.col("said")).alias("d"), diary_from_first_page(F.col("said")).alias("n"))
     own = F.array_compact(F.array(

@@ -10,51 +10,67 @@ from rostra.sources import listings, packs
 
 
 def protocols(spark, sf):
-    """One small protocol per part: header, attendance, two sections, decisions and a vote, over two pages."""
-    p = table(spark, sf, "part")
-    k = F.col("p_partkey").cast("string")
-    one = F.concat(F.lit("Protokoll Ks "), k, F.lit("/2024\nDatum: 2024-02-0"), (1 + F.col("p_partkey") % 9).cast("string"), F.lit("\nBeslutande ledamöter\nAnna Berg (S)\nBo Ek (M)\nErsättare\nCi Dahl (V)\nÖvriga\nEva Fors (X)\n1 (2)"))
-    two = F.concat(F.lit("§ "), F.col("p_size").cast("string"), F.lit(" Motion om "), "p_name", F.lit("\nAnna Berg (S) yrkar bifall till motionen. Bo Ek (M) och Ci Dahl (V) yrkar avslag.\n§ 99 Val\nNämnden beslutar att\n1. godkänna "), "p_brand", F.lit("\n2. utse\nledamot\nOmröstning genomförs: Ja: "), (F.col("p_partkey") % 5).cast("string"), F.lit(", 3 nej-röster.\n2 (2)"))
-    return p.select("p_partkey", F.posexplode(F.array(one, two)).alias("n", "text")).select("p_partkey", (F.col("n") + 1).alias("page"), "text")
-
-
-@query("first_page_fields", "select p_partkey, 'Ks ' || p_partkey::varchar || '/2024' as diary, '2024-02-0' || (1 + p_partkey % 9)::varchar as date from part")
+    """A small protocol per part, over two pages. Which diary number, date, lists, headers, decisions and counts it has, and how
+    they are written, follows from its number, so that each rule fires for some rows and not for others."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    text, lit = lambda c: c.cast("string"), F.lit
+    diary = F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat(lit(" Ks "), text(k), lit("/2024, Ks "), text(k + 1), lit("/2024"))).otherwise(F.concat(lit(" Ks "), text(k), lit("/2024")))
+    date = F.when(k % 6 == 0, "").otherwise(F.concat(lit("\nDatum: 2024-02-0"), text(1 + k % 9)))
+    members = F.when(k % 4 == 0, "\nNärvarande\nAnna Berg (S)\nBo Ek (M)").when(k % 4 == 1, "\nBeslutande ledamöter:\nAnna Berg (S)\nutan parti").otherwise("\nBeslutande ledamöter\nAnna Berg (S)\nBo Ek (M)")
+    others = F.when(k % 5 == 0, "").otherwise("\nErsättare\nCi Dahl (V)")
+    one = F.concat(lit("Protokoll"), diary, date, members, others, lit("\nÖvriga\nEva Fors (X)\n1 (2)"))
+    moves = F.when(k % 3 == 0, "Anna Berg (S) yrkar bifall till motionen. Anna Berg (S) yrkar bifall.").when(k % 3 == 1, "Anna Berg (S) yrkar bifall till motionen. Bo Ek (M) och Ci Dahl (V) yrkar avslag.").otherwise("Ingen yrkar.")
+    decided = F.when(k % 2 == 0, F.concat(lit("Nämnden beslutar att\n1. godkänna "), F.col("p_brand"), lit("\n2. utse\nledamot"))).otherwise("Motionen bifalls\ni sin helhet.")
+    vote = F.when(k % 5 == 0, "").when(k % 5 == 1, "\nOmröstning genomförs.").otherwise(F.concat(lit("\nOmröstning genomförs: Ja: "), text(k % 5), lit(", 3 nej-röster."), F.when(k % 4 == 0, " 2 avstår").otherwise("")))
+    second = F.when(k % 8 == 0, F.concat(lit("\n§ "), text(F.col("p_size")), lit(" Val"))).when(k % 8 == 1, "\nenligt § 99 Val").otherwise("\n§ 99 Val")
+    two = F.concat(lit("§ "), text(F.col("p_size")), lit(" Motion om "), F.col("p_name"), lit("\n"), moves, second, lit("\n"), decided, vote, lit("\n2 (2)"))
+    return p.select("p_partkey", F.posexplode(F.array(one, two)).alias("n", "text"), decided.alias("decided")).select("p_partkey", (F.col("n") + 1).alias("page"), "text", "decided")
+
+
+@query("first_page_fields", """select p_partkey, case when p_partkey % 7 in (0, 1) then '' else 'Ks ' || p_partkey::varchar || '/2024' end as diary, case when p_partkey % 6 = 0 then '' else '2024-02-0' || (1 + p_partkey % 9)::varchar end as date from part""")
 def first_page_fields(spark, sf):  # PRS-01, PRS-02
     return protocols(spark, sf).where("page = 1").select("p_partkey", extraction.diary_from_first_page(F.col("text")).alias("diary"), extraction.first_page_date(F.col("text")).alias("date"))
 
 
-@query("attendance_lists", "select p_partkey, name, party, role from part, (values ('Anna Berg', 'S', 'member'), ('Bo Ek', 'M', 'member'), ('Ci Dahl', 'V', 'substitute')) v(name, party, role)")
+@query("attendance_lists", """select p_partkey, name, party, role from part, (values ('Anna Berg', 'S', 'member'), ('Bo Ek', 'M', 'member'), ('Ci Dahl', 'V', 'substitute')) v(name, party, role)
+ where case name when 'Anna Berg' then p_partkey % 4 > 0 when 'Bo Ek' then p_partkey % 4 > 1 else p_partkey % 5 > 0 end""")
 def attendance_lists(spark, sf):  # PRS-03, WIN-07
     return extraction.attendance(protocols(spark, sf), ["p_partkey"], "page", "text", {"beslutande ledamöter": "member", "ersättare": "substitute"})
 
 
-@query("sections", """select p_partkey, p_size::varchar as section, 'Motion om ' || p_name as title, cast(2 as integer) as first_page, cast(2 as integer) as last_page, 1::bigint as n_lines, false as repeated from part
- union all select p_partkey, '99', 'Val', 2, 2, 6, false from part""")
+@query("sections", """with d as (select *, case when p_partkey % 2 = 0 then 4 else 2 end + case when p_partkey % 5 = 0 then 0 else 1 end + 1 as lines from part),
+ s as (select p_partkey, p_size::varchar as section, 'Motion om ' || p_name as title, case when p_partkey % 8 = 1 then 2 + lines else 1 end as n_lines, p_partkey % 8 = 0 as again from d
+  union all select p_partkey, case when p_partkey % 8 = 0 then p_size::varchar else '99' end, 'Val', lines, p_partkey % 8 = 0 or p_size = 99 from d where p_partkey % 8 <> 1)
+ select p_partkey, section, title, cast(2 as integer) as first_page, cast(2 as integer) as last_page, n_lines::bigint as n_lines, again as repeated from s""")
 def sections(spark, sf):  # PRS-04, WIN-06
     return extraction.sections(protocols(spark, sf), "p_partkey", "page", "text")
 
 
-@query("decision_points", "select p_partkey, '99.1' as point, 'Nämnden beslutar att godkänna ' || p_brand as decision from part union all select p_partkey, '99.2', 'Nämnden beslutar att utse ledamot' from part")
+@query("decision_points", """select p_partkey, '99.1' as point, 'Nämnden beslutar att godkänna ' || p_brand as decision from part where p_partkey % 2 = 0 union all select p_partkey, '99.2', 'Nämnden beslutar att utse ledamot' from part where p_partkey % 2 = 0
+ union all select p_partkey, '99', 'Motionen bifalls i sin helhet.' from part where p_partkey % 2 = 1""")
 def decision_points(spark, sf):  # PRS-05, PRS-08, WIN-08
-    text = F.concat(F.lit("Nämnden beslutar att\n1. godkänna "), "p_brand", F.lit("\n2. utse\nledamot"))
-    return extraction.decision_points(table(spark, sf, "part").select("p_partkey", F.lit("99").alias("s"), text.alias("t")), "p_partkey", "s", "t")
+    decided = protocols(spark, sf).where("page = 2").select("p_partkey", F.lit("99").alias("s"), F.col("decided").alias("t"))
+    return extraction.decision_points(decided, "p_partkey", "s", "t")
 
 
-@query("positions", "select p_partkey, name, party, stance from part, (values ('Anna Berg', 'S', 'Bifallsyrkande'), ('Bo Ek', 'M', 'Avslagsyrkande'), ('Ci Dahl', 'V', 'Avslagsyrkande')) v(name, party, stance)")
+@query("positions", """select p_partkey, name, party, stance from part, (values ('Anna Berg', 'S', 'Bifallsyrkande'), ('Bo Ek', 'M', 'Avslagsyrkande'), ('Ci Dahl', 'V', 'Avslagsyrkande')) v(name, party, stance) where p_partkey % 3 = 1 or (p_partkey % 3 = 0 and name = 'Anna Berg')""")
 def positions(spark, sf):  # PRS-09
     return extraction.positions(protocols(spark, sf).where("page = 2"), ["p_partkey"], "text").drop("proposal")
 
 
-@query("vote_statements", "select p_partkey, true as held, cast(p_partkey % 5 as integer) as yes, 3 as no, cast(coalesce(null, -1) as integer) as abstain from part")
+@query("vote_statements", """select p_partkey, p_partkey % 5 > 0 as held, cast(case when p_partkey % 5 > 1 then p_partkey % 5 end as integer) as yes, cast(case when p_partkey % 5 > 1 then 3 end as integer) as no, cast(case when p_partkey % 5 > 1 and p_partkey % 4 = 0 then 2 else -1 end as integer) as abstain from part""")
 def vote_statements(spark, sf):  # PRS-10
     two = protocols(spark, sf).where("page = 2").select("p_partkey", "text", extraction.stated_tally(F.col("text")).alias("t"))
     return two.select("p_partkey", extraction.vote_held(F.col("text")).alias("held"), "t.yes", "t.no", F.coalesce("t.abstain", F.lit(-1)).alias("abstain"))
 
 
-@query("repaired_meanings", "select p_partkey, 'JA-röst innebär bifall till ' || p_name || '.' as meaning from part")
-def repaired_meanings(spark, sf):  # PRS-15
+@query("repaired_meanings", """select p_partkey, case when p_partkey % 3 = 0 then left('JA-röst innebär bifall till ' || p_name || '.', 25) when p_partkey % 3 = 1 then 'JA-röst innebär bifall till ' || p_name || '.' else 'JA-rös' end as meaning from part""")
+def repaired_meanings(spark, sf):  # PRS-15: found whole, not found, too short to look for
+    k = F.col("p_partkey")
     full = F.concat(F.lit("JA-röst innebär bifall till "), "p_name", F.lit("."))
-    return table(spark, sf, "part").select("p_partkey", extraction.repaired_meaning(F.substring(full, 1, 25), F.concat(F.lit("Se nedan. "), full, F.lit(" NEJ-röst annat."))).alias("meaning"))
+    source = F.when(k % 3 == 0, "Se nedan. NEJ-röst annat.").otherwise(F.concat(F.lit("Se nedan. "), full, F.lit(" NEJ-röst annat.")))
+    cut = F.when(k % 3 == 2, F.substring(full, 1, 6)).otherwise(F.substring(full, 1, 25))
+    return table(spark, sf, "part").select("p_partkey", extraction.repaired_meaning(cut, source).alias("meaning"))
 
 
 @query("heading_carry_forward", "select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading from conversations qualify heading is not null")

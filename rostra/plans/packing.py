@@ -9,8 +9,8 @@ from rostra.plans import search
 from rostra.plans.civic import ORACLE_SQL, query, table
 from rostra.sources import packs, sinks
 
-#: Orders whose ballots share a part, about.
-PART_ORDERS = 256
+#: Bytes of a part of a pack, about.
+PART_BYTES = 1 << 20
 
 
 @query("pack_votes", "select l_orderkey::varchar as doc_index, l_linenumber::varchar as point, 'Ä \"' || l_suppkey::varchar || '\"' as name, l_returnflag as party, l_linestatus as vote, l_orderkey::varchar || ':' || l_linenumber::varchar as participant_id from lineitem")
@@ -18,7 +18,8 @@ def pack_votes(spark, sf):  # SRC-01, SRC-02: parts of a pack written as scripts
     li, path = table(spark, sf, "lineitem"), sinks.scratch_path(spark)
     text = lambda c: F.col(c).cast("string")
     six = F.array(text("l_orderkey"), text("l_linenumber"), F.concat(F.lit('Ä "'), text("l_suppkey"), F.lit('"')), F.col("l_returnflag"), F.col("l_linestatus"), F.concat_ws(":", text("l_orderkey"), text("l_linenumber")))
-    parts = li.groupBy(F.floor(F.col("l_orderkey") / PART_ORDERS).alias("part")).agg(F.flatten(F.collect_list(six)).alias("r"))
+    held = li.agg(F.sum(F.octet_length(F.to_json(six)))).head()[0] or 0
+    parts = li.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(-(-held // PART_BYTES) or 1)).alias("part")).agg(F.flatten(F.collect_list(six)).alias("r"))
     said = F.concat(F.lit("window.pack = "), F.to_json(F.struct(F.lit("v1").alias("schema"), "r")), F.lit(";"))
     parts.select("part", said.alias("value")).repartition("part").write.partitionBy("part").text(path)
     return packs.read_pack(spark, [f"{path}/part=*"])["votes"].select(*packs.VOTE_FIELDS)
