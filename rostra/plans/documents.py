@@ -110,9 +110,14 @@ def preceding_headings(spark, sf):  # SRC-14
     return listings.preceding_heading(e.where("label = 'view'"), e.where("label in ('signup', 'error')"), "user_id", "pos", "label", 300).fillna("", ["label"])
 
 
-@query("embedded_states", "select p_partkey, 'A / B' as label, p_name || '.pdf' as name, 'https://example.org/' || p_partkey::varchar as url from part")
-def embedded_states(spark, sf):  # SRC-10, SRC-11
-    page = F.concat(F.lit("<script>x.registerInitialState('c', {\"folders\":[{\"name\":\"A\",\"folders\":[{\"name\":\"B\",\"files\":[{\"name\":\""), "p_name", F.lit('.pdf","url":"https://example.org/'), F.col("p_partkey").cast("string"), F.lit("\"}]}]}],\"note\":\"a \\\\\" } b\"});</script>"))
+@query("embedded_states", """select p_partkey, case p_partkey % 4 when 2 then '' else 'A ' || p_size::varchar || ' / B' end as label, p_name || '.pdf' as name, case p_partkey % 4 when 2 then '' else 'https://example.org/' || p_partkey::varchar end as url from part where p_partkey % 4 > 1
+ union all select p_partkey, 'A ' || p_size::varchar, '} ' || p_brand, '' from part where p_partkey % 4 = 3""")
+def embedded_states(spark, sf):  # SRC-10, SRC-11: no state, a broken one, files at the root, files in nested folders
+    k, t = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    rest, call = F.lit('"note":"a \\\\" } b"'), F.lit("<script>x.registerInitialState('c', ")
+    flat = F.concat(F.lit('{"files":[{"name":"'), "p_name", F.lit('.pdf"}],'), rest, F.lit("}"))
+    deep = F.concat(F.lit('{"folders":[{"name":"A '), t("p_size"), F.lit('","files":[{"name":"} '), "p_brand", F.lit('"}],"folders":[{"name":"B","files":[{"name":"'), "p_name", F.lit('.pdf","url":"https://example.org/'), t("p_partkey"), F.lit('"}]}]}],'), rest, F.lit("}"))
+    page = F.when(k % 4 == 0, "<p>{}</p>").when(k % 4 == 1, F.concat(call, F.lit('{"files": nothing});'))).otherwise(F.concat(call, F.when(k % 4 == 2, flat).otherwise(deep), F.lit(");</script>")))
     state = listings.embedded_state("registerInitialState(")
     return listings.folder_files(table(spark, sf, "part").select("p_partkey", state(page).alias("s")), "p_partkey", "s")
 
@@ -136,7 +141,9 @@ def stride_unpack(spark, sf):  # SRC-03
     return packs.unstrided(packed, ["pack"], F.col("r")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@query("dictionary_decode", "select s_suppkey::varchar as id, case when s_suppkey % 3 = 0 then 'a' when s_suppkey % 3 = 1 then 'b' else 'c' end as kind from supplier")
-def dictionary_decode(spark, sf):  # SRC-04, SRC-07
-    rows = table(spark, sf, "supplier").select(F.array(F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 3).cast("string")).alias("r"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("s"))
-    return packs.decoded_dictionary(rows, "r", "s", ["id", "kind"], ["kind"])
+@query("dictionary_decode", "select p_partkey::varchar as id, case p_partkey % 6 when 0 then 'a' when 1 then p_brand when 2 then 'c' || (p_partkey % 5)::varchar end as kind from part")
+def dictionary_decode(spark, sf):  # SRC-04, SRC-07; places beyond the dictionary, and what is no place, mean nothing
+    k = F.col("p_partkey")
+    place = F.when(k % 6 == 3, "3").when(k % 6 == 4, "x").when(k % 6 == 5, F.lit(None)).otherwise((k % 6).cast("string"))
+    strings = F.array(F.lit("a"), F.col("p_brand"), F.concat(F.lit("c"), (k % 5).cast("string")))
+    return packs.decoded_dictionary(table(spark, sf, "part").select(F.array(k.cast("string"), place).alias("r"), strings.alias("s")), "r", "s", ["id", "kind"], ["kind"])

@@ -128,15 +128,22 @@ def people(spark, sf):
     return table(spark, sf, "part").select(F.col("p_type").alias("party"), F.col("p_brand").alias("body"), name.alias("name"))
 
 
-NAMES = ("Ærø Bech-Olsen", "jäv Åsa  Öberg", "Ordförande Zoë Ek", "ersätter Bo Ek", "Frånvarande", "2024-01-02 Liv-Maj Ås, politisk sekreterare", "Ordförandes Kalle", "Tjänstgör för Bo Ek")
 NAME_KEYS = ("aero bech olsen", "asa oberg", "zoe ek", "", "", "liv maj as", "ordforandes kalle", "")
 
 
-@query("person_keys", "select c_custkey, trim([" + ", ".join(f"'{x}'" for x in NAME_KEYS) + "][1 + c_custkey % 8] || case when c_custkey % 8 in (3, 4, 7) then '' when c_custkey % 8 = 5 then '' else ' ' || replace(lower(c_name), '#', '') end) as key from customer")
+@query("person_keys", """with r as (select c_custkey, ['Åsa', 'Øyvind', 'Éva', 'Anna-Lena'][1 + c_custkey % 4] || ' ' || case when c_custkey % 3 = 0 then 'Sæther-' else '' end || replace(c_name, '#', '') as raw from customer),
+ d as (select *, case c_custkey % 7 when 1 then '2024-01-02 ' || raw when 2 then 'Ordförande ' || raw when 3 then raw || ', politisk sekreterare' when 4 then 'Ersätter ' || raw when 5 then replace(raw, ' ', '  ') when 6 then replace(raw, '-', '–') else raw end as said from r),
+ c as (select *, regexp_replace(regexp_replace(regexp_replace(said, '^[0-9]{4}-[0-9]{2}-[0-9]{2} ', ''), '^Ordförande ', ''), ', politisk sekreterare$', '') as clean from d)
+ select c_custkey, case when starts_with(said, 'Ersätter') then '' else trim(regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(lower(clean), '–', ' '), '-', ' '), 'ø', 'o'), 'æ', 'ae')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) end as key from c""")
 def person_keys(spark, sf):  # ENT-01
-    k = F.col("c_custkey") % 8
-    name = F.get(F.array(*[F.lit(x) for x in NAMES]), k.cast("int"))
-    return table(spark, sf, "customer").select("c_custkey", entities.person_key(F.when(k == 5, name).otherwise(F.concat_ws(" ", name, "c_name"))).alias("key"))
+    k = F.col("c_custkey")
+    first = F.get(F.array(*[F.lit(x) for x in ("Åsa", "Øyvind", "Éva", "Anna-Lena")]), (k % 4).cast("int"))
+    raw = F.concat(first, F.lit(" "), F.when(k % 3 == 0, "Sæther-").otherwise(""), F.replace("c_name", F.lit("#"), F.lit("")))
+    said = (
+        F.when(k % 7 == 1, F.concat(F.lit("2024-01-02 "), raw)).when(k % 7 == 2, F.concat(F.lit("Ordförande "), raw)).when(k % 7 == 3, F.concat(raw, F.lit(", politisk sekreterare"))).when(k % 7 == 4, F.concat(F.lit("Ersätter "), raw))
+        .when(k % 7 == 5, F.replace(raw, F.lit(" "), F.lit("  "))).when(k % 7 == 6, F.replace(raw, F.lit("-"), F.lit("–"))).otherwise(raw)
+    )
+    return table(spark, sf, "customer").select("c_custkey", entities.person_key(said).alias("key"))
 
 
 @query("reviewed_names", "select c_custkey, case when c_custkey % 4 = 0 then 'Åsa Öberg' when c_custkey % 4 = 1 then 'Asa Oberg' else c_name end as name from customer")
@@ -193,14 +200,20 @@ def people_by_party(spark, sf):  # ENT-04: blank where bodies disagree
     return entities.resolved_people(members(spark, sf), "party", "body", "raw")[1]
 
 
-REFS = """refs as (select p_partkey as id, pos, label, case when label[1] = '§' then 'section' when regexp_matches(label, '^20[0-9]{2}-[0-9]{2}-[0-9]{2}$') then 'date' when contains(label, '/') then 'diary' else 'day' end as kind from (
- select p_partkey, unnest(range(4)) as pos, unnest(['§ ' || p_size::varchar, 'Ks ' || p_partkey::varchar || '/2024', '2024-01-' || lpad((1 + p_partkey % 28)::varchar, 2, '0'), '3 mars 2024']) as label from part))"""
+REFS = """refs as (select id, row_number() over (partition by id order by place) - 1 as pos, label, case when label[1] = '§' then 'section' when regexp_matches(label, '^20[0-9]{2}-[0-9]{2}-[0-9]{2}$') then 'date' when contains(label, '/') then 'diary' else 'day' end as kind
+ from (select p_partkey as id, unnest(range(6)) as place, unnest(['§ ' || p_size::varchar || case when p_partkey % 3 = 0 then '.' || (p_partkey % 4)::varchar else '' end, case when p_partkey % 4 > 1 then 'Ks ' || p_partkey::varchar || '/2024' end,
+   case when p_partkey % 5 > 0 then '2024-01-' || lpad((1 + p_partkey % 28)::varchar, 2, '0') end, case when p_partkey % 2 = 0 then '3 Mars 2024' else '13 maj' end, case when p_partkey % 7 = 0 then 'KsSn 12/2023' end, case when p_partkey % 6 = 0 then '§12' end]) as label from part) where label is not null)"""
 
 
 def references_text(spark, sf):
-    p = table(spark, sf, "part")
-    said = F.concat(F.lit("Enligt § "), F.col("p_size").cast("string"), F.lit(", se Ks "), F.col("p_partkey").cast("string"), F.lit("/2024 av den 2024-01-"), F.lpad((1 + F.col("p_partkey") % 28).cast("string"), 2, "0"), F.lit(" och 3 mars 2024."))
-    return p.select(F.col("p_partkey").alias("id"), said.alias("text"))
+    """Labels, and what looks like one but is none: after a letter or digit, in small letters, or of another century."""
+    p, k, lit = table(spark, sf, "part"), F.col("p_partkey"), F.lit
+    said = F.concat(
+        lit("Enligt § "), F.col("p_size").cast("string"), F.when(k % 3 == 0, F.concat(lit("."), (k % 4).cast("string"))).otherwise(""), lit(", se "), F.when(k % 4 == 0, "ks ").when(k % 4 == 1, "1xKs ").otherwise("Ks "), k.cast("string"), lit("/2024 av den "),
+        F.when(k % 5 == 0, "1").otherwise(""), lit("2024-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0"), lit(" och 1999-01-02, "), F.when(k % 2 == 0, "3 Mars 2024").otherwise("13 maj"), lit(". "), F.when(k % 7 == 0, "KsSn 12/2023").otherwise("Ks 12/1923"),
+        lit(" samt "), F.when(k % 6 == 0, "§12").otherwise("12 marsipaner"),
+    )
+    return p.select(k.alias("id"), said.alias("text"))
 
 
 @query("ref_extract", f"with {REFS} select id, cast(pos as integer) as pos, label, kind from refs")
