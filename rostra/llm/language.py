@@ -19,8 +19,10 @@ FILTERS = 8
 #: Places in a window at which every filter is applied.
 PLACES = WINDOW - max(WIDTHS) + 1
 EMBED = 6
-#: Labelled rows of each language that are fitted on, at most; each with all windows of its whole text.
+#: Labelled rows of each language that are fitted on, at most.
 SAMPLE_ROWS = 400
+#: Windows of one text that are fitted on, and languages, at most.
+MOST_WINDOWS, MOST_LANGS = 512, 1_000
 #: Windows that are scored at a time.
 SCORED = 2048
 
@@ -132,25 +134,39 @@ class ByteCnn:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> ByteCnn | None:
-    """A network fitted on at most ``rows`` labelled rows of each language: those with the smallest hashes of id and text, with
-    every window of their texts. None if no row is labelled.
+    """A network fitted on at most ``rows`` labelled rows of each language: those with the smallest hashes of id and text. None if no row is labelled.
 
-    The sample is bounded by ``rows`` and the number of languages, so it comes to the driver; languages rarer than that are
-    taken whole. Rows without label, text or letters are not fitted on. Repeated rows count once for each place in the sample.
+    Every window of a text is fitted on; of a text with more than MOST_WINDOWS so many, evenly spread over it. Windows are cut
+    in tasks, so the driver gets at most ``rows`` * MOST_WINDOWS * WINDOW bytes a language, and raises ValueError for more
+    than MOST_LANGS languages. Languages rarer than ``rows`` are taken whole. Rows without label, text or letters are not
+    fitted on. Rows that repeat id and text count once.
     """
     text, h = F.col(text_col), F.xxhash64(id_col, text_col)
     named = df.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-    counts = named.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each language
+    counts = named.groupBy(F.col(lang_col).alias("lang")).count().limit(MOST_LANGS + 1).collect()  # a row for each language
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return None
-    # each task passes on only rows with small hashes, some more in all than are kept
+    # each task passes on only rows with small hashes, some more in all than are kept, and repeated ones once
     most = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(2**63 - 1, -(2**63) + 4.0 * rows / r["count"] * 2**64))).cast("bigint"))])
-    some = named.select(F.col(lang_col).alias("lang"), h.alias("h"), text.alias("text")).where(F.col("h") <= most[F.col("lang")])
-    order = W.partitionBy("lang").orderBy("h", "text")
-    sample = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("lang", "text").orderBy("lang", "n").collect()
+    some = named.select(F.col(lang_col).alias("lang"), h.alias("h"), text.alias("text")).where(F.col("h") <= most[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = W.partitionBy("lang").orderBy("h")
+    chosen = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("lang", "n", "text")
     langs = sorted({r["lang"] for r in counts})
     net = ByteCnn(langs)
-    parts = [net.windows(r.text.encode()) for r in sample]
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                found = []
+                for t in part.column(2).to_pylist():
+                    x = net.windows(t.encode())
+                    found.append((x if len(x) <= MOST_WINDOWS else x[np.linspace(0, len(x) - 1, MOST_WINDOWS).astype(int)]).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["lang", "n", "windows"])
+
+    sample = sorted(chosen.mapInArrow(cut, "lang string, n int, windows binary").collect(), key=lambda r: (r.lang, r.n))
+    parts = [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in sample]
     net.fit(np.concatenate(parts), np.repeat([langs.index(r.lang) for r in sample], [len(p) for p in parts]))
     return net
 
