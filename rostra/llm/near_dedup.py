@@ -22,6 +22,8 @@ MINIMA, ROWS = 128, 4
 AGREE = 77
 #: Members of a band's bucket that are paired directly; larger buckets go the exact way of ``crowded_links``.
 SMALL = 16
+#: Ids below this leave room for nodes above them.
+ROOM = 1 << 62
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,15 +193,22 @@ def crowded_links(sets: DataFrame, percent: int) -> DataFrame:
 def linked_classes(named: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows; the classes (same, rep, node) of rows with the same set of shingles; links (a, b) between nodes.
 
-    A class's node is its smallest id; where that is the smallest of several classes, the others have nodes above all ids.
+    A class's node is its smallest id; where that is the smallest of several classes, the others have nodes above all ids, or,
+    where ids leave no room there, numbers that no id has.
     """
     every = written(signatures(named, id_col, text_col))
     classes = written(every.where("n_shingles > 0").groupBy("same").agg(F.min("id").alias("rep")))
     twice = classes.groupBy("rep").agg(F.min("same").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    most = every.agg(F.max("id").alias("_most"))
-    other = F.col("_most") + 1 + F.monotonically_increasing_id()
-    classes = classes.join(twice, "rep", "left").crossJoin(F.broadcast(most))
-    classes = written(classes.select("same", "rep", F.when(F.col("_least").isNull() | (F.col("same") == F.col("_least")), F.col("rep")).otherwise(other).alias("node")))
+    most = every.agg(F.max("id")).head()[0]
+    above = most is None or most < ROOM
+    own = F.col("_least").isNull() | (F.col("same") == F.col("_least"))
+    seed, joined = 0, classes.join(twice, "rep", "left")
+    while True:
+        other = F.lit(most or 0) + 1 + F.monotonically_increasing_id() if above else F.xxhash64("same", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1))
+        classes = written(joined.select("same", "rep", F.when(own, F.col("rep")).otherwise(other).alias("node")))
+        if above or not classes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").head(1):
+            break
+        seed += 1  # a number was taken
     reps = written(every.select("id", "same", "keys", "sig").join(classes, "same").where("id = rep").dropDuplicates(["same"]).select(F.col("node").alias("id"), "keys", "sig"))
     rows = reps.select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -238,7 +247,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ties = every.where("n_shingles > 0").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     tied = written(every.join(ties, "id", "left_semi").select("id", "same").distinct().join(classes, "same").select("id", "node"))
     tied = tied.join(tied.groupBy("id").agg(F.min("node").alias("low")), "id").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    found = with_components(classes, links.union(tied)).select("same", "component")
+    found = with_components(classes, links.union(tied))
+    if classes.where("node <> rep").head(1):  # nodes that are no ids
+        low = found.join(found.where("node <> rep").select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("low"))
+        found = found.join(low, "component", "left").withColumn("component", F.coalesce("low", "component"))
+    found = found.select("same", "component")
     out = every.select("id", "n_shingles", "same").join(found, "same", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))

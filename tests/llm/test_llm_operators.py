@@ -345,6 +345,16 @@ def test_links_among_templated_pages_are_exact(spark):
     assert parts(links) == parts(true)
 
 
+@pytest.mark.parametrize("top", [40, 2**63 - 1])
+def test_repeated_ids_beside_the_largest_one(spark, top):
+    a, b, c = ("one two three four five six seven eight nine ten " * 3, "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3, "red green blue black white pink brown grey " * 4)
+    rows = [(5, a), (5, b), (5, c), (7, b), (9, "other words stand here for once and no more"), (top, c), (-(2**63), "none of these are like the rest of them"), (top, "a last text that is like none of the others")]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (9, 9), (top, 5), (-(2**63), -(2**63))}
+    kept = Counter((r.doc_id, r.kept) for r in near_dedup.kept_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert kept == Counter({(5, True): 3, (7, False): 1, (9, True): 1, (top, True): 1, (top, False): 1, (-(2**63), True): 1})
+
+
 def test_near_duplicates_on_repeated_ids_and_nothing(spark):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (4, c), (4, c), (None, c)], "doc_id bigint, text string")
@@ -775,3 +785,24 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, f"file://{tmp_path}").columns == df.columns, name
         assert stage(spark, df.limit(0), f"file://{tmp_path}").count() == 0, name
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Repeated and missing ids, nulls in every column, a very long text, and columns with names that stages use themselves."""
+    rnd = random.Random(16)
+    clean = [" ".join(f"{rnd.choice(WORDS)}{rnd.choice(WORDS)}" for _ in range(60)) for _ in range(24)]
+    long = " ".join(f"{rnd.choice(WORDS)}{rnd.choice(WORDS)}{rnd.randrange(10)}" for _ in range(60_000))
+    item = " ".join(f"bench{i}" for i in range(15))
+    rows = [(i, t) for i, t in enumerate(clean)] + [
+        (3, clean[3]), (4, clean[5]), (None, clean[6]), (None, clean[7] + " and more"), (None, None), (30, None), (31, long), (32, clean[8] + " " + item), (33, long + " end"), (2**63 - 1, "these are other words of a text that nobody else has got at all here"),
+    ]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, same string, n int, kept string, md5 int, spans string, short int, word bigint, bits int, c0 int, id int"
+    made = [(i, t, None if k % 9 == 8 else "en", None, None if k % 2 else 1, "s", 1, "k", 2, "p", 3, 4, 5, 6, 7) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(made, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect())
+    # one of each group, the smallest id's; rows without id stay; contaminated and empty texts go
+    assert got == Counter([*range(5), 4, *range(6, 24), None, None, 31, 2**63 - 1])
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, f"file://{tmp_path}").columns == docs.columns, name
