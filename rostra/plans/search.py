@@ -113,8 +113,11 @@ def source_text_verified(spark, sf):  # TXT-12
     return c.select("conv_id", "turn", (found >= 2).alias("verified"))
 
 
-@query("text_blocks")
-def text_blocks(spark, sf):  # TXT-13; an Arrow function, tested against hand-made cases
+@query("text_blocks", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+ m as (select *, regexp_matches(line, '^\s*([-•*–]|[0-9]{1,2}[.)])\s+') as item, regexp_full_match(line, '\s*') as blank from l), b as (select *, not blank and (item or coalesce(lag(blank) over (partition by doc_id order by i), true)) as starts from m),
+ g as (select *, sum(starts::int) over (partition by doc_id order by i) as g from b where not blank)
+ select doc_id, cast(g - 1 as integer) as pos, case when bool_or(item) then 'item' else 'paragraph' end as kind, string_agg(trim(regexp_replace(line, case when item then '^\s*([-•*–]|[0-9]{1,2}[.)])\s+' else '^\s+' end, ''), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), ' ' order by i) as text from g group by doc_id, g""")
+def text_blocks(spark, sf):  # TXT-13; an Arrow function
     from rostra.operators.extraction import text_blocks as blocks
 
     return table(spark, sf, "documents").select("doc_id", F.posexplode(blocks("text")).alias("pos", "b")).select("doc_id", "pos", "b.*")
