@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from rostra.llm.common import near_ids, table, unused, without_ids, written
 K = 128
 #: Words of a shingle.
 WORDS = 5
-#: Rows that a bucket of the order holds, about; at most MOST_BUCKETS bounds and DRAWN keys for each of them come to the driver.
-BUCKET_ROWS, MOST_BUCKETS, DRAWN = 2_000, 4_096, 16
+#: Rows that a bucket of the order holds, about; at most MOST_BUCKETS * DRAWN keys of 16 bytes come to the driver.
+BUCKET_ROWS, MOST_BUCKETS, DRAWN = 2_000, 65_536, 4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -107,19 +109,20 @@ def merged(parts: DataFrame, key: str, sketch: str = "sketch", k: int = K) -> Da
     return kept.select(F.col("k").alias(key), F.col("s").alias(sketch), distinct_shingles(F.col("s"), k).alias("n_shingles"))
 
 
-def bucket_starts(keys: DataFrame) -> list:
+def bucket_starts(keys: DataFrame) -> list[tuple[int | None, int]]:
     """First (id, h) of the buckets in which the order is cut, ascending; each is a row's. None without rows.
 
     Drawn by a hash of the key, DRAWN for each bucket, so that a hot range gets as many buckets as its rows need. At most
-    MOST_BUCKETS * DRAWN keys come to the driver; beyond MOST_BUCKETS * BUCKET_ROWS rows buckets grow, and spill.
+    MOST_BUCKETS * DRAWN keys come to the driver, as columns; beyond MOST_BUCKETS * BUCKET_ROWS rows buckets grow, and spill.
     """
     n = keys.count()
     if not n:
         return []
     buckets = min(MOST_BUCKETS, n // BUCKET_ROWS + 1)
-    low = lambda r: (r.id is not None, r.id or 0, r.h)
-    drawn = sorted(keys.select("id", "h").orderBy(F.xxhash64("h", "id", F.lit(1)), "h", "id").limit(buckets * DRAWN).collect(), key=low)
-    starts = keys.select("id", "h").orderBy(F.asc_nulls_first("id"), "h").limit(1).collect() + drawn[DRAWN::DRAWN]
+    drawn = keys.select("id", "h").orderBy(F.xxhash64("h", "id", F.lit(1)), "h", "id").limit(buckets * DRAWN).toArrow()
+    low = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    ranked = sorted(zip(drawn.column("id").to_pylist(), drawn.column("h").to_pylist(), strict=True), key=low)
+    starts = [tuple(r) for r in keys.select("id", "h").orderBy(F.asc_nulls_first("id"), "h").limit(1).collect()] + ranked[DRAWN::DRAWN]
     return [x for i, x in enumerate(starts) if not i or low(x) > low(starts[i - 1])]
 
 
@@ -133,7 +136,8 @@ def with_next(places: DataFrame, keys: DataFrame, carried: list[str]) -> DataFra
     m = len(starts)
     if not m:
         return places.select("*", *[F.col(c).alias(f"next_{c}") for c in carried]).limit(0)
-    marks = F.array(*[F.struct(F.lit(r.id).cast("bigint").alias("id"), F.lit(r.h).cast("bigint").alias("h")) for r in starts])
+    # one literal that is folded into an array when the plan is made
+    marks = F.from_json(F.lit(json.dumps([{"id": i, "h": h} for i, h in starts])), "array<struct<id:bigint,h:bigint>>")
     own = F.struct(F.col("id").alias("id"), F.col("h").alias("h"))  # compared field by field, null first
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(m.bit_length()))])
     bucket = F.aggregate(steps, F.lit(0), lambda a, s: F.when(F.coalesce(F.get(marks, a + s) <= own, F.lit(False)), a + s).otherwise(a))
