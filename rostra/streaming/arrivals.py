@@ -24,7 +24,8 @@ def running_summary(stream: DataFrame, keys: Sequence[str], measures: dict) -> D
 
 
 class Versions:
-    """Finished tables below a path, named by a number, such as a batch's: found by listing names, so that none of the others is opened."""
+    """Finished tables below a path, named by a number, such as a batch's: found by listing names, so that none of the others is
+    opened. A table is finished once its writer has left ``_SUCCESS`` there, which Spark's does unless it is told not to."""
 
     def __init__(self, spark: SparkSession, path: str, prefix: str = "v"):
         self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix
