@@ -67,12 +67,25 @@ def allocation_shares(spark, sf):  # ALLOC-10, WIN-12, SRT-05
     return allocation.shares(allocation.allocate(contests(spark, sf), "contest", "party", "votes", "seats"), "contest", "party", "votes", "won")
 
 
-@query("allocation_lottery")
-def allocation_lottery(spark, sf):  # ALLOC-06; draws of a seeded generator, tested against hand-made cases
+def lots_sql(name: str, votes: str, seats: int, seed: str) -> str:
+    """Recursive tables that give out seat after seat of each contest: whoever has the highest quotient wins, and several of them
+    draw by the next state of the generator. Quotients are whole multiples of 1 / 12252240, which every divisor up to 18 divides."""
+    shift = lambda s, n: f"(({s})::hugeint * {2**n} % 18446744073709551616)::ubigint"
+    return f"""{name}_p as (select contest, list(party order by party) as ps, list({votes} order by party) as vs from v group by contest),
+ {name} as (select contest, ps, vs, list_transform(vs, lambda x: 0) as won, list_transform(vs, lambda x: 0) as lots, {allocation.seed_state(seed)}::ubigint as s, 0 as seat from {name}_p
+  union all select contest, ps, vs, list_transform(range(1, len(vs) + 1), lambda i: won[i] + (i = t[pick])::int), list_transform(range(1, len(vs) + 1), lambda i: lots[i] + (i = t[pick] and len(t) > 1)::int), s3, seat + 1
+   from (select *, case when len(t) > 1 then 1 + (s3 % 1000000)::bigint * len(t) // 1000000 else 1 end as pick from (select *, case when len(t) > 1 then xor(s2, {shift("s2", 17)}) else s end as s3
+    from (select *, xor(s1, s1 // 128) as s2 from (select *, xor(s, {shift("s", 13)}) as s1
+     from (select *, list_filter(range(1, len(vs) + 1), lambda i: q[i] = list_max(q)) as t from (select *, list_transform(range(1, len(vs) + 1), lambda i: vs[i] * 12252240 // (won[i] + 1)) as q from {name} where seat < {seats}))))))),
+ {name}_won as (select contest, unnest(ps) as party, unnest(won)::bigint as won, unnest(lots)::bigint as by_lot from {name} where seat = {seats})"""
+
+
+@query("allocation_lottery", f"with recursive {VOTES}, {lots_sql('r', 'votes // 40', SEATS, '123456789')} select contest, party, won, by_lot from r_won")
+def allocation_lottery(spark, sf):  # ALLOC-06; draws of a seeded generator
     return allocation.allocate_exact(contests(spark, sf).withColumn("votes", F.floor(F.col("votes") / 40)), "contest", "party", "votes", "seats", first="1.2", seed="123456789")
 
 
-@query("members_and_substitutes")
+@query("members_and_substitutes", f"with recursive {VOTES}, {lots_sql('m', 'votes', SEATS, '123456789m')}, {lots_sql('e', 'votes', 11, '123456789e')} select contest, party, m_won.won as members, e_won.won as substitutes from m_won join e_won using (contest, party)")
 def members_and_substitutes(spark, sf):  # ALLOC-07, JOIN-13
     return allocation.members_and_substitutes(contests(spark, sf).withColumn("more", F.lit(11)), "contest", "party", "votes", "seats", "more", "123456789")
 
