@@ -76,7 +76,7 @@ def _nearest(refs: DataFrame, rows: DataFrame, pool: Sequence[str]) -> DataFrame
     """
     keys = list(pool)
     refs = refs.select("ref", *keys, *[c for c in ("diary", "matter", "date") if c not in keys])  # no more is shuffled
-    first = lambda more, order, name: rows.groupBy(*keys, *more).agg(F.min_by("id", F.struct(*order)).alias(name))
+    first = lambda more, order, name: rows.groupBy(*keys, *more).agg((F.min("id") if order == ["id"] else F.min_by("id", F.struct(*order))).alias(name))
     found = refs.join(first([], ["id"], "t_any"), keys, "left").join(first(["diary"], ["id"], "t_diary"), [*keys, "diary"], "left")
     # only what has a matter asks by it, so rows without one are no hot key
     rows = rows.where("matter is not null")
