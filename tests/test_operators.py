@@ -496,3 +496,20 @@ def test_roles_add_up(spark):
     rows = [("m", f"n{i}", "S", "member" if i < 56 else "substitute" if i < 73 else "other") for i in range(82)] + [("m", "n1", "S", "member")]
     got = meetings.attendance_by_role(spark.createDataFrame(rows, "meeting string, name string, party string, role string"), ["meeting"], F.col("role"))
     assert {r.role_group: r.n for r in got.collect()} == {"member": 56, "substitute": 17, "other": 9}
+
+
+def test_helper_columns_clash_with_nothing(spark):
+    """Tables whose columns have the names that operators would give to helpers of their own."""
+    df = spark.createDataFrame([(i, "x", i % 3, "a", "b") for i in range(10)], "id int, _name string, b int, name string, place string")
+    assert sorted((r.ordinal, r.b) for r in sinks.with_parts(df, ["id"], 4).collect()) == [(i + 1, i % 3) for i in range(10)]
+    fixes = spark.createDataFrame([(3, "new")], "id int, name string")
+    odd = df.withColumn("new_name", F.lit("y"))
+    assert {(r.id, r.name, r.new_name) for r in joins.corrected(odd, fixes, "id", ["name"]).collect()} == {(i, "new" if i == 3 else "a", "y") for i in range(10)}
+    assert sinks.upserted(df.select(F.col("id").alias("new_name"), "name"), fixes.select(F.col("id").alias("new_name"), "name"), "new_name", ["name"]).where("name = 'new'").count() == 1
+    rank = df.select(F.col("b").alias("rank"), "name")
+    assert {(r.rank, r.name) for r in windows.most_frequent(rank, "rank", "name").collect()} == {(0, "a"), (1, "a"), (2, "a")}
+    people = spark.createDataFrame([("S", "Asa Ek", "k")], "party string, name string, by_key string")
+    aliases = spark.createDataFrame([("S", "Åsa Ek", "Åsa Ek")], "party string, alias string, canonical string")
+    assert [tuple(r) for r in entities.reviewed(people, aliases, "party", "name").collect()] == [("S", "Åsa Ek", "k")]
+    pair = spark.createDataFrame([(1, "u", "v")], "id int, l_x string, x string")
+    assert [r.field for r in quality.parity(pair, pair.withColumn("x", F.lit("w")), "id", ["l_x", "x"]).collect()] == ["x"]
