@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from rostra.functions.keys import ignorable_line, squeezed, stable_hash, text_or_empty
 
-DIARY = "[A-ZÅÄÖ][A-Za-zÅÄÖåäö]{0,6} [0-9]{1,5}/20[0-9]{2}"
+#: A diary number; registers count on, so its number has as many digits as it needs.
+DIARY = "[A-ZÅÄÖ][A-Za-zÅÄÖåäö]{0,6} [0-9]+/20[0-9]{2}"
 
 
 def lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:

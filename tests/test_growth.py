@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from rostra.operators import extraction, references
 from rostra.sources import sinks
 
 
@@ -13,3 +14,10 @@ def test_parts_end_before_a_document_that_fits_into_none(spark):
     with pytest.warns(UserWarning, match="document 5 needs 41 bytes"):
         got = sinks.pack_parts(weights, "doc", 40, refuse=False)
     assert {r.doc: r.part for r in got.collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3}
+
+
+@pytest.mark.parametrize("number", ["99999", "100000", "1234567890"])
+def test_diary_numbers_of_many_digits(spark, number):
+    said = spark.createDataFrame([(1, f"Protokoll Ks {number}/2024")], "id int, t string")
+    assert said.select(extraction.diary_from_first_page(F.col("t"))).head()[0] == f"Ks {number}/2024"
+    assert [(r.label, r.kind) for r in references.extract(said, "id", "t").collect()] == [(f"Ks {number}/2024", "diary")]
