@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostra.operators import extraction, windows
+from rostra.operators import extraction, joins, windows
 from rostra.plans.civic import query, table
 from rostra.sources import listings, packs
 
@@ -12,7 +12,7 @@ from rostra.sources import listings, packs
 def protocols(spark, sf):
     """A small protocol per part, over two pages. Which diary number, date, lists, headers, decisions and counts it has, and how
     they are written, follows from its number, so that each rule fires for some rows and not for others."""
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    p, k = joins.spread(table(spark, sf, "part"), "p_partkey"), F.col("p_partkey")
     text, lit = lambda c: c.cast("string"), F.lit
     diary = F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat(lit(" Ks "), text(k), lit("/2024, Ks "), text(k + 1), lit("/2024"))).otherwise(F.concat(lit(" Ks "), text(k), lit("/2024")))
     date = F.when(k % 6 == 0, "").otherwise(F.concat(lit("\nDatum: 2024-02-0"), text(1 + k % 9)))
