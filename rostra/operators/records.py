@@ -214,18 +214,21 @@ def paragraph_votes(docs: DataFrame, doc: str, name: str, text: str, points: str
     said = text_or_empty(F.col(text))
     tells = F.contains(squeezed(fold(said)), F.lit(VOTE_PHRASE))
     parts = F.split(said, f"(?={VOTE_MARKER})")
-    opened = docs.where(tells).select(doc, F.col(name).alias("name"), F.coalesce(F.map_keys(points), F.array().cast("array<string>")).alias("known"), F.coalesce(F.map_keys(voted), F.array().cast("array<string>")).alias("has"), parts.alias("parts"))
-    each = opened.select("*", F.posexplode("parts").alias("i", "said")).where(F.col("said").rlike(f"^{VOTE_MARKER}"))
+    opened = docs.select(doc, F.col(name).alias("name"), F.coalesce(F.map_keys(points), F.array().cast("array<string>")).alias("known"), F.coalesce(F.map_keys(voted), F.array().cast("array<string>")).alias("has"), F.when(tells, parts).alias("parts"))
+    # neither a filter nor one that follows from the exploded array: it would be worked out where the documents are read, by few tasks
+    each = opened.select("*", F.posexplode_outer("parts").alias("i", "said")).where(F.col("said").rlike(f"^{VOTE_MARKER}"))
     before = F.array_join(F.slice("parts", F.lit(1), F.col("i")), "")
     number = F.try_element_at(F.regexp_extract_all(F.substr(before, F.greatest(F.length(before) - LOOK_BACK + 1, F.lit(1))), F.lit(VOTE_POINT), F.lit(1)), F.lit(-1))
     of_number = F.get(F.filter("known", lambda p: p.endswith(F.concat(F.lit("."), number)) | (p == number)), F.lit(0))
     in_base = F.concat(F.substring_index(F.get("known", F.lit(0)), ".", 1), F.lit("."), number)
     point = F.coalesce(F.when(F.array_contains("known", in_base), in_base), of_number, F.when(F.size("known") == 1, F.get("known", F.lit(0))))
-    cut = lambda pattern, i: F.regexp_extract("said", pattern, i)
-    meaning = lambda i: F.when(_clean(cut(VOTE_MEANING, i)).rlike(r"(?iu)^(?:bifall|avslag)(?![\p{L}\p{N}_])"), _clean(cut(VOTE_MEANING, i))).otherwise(F.concat(F.lit("bifall till "), _clean(cut(VOTE_MEANING, i))))
-    count = lambda i: F.coalesce(cut(VOTE_RESULT, i).try_cast("int"), F.lit(0))
-    rows = each.withColumn("point", point).where("point is not null and not array_contains(has, point)").where(cut(VOTE_MEANING, 1) != "")
-    rows = rows.select(doc, "name", "i", "point", meaning(1).alias("yes_meaning"), meaning(2).alias("no_meaning"), count(1).alias("yes"), count(2).alias("no"), _people(cut(VOTE_NAMES, 1)).alias("yes_people"), _people(cut(VOTE_NAMES, 2)).alias("no_people"))
+    # exploded from one struct, so that each pattern is looked for once, however often its groups are asked
+    cuts = F.array(F.struct(*[F.regexp_extract("said", p, i).alias(f"{c}{i}") for c, p in (("meaning", VOTE_MEANING), ("names", VOTE_NAMES), ("result", VOTE_RESULT)) for i in (1, 2)]))
+    cut = lambda c, i: F.col(f"m.{c}{i}")
+    meaning = lambda i: F.when(_clean(cut("meaning", i)).rlike(r"(?iu)^(?:bifall|avslag)(?![\p{L}\p{N}_])"), _clean(cut("meaning", i))).otherwise(F.concat(F.lit("bifall till "), _clean(cut("meaning", i))))
+    count = lambda i: F.coalesce(cut("result", i).try_cast("int"), F.lit(0))
+    rows = each.withColumn("point", point).where("point is not null and not array_contains(has, point)").select(doc, "name", "i", "point", F.explode(cuts).alias("m")).where(cut("meaning", 1) != "")
+    rows = rows.select(doc, "name", "i", "point", meaning(1).alias("yes_meaning"), meaning(2).alias("no_meaning"), count(1).alias("yes"), count(2).alias("no"), _people(cut("names", 1)).alias("yes_people"), _people(cut("names", 2)).alias("no_people"))
     right = rows.where("yes > 0 and no > 0 and size(yes_people) = yes and size(no_people) = no")
     plain = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]+", "_")
     nth = F.row_number().over(W.partitionBy(doc).orderBy("i"))
@@ -237,8 +240,10 @@ def paragraph_votes(docs: DataFrame, doc: str, name: str, text: str, points: str
 
 def paragraph_ballots(votes: DataFrame, doc: str) -> DataFrame:
     """(doc, point, event, name, party, vote, participant) of ``paragraph_votes``."""
-    sides = [votes.select(doc, "point", "event", F.lit(vote).alias("vote"), F.lit(side).alias("side"), F.posexplode(f"{side}_people").alias("n", "who")) for side, vote in (("yes", "Ja"), ("no", "Nej"))]
-    every = sides[0].unionByName(sides[1])
+    # both sides from one pass, as the votes before cost most
+    sides = F.array(*[F.struct(F.lit(vote).alias("vote"), F.lit(side).alias("side"), F.col(f"{side}_people").alias("people")) for side, vote in (("yes", "Ja"), ("no", "Nej"))])
+    each = votes.select(doc, "point", "event", F.explode(sides).alias("x")).select(doc, "point", "event", "x.*")
+    every = each.select(doc, "point", "event", "vote", "side", F.posexplode("people").alias("n", "who"))
     return every.select(doc, "point", "event", "who.name", "who.party", "vote", F.concat_ws("", "event", F.lit(":"), "side", F.lit("_"), (F.col("n") + 1).cast("string")).alias("participant"))
 
 

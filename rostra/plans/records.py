@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostra.operators import assembly, extraction, records
+from rostra.operators import assembly, extraction, joins, records
 from rostra.plans.civic import query, table
 
 
 def papers(spark, sf):
     """(p_partkey, page, text): two pages for each part."""
-    k, p = F.col("p_partkey"), table(spark, sf, "part")
+    k, p = F.col("p_partkey"), joins.spread(table(spark, sf, "part"), "p_partkey")
     number = lambda c: c.cast("string")
     when = lambda c, x, y="": F.when(c, F.lit(x) if isinstance(x, str) else x).otherwise(F.lit(y) if isinstance(y, str) else y)
     head = F.when(k % 10 == 0, "Protokoll\nKn 1/2020\nKn 2/2020").when(k % 10 == 5, "Protokoll").when(k % 5 == 1, F.concat(F.lit("Protokoll Ks "), number(k), F.lit("/2023"))).otherwise(F.concat(F.lit("Protokoll KS "), number(k), F.lit("/2024")))
@@ -150,7 +150,7 @@ def paragraph_documents(spark, sf):
         named, s("Ordföranden finner resultatet 1 ja-röster och 3 nej-röster. "), F.when(k % 6 == 0, third).otherwise(""),
     )
     texts = lambda *ps: F.map_from_arrays(F.array(*map(F.lit, ps)), F.array(*[F.lit("x")] * len(ps)))
-    return table(spark, sf, "part").select(k, F.concat(s("doc "), k.cast("string")).alias("name"), said.alias("text"), F.when(k % 5 == 0, texts("7")).otherwise(texts("12", "12.1", "12.2")).alias("p"), F.when(k % 7 == 0, texts("12.2")).alias("v"))
+    return joins.spread(table(spark, sf, "part"), "p_partkey").select(k, F.concat(s("doc "), k.cast("string")).alias("name"), said.alias("text"), F.when(k % 5 == 0, texts("7")).otherwise(texts("12", "12.1", "12.2")).alias("p"), F.when(k % 7 == 0, texts("12.2")).alias("v"))
 
 
 @query("paragraph_votes", f"with {PARAGRAPHS} select k as p_partkey, point, event, yes_meaning, no_meaning, yes, no from votes")
