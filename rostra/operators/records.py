@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -269,26 +268,28 @@ def deduplicated_parts(parts: DataFrame, group: str) -> DataFrame:
 
     Best first (smallest section, more pages, rank, part), a part goes if its text, its sections or its declared sections
     are those of a kept one; a kept part that shares a number with an earlier kept one says which. The choice for one part
-    depends on those before, so a meeting, which has few parts, is judged by one task.
+    depends on those before, so a meeting, which has few parts, is judged within its row: a fold over its parts in order.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = lambda r: tuple(r.declared) or tuple(r.sections)
-        rows = sorted(pdf.itertuples(index=False), key=lambda r: (min(number(r), default=1_000_000), -r.pages, r.rank, r.part))
-        seen, kept, out = set(), [], []
-        for r in rows:
-            own = {("text", r.signature) if r.signature else None, ("sections", tuple(r.sections)) if len(r.sections) else None, ("declared", tuple(r.declared)) if len(r.declared) else None} - {None}
-            stays = not own & seen
-            shared = next((x for x in (sorted(set(number(r)) & set(k)) for k in kept) if x), []) if stays else []
-            if stays:
-                seen |= own
-                kept.append(number(r))
-            out.append((getattr(r, group), r.part, stays, shared))
-        return pd.DataFrame(out, columns=[group, "part", "kept", "overlaps"])
-
-    rows = parts.select(group, "part", "pages", "rank", F.coalesce("signature", F.lit("")).alias("signature"), *[F.sort_array(F.array_distinct(F.coalesce(c, F.array().cast("array<int>")))).alias(c) for c in ("sections", "declared")])
-    kind = lambda c: parts.schema[c].dataType.simpleString()
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind(group)}, part {kind('part')}, kept boolean, overlaps array<int>")
+    none = F.array().cast("array<int>")
+    rows = parts.select(group, "part", "pages", "rank", F.coalesce("signature", F.lit("")).alias("signature"), *[F.sort_array(F.array_distinct(F.coalesce(c, none))).alias(c) for c in ("sections", "declared")])
+    said = lambda mark, c: F.when(F.size(c) > 0, F.concat(F.lit(mark), F.array_join(F.transform(c, lambda x: x.cast("string")), ",")))
+    own = F.array_compact(F.array(F.when(F.col("signature") != "", F.concat(F.lit("t"), "signature")), said("s", "sections"), said("d", "declared")))
+    rows = rows.select(group, "part", "pages", "rank", own.alias("own"), F.when(F.size("declared") > 0, F.col("declared")).otherwise(F.col("sections")).alias("number"))
+    first = F.coalesce(F.array_min("number"), F.lit(1_000_000))
+    held = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(first.alias("first"), F.negative("pages").alias("pages"), "rank", "part", "own", "number"))).alias("x"))
+    kind = parts.schema["part"].dataType.simpleString()
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<array<int>>").alias("kept"), F.array().cast(f"array<struct<part:{kind},kept:boolean,overlaps:array<int>>>").alias("out"))
+
+    def judged(state: Column, r: Column) -> Column:
+        stays = ~F.arrays_overlap(state["seen"], r["own"])
+        other = F.get(F.filter(state["kept"], lambda k: F.arrays_overlap(k, r["number"])), F.lit(0))
+        shared = F.when(stays & other.isNotNull(), F.array_intersect(r["number"], other)).otherwise(none)
+        return F.struct(
+            F.when(stays, F.concat(state["seen"], r["own"])).otherwise(state["seen"]).alias("seen"), F.when(stays, F.concat(state["kept"], F.array(r["number"]))).otherwise(state["kept"]).alias("kept"),
+            F.concat(state["out"], F.array(F.struct(r["part"].alias("part"), stays.alias("kept"), shared.alias("overlaps")))).alias("out"),
+        )
+
+    return held.select(group, F.inline(F.aggregate("x", start, judged, lambda s: s["out"])))
 
 
 def meeting_groups(parts: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostra.functions import keys
-from rostra.operators import extraction, references
-from rostra.plans import integrity
+from rostra.operators import extraction, records, references
+from rostra.plans import documents, integrity, search
+from rostra.plans import records as records_plan
 from rostra.sources import sinks
 
 
@@ -35,3 +36,17 @@ def test_rows_of_document_0_are_not_judged_one_by_one(spark, tmp_path):
     items = [(k, n, 5, "A", "F") for k in (1, 2) for n in (1, 2)]
     spark.createDataFrame(items, "l_orderkey bigint, l_linenumber bigint, l_suppkey bigint, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.doc for r in integrity.vote_row_issues(spark, str(tmp_path)).where("code like 'vote_row%'").collect()} == {7}
+
+
+def test_texts_of_a_small_file_are_dealt_over_tasks(spark):
+    sf = "/root/testdata/sf0.001"
+    for made in (documents.protocols, records_plan.papers, records_plan.paragraph_documents, search.dated_text, search.references_text):
+        assert made(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_parts_are_judged_within_rows(spark):
+    rows = [(1, p, 4, 0, sig, s, d) for p, sig, s, d in ((1, "a", [1, 2], []), (2, "a", [5], []), (3, "", [2, 3], [9, 9]), (4, "b", [2, 1], None), (5, "c", [9, 4], []), (6, None, None, None), (7, "", [7], [9]))]
+    parts = spark.createDataFrame(rows, "g bigint, part bigint, pages int, rank int, signature string, sections array<int>, declared array<int>")
+    got = records.deduplicated_parts(parts, "g")
+    assert {r.part: (r.kept, r.overlaps) for r in got.collect()} == {1: (True, []), 2: (False, []), 3: (True, [9]), 4: (False, []), 5: (True, []), 6: (True, []), 7: (False, [])}
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
