@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rostra.operators.joins import unused
+from rostra.operators.joins import spread, unused
 
 
 def disambiguated(df: DataFrame, key: str, position: str, out: str = "unique_id") -> DataFrame:
@@ -52,7 +52,8 @@ def after_marker(df: DataFrame, keys: Sequence[str], order: str, marker: Column)
 
 def encode_ranges(df: DataFrame, key: str, value: str) -> DataFrame:
     """Runs of consecutive distinct integers as (key, begin, length)."""
-    distinct = df.select(key, value).distinct()
+    # dealt by key once, for the distinct rows, the window and the runs alike
+    distinct = spread(df.select(key, value), key).distinct()
     island = F.col(value) - F.row_number().over(W.partitionBy(key).orderBy(value))
     name = unused(distinct.columns, "island")
     return distinct.withColumn(name, island).groupBy(key, name).agg(F.min(value).alias("begin"), F.count("*").alias("length")).drop(name)
