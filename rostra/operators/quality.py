@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostra.functions.keys import text_or_empty
-from rostra.operators.joins import unused
+from rostra.operators.joins import spread, unused
 
 
 @dataclass(frozen=True)
@@ -51,12 +51,14 @@ def missing(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def repeated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(F.concat_ws("|", *columns).alias("key"))
+    # keys hardly repeat, so there is nothing to sum up before they are dealt
+    return spread(df.select(*columns), *columns).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(F.concat_ws("|", *columns).alias("key"))
 
 
 def dangling(df: DataFrame, parents: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Keys of rows whose parent does not exist."""
-    return df.join(parents.select(*columns).distinct(), list(columns), "left_anti").select(F.col(key).alias("key"))
+    asks = spread(df.select(*dict.fromkeys([*columns, key])), *columns)
+    return asks.join(spread(parents.select(*columns), *columns), list(columns), "left_anti").select(F.col(key).alias("key"))
 
 
 def archive_rules(files: DataFrame, key: str, path: str, meeting: Sequence[str]) -> list[Rule]:

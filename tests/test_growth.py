@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostra.functions import keys
-from rostra.operators import extraction, records, references
+from rostra.operators import extraction, quality, records, references, windows
 from rostra.plans import documents, integrity, search
 from rostra.plans import records as records_plan
 from rostra.sources import sinks
@@ -50,3 +50,10 @@ def test_parts_are_judged_within_rows(spark):
     got = records.deduplicated_parts(parts, "g")
     assert {r.part: (r.kept, r.overlaps) for r in got.collect()} == {1: (True, []), 2: (False, []), 3: (True, [9]), 4: (False, []), 5: (True, []), 6: (True, []), 7: (False, [])}
     assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+
+
+def test_hash_tables_of_keys_are_dealt_over_tasks(spark):
+    most, df = 4 * spark.sparkContext.defaultParallelism, spark.range(1000).selectExpr("id % 7 as k", "id as v")
+    assert windows.encode_ranges(df, "k", "v").rdd.getNumPartitions() >= most
+    assert quality.repeated(df.union(df), ["k", "v"]).rdd.getNumPartitions() >= most
+    assert quality.dangling(df, df.where("v > 9"), ["v"], "k").count() == 10
