@@ -87,6 +87,17 @@ def decoded_dictionary(rows: DataFrame, row: str, strings: str, columns: Sequenc
     return rows.select(*[value(i, c) for i, c in enumerate(columns)])
 
 
+#: Rows of an Arrow batch of whole texts, at most.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS for ``gzipped`` and ``gunzipped``, whose workers hold a batch's texts several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 @F.pandas_udf(T.StringType())
 def gunzipped(texts: pd.Series) -> pd.Series:
     """``gz:`` and base64 to text; other texts as they are."""

@@ -9,7 +9,7 @@ from rostra.functions import keys
 from rostra.operators import extraction, quality, records, references, windows
 from rostra.plans import documents, integrity, search
 from rostra.plans import records as records_plan
-from rostra.sources import sinks
+from rostra.sources import packs, sinks
 
 
 def test_parts_end_before_a_document_that_fits_into_none(spark):
@@ -57,3 +57,19 @@ def test_hash_tables_of_keys_are_dealt_over_tasks(spark):
     assert windows.encode_ranges(df, "k", "v").rdd.getNumPartitions() >= most
     assert quality.repeated(df.union(df), ["k", "v"]).rdd.getNumPartitions() >= most
     assert quality.dangling(df, df.where("v > 9"), ["v"], "k").count() == 10
+
+
+def test_dates_with_many_rows_of_a_matter(spark):
+    """A row means the first of its matter and date, the first one itself the second; and a meeting's rows are asked by minima."""
+    row = "id bigint, doc string, date string, body string, matter string, diary string, point string"
+    base = [(i, f"D{i}", "2024-01-02", "KS", "m", "ks 1/2024" if i == 7 else None, str(i)) for i in range(3, 9)]
+    rows = spark.createDataFrame([(*r, "5") for r in base], f"{row}, base string")
+    refs = [(10 * r[0], "date", "2024-01-02", *r, None) for r in base] + [(99, "section", "5", 4, "D0", "2024-01-02", "KS", "m", "ks 1/2024", "4", None)]
+    got = references.targets(spark.createDataFrame(refs, f"ref bigint, kind string, label string, {row}, url string"), rows, rows.select("id", "date", "body").limit(0))
+    found = {r.ref: (r.target, r.pool) for r in got.collect()}
+    assert found == {30: (4, "matter"), **{10 * i: (3, "matter") for i in range(4, 9)}, 99: (7, "meeting")}
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    packs.small_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
