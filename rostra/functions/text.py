@@ -30,8 +30,9 @@ def fold(col: Column) -> Column:
 
 
 def normalize_text(col: Column) -> Column:
-    """Lower case, no accents, everything else than letters and digits to single blanks."""
-    return F.trim(F.regexp_replace(fold(F.coalesce(col, F.lit(""))), "[^a-z0-9]+", " "))
+    """Lower case, no accents, everything else than letters and digits to single blanks. ASCII texts have no accents to look for."""
+    x = F.coalesce(col, F.lit(""))
+    return F.trim(F.regexp_replace(F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(fold(x)), "[^a-z0-9]+", " "))
 
 
 def normalize_decision(col: Column) -> Column:

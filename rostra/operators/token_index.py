@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.functions.text import likely_token, normalize_query, normalize_text, token_score
+from rostra.operators import joins
 
 #: Characters at a text's start within which the place of a phrase counts; later places score alike.
 LEAD = 160
@@ -20,18 +21,19 @@ MOST_PARTS = 6
 def write_index(df: DataFrame, key: str, text: str, path: str, keep: Sequence[str] = ()) -> str:
     """Writes ``postings`` and ``tokens`` of normalised texts below ``path``, and returns it.
 
-    Postings (token, id, keep, word, at, size): one for each word, by token, so that scans skip files and row groups of other
-    tokens; ``word`` is its number, ``at`` its first character up to LEAD, ``size`` the text's length. They are
-    range-partitioned by token and id, so a token that is in every text is spread over partitions. Tokens (token, n): each
-    with its count. Null and blank texts have no postings; rows of one key are told apart by nothing and count as one text.
+    Postings (token, id, keep, word, at, size): one for each word; ``word`` is its number, ``at`` its first character up to
+    LEAD, ``size`` the text's length. Texts are dealt over tasks by key, and each task sorts the words of its own by token, so
+    that scans skip the pages of other tokens in each file, and a token that is in every text is in every file. Texts are
+    shuffled, once, and their words never. Tokens (token, n): each with its count. Null and blank texts have no postings; rows
+    of one key are told apart by nothing and count as one text.
     """
-    rows = df.select(F.col(key).alias("id"), *keep, normalize_text(F.col(text)).alias("t")).where("t <> ''").select("id", *keep, F.length("t").alias("size"), F.split("t", " ").alias("w"))
+    rows = joins.spread(df.select(F.col(key).alias("id"), *keep, F.col(text).alias("x")), "id").select("id", *keep, normalize_text(F.col("x")).alias("t"))
+    # the outer form adds no filter, which would normalise each text twice
+    each = rows.select("id", *keep, F.length("t").alias("size"), F.substring("t", 1, LEAD).alias("lead"), F.posexplode_outer(F.split("t", " ")).alias("word", "token")).where("token <> ''")
     # a word of at least one letter and a blank: later ones begin beyond LEAD
-    early = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(LEAD // 2))), lambda i: F.when(i == 1, 0).otherwise(F.length(F.array_join(F.slice("w", F.lit(1), i - 1), " ")) + 1))
-    each = rows.select("id", *keep, "size", F.posexplode(F.arrays_zip(F.col("w").alias("token"), early.alias("at"))).alias("word", "x"))
-    postings = each.select("x.token", "id", *keep, "word", F.least(F.coalesce("x.at", F.lit(LEAD)), F.lit(LEAD)).alias("at"), "size")
-    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id", "word").write.mode("overwrite").parquet(f"{path}/postings")
-    df.sparkSession.read.parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("n")).sort("token").write.mode("overwrite").parquet(f"{path}/tokens")
+    at = F.when(F.col("word") == 0, 0).when(F.col("word") <= LEAD // 2, F.least(F.length(F.call_function("substring_index", "lead", F.lit(" "), F.col("word"))) + 1, F.lit(LEAD))).otherwise(LEAD)
+    each.select("token", "id", *keep, "word", at.alias("at"), "size").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    df.sparkSession.read.parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/tokens")
     return path
 
 

@@ -38,3 +38,16 @@ def test_no_text_is_read_and_facets_restrict(spark, rows, tmp_path, monkeypatch)
     assert "text#" not in plan and "EqualTo(lang,fr)" in plan and "In(token, " in plan  # facets and tokens reach the scan
     monkeypatch.setattr(token_index, "FEW_TOKENS", 0)  # too many to be a filter: joined
     assert {(r.doc, r.score) for r in token_index.search(spark, path, "license", "doc", ["lang"], F.col("lang") == "fr").collect()} == {(r.doc, r.score) for r in found.collect()}
+
+
+def test_texts_of_one_file_are_dealt_over_tasks(spark, rows, tmp_path):
+    """Each task sorts its own words by token; words are not shuffled, nor normalised more than once."""
+    spark.createDataFrame([(i, t) for i, t in rows if i < 150], "doc int, text string").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    path = token_index.write_index(texts, "doc", "text", f"file://{tmp_path}/i")
+    assert len(list((tmp_path / "i" / "postings").glob("part-*"))) >= 4 * spark.sparkContext.defaultParallelism
+    each = spark.read.parquet(f"{path}/postings").select("token", "id", F.input_file_name().alias("f"))
+    assert each.groupBy("id").agg(F.count_distinct("f").alias("n")).where("n > 1").isEmpty()
+    for part in (tmp_path / "i" / "postings").glob("part-*"):
+        held = [r.token for r in spark.read.parquet(str(part)).coalesce(1).collect()]
+        assert held == sorted(held)
