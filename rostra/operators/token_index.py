@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from rostra.operators import joins
 LEAD = 160
 #: Matching tokens that enter the scan of postings as a filter; more are joined.
 FEW_TOKENS = 200
+#: Matching tokens that are broadcast, at most: some 10 MB.
+MANY_TOKENS = 100_000
 #: Parts of a query that are scored token by token, at most.
 MOST_PARTS = 6
 
@@ -46,6 +50,18 @@ def matching_tokens(spark: SparkSession, path: str, parts: Sequence[str]) -> Dat
     return out
 
 
+def matching_postings(postings: DataFrame, matched: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Postings with (part, best) for each part of a query that their token scores for. None is shuffled: matching tokens are
+    broadcast, and where there are more than MANY_TOKENS, the token is scored in the posting."""
+    few = [r.token for r in matched.select("token").distinct().limit(FEW_TOKENS + 1).collect()]
+    if len(few) <= FEW_TOKENS:
+        postings = postings.where(F.col("token").isin(few))
+    elif matched.limit(MANY_TOKENS + 1).count() > MANY_TOKENS:
+        scores = [F.when(likely_token(p, F.col("token")), token_score(p, F.col("token"))).otherwise(0) for p in parts]
+        return postings.select("*", F.posexplode(F.array(*scores)).alias("part", "best")).where("best > 0")
+    return postings.join(F.broadcast(matched.withColumnRenamed("score", "best")), "token")
+
+
 def search(spark: SparkSession, path: str, query: str, key: str = "id", keep: Sequence[str] = (), where: Column | None = None) -> DataFrame:
     """(key, keep, score) of texts that score for a query, equal to ``field_score``; ``where`` is a condition on ``keep``.
 
@@ -57,26 +73,23 @@ def search(spark: SparkSession, path: str, query: str, key: str = "id", keep: Se
     if not parts:
         return postings.select(F.col("id").alias(key), *keep, F.lit(0).alias("score")).limit(0)
     q, m = " ".join(parts), len(parts)
-    matched = matching_tokens(spark, path, parts)
-    few = matched.select("token").distinct().limit(FEW_TOKENS + 1).collect()
     held = postings if where is None else postings.where(where)
-    if len(few) <= FEW_TOKENS:
-        held = held.where(F.col("token").isin([r.token for r in few]))
-    hits = held.join(matched, "token")
+    hits = matching_postings(held, matching_tokens(spark, path, parts), parts)
     first, last = F.col("part") == 0, F.col("part") == m - 1
     p = F.get(F.array(*map(F.lit, parts)), F.col("part"))
     inner = F.when(F.lit(m == 1), F.instr("token", parts[0]) - 1).when(first, F.length("token") - F.length(p)).otherwise(0)
     fits = F.when(F.lit(m == 1), F.contains("token", p)).when(first, F.endswith("token", p)).when(last, F.startswith("token", p)).otherwise(F.col("token") == p)
-    best = hits.groupBy("id", *keep, "size", "part").agg(F.max("score").alias("best"), *([F.min(F.when(fits, F.col("at") + inner)).alias("at")] if m == 1 else []))
+    of_part = lambda i: F.max(F.when(F.col("part") == i, F.col("best")))
     if m == 1:
-        each = best.groupBy("id", *keep, "size").agg(F.sum("best").alias("total"), F.count("*").alias("n"), F.min("at").alias("at"))
+        each = hits.groupBy("id", *keep, "size").agg(F.max("best").alias("total"), F.min(F.when(fits, F.col("at") + inner)).alias("at"))
     else:
-        each = best.groupBy("id", *keep, "size").agg(F.sum("best").alias("total"), F.count("*").alias("n"))
+        # null unless every part has a token
+        best = hits.groupBy("id", *keep, "size").agg(reduce(add, map(of_part, range(m))).alias("total"))
         runs = hits.where(fits).select("id", (F.col("word") - F.col("part")).alias("begins"), "part", F.when(first, F.col("at") + inner).alias("at"))
-        whole = runs.groupBy("id", "begins").agg(F.count_distinct("part").alias("c"), F.min("at").alias("at")).where(F.col("c") == m).groupBy("id").agg(F.min("at").alias("at"))
-        each = each.join(whole, "id", "left")
+        whole = runs.groupBy("id", "begins").agg(*[F.bool_or(F.col("part") == i).alias(f"has{i}") for i in range(m)], F.min("at").alias("at")).where(reduce(and_, [F.col(f"has{i}") for i in range(m)]))
+        each = best.join(whole.groupBy("id").agg(F.min("at").alias("at")), "id", "left")
     phrase = F.when(F.col("at") == 0, 900).when(F.col("at") > 0, 780 - F.least("at", F.lit(LEAD))).otherwise(0)
     same = F.coalesce((F.col("at") == 0) & (F.col("size") == len(q)), F.lit(False))
-    total = F.when(F.col("n") == m, 220 + F.col("total")).otherwise(0)
+    total = F.coalesce(220 + F.col("total"), F.lit(0))
     score = F.greatest(phrase, total) if m <= MOST_PARTS else F.when(F.col("at").isNotNull(), 700).otherwise(0)
     return each.select(F.col("id").alias(key), *keep, F.when(same, 1000).otherwise(score).cast("int").alias("score")).where("score > 0")

@@ -51,3 +51,22 @@ def test_texts_of_one_file_are_dealt_over_tasks(spark, rows, tmp_path):
     for part in (tmp_path / "i" / "postings").glob("part-*"):
         held = [r.token for r in spark.read.parquet(str(part)).coalesce(1).collect()]
         assert held == sorted(held)
+
+
+@pytest.mark.parametrize("query", ["license", "ny skola", "detaljplan kvarter", "x ab ny plan budget skola license"])
+@pytest.mark.parametrize("most", [0, 10**5])
+def test_postings_are_not_shuffled_to_meet_matching_tokens(spark, rows, tmp_path, monkeypatch, query, most):
+    df = spark.createDataFrame(rows, "doc int, text string")
+    path = token_index.write_index(df, "doc", "text", f"file://{tmp_path}/i")
+    monkeypatch.setattr(token_index, "FEW_TOKENS", 0)
+    monkeypatch.setattr(token_index, "MANY_TOKENS", most)  # broadcast, or scored in the posting
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for an index of many tokens
+    try:
+        found = token_index.search(spark, path, query, "doc")
+        got = {r.doc: r.score for r in found.collect()}
+        held = token_index.matching_postings(spark.read.parquet(f"{path}/postings"), token_index.matching_tokens(spark, path, query.split()), query.split())
+        plan = held._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert got == {r.doc: r.s for r in df.select("doc", text.field_score(F.col("text"), query).alias("s")).where("s > 0").collect()}
